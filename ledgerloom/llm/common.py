@@ -1,6 +1,6 @@
 """Shared plumbing of the training-data operators.
 
-* ``pick`` narrows an input to the columns an operator needs, so further
+* ``docs_of`` narrows an input to the columns an operator needs, so further
   columns (clashing names included) never reach its joins.
 * ``keep`` writes an intermediate table to the folder that all executors share
   and reads it back: lineage is cut by a durable file, so a lost executor costs
@@ -14,7 +14,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,16 +22,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pick(df: DataFrame, **columns: str) -> DataFrame:
-    """``pick(df, doc_id="long", text="string")``: just these columns, so typed."""
-    return df.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c, kind in columns.items()])
-
-
 def docs_of(df: DataFrame) -> DataFrame:
     """(doc_id, text) with a null text read as empty."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def rowed(df: DataFrame) -> DataFrame:
+    """(_row, doc_id, text): every column but the text in one struct, which passes an Arrow function untouched whatever its names are."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c != "text"]
+    return df.select(F.struct(*rest).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def unrowed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The ``columns`` of the frame that ``rowed`` was given, in their order."""
+    return df.select(*[F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in columns])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; where none is named (tests), an own temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -63,7 +69,3 @@ def release(spark: SparkSession) -> None:
     """Let the context cleaner remove shuffle files of frames that are gone."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-
-
-def hex128(*cols: Column) -> Column:
-    return F.concat(*[F.lpad(F.hex(c), 16, "0") for c in cols])

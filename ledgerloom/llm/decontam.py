@@ -158,7 +158,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, stretch: int = 20, agre
     return reduce(DataFrame.unionByName, found).distinct()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_ids: int = 1_000_000, **options) -> DataFrame:
     """The documents (all their columns) that no benchmark item contaminates. The contaminated ids are written once and anti-joined."""
     bad = keep(contamination(docs, benchmark, **options).select(F.col("doc_id").alias("_leaked")).distinct(), "leaks")
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_leaked"), "left_anti")
+    return docs.join(F.broadcast(bad) if bad.count() <= broadcast_ids else bad, F.col("doc_id").cast("long") == F.col("_leaked"), "left_anti")

@@ -23,14 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import docs_of, keep
+from .common import docs_of, keep, rowed
 from .wordhash import _LOWER, BASE, BASE_INV, SPACE, U, mix, powers, row_blocks, text_bytes
 
 _SECOND = mix(_LOWER ^ U(0x5851F42D4C957F2D))
 BASE2 = 0xD1342543DE82EF95
 BASE2_INV = pow(BASE2, -1, 1 << 64)
-OUT = "doc_id long, text string, n_lines long, n_dropped long"
 
 
 def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -89,8 +89,8 @@ def repeated_keys(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     return each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last_doc")).filter(F.col("n") >= min_docs).drop("n")
 
 
-def _drop(batch_docs, column: pa.Array, min_chars: int, dropped) -> pa.RecordBatch:
-    """``dropped(first row, rows, h1, h2)`` tells the lines that go."""
+def _drop(row_structs: pa.Array, column: pa.Array, min_chars: int, dropped) -> pa.RecordBatch:
+    """``dropped(rows, h1, h2)`` tells the lines that go."""
     data, offsets = text_bytes(column)
     texts: list[bytes] = []
     n_lines, n_dropped = np.zeros(len(offsets) - 1, np.int64), np.zeros(len(offsets) - 1, np.int64)
@@ -111,23 +111,27 @@ def _drop(batch_docs, column: pa.Array, min_chars: int, dropped) -> pa.RecordBat
                 texts.append(b"\n".join(raw[s[i] : e[i]] for i in range(a, b) if not gone[i]))
             else:
                 texts.append(raw[offsets[first + r] - lo : offsets[first + r + 1] - lo])
-    return pa.RecordBatch.from_arrays([batch_docs, pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_lines), pa.array(n_dropped)], names=["doc_id", "text", "n_lines", "n_dropped"])
+    return pa.RecordBatch.from_arrays([row_structs, pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_lines), pa.array(n_dropped)], names=["_row", "text", "n_lines", "n_dropped"])
+
+
+def _out(rows: DataFrame) -> T.StructType:
+    return T.StructType([rows.schema["_row"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, broadcast_keys: int = 1_000_000) -> DataFrame:
-    """doc_id, text (what stays), n_lines (before), n_dropped of every document."""
+    """Every document, all its columns, with ``text`` as what stays of it; then n_lines (before) and n_dropped."""
+    base = rowed(docs)
     keys = keep(repeated_keys(docs, min_chars, min_docs), "lines")
-    if keys.count() <= broadcast_keys:
-        return _by_broadcast(docs, keys, min_chars)
-    return _by_join(docs, keys, min_chars)
+    found = (_by_broadcast if keys.count() <= broadcast_keys else _by_join)(base, keys, min_chars)
+    return found.select(*[F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns], "n_lines", "n_dropped")
 
 
-def _by_broadcast(docs: DataFrame, keys: DataFrame, min_chars: int) -> DataFrame:
+def _by_broadcast(base: DataFrame, keys: DataFrame, min_chars: int) -> DataFrame:
     found = keys.toArrow()
     none = np.iinfo(np.int64).min
     h1, h2, top = (found.column(c).fill_null(none).to_numpy() for c in ("h1", "h2", "last_doc"))
     order = np.lexsort((h2, h1))
-    held = docs.sparkSession.sparkContext.broadcast((h1[order], h2[order], top[order]))
+    held = base.sparkSession.sparkContext.broadcast((h1[order], h2[order], top[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k1, k2, last = held.value
@@ -148,21 +152,20 @@ def _by_broadcast(docs: DataFrame, keys: DataFrame, min_chars: int) -> DataFrame
                     live = live[at[live] < len(k1)]
                 return out
 
-            yield _drop(b.column("doc_id"), b.column("text"), min_chars, dropped)
+            yield _drop(b.column("_row"), b.column("text"), min_chars, dropped)
 
-    return docs_of(docs).mapInArrow(run, OUT)
+    return base.mapInArrow(run, _out(base))
 
 
-def _by_join(docs: DataFrame, keys: DataFrame, min_chars: int) -> DataFrame:
-    base = docs_of(docs)
-    rows = base.mapInArrow(_keys(min_chars), "doc_id long, h1 long, h2 long")
+def _by_join(base: DataFrame, keys: DataFrame, min_chars: int) -> DataFrame:
+    rows = docs_of(base).mapInArrow(_keys(min_chars), "doc_id long, h1 long, h2 long")
     gone = rows.join(keys, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
     gone = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))  # bounded by one document's lines
-    joined = base.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "gone")
+    joined = base.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("_row", "text", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [{(x["h1"], x["h2"]) for x in v} if v else () for v in b.column("gone").to_pylist()]
-            yield _drop(b.column("doc_id"), b.column("text"), min_chars, lambda row, x1, x2, sets=sets: np.fromiter(((i, j) in sets[r] for r, i, j in zip(row, x1.tolist(), x2.tolist(), strict=True)), bool, len(row)))
+            yield _drop(b.column("_row"), b.column("text"), min_chars, lambda row, x1, x2, sets=sets: np.fromiter(((i, j) in sets[r] for r, i, j in zip(row, x1.tolist(), x2.tolist(), strict=True)), bool, len(row)))
 
-    return joined.mapInArrow(run, OUT)
+    return joined.mapInArrow(run, _out(base))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fingerprint, linededup, packing, tokencount
+from . import chat, decontam, fingerprint, linededup, minhash, packing, tokencount, toxicity
 from .common import docs_of, read_table
 
 
@@ -15,6 +15,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=2)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -45,7 +53,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(read_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op5_token_counts, op6_document_fingerprints, op7_benchmark_decontamination, op8_line_dedup, op9_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op3_best_fit_packing, op5_token_counts, op6_document_fingerprints, op7_benchmark_decontamination, op8_line_dedup, op9_chat_formatting)}
 
 ORACLES = {
     "op8_line_dedup": """

@@ -87,7 +87,7 @@ def _words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarr
     starts = np.flatnonzero(solid & ~before)
     after = np.empty(n, bool)
     after[-1:] = False
-    after[:-1] = before[1:]
+    after[:-1] = before[1:] & solid[1:]
     ends = np.flatnonzero(solid & ~after) + 1
     sums = np.zeros(n + 1, U)
     np.cumsum((_LOWER if lower else _BYTES)[data] * powers(n), out=sums[1:])
