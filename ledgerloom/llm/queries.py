@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fingerprint, linededup, minhash, packing, tokencount, toxicity
-from .common import docs_of, read_table
+from . import chat, decontam, fingerprint, linededup, minhash, packing, pfp, substring, tokencount, toxicity
+from .common import read_table
 
 
 def vocabulary(name: str) -> str:
@@ -27,6 +27,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfp.dedup_bytes(read_table(spark, sf_dir, "documents"), digest=True).select("_row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -53,7 +57,11 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(read_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op3_best_fit_packing, op5_token_counts, op6_document_fingerprints, op7_benchmark_decontamination, op8_line_dedup, op9_chat_formatting)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_words(read_table(spark, sf_dir, "documents"), digest=True).select("_row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op3_best_fit_packing, op4_suffix_array_dedup, op5_token_counts, op6_document_fingerprints, op7_benchmark_decontamination, op8_line_dedup, op9_chat_formatting, op10_substring_dedup)}
 
 ORACLES = {
     "op8_line_dedup": """

@@ -1,0 +1,364 @@
+"""Repeated windows of fixed length over a whole corpus, exactly, without a row per position.
+
+A sequence is bytes or words (as 64-bit hashes). For a window of ``width``
+elements its trigger is the right-most position, among the window's first
+``reach`` ones, whose rolling hash over ``gram`` elements is smallest. The
+trigger depends on the window's own content only, so equal windows have equal
+triggers at equal distance, and the windows that start near each other share
+one: they form a run. A run is one row:
+
+* ``k1``: hash of the ``width - reach + 1`` elements after the trigger, which
+  all windows of the run contain. Equal windows lie in runs of equal k1.
+* ``k2``: hash of all elements the run's windows cover, with its geometry.
+
+Runs whose k1 occurs once hold no repeated window; most of a corpus ends here,
+after one counting shuffle. Runs of equal k2 are one class, decided as a whole.
+Only where a k1 has several classes (the ends of repeats) one run of each class
+is compared element by element: within a k1 the parts after the trigger are
+sorted, and so are the reversed parts before it, with the lengths of common
+prefixes of neighbours. A window with ``l`` elements before its trigger is then
+known by its rank class at depth ``l`` on the left and ``width - l`` on the
+right. A k1 with more than ``group_most`` classes is split further by the hash
+of each whole window, counted by an aggregation, so no task holds an unbounded
+group.
+
+Two rules tell what is covered: ``elsewhere`` (the window starts anywhere else
+too) and ``earlier`` (it also starts in a row with a smaller id).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import discard, keep, release
+from .wordhash import _BYTES, BASE_INV, U, mix, powers, row_blocks, text_bytes, word_blocks
+
+NO_ID = -(1 << 63)
+CHUNK = 1 << 19
+_POS = U((1 << 20) - 1)
+
+
+@dataclass(frozen=True)
+class Plan:
+    width: int
+    reach: int
+    gram: int
+    words: bool
+    earlier: bool
+
+    @property
+    def item(self) -> int:
+        """Bytes of an element in a shipped content."""
+        return 8 if self.words else 1
+
+
+def sequences(column: pa.Array, plan: Plan) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, elements, offsets by row) of blocks of texts."""
+    if plan.words:
+        for first, last, hashes, by_row, _, _ in word_blocks(column):
+            yield first, last, hashes, by_row
+        return
+    data, offsets = text_bytes(column)
+    for first, last in row_blocks(offsets):
+        yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+
+
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(values) + 1, U)
+    np.cumsum((_BYTES[values] if values.dtype == np.uint8 else values) * powers(len(values)), out=sums[1:])
+    return sums
+
+
+def runs_of(values: np.ndarray, offsets: np.ndarray, plan: Plan) -> tuple[np.ndarray, ...]:
+    """(row, start, further windows, trigger distance, k1, k2) of every run; starts count from the row's start."""
+    n, width, reach, gram = len(values), plan.width, plan.reach, plan.gram
+    none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, U),) * 2
+    fits = np.flatnonzero(np.diff(offsets) >= width)
+    if not len(fits):
+        return none
+    sums, back = prefix_sums(values), powers(n + 1, BASE_INV)
+    least = (mix((sums[gram:] - sums[:-gram]) * back[: n - gram + 1]) & ~_POS) | (_POS - np.arange(n - gram + 1, dtype=U))
+    span = 1
+    while 2 * span <= reach:
+        least = np.minimum(least[:-span], least[span:])
+        span *= 2
+    if span < reach:
+        least = np.minimum(least[: len(least) - (reach - span)], least[reach - span :])
+    marks = np.zeros(n + 1, np.int32)
+    marks[offsets[fits]] += 1
+    marks[offsets[fits + 1] - width + 1] -= 1
+    at = np.flatnonzero(np.cumsum(marks) > 0)
+    trigger = (_POS - (least[at] & _POS)).astype(np.int64)
+    new = np.ones(len(at), bool)
+    new[1:] = (trigger[1:] != trigger[:-1]) | (at[1:] != at[:-1] + 1)
+    s, t = at[new], trigger[new]
+    e = at[np.append(np.flatnonzero(new)[1:], len(at)) - 1]
+    k1 = mix((sums[t + width - reach + 1] - sums[t]) * back[t])
+    k2 = mix(mix((sums[e + width] - sums[s]) * back[s]) + U(0xD1342543DE82EF95) * (t - s).astype(U) + U(0xC2B2AE3D27D4EB4F) * (e - s).astype(U))
+    row = np.searchsorted(offsets, s, side="right") - 1
+    return row, s - offsets[row], e - s, t - s, k1, k2
+
+
+def chunked_runs(values: np.ndarray, offsets: np.ndarray, plan: Plan) -> Iterator[tuple[np.ndarray, ...]]:
+    """``runs_of`` for blocks of any length: a single long row is handled in chunks that overlap by a window."""
+    if len(values) <= CHUNK * 2 - plan.width:
+        yield runs_of(values, offsets, plan)
+        return
+    for r in range(len(offsets) - 1):
+        own = values[offsets[r] : offsets[r + 1]]
+        for at in range(0, max(1, len(own) - plan.width + 1), CHUNK):
+            part = own[at : at + CHUNK + plan.width - 1]
+            _, s, *rest = runs_of(part, np.array([0, len(part)]), plan)
+            yield np.full(len(s), r), s + at, *rest
+
+
+def pack(tag: np.ndarray, s: np.ndarray, more: np.ndarray, dist: np.ndarray) -> np.ndarray:
+    """tag (16 bits), start (32), further windows (8), trigger distance (8) in one long."""
+    return ((tag.astype(U) << U(48)) | (s.astype(U) << U(16)) | (more.astype(U) << U(8)) | dist.astype(U)).view(np.int64)
+
+
+def unpack(p: np.ndarray) -> tuple[np.ndarray, ...]:
+    p = p.view(U)
+    return tuple(x.astype(np.int64) for x in (p >> U(48), (p >> U(16)) & U(0xFFFFFFFF), (p >> U(8)) & U(0xFF), p & U(0xFF)))
+
+
+def _rows(plan: Plan):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, tags = b.column("id").to_numpy(), b.column("tag").to_numpy()
+            for first, _, values, offsets in sequences(b.column("text"), plan):
+                for row, s, more, dist, k1, k2 in chunked_runs(values, offsets, plan):
+                    yield pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(ids[row + first]), pa.array(pack(tags[row + first], s, more, dist))], names=["k1", "k2", "id", "p"])
+
+    return run
+
+
+def _contents(plan: Plan):
+    """One row per listed run: its key, place, weight and the elements that its windows cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, items = b.column("id").to_numpy(), b.column("items")
+            bounds = np.asarray(items.offsets)
+            flat = items.values
+            k1, p, n, classes = (np.asarray(flat.field(c)) for c in ("k1", "p", "n", "classes"))
+            _, s, more, _ = unpack(np.ascontiguousarray(p))
+            for first, last, values, offsets in sequences(b.column("text"), plan):
+                raw = values.astype(">u8").tobytes() if plan.words else values.tobytes()
+                lo, hi = bounds[first], bounds[last]
+                row = np.repeat(np.arange(first, last), np.diff(bounds[first : last + 1]))
+                a = (offsets[row - first] + s[lo:hi]) * plan.item
+                z = a + (more[lo:hi] + plan.width) * plan.item
+                parts = [raw[i:j] for i, j in zip(a.tolist(), z.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(k1[lo:hi]), pa.array(ids[row]), pa.array(p[lo:hi]), pa.array(n[lo:hi]), pa.array(classes[lo:hi]), pa.array(parts, pa.binary())], names=["k1", "id", "p", "n", "classes", "content"])
+
+    return run
+
+
+def neighbours(rows: list[bytes], group: np.ndarray, item: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted order by group and content, elements shared with the one before; -1 at a group's first)."""
+    order = np.array(sorted(range(len(rows)), key=lambda i: (group[i], rows[i])))
+    longest = max(map(len, rows)) // item
+    kind = np.dtype(">u8") if item == 8 else np.dtype(np.uint8)
+    table = np.frombuffer(b"".join(x.ljust(longest * item, b"\0") for x in rows), kind).reshape(len(rows), longest)[order] if longest else np.zeros((len(rows), 0), np.uint8)
+    shared = np.full(len(rows), -1, np.int64)
+    if len(rows) > 1:
+        differ = table[1:] != table[:-1]
+        shared[1:] = np.where(differ.any(1), differ.argmax(1), longest) if longest else 0
+        shared[1:][group[order[1:]] != group[order[:-1]]] = -1
+    return order, shared
+
+
+def compare(k1: np.ndarray, ids: np.ndarray, p: np.ndarray, n: np.ndarray, contents: list[bytes], plan: Plan) -> np.ndarray:
+    """Covered windows, a boolean by row and start within the run, of whole groups of equal k1 (sorted by k1)."""
+    size, item = len(k1), plan.item
+    group = np.concatenate([[0], np.cumsum(k1[1:] != k1[:-1])])
+    _, _, more, dist = unpack(np.ascontiguousarray(p))
+    right = [c[d * item :] for c, d in zip(contents, dist.tolist(), strict=True)]
+    if item == 1:
+        left = [c[:d][::-1] for c, d in zip(contents, dist.tolist(), strict=True)]
+    else:
+        left = [np.frombuffer(c, ">u8", d)[::-1].tobytes() for c, d in zip(contents, dist.tolist(), strict=True)]
+    order_r, shared_r = neighbours(right, group, item)
+    order_l, shared_l = neighbours(left, group, item)
+    covered = np.zeros((size, int(more.max()) + 1), bool)
+    class_l, class_r = np.empty(size, np.int64), np.empty(size, np.int64)
+    for depth in range(int((dist - more).min()), int(dist.max()) + 1):
+        own = np.flatnonzero((dist - more <= depth) & (depth <= dist))
+        if len(own) < 2:
+            continue
+        class_l[order_l] = np.cumsum(shared_l < depth)
+        class_r[order_r] = np.cumsum(shared_r < plan.width - depth)
+        _, same = np.unique(class_l[own] * (size + 1) + class_r[own], return_inverse=True)
+        if plan.earlier:
+            least = np.full(same.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, same, ids[own])
+            hit = ids[own] > least[same]
+        else:
+            hit = np.bincount(same, weights=n[own])[same] >= 2
+        hit = own[hit]
+        covered[hit, dist[hit] - depth] = True
+    return covered
+
+
+def spans_of(covered: np.ndarray, ids: np.ndarray, p: np.ndarray, width: int) -> pa.RecordBatch:
+    tag, s, _, _ = unpack(np.ascontiguousarray(p))
+    edge = np.diff(np.pad(covered, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, a = np.nonzero(edge == 1)
+    _, z = np.nonzero(edge == -1)
+    return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(tag[row]), pa.array(s[row] + a), pa.array(s[row] + z - 1 + width)], names=["id", "tag", "a", "z"])
+
+
+SPANS = "id long, tag long, a long, z long"
+
+
+def _compare_groups(plan: Plan, rows_at_once: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        count = 0
+
+        def solve(table: pa.Table) -> pa.RecordBatch:
+            k1, ids, p, n = (table.column(c).to_numpy() for c in ("k1", "id", "p", "n"))
+            return spans_of(compare(k1, ids, p, n, table.column("content").to_pylist(), plan), ids, p, plan.width)
+
+        for b in batches:
+            for at in range(0, b.num_rows, rows_at_once):
+                held.append(b.slice(at, rows_at_once))
+                count += held[-1].num_rows
+                if count >= rows_at_once:
+                    table = pa.Table.from_batches(held)
+                    k1 = table.column("k1").to_numpy()
+                    cut = int(np.searchsorted(k1, k1[-1], side="left"))
+                    if cut:
+                        yield solve(table.slice(0, cut))
+                        held = table.slice(cut).to_batches()
+                        count = len(k1) - cut
+        if count:
+            yield solve(pa.Table.from_batches(held))
+
+    return run
+
+
+def _each_window(plan: Plan):
+    """(window hash, id, tag, start, weight) of every window of the given runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k1, ids, p, n = (b.column(c).to_numpy() for c in ("k1", "id", "p", "n"))
+            tag, s, more, dist = unpack(np.ascontiguousarray(p))
+            out = []
+            for i, c in enumerate(b.column("content").to_pylist()):
+                values = np.frombuffer(c, ">u8").astype(U) if plan.words else np.frombuffer(c, np.uint8)
+                sums, k = prefix_sums(values), int(more[i]) + 1
+                h = mix((sums[plan.width : plan.width + k] - sums[:k]) * powers(k, BASE_INV))
+                out.append(mix(h + np.arange(k, dtype=U) - U(int(dist[i])) + k1[i].view(U)))
+            if out:
+                row = np.repeat(np.arange(len(out)), more + 1)
+                j = np.concatenate([np.arange(m + 1) for m in more.tolist()])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(ids[row]), pa.array(tag[row]), pa.array(s[row] + j), pa.array(n[row])], names=["w", "id", "tag", "a", "n"])
+
+    return run
+
+
+def covered_spans(base: DataFrame, plan: Plan, group_most: int = 5_000, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(id, tag, spans): for every row of ``base`` (id, tag, text) with covered elements, the array of covered stretches (a, z), unsorted and perhaps overlapping."""
+    spark = base.sparkSession
+
+    def modest(small: DataFrame) -> DataFrame:
+        return F.broadcast(small) if small.count() <= broadcast_rows else small
+
+    rows = base.mapInArrow(_rows(plan), "k1 long, k2 long, id long, p long")
+    repeated = keep(rows.select("k1").groupBy("k1").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("k1"), "repeated")
+    release(spark)
+    live = keep(rows.join(modest(repeated), "k1", "left_semi"), "live")
+    discard(repeated)
+    classes = keep(live.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "p")).alias("first")), "classes")
+    several = classes.groupBy("k1").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    ends = keep(classes.join(several, "k1").select("k1", "n", "classes", "first.id", "first.p"), "ends")
+    if plan.earlier:
+        whole = live.join(classes.select("k1", "k2", F.col("first.id").alias("least")), ["k1", "k2"]).filter("id > least")
+    else:
+        whole = live.join(classes.filter("n > 1").select("k1", "k2"), ["k1", "k2"], "left_semi")
+    tag, start = F.shiftrightunsigned("p", 48), F.shiftrightunsigned("p", 16).bitwiseAND(F.lit(0xFFFFFFFF))
+    whole = whole.select("id", tag.alias("tag"), start.alias("a"), (start + F.shiftrightunsigned("p", 8).bitwiseAND(F.lit(0xFF)) + plan.width).alias("z"))
+
+    lists = keep(ends.groupBy("id", tag.alias("tag")).agg(F.collect_list(F.struct("k1", "p", "n", "classes")).alias("items")), "lists")  # a document's own runs
+    owners = modest(lists.select("id").distinct())
+    some = base.join(owners, "id", "left_semi").dropDuplicates(["id", "tag"])
+    shape = "k1 long, id long, p long, n long, classes long, content binary"
+    contents = keep(some.join(lists, ["id", "tag"]).select("id", "text", "items").mapInArrow(_contents(plan), shape), "contents")
+    release(spark)
+    small = contents.filter(F.col("classes") <= group_most).repartition("k1").sortWithinPartitions("k1").mapInArrow(_compare_groups(plan, 4 * group_most), SPANS)
+    each = contents.filter(F.col("classes") > group_most).mapInArrow(_each_window(plan), "w long, id long, tag long, a long, n long")
+    if plan.earlier:
+        many = each.groupBy("w").agg(F.min("id").alias("least"))
+        large = each.join(many, "w").filter("id > least")
+    else:
+        many = each.groupBy("w").agg(F.sum("n").alias("all")).filter("all > 1").select("w")
+        large = each.join(many, "w", "left_semi")
+    large = large.select("id", "tag", "a", (F.col("a") + plan.width).alias("z"))
+    found = keep(whole.unionByName(small).unionByName(large).groupBy("id", "tag").agg(F.collect_list(F.struct("a", "z")).alias("spans")), "spans")
+    discard(live, classes, ends, lists, contents)
+    release(spark)
+    return found
+
+
+def based(docs: DataFrame) -> DataFrame:
+    """(_row, id, tag, text): id is the doc_id (null below all), tag tells rows of one doc_id with different texts apart."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    return docs.select(rest.alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFF)).alias("tag"), text.alias("text"))
+
+
+def merged(a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Disjoint maximal stretches (touching ones joined) of a row's spans."""
+    if not len(a):
+        return a, z
+    order = np.argsort(a, kind="stable")
+    a, z = a[order], np.maximum.accumulate(z[order])
+    new = np.ones(len(a), bool)
+    new[1:] = a[1:] > z[:-1]
+    return a[new], z[np.append(np.flatnonzero(new)[1:], len(a)) - 1]
+
+
+def remove(docs: DataFrame, plan: Plan, cut: Callable, fields: str, **options) -> DataFrame:
+    """Apply ``cut(text, starts, ends) -> tuple`` to every document; ``fields`` names what it returns. All other columns pass on in ``_row``.
+
+    Documents without a covered element never meet the join: they are told by
+    their ids (sent to the executors if they are few enough).
+    """
+    base = based(docs)
+    spans = covered_spans(base.select("id", "tag", "text"), plan, **options)
+    names = [f.strip().split(" ")[0] for f in fields.split(",")]
+    schema = T.StructType([base.schema["_row"], *T._parse_datatype_string(fields).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans_col = b.column("spans")
+            bounds, flat = np.asarray(spans_col.offsets), spans_col.values
+            a, z = np.asarray(flat.field("a")), np.asarray(flat.field("z"))
+            data, offsets = text_bytes(b.column("text"))
+            raw = memoryview(data)
+            out = []
+            for i in range(b.num_rows):
+                lo, hi = bounds[i], bounds[i + 1]
+                out.append(cut(bytes(raw[offsets[i] : offsets[i + 1]]), *merged(a[lo:hi], z[lo:hi])))
+            arrays = [pa.array(x, schema[k + 1].dataType.simpleString().replace("bigint", "int64")) for k, x in enumerate(zip(*out, strict=True))] if out else [pa.array([], schema[k + 1].dataType.simpleString().replace("bigint", "int64")) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([b.column("_row"), *arrays], names=["_row", *names])
+
+    none = F.array().cast("array<struct<a:bigint,z:bigint>>")
+    ids = keep(spans.select("id").distinct(), "owners")
+    if ids.count() <= options.get("broadcast_rows", 1_000_000):
+        with_spans = base.join(F.broadcast(ids), "id", "left_semi").join(spans, ["id", "tag"], "left")
+        without = base.join(F.broadcast(ids), "id", "left_anti").withColumn("spans", none)
+        both = with_spans.select("_row", "text", F.coalesce("spans", none).alias("spans")).unionByName(without.select("_row", "text", "spans"))
+    else:
+        both = base.join(spans, ["id", "tag"], "left").select("_row", "text", F.coalesce("spans", none).alias("spans"))
+    return both.mapInArrow(run, schema)
