@@ -30,42 +30,86 @@ from pyspark.sql import functions as F
 
 from .common import docs_of, keep
 from .tokencount import tokenizer
-from .wordhash import text_bytes
+from .wordhash import text_bytes, word_blocks
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+_PLAIN = b"!#$%&()*+,-./:;=?@[]^_`{|}~"
+
+
 class WordIds:
-    """Ids (packed little-endian unsigned 32-bit) of words, kept in two generations of bounded size."""
+    """Ids of words, by the 64-bit hash of the word with A-Z lower-cased (the vocabulary lower-cases all text).
+
+    The ids of known words stand one after another in one array; when ``most``
+    words are known all is forgotten and learnt anew.
+    """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         self.path, self.most = path, most
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.young) + len(words) > self.most:
-            self.old, self.young = self.young, {}
-        missing = []
-        for w in words:
-            if w in self.old:
-                self.young[w] = self.old[w]
+        self.ends = np.zeros(1 << 17, bool)
+        for token, i in tokenizer(path).get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[int, int] = {}
+        self.ids = np.empty(1 << 20, "<u4")
+        self.bounds = np.zeros(1 << 18, np.int64)
+        self.n = 0
+
+    def add(self, hashes: list[int], ids: np.ndarray, stops: np.ndarray) -> None:
+        """Learn words whose ids end at ``stops`` in ``ids``."""
+        base, k = int(self.bounds[self.n]), len(hashes)
+        while base + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while self.n + k + 1 > len(self.bounds):
+            self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
+        self.ids[base : base + len(ids)] = ids
+        self.bounds[self.n + 1 : self.n + k + 1] = base + stops
+        self.place.update(zip(hashes, range(self.n, self.n + k), strict=True))
+        self.n += k
+
+    def learn(self, hashes: list[int], words: list[bytes]) -> None:
+        """A run of letters ends in one word-end id, and so does plain punctuation after it: many such words are encoded as one text and told apart by these ids."""
+        encode = tokenizer(self.path).encode_batch_fast
+        simple: tuple[list, list, list] = ([], [], [])
+        other: tuple[list, list] = ([], [])
+        for h, w in zip(hashes, words, strict=True):
+            head = w.rstrip(_PLAIN)
+            if head.decode().isalpha():
+                for into, x in zip(simple, (h, w, 1 + (len(head) < len(w))), strict=True):
+                    into.append(x)
             else:
-                missing.append(w)
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            found = tokenizer(self.path).encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
-            for w, x in zip(part, found, strict=True):
-                self.young[w] = np.asarray(x.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        fresh: set[bytes] = set()
-        for w in words:
-            fresh.update(w)
-        self.learn({w for w in fresh if w not in self.young})
-        get = self.young.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+                other[0].append(h)
+                other[1].append(w)
+        for at in range(0, len(simple[0]), 4_000):
+            h, w, units = (x[at : at + 4_000] for x in simple)
+            ids = np.asarray(encode([b" ".join(w).decode()], add_special_tokens=False)[0].ids, "<u4")
+            stops, last = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(units)
+            if len(stops) == last[-1] and stops[-1] == len(ids):
+                self.add(h, ids, stops[last - 1])
+            else:
+                other[0].extend(h)
+                other[1].extend(w)
+        for at in range(0, len(other[0]), 10_000):
+            found = [x.ids for x in encode([w.decode() for w in other[1][at : at + 10_000]], add_special_tokens=False)]
+            self.add(other[0][at : at + 10_000], np.array([i for x in found for i in x], "<u4"), np.cumsum([len(x) for x in found]))
+
+    def encode(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in order, ids before each word and in all)."""
+        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if self.n + len(distinct) > self.most:
+            self.forget()
+        keys = distinct.tolist()
+        fresh = [j for j, h in enumerate(keys) if h not in self.place]
+        if fresh:
+            raw = data.tobytes()
+            self.learn([keys[j] for j in fresh], [raw[starts[i] : ends[i]] for i in first[fresh].tolist()])
+        at = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))
+        begin, size = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
+        before = np.concatenate([[0], np.cumsum(size[inverse])])
+        return self.ids[np.repeat(begin[inverse] - before[:-1], size[inverse]) + np.arange(before[-1])], before
 
 
 _ids: dict[str, WordIds] = {}
@@ -73,27 +117,19 @@ _ids: dict[str, WordIds] = {}
 
 def piece_rows(column: pa.Array, path: str, capacity: int, end_id: int) -> tuple[np.ndarray, ...]:
     """(row, piece, start, length, crc32) of every piece of a batch."""
-    ids = _ids.setdefault(path, WordIds(path))
+    known = _ids.setdefault(path, WordIds(path)) if path not in _ids else _ids[path]
     data, offsets = text_bytes(column)
-    raw, end, step = memoryview(data), np.array([end_id], "<u4").tobytes(), 4 * capacity
+    end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
     out: list[tuple[int, int, int, int, int]] = []
-    held: list[bytes] = []
-    first = size = 0
-
-    def flush() -> None:
-        for row, coded in enumerate(ids.encode(held), first):
-            coded += end
+    for first, last, hashes, by_row, starts, ends in word_blocks(column, lower=True, most=2 << 20):
+        ids, before = known.encode(data[offsets[first] : offsets[last]], hashes, starts, ends)
+        raw = memoryview(ids.astype("<u4").tobytes())
+        stops = (4 * before[by_row]).tolist()
+        for row, a, b in zip(range(first, last), stops[:-1], stops[1:], strict=True):
+            coded = bytes(raw[a:b]) + end
             for k, at in enumerate(range(0, len(coded), step)):
                 part = coded[at : at + step]
                 out.append((row, k, at // 4, len(part) // 4, zlib.crc32(part)))
-
-    for row in range(len(offsets) - 1):
-        held.append(bytes(raw[offsets[row] : offsets[row + 1]]))
-        size += len(held[-1])
-        if size >= 1 << 20:
-            flush()
-            held, first, size = [], row + 1, 0
-    flush()
     return tuple(np.array(x, np.int64) for x in (zip(*out, strict=True) if out else [[]] * 5))
 
 
