@@ -6,9 +6,10 @@
 2. Representatives get ``bands * rows`` MinHash values; equal bands make
    candidates. In each bucket candidates are compared with one hub (a star, one
    pair a member); after components are known, another hub of each bucket is
-   tried, and at the end all pairs of members that are still in different
-   components are compared. So no link between different texts is lost, and a
-   bucket whose members belong together costs a pair a member and round.
+   tried, and at the end members that are still in different components are
+   compared, in crowded buckets within a task and without a row a pair. So no
+   link between different texts is lost that a component needs, and a bucket
+   whose members belong together costs a pair a member and round.
 3. A candidate pair's signatures are compared in batches of 16. With a uniform
    prior the similarity's posterior after m matches of n is Beta(m+1, n-m+1);
    as soon as P(similarity >= threshold) is at most ``miss`` the pair is pruned.
@@ -155,14 +156,79 @@ def _verify(percent: int):
     return run
 
 
+def link_crowd(shape: tuple[np.ndarray, ...], signature: np.ndarray, values: np.ndarray, offsets: np.ndarray, least: list[int], percent: int, same_block: bool) -> list[tuple[int, int]]:
+    """Links between the components of one crowded bucket: each member outside the largest component is compared with all members of other components (Bayesian pruning on signatures, then the exact test), and one link to each component found is enough.
+
+    ``shape``: ids, set sizes, labels and blocks; unless ``same_block`` only members of different blocks meet.
+    """
+    ids, n, label, block = shape
+    kinds, label, count = np.unique(label, return_inverse=True, return_counts=True)
+    order = np.flatnonzero(label != count.argmax())
+    dense = np.unique(values, return_inverse=True)[1]
+    flag = np.zeros(dense.max() + 1 if len(dense) else 1, bool)
+    out = []
+    for x in order.tolist():
+        fits = (label != label[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
+        if not same_block:
+            fits &= block != block[x]
+        live = np.flatnonzero(fits)
+        same = np.zeros(len(live), np.int64)
+        for k, need in enumerate(least):
+            part = slice(k * BATCH, (k + 1) * BATCH)
+            same += (signature[live, part] == signature[x, part]).sum(1)
+            on = same >= need
+            live, same = live[on], same[on]
+            if not len(live):
+                break
+        if not len(live):
+            continue
+        own = dense[offsets[x] : offsets[x + 1]]
+        flag[own] = True
+        shared = np.array([np.count_nonzero(flag[dense[offsets[y] : offsets[y + 1]]]) for y in live.tolist()])
+        flag[own] = False
+        for y in live[100 * shared >= percent * (n[x] + n[live] - shared)].tolist():
+            if label[y] != label[x]:
+                out.append((int(ids[x]), int(ids[y])))
+                label[label == label[x]] = label[y]
+    return out
+
+
+def _crowds(least: list[int], percent: int):
+    def solve(rows: list[dict]) -> list[tuple[int, int]]:
+        col = lambda c: np.array([r[c] for r in rows])
+        sets = [np.frombuffer(r["shingles"], U) for r in rows]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        signature = np.frombuffer(b"".join(r["signature"] for r in rows), "<u4").reshape(len(rows), -1)
+        return link_crowd((col("rep"), col("n"), col("label"), col("block")), signature, np.concatenate(sets), offsets, least, percent, rows[0]["lo"] == rows[0]["hi"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        for b in batches:
+            found = []
+            for at in range(0, b.num_rows, 256):
+                for r in b.slice(at, 256).to_pylist():
+                    now = r["bucket"], r["lo"], r["hi"]
+                    if now != key and rows:
+                        found += solve(rows)
+                        rows = []
+                    key = now
+                    rows.append(r)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+        if rows and (found := solve(rows)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+
+    return run
+
+
 class NearDuplicates:
     """One run: classes, representatives, buckets, and the links found so far."""
 
-    def __init__(self, docs: DataFrame, words: int, threshold: float, bands: int, rows: int, miss: float, hub_rounds: int, pair_rounds_at: int, broadcast_ids: int):
+    def __init__(self, docs: DataFrame, words: int, threshold: float, bands: int, rows: int, miss: float, hub_rounds: int, crowd_at: int, crowd_shingles: int, broadcast_ids: int):
         self.docs, self.spark = docs_of(docs).filter("doc_id is not null"), docs.sparkSession
         self.words, self.percent, self.bands, self.rows = words, round(100 * threshold), bands, rows
         self.least = least_matches(bands * rows // BATCH * BATCH, threshold, miss)
-        self.hub_rounds, self.pair_rounds_at, self.broadcast_ids = hub_rounds, pair_rounds_at, broadcast_ids
+        self.hub_rounds, self.crowd_at, self.crowd_shingles, self.broadcast_ids = hub_rounds, crowd_at, crowd_shingles, broadcast_ids
 
     def classes(self) -> None:
         staged = keep(self.docs.mapInArrow(_stage(self.words, self.bands * self.rows), STAGED), "signatures")
@@ -209,6 +275,26 @@ class NearDuplicates:
         y = rows.select("bucket", F.explode(F.array(step - 1, step, step + 1)).alias("step"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
         return self.sized(x.join(y, ["bucket", "step"]).filter("a < b and la <> lb"))
 
+    def sets_of(self, ids: DataFrame) -> DataFrame:
+        """(rep, shingles) of the given doc_ids, from their texts."""
+        ids = keep(ids.distinct(), "ids")
+        wanted = F.broadcast(ids) if ids.count() <= self.broadcast_ids else ids  # 8 bytes an id
+        out = keep(self.docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(self.words), "rep long, shingles binary").dropDuplicates(["rep"]), "sets")
+        discard(ids)
+        return out
+
+    def crowds(self, rows: DataFrame) -> DataFrame:
+        """Links between components within crowded buckets, found inside a task. A bucket with more than ``crowd_shingles`` shingles is dealt to blocks, and each pair of blocks is one group, so memory is bounded; no pair is emitted but links."""
+        sets = self.sets_of(rows.select(F.col("rep").alias("doc_id")))
+        blocks = F.greatest(F.ceil(F.col("all") / self.crowd_shingles), F.lit(1)).cast("int")
+        dealt = rows.withColumn("block", F.pmod(F.xxhash64("rep"), blocks.cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        dealt = dealt.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "rep", "n", "label", "block")
+        full = dealt.join(self.reps.select("rep", "signature"), "rep").join(sets, "rep")
+        found = keep(full.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(_crowds(self.least, self.percent), "a long, b long").distinct(), "crowds")
+        discard(sets)
+        release(self.spark)
+        return found
+
     def verify(self, pairs: DataFrame) -> DataFrame:
         """Links among candidate pairs: Bayesian pruning on signatures, then the exact test on full sets."""
         pairs = keep(pairs, "pairs")
@@ -216,13 +302,11 @@ class NearDuplicates:
         a = pairs.join(sig.withColumnRenamed("rep", "a").withColumnRenamed("signature", "sa"), "a")
         both = a.join(sig.withColumnRenamed("rep", "b").withColumnRenamed("signature", "sb"), "b")
         likely = keep(both.select("a", "b", "sa", "sb").mapInArrow(_prune(self.least), "a long, b long"), "likely")
-        ids = keep(likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-        wanted = F.broadcast(ids) if ids.count() <= self.broadcast_ids else ids  # 8 bytes an id
-        sets = keep(self.docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(self.words), "rep long, shingles binary").dropDuplicates(["rep"]), "sets")
+        sets = self.sets_of(likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))))
         pa_ = likely.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("xa")), "a")
         full = pa_.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("xb")), "b")
         found = keep(full.select("a", "b", "xa", "xb").mapInArrow(_verify(self.percent), "a long, b long"), "found")
-        discard(pairs, likely, ids, sets)
+        discard(pairs, likely, sets)
         release(self.spark)
         return found
 
@@ -233,36 +317,38 @@ class NearDuplicates:
         labels: DataFrame | None = None
         for turn in range(self.hub_rounds + 1):
             rows = self.open_buckets(labels)
-            n, worst = rows.count(), None
-            if n:
-                sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-                worst = sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]
-            last = turn == self.hub_rounds or not n or worst <= self.pair_rounds_at * n
-            if n:
-                found.append(self.verify(self.rest(rows) if last else self.star(rows, turn)))
+            n = rows.count()
+            if n and turn < self.hub_rounds:
+                found.append(self.verify(self.star(rows, turn)))
+            elif n:
+                sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("all"))
+                sized = keep(rows.join(sizes, "bucket"), "sized")
+                found.append(self.verify(self.rest(sized.filter(F.col("members") < self.crowd_at))))
+                crowded = sized.filter(F.col("members") >= self.crowd_at)
+                if not crowded.isEmpty():
+                    found.append(self.crowds(crowded))
+                discard(sized)
             discard(rows)
-            if not found:
+            if not n or not found:
                 break
             all_links = found[0]
             for more in found[1:]:
                 all_links = all_links.unionByName(more)
             labels = keep(components(all_links), "labels")
-            if last:
-                break
         own = self.members
         if labels is not None:
             own = own.join(labels, F.col("rep") == F.col("node"), "left").withColumn("rep", F.coalesce("component", "rep"))
         return own.select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 6, miss: float = 0.001, hub_rounds: int = 3, pair_rounds_at: int = 4, broadcast_ids: int = 1_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 6, miss: float = 0.001, hub_rounds: int = 2, crowd_at: int = 64, crowd_shingles: int = 2_000_000, broadcast_ids: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links of at least ``threshold``), kept.
 
-    ``miss`` is the posterior probability at which a pair is pruned; ``hub_rounds``
-    star rounds come before the comparison of all pairs still apart, fewer if open
-    buckets hold at most ``pair_rounds_at`` pairs a row.
+    ``miss`` is the posterior probability at which a pair is pruned; after
+    ``hub_rounds`` star rounds the members still apart are compared: as pairs in
+    buckets of fewer than ``crowd_at`` members, inside tasks in others.
     """
-    found = NearDuplicates(docs, words, threshold, bands, rows, miss, hub_rounds, pair_rounds_at, broadcast_ids).run()
+    found = NearDuplicates(docs, words, threshold, bands, rows, miss, hub_rounds, crowd_at, crowd_shingles, broadcast_ids).run()
     nameless = docs_of(docs).filter("doc_id is null").mapInArrow(_stage(words, 16), STAGED).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
     return found.unionByName(nameless).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

@@ -50,9 +50,10 @@ def test_one_large_group_of_near_copies_with_unlike_members(spark):
         rows.append((i, " ".join(w)))
     rows += [(i, " ".join(base)) for i in range(150, 260)] + [(300, None), (301, ""), (302, "w")]
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(d, words=2).collect()}
     want = brute([i for i, _ in rows], [t for _, t in rows], 2)
-    assert sum(got[i] != want[i] for i in want) <= 1
+    for options in ({}, {"crowd_at": 4, "hub_rounds": 1}, {"crowd_at": 4, "hub_rounds": 0, "crowd_shingles": 700}, {"crowd_at": 10**6, "hub_rounds": 0, "broadcast_ids": 0}):
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(d, words=2, **options).collect()}
+        assert sum(got[i] != want[i] for i in want) <= 1
 
 
 def test_nulls_repeats_and_empty(spark, no_docs):
