@@ -12,10 +12,12 @@ from ..operators import audit
 from ..operators import determine as D
 from ..operators import filings as B
 from ..operators import merge as M
+from ..operators import runs as R
 from ..operators import views as V
-from ..session import FirmSession
+from ..session import SHARED, FirmSession
+from ..sources import export, writer
 from ..sources.testdata import table
-from .book import BATCH_SIZE, BOOK_SQL, NOW_US, RULES, Book
+from .book import BATCH_SIZE, BOOK_SQL, NOW_US, RULES, Book, digit
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,8 +25,13 @@ HOUR, LIMIT = 3_600_000_000, 2
 SCOPE = "o_tax_year BETWEEN 1996 AND 1998"
 
 
+def _dates_as_text(df: DataFrame) -> DataFrame:
+    """Dates as ISO text, which every engine compares alike."""
+    return df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "date"})
+
+
 def add(name: str, make: Callable[[Book], DataFrame], sql: str | None = None, book: bool = True) -> None:
-    QUERIES[name] = lambda spark, sf_dir: make(Book(spark, sf_dir))
+    QUERIES[name] = lambda spark, sf_dir: _dates_as_text(make(Book(spark, sf_dir)))
     if sql:
         ORACLES[name] = (BOOK_SQL if book else "") + sql
 
@@ -40,7 +47,7 @@ def fixture(name: str, schema: str, rows: list[tuple], make: Callable[[DataFrame
 DECIDED = ["firm_id", "client_id", "vendor_key", "display_name", "tin_status", "identity_source", "gross_cents", "card_excluded_cents", "reversal_cents", "non_services_cents", "out_of_year_cents", "reportable_cents", "withholding_cents", "counted_count", "total_count", "form_required", "requirement_reason", "transmit_blocked"]
 add("flagship_vendor_decisions", lambda b: b.decided.select(*DECIDED), f"SELECT {', '.join(DECIDED)} FROM decided")
 add("flt1_live_rows", lambda b: b.live.groupBy("firm_id").agg(F.count(F.lit(1)).alias("n"), F.sum("amount_cents").alias("cents")), "SELECT firm_id, count(*) AS n, CAST(sum(amount_cents) AS BIGINT) AS cents FROM live GROUP BY firm_id")
-add("src9_ledger_scan", lambda b: b.ledger.select("firm_id", "client_id", "line_id", "source_system", "payment_date", "tax_year", "amount_cents", "method", "deleted"), "SELECT firm_id, client_id, line_id, source_system, payment_date, tax_year, amount_cents, method, deleted FROM ledger")
+add("src9_ledger_scan", lambda b: b.ledger.select("firm_id", "client_id", "line_id", "source_system", "payment_date", "tax_year", "amount_cents", "method", "deleted"), "SELECT firm_id, client_id, line_id, source_system, CAST(payment_date AS VARCHAR) AS payment_date, tax_year, amount_cents, method, deleted FROM ledger")
 add("prj1_disposition", lambda b: b.classified.select("line_id", "disposition", "counted_cents"), "SELECT line_id, disposition, counted_cents FROM classified")
 add("prj2_counted_cents", lambda b: b.classified.groupBy("disposition").agg(F.count(F.lit(1)).alias("n"), F.sum("counted_cents").alias("cents")), "SELECT disposition, count(*) AS n, CAST(sum(counted_cents) AS BIGINT) AS cents FROM classified GROUP BY disposition")
 add("prj3_vendor_key", lambda b: b.classified.select("line_id", "vendor_key"), "SELECT line_id, vendor_key FROM classified")
@@ -85,7 +92,7 @@ add("dml1_idempotent_merge", lambda b: _changes(b).select("firm_id", "client_id"
 add("dml1_change_counts", lambda b: M.change_counts(_changes(b)), "SELECT change, count(*) AS n FROM changes GROUP BY change")
 add("dml1_new_snapshot", lambda b: M.merged(_changes(b), SNAP), """SELECT firm_id, client_id, source_system, source_txn_id, CASE WHEN n_row_hash IS NOT NULL THEN n_tax_year ELSE o_tax_year END AS tax_year, CASE WHEN n_row_hash IS NOT NULL THEN n_amount_cents ELSE o_amount_cents END AS amount_cents,
  CASE WHEN n_row_hash IS NOT NULL THEN n_name_norm ELSE o_name_norm END AS name_norm, coalesce(n_row_hash, o_row_hash) AS row_hash, CASE change WHEN 'tombstoned' THEN true WHEN 'untouched' THEN o_deleted ELSE false END AS deleted FROM changes""")
-add("dml2_keep_last", lambda b: M.keep_last(b.ledger.select("firm_id", "client_id", "suppkey", "payment_date", "line_id", "amount_cents"), ["firm_id", "client_id", "suppkey"], [F.col("payment_date"), F.col("line_id")]), "SELECT firm_id, client_id, suppkey, payment_date, line_id, amount_cents FROM ledger QUALIFY row_number() OVER (PARTITION BY firm_id, client_id, suppkey ORDER BY payment_date DESC, line_id DESC) = 1")
+add("dml2_keep_last", lambda b: M.keep_last(b.ledger.select("firm_id", "client_id", "suppkey", "payment_date", "line_id", "amount_cents"), ["firm_id", "client_id", "suppkey"], [F.col("payment_date"), F.col("line_id")]), "SELECT firm_id, client_id, suppkey, CAST(payment_date AS VARCHAR) AS payment_date, line_id, amount_cents FROM ledger l QUALIFY row_number() OVER (PARTITION BY firm_id, client_id, suppkey ORDER BY l.payment_date DESC, line_id DESC) = 1")
 
 
 def _vendor_upsert(b: Book) -> DataFrame:
@@ -99,7 +106,7 @@ v_old AS (SELECT * FROM keyed WHERE tax_year <= 1996 QUALIFY row_number() OVER (
 v_new AS (SELECT * FROM keyed WHERE tax_year >= 1997 QUALIFY row_number() OVER (PARTITION BY firm_id, client_id, natural_key ORDER BY tin_bidx IS NULL, payment_date DESC, line_id) = 1)
 """
 add("dml3_vendor_upsert", _vendor_upsert, VENDOR_SQL + "SELECT coalesce(n.firm_id, o.firm_id) AS firm_id, coalesce(n.client_id, o.client_id) AS client_id, coalesce(n.natural_key, o.natural_key) AS natural_key, coalesce(n.tin_last4, o.tin_last4) AS tin_last4, CASE WHEN n.natural_key IS NOT NULL THEN n.name_raw ELSE o.name_raw END AS name_raw, CASE WHEN n.natural_key IS NOT NULL THEN n.tin_status ELSE o.tin_status END AS tin_status FROM v_old o FULL OUTER JOIN v_new n ON o.firm_id = n.firm_id AND o.client_id = n.client_id AND o.natural_key = n.natural_key")
-add("ag19_distinct_on_vendor", lambda b: M.vendors(b.live).select("firm_id", "client_id", "natural_key", "name_raw", "tin_last4", "payment_date"), VENDOR_SQL + "SELECT firm_id, client_id, natural_key, name_raw, tin_last4, payment_date FROM keyed QUALIFY row_number() OVER (PARTITION BY firm_id, client_id, natural_key ORDER BY tin_bidx IS NULL, payment_date DESC, line_id) = 1")
+add("ag19_distinct_on_vendor", lambda b: M.vendors(b.live).select("firm_id", "client_id", "natural_key", "name_raw", "tin_last4", "payment_date"), VENDOR_SQL + "SELECT firm_id, client_id, natural_key, name_raw, tin_last4, CAST(payment_date AS VARCHAR) AS payment_date FROM keyed k QUALIFY row_number() OVER (PARTITION BY firm_id, client_id, natural_key ORDER BY tin_bidx IS NULL, k.payment_date DESC, line_id) = 1")
 add("dml4_client_upsert", lambda b: M.upsert_coalesce(table(b.spark, b.sf_dir, "customer").filter("c_custkey % 3 <> 0").select("c_custkey", "c_name", F.col("c_mktsegment").alias("segment")), table(b.spark, b.sf_dir, "customer").filter("c_custkey % 3 <> 1").select("c_custkey", F.lower("c_name").alias("c_name"), F.lit(None).cast("string").alias("segment")), ["c_custkey"], ["segment"], ["c_name"]),
     "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS segment, CASE WHEN c_custkey % 3 <> 1 THEN lower(c_name) ELSE c_name END AS c_name FROM customer", book=False)
 add("dml5_jn17_tombstones", lambda b: _changes(b).filter("change = 'tombstoned'").select("firm_id", "client_id", "source_txn_id"), "SELECT o.firm_id, o.client_id, o.source_txn_id FROM old_snapshot o WHERE NOT deleted AND tax_year BETWEEN 1996 AND 1998 AND NOT EXISTS (SELECT 1 FROM new_source n WHERE n.firm_id = o.firm_id AND n.client_id = o.client_id AND n.source_system = o.source_system AND n.source_txn_id = o.source_txn_id)")
@@ -239,7 +246,7 @@ add("ag12_open_by_type", lambda b: V.open_by_type(b.attention), "SELECT severity
 add("ag17_outstanding_work", lambda b: V.outstanding(b.work), "SELECT state, count(*) AS n, CAST(sum(filing_count) AS BIGINT) AS filings, count(*) FILTER (WHERE needs_reconcile) AS to_reconcile, min(next_action_us) AS next_action_us FROM work GROUP BY state")
 add("ag16_ag18_distinct_and_scalars", lambda b: b.live.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("client_id").alias("clients"), F.count_distinct("tin_bidx").alias("tins")), "SELECT count(*) AS n, count(DISTINCT client_id) AS clients, count(DISTINCT tin_bidx) AS tins FROM live")
 add("jn11_sl6_client_detail", lambda b: b.decided.filter("client_id = 3").join(b.filings.select("client_id", "vendor_key", "tax_year", "filing_id", F.col("state").alias("filing_state")), ["client_id", "vendor_key", "tax_year"], "left").orderBy(F.col("reportable_cents").desc(), "vendor_key").select("vendor_key", "display_name", "reportable_cents", "filing_id", "filing_state"), "SELECT d.vendor_key, d.display_name, d.reportable_cents, f.filing_id, f.state AS filing_state FROM decided d LEFT JOIN filings f ON f.client_id = d.client_id AND f.vendor_key = d.vendor_key AND f.tax_year = d.tax_year WHERE d.client_id = 3")
-add("sl6_payment_evidence", lambda b: b.classified.filter("client_id = 3").orderBy("vendor_key", "payment_date", "line_id").select("vendor_key", "payment_date", "line_id", "amount_cents", "disposition", F.col("disposition").startswith("COUNTED").alias("counted")), "SELECT vendor_key, payment_date, line_id, amount_cents, disposition, disposition LIKE 'COUNTED%' AS counted FROM classified WHERE client_id = 3")
+add("sl6_payment_evidence", lambda b: b.classified.filter("client_id = 3").orderBy("vendor_key", "payment_date", "line_id").select("vendor_key", "payment_date", "line_id", "amount_cents", "disposition", F.col("disposition").startswith("COUNTED").alias("counted")), "SELECT vendor_key, CAST(payment_date AS VARCHAR) AS payment_date, line_id, amount_cents, disposition, disposition LIKE 'COUNTED%' AS counted FROM classified WHERE client_id = 3")
 add("sl5_batches_planner_list", lambda b: b.work.orderBy("firm_id", "client_id", "batch_id").select("firm_id", "client_id", "batch_id", "state"), "SELECT firm_id, client_id, batch_id, state FROM work")
 add("flt5_flt10_point_and_list_lookups", lambda b: b.filings.filter(F.col("client_id").isin(1, 5, 9) & F.col("state").isin("ACCEPTED", "REJECTED")).select("filing_id", "state"), "SELECT filing_id, state FROM filings WHERE client_id IN (1, 5, 9) AND state IN ('ACCEPTED', 'REJECTED')")
 add("flt6_is_distinct_from", lambda b: _changes(b).filter(~F.col("o_row_hash").eqNullSafe(F.col("n_row_hash"))).select("source_txn_id"), "SELECT source_txn_id FROM changes WHERE o_row_hash IS DISTINCT FROM n_row_hash")
@@ -288,7 +295,7 @@ add("str6_masked_documents", lambda b: table(b.spark, b.sf_dir, "documents").sel
 fixture("dt1_dt2_dates", "raw string, dialect string", [("03/04/2025", "QUICKBOOKS"), ("3/4/2025", "QUICKBOOKS"), ("31/02/2025", "QUICKBOOKS"), ("2025/03/04", "XERO"), ("2025-13-45", "XERO"), ("4-Mar-25", "SPREADSHEET"), ("3/4/25", "SPREADSHEET"), ("45720", "SPREADSHEET"), ("99999", "SPREADSHEET"), ("2025-03-04", "CANONICAL"), ("TBD", "CANONICAL"), (None, "CANONICAL")],
     lambda d: d.select("raw", "dialect", F.coalesce(*[F.when(F.col("dialect") == x, S.parse_date(F.col("raw"), x)) for x in S.DATE_FORMATS]).cast("string").alias("day")),
     "SELECT * FROM (VALUES ('03/04/2025', 'QUICKBOOKS', '2025-03-04'), ('3/4/2025', 'QUICKBOOKS', '2025-03-04'), ('31/02/2025', 'QUICKBOOKS', NULL), ('2025/03/04', 'XERO', '2025-03-04'), ('2025-13-45', 'XERO', NULL), ('4-Mar-25', 'SPREADSHEET', '2025-03-04'), ('3/4/25', 'SPREADSHEET', '2025-03-04'), ('45720', 'SPREADSHEET', '2025-03-04'), ('99999', 'SPREADSHEET', NULL), ('2025-03-04', 'CANONICAL', '2025-03-04'), ('TBD', 'CANONICAL', NULL), (NULL, 'CANONICAL', NULL)) v(raw, dialect, day)")
-add("dt3_dt4_deadlines", lambda b: b.live.select("tax_year").distinct().select("tax_year", S.filing_deadline(F.col("tax_year")).alias("deadline")), "SELECT DISTINCT tax_year, CAST(d + CASE dayofweek(d) WHEN 6 THEN 2 WHEN 0 THEN 1 ELSE 0 END * INTERVAL 1 DAY AS DATE) AS deadline FROM (SELECT tax_year, make_date(tax_year + 1, 1, 31) AS d FROM live) x")
+add("dt3_dt4_deadlines", lambda b: b.live.select("tax_year").distinct().select("tax_year", S.filing_deadline(F.col("tax_year")).alias("deadline")), "SELECT DISTINCT tax_year, CAST(CAST(d + CASE dayofweek(d) WHEN 6 THEN 2 WHEN 0 THEN 1 ELSE 0 END * INTERVAL 1 DAY AS DATE) AS VARCHAR) AS deadline FROM (SELECT tax_year, make_date(tax_year + 1, 1, 31) AS d FROM live) x")
 fixture("num1_num2_amounts", "raw string", [("$1,234.56",), ("($1,234.56)",), ("USD 10",), ("−5.00",), ("12.345",), ("--500.00",), ("1,2,3.4",), ("$$100",), ("twelve dollars",), ("",), (None,)],
     lambda d: d.select("raw", S.exact_cents(S.parse_amount(F.col("raw"))).alias("cents"), S.parse_amount(F.col("raw")).isNull().alias("unparseable")),
     "SELECT raw, CAST(cents AS BIGINT) AS cents, unparseable FROM (VALUES ('$1,234.56', 123456, false), ('($1,234.56)', -123456, false), ('USD 10', 1000, false), ('−5.00', -500, false), ('12.345', NULL, false), ('--500.00', NULL, true), ('1,2,3.4', 12340, false), ('$$100', 10000, false), ('twelve dollars', NULL, true), ('', NULL, true), (NULL, NULL, true)) v(raw, cents, unparseable)")
@@ -303,3 +310,52 @@ fixture("hsh5_encryption_round_trip", "digits string, aad string", [("123456789"
     lambda d: d.withColumn("sealed", S.encrypt_tin(F.col("digits"), F.lit(b"0" * 32), F.col("aad"))).select("digits", S.decrypt_tin(F.col("sealed"), F.lit(b"0" * 32), F.col("aad")).alias("opened"), S.decrypt_tin(F.col("sealed"), F.lit(b"0" * 32), F.lit("other")).alias("wrong_aad")),
     "SELECT * FROM (VALUES ('123456789', '123456789', NULL::VARCHAR), ('000112222', '000112222', NULL)) v(digits, opened, wrong_aad)")
 add("hsh11_failure_roll", lambda b: b.filings.select("filing_id", (F.floor(S.hash_fraction(F.lit("seed"), F.col("filing_id"), F.lit(1)) * 1000)).cast("long").alias("roll")), "SELECT filing_id, CAST(floor(CAST('0x' || substr(sha256('seed|' || filing_id || '|1'), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0 * 1000) AS BIGINT) AS roll FROM filings")
+
+# -- exports ------------------------------------------------------------------
+
+
+def _import(b: Book) -> tuple[DataFrame, DataFrame]:
+    """(judged records, payments) of the whole ledger, written as an export of three systems with planted defects and read back."""
+    d, e = digit("line_id", 1), digit("line_id", 2)
+    kind = F.when(d == 0, F.when(e == 0, "amount").when(e == 1, "date").when(e == 2, "client").when(e == 3, "subcent").when(e == 4, "noclient"))
+    where = writer.scratch(b.spark, "export")
+    writer.write_export(b.ledger.withColumn("defect", kind), where, RULES.tax_year, list(range(1992, 2003)))
+    m = export.read_manifest(b.spark, where)
+    clients = export.read_clients(b.spark, where)
+    raw = None
+    for name, system in m.files:
+        part = export.read_payments(b.spark, f"{where}/{name}", system)
+        raw = part if raw is None else raw.unionByName(part)
+    judged = export.judge(raw, clients)
+    return judged, export.normalize(judged, 1, b"key")
+
+
+DEFECT_SQL = """, spoiled AS (SELECT *, strpos('0123456789abcdef', substr(md5(line_id), 1, 1)) - 1 AS d, strpos('0123456789abcdef', substr(md5(line_id), 2, 1)) - 1 AS e FROM ledger)
+"""
+IMPORTED = ["source_system", "client_id", "tax_year", "method", "entry_type", "expense_class", "tin_status"]
+add("src1_src9_import_round_trip", lambda b: _import(b)[1].groupBy(*IMPORTED).agg(F.count(F.lit(1)).alias("n"), F.sum("amount_cents").alias("cents"), F.count_distinct("name_norm").alias("names"), F.min("payment_date").alias("first_day"), F.max("payment_date").alias("last_day")),
+    DEFECT_SQL + """, i AS (SELECT source_system, 'C-' || client_id AS client_id, tax_year, method, CASE WHEN entry_type = 'VOID' AND source_system <> 'SPREADSHEET' THEN 'VOID' WHEN amount_cents < 0 THEN 'REVERSAL' ELSE 'PAYMENT' END AS entry_type, expense_class, tin_status, amount_cents, name_norm, payment_date FROM spoiled WHERE NOT (d = 0 AND e <= 4))
+SELECT source_system, client_id, tax_year, method, entry_type, expense_class, tin_status, count(*) AS n, CAST(sum(amount_cents) AS BIGINT) AS cents, count(DISTINCT name_norm) AS names, CAST(min(payment_date) AS VARCHAR) AS first_day, CAST(max(payment_date) AS VARCHAR) AS last_day FROM i GROUP BY ALL""")
+add("flt2_snk3_rejections", lambda b: export.rejections(_import(b)[0], 1).groupBy(F.regexp_replace("file_name", r"\.csv$", "").alias("file_name"), "reason_code").agg(F.count(F.lit(1)).alias("n")),
+    DEFECT_SQL + "SELECT 'payments-' || lower(source_system) AS file_name, CASE e WHEN 0 THEN 'UNPARSEABLE_AMOUNT' WHEN 1 THEN 'UNPARSEABLE_DATE' WHEN 2 THEN 'UNKNOWN_CLIENT_REF' WHEN 3 THEN 'SUB_CENT_AMOUNT' ELSE 'MISSING_CLIENT_REF' END AS reason_code, count(*) AS n FROM spoiled WHERE d = 0 AND e <= 4 GROUP BY ALL")
+
+
+def _guard(b: Book) -> DataFrame:
+    n, bad = export.guard(_import(b)[0])
+    return b.spark.createDataFrame([(n, bad)], "rows_read long, rows_rejected long")
+
+
+add("flt3_rejection_guard", _guard, DEFECT_SQL + "SELECT count(*) AS rows_read, count(*) FILTER (WHERE d = 0 AND e <= 4) AS rows_rejected FROM spoiled")
+add("sec3_flt11_unguarded_tables", lambda b: b.spark.createDataFrame(R.catalog({"ledger": lambda: b.ledger, "filings": lambda: b.filings, "reason_code": lambda: b.spark.createDataFrame(REASONS, "code string, human_text string")}, SHARED), "table_name string, has_firm boolean, is_shared boolean"),
+    "SELECT * FROM (VALUES ('filings', true, false), ('ledger', true, false), ('reason_code', false, true)) v(table_name, has_firm, is_shared)", book=False)
+add("snk7_run_header", lambda b: R.run_header(b.spark, 1, "COMPLETED", {"read": b.ledger.count(), "live": b.live.count()}, {}), """SELECT 1 AS run_id, 'COMPLETED' AS state, '{"live": ' || (SELECT count(*) FROM live) || ', "read": ' || (SELECT count(*) FROM ledger) || '}' AS counters, '{}' AS phases_ms""")
+add("dml17_endpoint_books", lambda b: R.book_filings(R.book_submissions(b.work.filter("state <> 'SEALED'").select(F.col("batch_id").alias("idempotency_key"), F.lit("old").alias("source")), b.work.select(F.col("batch_id").alias("idempotency_key"), F.lit("new").alias("source"))), b.recorded.select(F.col("filing_id").alias("idempotency_key"), F.lit("filing").alias("source"))),
+    "SELECT batch_id AS idempotency_key, CASE WHEN state <> 'SEALED' THEN 'old' ELSE 'new' END AS source FROM work UNION ALL SELECT filing_id, 'filing' FROM recorded")
+
+
+def _cleared(b: Book) -> DataFrame:
+    marks = M.dirty_units(_changes(b)).withColumn("marked_at", F.col("client_id") % 4)
+    return R.clear_dirty(marks, marks.filter(F.col("tax_year") == RULES.tax_year).select("firm_id", "client_id", "tax_year", F.lit(1).alias("watermark")))
+
+
+add("dml19_watermark_clear", _cleared, ", marks AS (SELECT DISTINCT firm_id, client_id, tax_year FROM (SELECT firm_id, client_id, o_tax_year AS tax_year FROM changes WHERE change NOT IN ('unchanged', 'untouched') UNION SELECT firm_id, client_id, n_tax_year FROM changes WHERE change NOT IN ('unchanged', 'untouched')) x WHERE tax_year IS NOT NULL) SELECT firm_id, client_id, tax_year, client_id % 4 AS marked_at FROM marks WHERE NOT (tax_year = 1998 AND client_id % 4 <= 1)")
