@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import docs_of, keep
 from .tokencount import tokenizer
-from .wordhash import text_bytes, word_blocks
+from .wordhash import U, text_bytes, word_blocks
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -53,12 +53,12 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[int, int] = {}
-        self.ids = np.empty(1 << 20, "<u4")
-        self.bounds = np.zeros(1 << 18, np.int64)
+        self.keys, self.place = np.zeros(0, U), np.zeros(0, np.int32)  # sorted hashes, and the number of each one's word
+        self.ids = np.empty(1 << 18, "<u4")
+        self.bounds = np.zeros(1 << 16, np.int64)
         self.n = 0
 
-    def add(self, hashes: list[int], ids: np.ndarray, stops: np.ndarray) -> None:
+    def add(self, hashes: np.ndarray, ids: np.ndarray, stops: np.ndarray) -> None:
         """Learn words whose ids end at ``stops`` in ``ids``."""
         base, k = int(self.bounds[self.n]), len(hashes)
         while base + len(ids) > len(self.ids):
@@ -67,46 +67,53 @@ class WordIds:
             self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
         self.ids[base : base + len(ids)] = ids
         self.bounds[self.n + 1 : self.n + k + 1] = base + stops
-        self.place.update(zip(hashes, range(self.n, self.n + k), strict=True))
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.keys, hashes[order])
+        self.keys, self.place = np.insert(self.keys, at, hashes[order]), np.insert(self.place, at, self.n + order)
         self.n += k
 
-    def learn(self, hashes: list[int], words: list[bytes]) -> None:
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 if it is new."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, self.place[at], -1)
+
+    def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
         """A run of letters ends in one word-end id, and so does plain punctuation after it: many such words are encoded as one text and told apart by these ids."""
         encode = tokenizer(self.path).encode_batch_fast
-        simple: tuple[list, list, list] = ([], [], [])
-        other: tuple[list, list] = ([], [])
-        for h, w in zip(hashes, words, strict=True):
-            head = w.rstrip(_PLAIN)
-            if head.decode().isalpha():
-                for into, x in zip(simple, (h, w, 1 + (len(head) < len(w))), strict=True):
-                    into.append(x)
-            else:
-                other[0].append(h)
-                other[1].append(w)
-        for at in range(0, len(simple[0]), 4_000):
-            h, w, units = (x[at : at + 4_000] for x in simple)
-            ids = np.asarray(encode([b" ".join(w).decode()], add_special_tokens=False)[0].ids, "<u4")
-            stops, last = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(units)
+        heads = [w.rstrip(_PLAIN) for w in words]
+        plain = np.fromiter((h.decode().isalpha() for h in heads), bool, len(heads))
+        units = np.fromiter((1 + (len(h) < len(w)) for h, w in zip(heads, words, strict=True)), np.int64, len(heads))
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        other = np.flatnonzero(~plain).tolist()
+        simple = np.flatnonzero(plain)
+        for at in range(0, len(simple), 4_000):
+            own = simple[at : at + 4_000]
+            ids = np.asarray(encode([b" ".join([words[i] for i in own.tolist()]).decode()], add_special_tokens=False)[0].ids, "<u4")
+            stops, last = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(units[own])
             if len(stops) == last[-1] and stops[-1] == len(ids):
-                self.add(h, ids, stops[last - 1])
+                done.append((own, ids, stops[last - 1]))
             else:
-                other[0].extend(h)
-                other[1].extend(w)
-        for at in range(0, len(other[0]), 10_000):
-            found = [x.ids for x in encode([w.decode() for w in other[1][at : at + 10_000]], add_special_tokens=False)]
-            self.add(other[0][at : at + 10_000], np.array([i for x in found for i in x], "<u4"), np.cumsum([len(x) for x in found]))
+                other += own.tolist()
+        for at in range(0, len(other), 4_000):
+            own = other[at : at + 4_000]
+            found = [x.ids for x in encode([words[i].decode() for i in own], add_special_tokens=False)]
+            done.append((np.array(own), np.array([i for x in found for i in x], "<u4"), np.cumsum([len(x) for x in found])))
+        before = np.cumsum([0, *[len(ids) for _, ids, _ in done]])
+        self.add(hashes[np.concatenate([own for own, _, _ in done])], np.concatenate([ids for _, ids, _ in done]), np.concatenate([stops + b for (_, _, stops), b in zip(done, before, strict=False)]))
 
     def encode(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in order, ids before each word and in all)."""
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if self.n + len(distinct) > self.most:
             self.forget()
-        keys = distinct.tolist()
-        fresh = [j for j, h in enumerate(keys) if h not in self.place]
-        if fresh:
+        at = self.known(distinct)
+        fresh = np.flatnonzero(at < 0)
+        if len(fresh):
             raw = data.tobytes()
-            self.learn([keys[j] for j in fresh], [raw[starts[i] : ends[i]] for i in first[fresh].tolist()])
-        at = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))
+            self.learn(distinct[fresh], [raw[starts[i] : ends[i]] for i in first[fresh].tolist()])
+            at = self.known(distinct)
         begin, size = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
         before = np.concatenate([[0], np.cumsum(size[inverse])])
         return self.ids[np.repeat(begin[inverse] - before[:-1], size[inverse]) + np.arange(before[-1])], before
@@ -121,7 +128,7 @@ def piece_rows(column: pa.Array, path: str, capacity: int, end_id: int) -> tuple
     data, offsets = text_bytes(column)
     end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
     out: list[tuple[int, int, int, int, int]] = []
-    for first, last, hashes, by_row, starts, ends in word_blocks(column, lower=True, most=2 << 20):
+    for first, last, hashes, by_row, starts, ends in word_blocks(column, lower=True, most=1 << 20):
         ids, before = known.encode(data[offsets[first] : offsets[last]], hashes, starts, ends)
         raw = memoryview(ids.astype("<u4").tobytes())
         stops = (4 * before[by_row]).tolist()
