@@ -59,7 +59,7 @@ class Book:
             f = self.planned.withColumn("state", state)
             return f.withColumns({"record_id": F.when((F.col("state") == "ACCEPTED") & (e != 0), F.concat(F.lit("REC-"), F.substring(F.md5("filing_id"), 3, 8))), "reject_code": F.when((F.col("state") == "REJECTED") & (e != 0), "R-AMOUNT")})
 
-        return self._once("filings", make)
+        return self._once("filings", lambda: make().persist())  # several relations are derived from it
 
     @property
     def members(self) -> DataFrame:
