@@ -22,12 +22,13 @@ from .book import BATCH_SIZE, BOOK_SQL, NOW_US, RULES, Book, digit
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 HOUR, LIMIT = 3_600_000_000, 2
+AS_TEXT = ("n_tins", "valid_to", "resolved_at", "lease_until_us", "worst_severity", "worst")
 SCOPE = "o_tax_year BETWEEN 1996 AND 1998"
 
 
 def _dates_as_text(df: DataFrame) -> DataFrame:
-    """Dates as ISO text, which every engine compares alike."""
-    return df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "date"})
+    """Dates, and whole numbers that may be null, as text, which every engine compares alike."""
+    return df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "date" or c in AS_TEXT and kind in ("int", "bigint")})
 
 
 def add(name: str, make: Callable[[Book], DataFrame], sql: str | None = None, book: bool = True) -> None:
@@ -53,11 +54,11 @@ add("prj2_counted_cents", lambda b: b.classified.groupBy("disposition").agg(F.co
 add("prj3_vendor_key", lambda b: b.classified.select("line_id", "vendor_key"), "SELECT line_id, vendor_key FROM classified")
 add("prj4_identity_source", lambda b: b.classified.groupBy("firm_id", "identity_source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("vendor_key").alias("vendors")), "SELECT firm_id, identity_source, count(*) AS n, count(DISTINCT vendor_key) AS vendors FROM classified GROUP BY firm_id, identity_source")
 add("prj5_decision", lambda b: b.decided.groupBy("requirement_reason", "form_required", "transmit_blocked").agg(F.count(F.lit(1)).alias("n")), "SELECT requirement_reason, form_required, transmit_blocked, count(*) AS n FROM decided GROUP BY ALL")
-add("ag1_name_tin_cardinality", lambda b: D.name_identities(b.live, RULES), "SELECT firm_id, client_id, name_norm, n_tins, only_tin FROM names")
+add("ag1_name_tin_cardinality", lambda b: D.name_identities(b.live, RULES), "SELECT firm_id, client_id, name_norm, CAST(n_tins AS VARCHAR) AS n_tins, only_tin FROM names")
 add("ag2_vendor_decomposition", lambda b: b.decided.select("firm_id", "client_id", "vendor_key", "gross_cents", "card_excluded_cents", "reversal_cents", "non_services_cents", "out_of_year_cents", "reportable_cents", "withholding_cents"), "SELECT firm_id, client_id, vendor_key, gross_cents, card_excluded_cents, reversal_cents, non_services_cents, out_of_year_cents, reportable_cents, withholding_cents FROM decomposed")
 add("ag3_any_tin_problem", lambda b: b.decided.select("firm_id", "client_id", "vendor_key", "any_tin_problem"), "SELECT firm_id, client_id, vendor_key, any_tin_problem FROM decomposed")
 add("ag4_ag5_representatives", lambda b: b.decided.select("firm_id", "client_id", "vendor_key", "display_name", "tin_bidx", "tin_last4", "tin_status", "identity_source"), "SELECT firm_id, client_id, vendor_key, display_name, tin_bidx, tin_last4, tin_status, identity_source FROM decomposed")
-add("jn1_jn8_resolved_lines", lambda b: b.classified.select("line_id", "n_tins", "only_tin"), "SELECT line_id, n_tins, only_tin FROM resolved")
+add("jn1_jn8_resolved_lines", lambda b: b.classified.select("line_id", "n_tins", "only_tin"), "SELECT line_id, CAST(n_tins AS VARCHAR) AS n_tins, only_tin FROM resolved")
 add("set2_exceptions", lambda b: D.exceptions(b.decided).select("firm_id", "client_id", "vendor_key", "code", "severity"), "SELECT firm_id, client_id, vendor_key, code, severity FROM raised")
 add("jsn1_exception_details", lambda b: D.exceptions(b.decided).select("firm_id", "client_id", "vendor_key", "code", "detail"), """SELECT firm_id, client_id, vendor_key, code, '{"displayName":"' || display_name || '","reportableCents":' || reportable_cents || '}' AS detail FROM raised""")
 
@@ -131,7 +132,7 @@ def _history(b: Book) -> DataFrame:
 
 
 add("dml7_scd2_history", _history, """, x AS (SELECT *, client_id % 2 = 0 AND length(vendor_key) % 2 = 0 AS changed FROM decided)
-SELECT firm_id, client_id, vendor_key, reportable_cents, form_required, 1 AS valid_from, CASE WHEN changed THEN 2 END AS valid_to FROM x
+SELECT firm_id, client_id, vendor_key, reportable_cents, form_required, 1 AS valid_from, CASE WHEN changed THEN '2' END AS valid_to FROM x
 UNION ALL SELECT firm_id, client_id, vendor_key, reportable_cents + 1, form_required, 2, NULL FROM x WHERE changed""")
 add("dml6_evidence_upsert", lambda b: M.upsert_coalesce(b.classified.filter("client_id % 2 = 0").select("line_id", F.lit("OLD").alias("disposition")), b.classified.filter("client_id % 3 = 0").select("line_id", "disposition"), ["line_id"], [], ["disposition"]), "SELECT line_id, CASE WHEN client_id % 3 = 0 THEN disposition ELSE 'OLD' END AS disposition FROM classified WHERE client_id % 3 = 0 OR client_id % 2 = 0")
 add("dml8_insert_if_absent", lambda b: M.insert_if_absent(D.exceptions(b.decided).filter("client_id % 2 = 0").select("vendor_key", "client_id", "code", F.lit(1).alias("run")), D.exceptions(b.decided).select("vendor_key", "client_id", "code", F.lit(2).alias("run")), ["vendor_key", "client_id", "code"]), "SELECT vendor_key, client_id, code, CASE WHEN client_id % 2 = 0 THEN 1 ELSE 2 END AS run FROM raised")
@@ -151,7 +152,7 @@ add("jn22_set5_ack_correlation", lambda b: B.correlate(b.filings.filter("state =
 add("state8_ack_apply", lambda b: B.apply_acks(b.filings.select("filing_id", "state"), B.correlate(b.filings.filter("state = 'SUBMITTED_UNACKNOWLEDGED'"), b.acks)), "SELECT f.filing_id, coalesce(a.outcome, f.state) AS state FROM filings f LEFT JOIN acks a ON f.filing_id = a.reference AND f.state = 'SUBMITTED_UNACKNOWLEDGED'")
 add("prj10_ack_outcome", lambda b: b.decided.filter("form_required").withColumnRenamed("reportable_cents", "amount_cents").select("vendor_key", "client_id", B.ack_outcome().alias("reject_code")), "SELECT vendor_key, client_id, CASE WHEN tin_bidx IS NULL THEN 'R-TIN-FORMAT' WHEN starts_with(tin_last4, '000') THEN 'R-TIN-PREFIX' WHEN reportable_cents <= 0 AND withholding_cents <= 0 THEN 'R-AMOUNT' END AS reject_code FROM decided WHERE form_required")
 add("src12_endpoint_status", lambda b: b.work.join(b.members.join(b.recorded.select("filing_id").distinct(), "filing_id").groupBy("batch_id").agg(F.count(F.lit(1)).alias("n")), "batch_id", "left").select("batch_id", F.when(F.col("n").isNull(), "UNKNOWN").when(F.col("n") < F.col("filing_count"), "PENDING").otherwise("RESOLVED").alias("status")), "SELECT w.batch_id, CASE WHEN n IS NULL THEN 'UNKNOWN' WHEN n < filing_count THEN 'PENDING' ELSE 'RESOLVED' END AS status FROM work w LEFT JOIN (SELECT batch_id, count(*) AS n FROM members WHERE filing_id IN (SELECT filing_id FROM recorded) GROUP BY batch_id) x ON w.batch_id = x.batch_id")
-add("dml11_attention_resolve", lambda b: b.attention.join(b.filings.filter("client_id % 4 = 0").select(F.col("filing_id").alias("entity_id"), F.lit(2).alias("done")), "entity_id", "left").select("entity_id", "type", F.coalesce("resolved_at", "done").alias("resolved_at")), "SELECT entity_id, type, coalesce(resolved_at, CASE WHEN client_id % 4 = 0 THEN 2 END) AS resolved_at FROM attention")
+add("dml11_attention_resolve", lambda b: b.attention.join(b.filings.filter("client_id % 4 = 0").select(F.col("filing_id").alias("entity_id"), F.lit(2).alias("done")), "entity_id", "left").select("entity_id", "type", F.coalesce("resolved_at", "done").alias("resolved_at")), "SELECT entity_id, type, CAST(coalesce(resolved_at, CASE WHEN client_id % 4 = 0 THEN 2 END) AS VARCHAR) AS resolved_at FROM attention")
 
 
 def _evidence(b: Book) -> DataFrame:
@@ -162,7 +163,7 @@ def _evidence(b: Book) -> DataFrame:
 
 add("dml15_batch_transitions", _evidence, """, ev AS (SELECT m.batch_id, count(*) AS members, count(*) FILTER (WHERE f.state IN ('ACCEPTED', 'REJECTED')) AS acked, bool_and(f.state = 'BATCHED') AS absent, bool_or(f.state = 'SUBMITTED_UNACKNOWLEDGED') AS receipt FROM members m JOIN filings f ON m.filing_id = f.filing_id GROUP BY m.batch_id),
 tr AS (SELECT w.batch_id, w.state AS was, w.lease_until_us, CASE WHEN absent THEN 'VOID' WHEN acked >= members THEN 'ACKNOWLEDGED' WHEN w.state = 'DISPATCHED' AND receipt THEN 'SUBMITTED' ELSE w.state END AS state FROM work w LEFT JOIN ev ON w.batch_id = ev.batch_id)
-SELECT batch_id, state, CASE WHEN state = was THEN lease_until_us END AS lease_until_us FROM tr""")
+SELECT batch_id, state, CAST(CASE WHEN state = was THEN lease_until_us END AS VARCHAR) AS lease_until_us FROM tr""")
 add("state5_bad_transitions", lambda b: B.bad_transitions(b.planned.select("filing_id", "state"), b.filings.select("filing_id", "state"), "filing_id", B.FILING_TRANSITIONS), "SELECT p.filing_id, p.state AS from_state, f.state AS to_state FROM planned p JOIN filings f ON p.filing_id = f.filing_id WHERE p.state = 'READY_TO_TRANSMIT' AND f.state IN ('ACCEPTED', 'REJECTED', 'SUBMITTED_UNACKNOWLEDGED')")
 
 # -- rate, queue --------------------------------------------------------------
@@ -214,8 +215,8 @@ joined AS (SELECT n_nationkey AS client_id, n_name AS legal_name, y.tax_year, co
  FROM nation CROSS JOIN years y LEFT JOIN counts k ON k.client_id = n_nationkey AND k.tax_year = y.tax_year LEFT JOIN att a ON a.client_id = n_nationkey),
 status AS (SELECT *, CASE WHEN n_rejected > 0 OR n_blocked > 0 OR n_attention > 0 THEN 'NEEDS_ATTENTION' WHEN n_total = 0 THEN 'NOTHING_TO_FILE' WHEN n_accepted = n_total THEN 'FULLY_FILED' WHEN n_accepted > 0 THEN 'PARTIALLY_FILED' WHEN n_awaiting + n_batched > 0 THEN 'AWAITING_IRS' ELSE 'READY_TO_FILE' END AS status FROM joined)
 """
-add("prj6_jn13_jn14_client_status", _status, STATUS_SQL + "SELECT * FROM status")
-add("ag9_ag10_status_counts", lambda b: _status(b).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("n_total").alias("filings"), F.min("worst_severity").alias("worst")), STATUS_SQL + "SELECT status, count(*) AS n, CAST(sum(n_total) AS BIGINT) AS filings, min(worst_severity) AS worst FROM status GROUP BY status")
+add("prj6_jn13_jn14_client_status", _status, STATUS_SQL + "SELECT * REPLACE (CAST(worst_severity AS VARCHAR) AS worst_severity) FROM status")
+add("ag9_ag10_status_counts", lambda b: _status(b).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("n_total").alias("filings"), F.min("worst_severity").alias("worst")), STATUS_SQL + "SELECT status, count(*) AS n, CAST(sum(n_total) AS BIGINT) AS filings, CAST(min(worst_severity) AS VARCHAR) AS worst FROM status GROUP BY status")
 add("sl1_ranked_clients", lambda b: V.ranked(_status(b)).select("client_id", "tax_year", "status"), STATUS_SQL + "SELECT client_id, tax_year, status FROM status")
 add("ag11_tiles", lambda b: V.tiles(b.filings), "SELECT count(*) AS n_total, count(*) FILTER (WHERE state = 'ACCEPTED') AS n_accepted, count(*) FILTER (WHERE state IN ('BLOCKED', 'REJECTED')) AS n_human, CAST(coalesce(sum(amount_cents) FILTER (WHERE state = 'ACCEPTED'), 0) AS BIGINT) AS accepted_cents FROM filings")
 add("set1_known_years", lambda b: V.known_years(b.live, b.filings), "SELECT tax_year FROM live UNION SELECT tax_year FROM filings")
@@ -234,9 +235,9 @@ ex_view AS (
   WHERE NOT EXISTS (SELECT 1 FROM covered c WHERE c.client_id = r.client_id AND c.vendor_key = r.vendor_key AND c.tax_year = r.tax_year AND c.type = CASE WHEN r.code IN ('MISSING_TIN', 'MALFORMED_TIN') THEN 'VENDOR_MISSING_TIN' END)
  UNION ALL SELECT DISTINCT 7, 'IMPORT_ROWS_REJECTED', 'IMPORT', file_name || ':' || reason_code, NULL::INTEGER, 'IMPORT:' || file_name || ':' || reason_code FROM own)
 """
-add("set3_jn18_exception_view", _view, VIEW_SQL + "SELECT * FROM ex_view")
+add("set3_jn18_exception_view", lambda b: _view(b).withColumn("client_id", F.col("client_id").cast("string")), VIEW_SQL + "SELECT * REPLACE (CAST(client_id AS VARCHAR) AS client_id) FROM ex_view")
 add("ag12_exception_groups", lambda b: V.exception_groups(_view(b)), VIEW_SQL + "SELECT severity, code, count(*) AS n FROM ex_view GROUP BY severity, code")
-add("sl2_urgent_top_200", lambda b: V.urgent(_view(b))[0], VIEW_SQL + "SELECT * FROM ex_view ORDER BY severity, dedupe_key LIMIT 200")
+add("sl2_urgent_top_200", lambda b: V.urgent(_view(b))[0].withColumn("client_id", F.col("client_id").cast("string")), VIEW_SQL + "SELECT * REPLACE (CAST(client_id AS VARCHAR) AS client_id) FROM ex_view ORDER BY severity, dedupe_key LIMIT 200")
 add("sl2_truncated_flag", lambda b: V.urgent(_view(b))[1], VIEW_SQL + "SELECT count(*) AS n, count(*) > 200 AS truncated FROM ex_view")
 add("ag6_ag13_rejection_summary", lambda b: V.rejection_summary(b.rejections), ", own AS (SELECT *, row_number() OVER (PARTITION BY file_name, reason_code ORDER BY line_no) AS k FROM rejections WHERE run_id = (SELECT max(run_id) FROM rejections)) SELECT file_name, reason_code, count(*) AS n_rows, string_agg(CASE WHEN k <= 5 THEN CAST(line_no AS VARCHAR) END, ',' ORDER BY line_no) AS sample_lines FROM own GROUP BY file_name, reason_code")
 add("flt9_latest_run", lambda b: b.rejections.join(F.broadcast(b.rejections.agg(F.max("run_id").alias("run_id"))), "run_id").select("run_id", "line_no"), "SELECT run_id, line_no FROM rejections WHERE run_id = (SELECT max(run_id) FROM rejections)")
@@ -297,8 +298,8 @@ fixture("dt1_dt2_dates", "raw string, dialect string", [("03/04/2025", "QUICKBOO
     "SELECT * FROM (VALUES ('03/04/2025', 'QUICKBOOKS', '2025-03-04'), ('3/4/2025', 'QUICKBOOKS', '2025-03-04'), ('31/02/2025', 'QUICKBOOKS', NULL), ('2025/03/04', 'XERO', '2025-03-04'), ('2025-13-45', 'XERO', NULL), ('4-Mar-25', 'SPREADSHEET', '2025-03-04'), ('3/4/25', 'SPREADSHEET', '2025-03-04'), ('45720', 'SPREADSHEET', '2025-03-04'), ('99999', 'SPREADSHEET', NULL), ('2025-03-04', 'CANONICAL', '2025-03-04'), ('TBD', 'CANONICAL', NULL), (NULL, 'CANONICAL', NULL)) v(raw, dialect, day)")
 add("dt3_dt4_deadlines", lambda b: b.live.select("tax_year").distinct().select("tax_year", S.filing_deadline(F.col("tax_year")).alias("deadline")), "SELECT DISTINCT tax_year, CAST(CAST(d + CASE dayofweek(d) WHEN 6 THEN 2 WHEN 0 THEN 1 ELSE 0 END * INTERVAL 1 DAY AS DATE) AS VARCHAR) AS deadline FROM (SELECT tax_year, make_date(tax_year + 1, 1, 31) AS d FROM live) x")
 fixture("num1_num2_amounts", "raw string", [("$1,234.56",), ("($1,234.56)",), ("USD 10",), ("−5.00",), ("12.345",), ("--500.00",), ("1,2,3.4",), ("$$100",), ("twelve dollars",), ("",), (None,)],
-    lambda d: d.select("raw", S.exact_cents(S.parse_amount(F.col("raw"))).alias("cents"), S.parse_amount(F.col("raw")).isNull().alias("unparseable")),
-    "SELECT raw, CAST(cents AS BIGINT) AS cents, unparseable FROM (VALUES ('$1,234.56', 123456, false), ('($1,234.56)', -123456, false), ('USD 10', 1000, false), ('−5.00', -500, false), ('12.345', NULL, false), ('--500.00', NULL, true), ('1,2,3.4', 12340, false), ('$$100', 10000, false), ('twelve dollars', NULL, true), ('', NULL, true), (NULL, NULL, true)) v(raw, cents, unparseable)")
+    lambda d: d.select("raw", S.exact_cents(S.parse_amount(F.col("raw"))).cast("string").alias("cents"), S.parse_amount(F.col("raw")).isNull().alias("unparseable")),
+    "SELECT raw, CAST(cents AS VARCHAR) AS cents, unparseable FROM (VALUES ('$1,234.56', 123456, false), ('($1,234.56)', -123456, false), ('USD 10', 1000, false), ('−5.00', -500, false), ('12.345', NULL, false), ('--500.00', NULL, true), ('1,2,3.4', 12340, false), ('$$100', 10000, false), ('twelve dollars', NULL, true), ('', NULL, true), (NULL, NULL, true)) v(raw, cents, unparseable)")
 fixture("num3_withholding", "raw string", [("-96.00",), ("1.234",), ("x",), (None,)], lambda d: d.select("raw", S.withholding_cents(F.col("raw")).alias("cents")), "SELECT raw, CAST(cents AS BIGINT) AS cents FROM (VALUES ('-96.00', 9600), ('1.234', 0), ('x', 0), (NULL, 0)) v(raw, cents)")
 fixture("num4_format_cents", "cents long", [(123456789,), (-5,), (0,)], lambda d: d.select("cents", S.format_cents(F.col("cents")).alias("shown")), "SELECT CAST(cents AS BIGINT) AS cents, shown FROM (VALUES (123456789, '1,234,567.89'), (-5, '-0.05'), (0, '0.00')) v(cents, shown)")
 fixture("num5_backoff", "n int", [(1,), (2,), (5,), (9,)], lambda d: d.select("n", S.backoff_ms(F.col("n")).alias("ms")), "SELECT CAST(n AS INTEGER) AS n, CAST(ms AS BIGINT) AS ms FROM (VALUES (1, 1000), (2, 2000), (5, 16000), (9, 60000)) v(n, ms)")
