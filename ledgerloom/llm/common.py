@@ -22,13 +22,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Documents are long rows: where the session leaves Spark's 10,000 rows an Arrow batch, batches get ``rows``, so that a task's buffers stay at a few MB on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def docs_of(df: DataFrame) -> DataFrame:
     """(doc_id, text) with a null text read as empty."""
+    small_batches(df.sparkSession)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
 def rowed(df: DataFrame) -> DataFrame:
     """(_row, doc_id, text): every column but the text in one struct, which passes an Arrow function untouched whatever its names are."""
+    small_batches(df.sparkSession)
     rest = [F.col(f"`{c}`") for c in df.columns if c != "text"]
     return df.select(F.struct(*rest).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 

@@ -76,11 +76,12 @@ def with_next(docs: DataFrame, rows_a_group: int = 2_000, broadcast_groups: int
     ids = docs.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", [i / 64 for i in range(65)], 10_000)).first()
     n, low, high, marks = ids[0], ids[1], ids[2], sorted(set(ids[3] or [0]))
     marks = [low or 0, *[m for m in marks if (low or 0) < m <= (high or 0)]]
-    lows, highs = F.array(*[F.lit(m).cast("long") for m in marks]), F.array(*[F.lit(m).cast("long") for m in [*marks[1:], (high or 0) + 1]])
+    lows, starts = F.array(*[F.lit(m).cast("long") for m in marks]), F.array(*[F.lit(float(m)) for m in marks])
+    widths = F.array(*[F.lit(max(float(b) - float(a), 1.0)) for a, b in zip(marks, [*marks[1:], (high or 0) + 1], strict=True)])  # in doubles: no overflow, and rounding keeps the order
     parts = max(1, -(-n // (rows_a_group * len(marks))))
     level = F.greatest(F.size(F.filter(lows, lambda m: m <= F.col("doc_id"))), F.lit(1))
-    at = (F.col("doc_id") - F.element_at(lows, F.col("_level"))).cast("double") / (F.element_at(highs, F.col("_level")) - F.element_at(lows, F.col("_level")))
-    group = F.coalesce(F.col("_level") * F.lit(parts) + F.floor(at * parts), F.lit(-1)).cast("long")
+    at = (F.col("doc_id").cast("double") - F.element_at(starts, F.col("_level"))) / F.element_at(widths, F.col("_level"))
+    group = F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("_level") * F.lit(parts) + F.least(F.floor(at * parts), F.lit(parts - 1))).cast("long")
     placed = docs.withColumn("_level", F.coalesce(level, F.lit(1))).withColumn("_group", group).drop("_level")
     rest = [c for c in docs.columns if c != "doc_id"]
 

@@ -36,9 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import discard, keep, release
-from .wordhash import _BYTES, BASE_INV, U, mix, powers, row_blocks, text_bytes, word_blocks
+from .common import discard, keep, release, small_batches
+from .wordhash import BASE_INV, U, mix, powers, prefix_sums, row_blocks, text_bytes, word_blocks
 
 NO_ID = -(1 << 63)
 CHUNK = 1 << 19
@@ -70,12 +71,6 @@ def sequences(column: pa.Array, plan: Plan) -> Iterator[tuple[int, int, np.ndarr
         yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
 
 
-def prefix_sums(values: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(values) + 1, U)
-    np.cumsum((_BYTES[values] if values.dtype == np.uint8 else values) * powers(len(values)), out=sums[1:])
-    return sums
-
-
 def runs_of(values: np.ndarray, offsets: np.ndarray, plan: Plan) -> tuple[np.ndarray, ...]:
     """(row, start, further windows, trigger distance, k1, k2) of every run; starts count from the row's start."""
     n, width, reach, gram = len(values), plan.width, plan.reach, plan.gram
@@ -295,7 +290,7 @@ def covered_spans(base: DataFrame, plan: Plan, group_most: int = 5_000, broadcas
     shape = "k1 long, id long, p long, n long, classes long, content binary"
     contents = keep(some.join(lists, ["id", "tag"]).select("id", "text", "items").mapInArrow(_contents(plan), shape), "contents")
     release(spark)
-    small = contents.filter(F.col("classes") <= group_most).repartition("k1").sortWithinPartitions("k1").mapInArrow(_compare_groups(plan, 4 * group_most), SPANS)
+    small = contents.filter(F.col("classes") <= group_most).repartition("k1").sortWithinPartitions("k1").mapInArrow(_compare_groups(plan, 2 * group_most), SPANS)
     each = contents.filter(F.col("classes") > group_most).mapInArrow(_each_window(plan), "w long, id long, tag long, a long, n long")
     if plan.earlier:
         many = each.groupBy("w").agg(F.min("id").alias("least"))
@@ -312,6 +307,7 @@ def covered_spans(base: DataFrame, plan: Plan, group_most: int = 5_000, broadcas
 
 def based(docs: DataFrame) -> DataFrame:
     """(_row, id, tag, text): id is the doc_id (null below all), tag tells rows of one doc_id with different texts apart."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
     return docs.select(rest.alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFF)).alias("tag"), text.alias("text"))
@@ -350,7 +346,8 @@ def remove(docs: DataFrame, plan: Plan, cut: Callable, fields: str, **options) -
             for i in range(b.num_rows):
                 lo, hi = bounds[i], bounds[i + 1]
                 out.append(cut(bytes(raw[offsets[i] : offsets[i + 1]]), *merged(a[lo:hi], z[lo:hi])))
-            arrays = [pa.array(x, schema[k + 1].dataType.simpleString().replace("bigint", "int64")) for k, x in enumerate(zip(*out, strict=True))] if out else [pa.array([], schema[k + 1].dataType.simpleString().replace("bigint", "int64")) for k in range(len(names))]
+            columns = zip(*out, strict=True) if out else [()] * len(names)
+            arrays = [pa.array(x, to_arrow_type(f.dataType)) for x, f in zip(columns, schema.fields[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("_row"), *arrays], names=["_row", *names])
 
     none = F.array().cast("array<struct<a:bigint,z:bigint>>")

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INV = pow(BASE, -1, 1 << 64)
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -144,11 +144,8 @@ def unique_by_row(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return (np.concatenate(parts) if parts else values[:0]), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def run_hashes(data: np.ndarray, width: int, base: int = BASE) -> np.ndarray:
-    """Hash of every run of ``width`` elements (bytes, or uint64 word hashes)."""
-    n = len(data)
-    if n < width:
-        return np.zeros(0, U)
-    sums = np.zeros(n + 1, U)
-    np.cumsum((_BYTES[data] if data.dtype == np.uint8 else data) * powers(n, base), out=sums[1:])
-    return mix((sums[width:] - sums[:-width]) * powers(n, pow(base, -1, 1 << 64))[: n - width + 1])
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """Sums of value * BASE**position before each position and in all (values: bytes, or 64-bit hashes)."""
+    sums = np.zeros(len(values) + 1, U)
+    np.cumsum((_BYTES[values] if values.dtype == np.uint8 else values) * powers(len(values)), out=sums[1:])
+    return sums

@@ -14,15 +14,27 @@ from ledgerloom.llm import chat, decontam, fingerprint, linededup, packing, toke
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
 
-def test_token_counts_equal_the_library_and_splits_change_nothing(docs, texts):
+def test_token_counts_equal_the_library_whatever_is_kept(docs, texts):
     t = Tokenizer.from_file(BYTE)
     want = {3 * i: (len((x or "").encode()), len(t.encode(x or "", add_special_tokens=False).ids)) for i, x in enumerate(texts)}
-    for split in (1 << 16, 64):
-        got = {r.doc_id: r for r in tokencount.token_counts(docs, BYTE, limit=100, batch_bytes=500, split_bytes=split).collect()}
+    for known in (10**6, 50):
+        got = {r.doc_id: r for r in tokencount.token_counts(docs, BYTE, limit=100, batch_bytes=500, pieces_known=known).collect()}
         assert {k: (r.n_bytes, r.n_tokens) for k, r in got.items()} == want
         assert all(r.over_limit == (r.n_tokens > 100) for r in got.values())
 
 
+def test_pieces_keep_counts_in_odd_texts():
+    import random
+
+    import pyarrow as pa
+
+    t, r = Tokenizer.from_file(BYTE), random.Random(6)
+    parts = ["a", "é", "ß.", "don't", " ", "  ", "\n", "\t ", "\u00a0", "\u2003", "\u3000", "\x85", "日本", "12", "3,4", "<|endoftext|>", "!!", "\U0001f600", "Ā", "\x1f", "\x7f"]
+    texts = ["".join(r.choices(parts, k=r.randint(0, 40))) for _ in range(3000)]
+    _, n = tokencount.count_batch(pa.array(texts), BYTE, 1 << 12, 10**5)
+    assert n.tolist() == [len(t.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
 def test_packing_is_gapless_whole_and_near_the_lower_bound(docs, texts):
     t, cap = Tokenizer.from_file(WORD), 256
     rows = packing.pack(docs, WORD, capacity=cap, rank_group=20).collect()
@@ -105,7 +117,7 @@ def test_fingerprints(docs, texts):
 
 
 def test_fingerprint_neighbours_with_repeated_null_and_far_ids(spark):
-    rows = [(5, "b"), (5, "a"), (None, "n"), (-(10**12), "low"), (10**15, "high"), *[(100 + i, f"t{i}") for i in range(300)]]
+    rows = [(5, "b"), (5, "a"), (None, "n"), (-(2**63) + 5, "low"), (2**63 - 1, "high"), *[(100 + i, f"t{i}") for i in range(300)]]
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = [(r.doc_id, r.text, r.next.text) for r in fingerprint.with_next(d, rows_a_group=7).collect()]
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
