@@ -13,6 +13,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,40 @@ def docs_of(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+#: What reused Python workers keep between tasks, by owner: a function that forgets it.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def arrow_map(df: DataFrame, run: Callable, schema, owner: str | None = None) -> DataFrame:
+    """``df.mapInArrow`` whose worker first forgets what other owners keep, and afterwards gives freed memory back to the system: workers are reused from task to task and stage to stage."""
+
+    def lean(batches: Iterator) -> Iterator:
+        forget_others(owner)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(lean, schema)
+
+
+def forget_others(owner: str | None) -> None:
+    for name, forget in CACHES.items():
+        if name != owner:
+            forget()
+
+
+def give_back() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
 def rowed(df: DataFrame) -> DataFrame:
     """(_row, doc_id, text): every column but the text in one struct, which passes an Arrow function untouched whatever its names are."""
     small_batches(df.sparkSession)

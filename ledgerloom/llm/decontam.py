@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_of, keep
+from .common import arrow_map, docs_of, keep
 from .wordhash import _LOWER, BASE_INV, U, mix, powers, row_blocks, text_bytes
 
 #: Seeds of weight 6; a run of substituted tokens seldom falls on the ones of all of them.
@@ -154,7 +154,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, stretch: int = 20, agre
                     row, *rest = (np.array(x) for x in zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), *map(pa.array, rest)], names=["doc_id", "item_id", "doc_start", "item_start", "n_aligned", "n_equal"])
 
-        found.append(docs_of(docs).mapInArrow(run, OUT))
+        found.append(arrow_map(docs_of(docs), run, OUT))
     return reduce(DataFrame.unionByName, found).distinct()
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import docs_of, keep, rowed
+from .common import arrow_map, docs_of, keep, rowed
 from .wordhash import _LOWER, BASE, BASE_INV, SPACE, U, mix, powers, row_blocks, text_bytes
 
 _SECOND = mix(_LOWER ^ U(0x5851F42D4C957F2D))
@@ -84,7 +84,7 @@ def _keys(min_chars: int):
 
 def repeated_keys(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     """(h1, h2, last_doc) of keys in at least ``min_docs`` distinct documents."""
-    rows = docs_of(docs).mapInArrow(_keys(min_chars), "doc_id long, h1 long, h2 long")
+    rows = arrow_map(docs_of(docs), _keys(min_chars), "doc_id long, h1 long, h2 long")
     each = rows.distinct()
     return each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last_doc")).filter(F.col("n") >= min_docs).drop("n")
 
@@ -154,11 +154,11 @@ def _by_broadcast(base: DataFrame, keys: DataFrame, min_chars: int) -> DataFrame
 
             yield _drop(b.column("_row"), b.column("text"), min_chars, dropped)
 
-    return base.mapInArrow(run, _out(base))
+    return arrow_map(base, run, _out(base))
 
 
 def _by_join(base: DataFrame, keys: DataFrame, min_chars: int) -> DataFrame:
-    rows = docs_of(base).mapInArrow(_keys(min_chars), "doc_id long, h1 long, h2 long")
+    rows = arrow_map(docs_of(base), _keys(min_chars), "doc_id long, h1 long, h2 long")
     gone = rows.join(keys, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
     gone = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))  # bounded by one document's lines
     joined = base.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("_row", "text", "gone")
@@ -168,4 +168,4 @@ def _by_join(base: DataFrame, keys: DataFrame, min_chars: int) -> DataFrame:
             sets = [{(x["h1"], x["h2"]) for x in v} if v else () for v in b.column("gone").to_pylist()]
             yield _drop(b.column("_row"), b.column("text"), min_chars, lambda row, x1, x2, sets=sets: np.fromiter(((i, j) in sets[r] for r, i, j in zip(row, x1.tolist(), x2.tolist(), strict=True)), bool, len(row)))
 
-    return joined.mapInArrow(run, _out(base))
+    return arrow_map(joined, run, _out(base))

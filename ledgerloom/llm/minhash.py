@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, docs_of, keep, release
+from .common import arrow_map, discard, docs_of, keep, release
 from .links import components
 from .wordhash import U, mix, shingles, unique_by_row, word_blocks
 
@@ -231,7 +231,7 @@ class NearDuplicates:
         self.hub_rounds, self.crowd_at, self.crowd_shingles, self.broadcast_ids = hub_rounds, crowd_at, crowd_shingles, broadcast_ids
 
     def classes(self) -> None:
-        staged = keep(self.docs.mapInArrow(_stage(self.words, self.bands * self.rows), STAGED), "signatures")
+        staged = keep(arrow_map(self.docs, _stage(self.words, self.bands * self.rows), STAGED), "signatures")
         first = staged.filter("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
         self.members = keep(staged.drop("signature").join(first, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
         alone = self.members.filter("doc_id = rep and n_shingles > 0").select(F.col("doc_id").alias("rep"), "n_shingles").distinct()
@@ -240,7 +240,7 @@ class NearDuplicates:
         release(self.spark)
 
     def buckets(self) -> None:
-        banded = self.reps.mapInArrow(_bands(self.bands, self.rows), "bucket long, rep long, n long")
+        banded = arrow_map(self.reps, _bands(self.bands, self.rows), "bucket long, rep long, n long")
         full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most")
         self.crowd = keep(banded.join(full.select("bucket"), "bucket"), "buckets")
         release(self.spark)
@@ -279,7 +279,7 @@ class NearDuplicates:
         """(rep, shingles) of the given doc_ids, from their texts."""
         ids = keep(ids.distinct(), "ids")
         wanted = F.broadcast(ids) if ids.count() <= self.broadcast_ids else ids  # 8 bytes an id
-        out = keep(self.docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(self.words), "rep long, shingles binary").dropDuplicates(["rep"]), "sets")
+        out = keep(arrow_map(self.docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), _sets(self.words), "rep long, shingles binary").dropDuplicates(["rep"]), "sets")
         discard(ids)
         return out
 
@@ -290,23 +290,22 @@ class NearDuplicates:
         dealt = rows.withColumn("block", F.pmod(F.xxhash64("rep"), blocks.cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         dealt = dealt.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "rep", "n", "label", "block")
         full = dealt.join(self.reps.select("rep", "signature"), "rep").join(sets, "rep")
-        found = keep(full.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(_crowds(self.least, self.percent), "a long, b long").distinct(), "crowds")
+        found = keep(arrow_map(full.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi"), _crowds(self.least, self.percent), "a long, b long").distinct(), "crowds")
         discard(sets)
         release(self.spark)
         return found
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """Links among candidate pairs: Bayesian pruning on signatures, then the exact test on full sets."""
-        pairs = keep(pairs, "pairs")
         sig = self.reps.select("rep", "signature")
         a = pairs.join(sig.withColumnRenamed("rep", "a").withColumnRenamed("signature", "sa"), "a")
         both = a.join(sig.withColumnRenamed("rep", "b").withColumnRenamed("signature", "sb"), "b")
-        likely = keep(both.select("a", "b", "sa", "sb").mapInArrow(_prune(self.least), "a long, b long"), "likely")
+        likely = keep(arrow_map(both.select("a", "b", "sa", "sb"), _prune(self.least), "a long, b long"), "likely")
         sets = self.sets_of(likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))))
         pa_ = likely.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("xa")), "a")
         full = pa_.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("xb")), "b")
-        found = keep(full.select("a", "b", "xa", "xb").mapInArrow(_verify(self.percent), "a long, b long"), "found")
-        discard(pairs, likely, sets)
+        found = keep(arrow_map(full.select("a", "b", "xa", "xb"), _verify(self.percent), "a long, b long"), "found")
+        discard(likely, sets)
         release(self.spark)
         return found
 
@@ -349,7 +348,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, ban
     buckets of fewer than ``crowd_at`` members, inside tasks in others.
     """
     found = NearDuplicates(docs, words, threshold, bands, rows, miss, hub_rounds, crowd_at, crowd_shingles, broadcast_ids).run()
-    nameless = docs_of(docs).filter("doc_id is null").mapInArrow(_stage(words, 16), STAGED).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    nameless = arrow_map(docs_of(docs).filter("doc_id is null"), _stage(words, 16), STAGED).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
     return found.unionByName(nameless).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

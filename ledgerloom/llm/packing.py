@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import docs_of, keep
+from .common import CACHES, arrow_map, docs_of, keep
 from .tokencount import tokenizer
 from .wordhash import U, text_bytes, word_blocks
 
@@ -120,6 +120,7 @@ class WordIds:
 
 
 _ids: dict[str, WordIds] = {}
+CACHES["packing"] = _ids.clear
 
 
 def piece_rows(column: pa.Array, path: str, capacity: int, end_id: int) -> tuple[np.ndarray, ...]:
@@ -146,7 +147,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int)
             row, piece, start, length, crc = piece_rows(b.column("text"), tokenizer_path, capacity, end_id)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs_of(docs).mapInArrow(run, PIECES)
+    return arrow_map(docs_of(docs), run, PIECES, "packing")
 
 
 def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -227,4 +228,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
                 offset[part] = t[:, 4] + nth % t[:, 3] * length[part]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")], pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_first") + F.col("_rank") - 1).alias("_rank")).mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
+    return arrow_map(ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_first") + F.col("_rank") - 1).alias("_rank")), place, f"{PIECES}, sequence_id long, offset long")

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import docs_of
+from .common import CACHES, arrow_map, docs_of
 from .wordhash import BASE_INV, SPACE, U, mix, powers, prefix_sums, row_blocks, text_bytes
 
 _SOLID = ~SPACE
@@ -111,6 +111,7 @@ class Lengths:
 
 
 _lengths: dict[str, Lengths] = {}
+CACHES["tokencount"] = _lengths.clear
 
 
 def count_batch(column: pa.Array, path: str, batch_bytes: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,4 +132,4 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, batch_b
             size, n = count_batch(b.column("text"), tokenizer_path, batch_bytes, pieces_known)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs_of(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return arrow_map(docs_of(docs), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", "tokencount")

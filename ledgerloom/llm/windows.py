@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import discard, keep, release, small_batches
+from .common import arrow_map, discard, keep, release, small_batches
 from .wordhash import BASE_INV, U, mix, powers, prefix_sums, row_blocks, text_bytes, word_blocks
 
 NO_ID = -(1 << 63)
@@ -269,7 +269,7 @@ def covered_spans(base: DataFrame, plan: Plan, group_most: int = 5_000, broadcas
     def modest(small: DataFrame) -> DataFrame:
         return F.broadcast(small) if small.count() <= broadcast_rows else small
 
-    rows = base.mapInArrow(_rows(plan), "k1 long, k2 long, id long, p long")
+    rows = arrow_map(base, _rows(plan), "k1 long, k2 long, id long, p long")
     repeated = keep(rows.select("k1").groupBy("k1").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("k1"), "repeated")
     release(spark)
     live = keep(rows.join(modest(repeated), "k1", "left_semi"), "live")
@@ -288,10 +288,10 @@ def covered_spans(base: DataFrame, plan: Plan, group_most: int = 5_000, broadcas
     owners = modest(lists.select("id").distinct())
     some = base.join(owners, "id", "left_semi").dropDuplicates(["id", "tag"])
     shape = "k1 long, id long, p long, n long, classes long, content binary"
-    contents = keep(some.join(lists, ["id", "tag"]).select("id", "text", "items").mapInArrow(_contents(plan), shape), "contents")
+    contents = keep(arrow_map(some.join(lists, ["id", "tag"]).select("id", "text", "items"), _contents(plan), shape), "contents")
     release(spark)
-    small = contents.filter(F.col("classes") <= group_most).repartition("k1").sortWithinPartitions("k1").mapInArrow(_compare_groups(plan, 2 * group_most), SPANS)
-    each = contents.filter(F.col("classes") > group_most).mapInArrow(_each_window(plan), "w long, id long, tag long, a long, n long")
+    small = arrow_map(contents.filter(F.col("classes") <= group_most).repartition("k1").sortWithinPartitions("k1"), _compare_groups(plan, 2 * group_most), SPANS)
+    each = arrow_map(contents.filter(F.col("classes") > group_most), _each_window(plan), "w long, id long, tag long, a long, n long")
     if plan.earlier:
         many = each.groupBy("w").agg(F.min("id").alias("least"))
         large = each.join(many, "w").filter("id > least")
@@ -358,4 +358,4 @@ def remove(docs: DataFrame, plan: Plan, cut: Callable, fields: str, **options) -
         both = with_spans.select("_row", "text", F.coalesce("spans", none).alias("spans")).unionByName(without.select("_row", "text", "spans"))
     else:
         both = base.join(spans, ["id", "tag"], "left").select("_row", "text", F.coalesce("spans", none).alias("spans"))
-    return both.mapInArrow(run, schema)
+    return arrow_map(both, run, schema)
