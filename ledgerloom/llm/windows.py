@@ -14,7 +14,7 @@ one: they form a run. A run is one row:
 Runs whose k1 occurs once hold no repeated window; most of a corpus ends here,
 after one counting shuffle. Runs of equal k2 are one class, decided as a whole.
 Only where a k1 has several classes (the ends of repeats) one run of each class
-is compared element by element: within a k1 the parts after the trigger are
+is compared element by element, for all of the class in its row: within a k1 the parts after the trigger are
 sorted, and so are the reversed parts before it, with the lengths of common
 prefixes of neighbours. A window with ``l`` elements before its trigger is then
 known by its rank class at depth ``l`` on the left and ``width - l`` on the
@@ -204,14 +204,14 @@ def compare(k1: np.ndarray, ids: np.ndarray, p: np.ndarray, n: np.ndarray, conte
 
 
 def spans_of(covered: np.ndarray, ids: np.ndarray, p: np.ndarray, width: int) -> pa.RecordBatch:
-    tag, s, _, _ = unpack(np.ascontiguousarray(p))
+    """Covered stretches, counted from the start of their run."""
     edge = np.diff(np.pad(covered, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     row, a = np.nonzero(edge == 1)
     _, z = np.nonzero(edge == -1)
-    return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(tag[row]), pa.array(s[row] + a), pa.array(s[row] + z - 1 + width)], names=["id", "tag", "a", "z"])
+    return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(p[row]), pa.array(a), pa.array(z - 1 + width)], names=["id", "p", "a", "z"])
 
 
-SPANS = "id long, tag long, a long, z long"
+SPANS = "id long, p long, a long, z long"
 
 
 def _compare_groups(plan: Plan, rows_at_once: int):
@@ -242,12 +242,12 @@ def _compare_groups(plan: Plan, rows_at_once: int):
 
 
 def _each_window(plan: Plan):
-    """(window hash, id, tag, start, weight) of every window of the given runs."""
+    """(window hash, id, run, start within the run, weight) of every window of the given runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k1, ids, p, n = (b.column(c).to_numpy() for c in ("k1", "id", "p", "n"))
-            tag, s, more, dist = unpack(np.ascontiguousarray(p))
+            _, _, more, dist = unpack(np.ascontiguousarray(p))
             out = []
             for i, c in enumerate(b.column("content").to_pylist()):
                 values = np.frombuffer(c, ">u8").astype(U) if plan.words else np.frombuffer(c, np.uint8)
@@ -257,7 +257,7 @@ def _each_window(plan: Plan):
             if out:
                 row = np.repeat(np.arange(len(out)), more + 1)
                 j = np.concatenate([np.arange(m + 1) for m in more.tolist()])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(ids[row]), pa.array(tag[row]), pa.array(s[row] + j), pa.array(n[row])], names=["w", "id", "tag", "a", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(ids[row]), pa.array(p[row]), pa.array(j), pa.array(n[row])], names=["w", "id", "p", "a", "n"])
 
     return run
 
@@ -276,7 +276,7 @@ def covered_spans(base: DataFrame, plan: Plan, group_most: int = 5_000, broadcas
     discard(repeated)
     classes = keep(live.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "p")).alias("first")), "classes")
     several = classes.groupBy("k1").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1")
-    ends = keep(classes.join(several, "k1").select("k1", "n", "classes", "first.id", "first.p"), "ends")
+    ends = keep(classes.join(several, "k1").select("k1", "k2", "n", "classes", "first.id", "first.p"), "ends")
     if plan.earlier:
         whole = live.join(classes.select("k1", "k2", F.col("first.id").alias("least")), ["k1", "k2"]).filter("id > least")
     else:
@@ -291,16 +291,22 @@ def covered_spans(base: DataFrame, plan: Plan, group_most: int = 5_000, broadcas
     contents = keep(arrow_map(some.join(lists, ["id", "tag"]).select("id", "text", "items"), _contents(plan), shape), "contents")
     release(spark)
     small = arrow_map(contents.filter(F.col("classes") <= group_most).repartition("k1").sortWithinPartitions("k1"), _compare_groups(plan, 2 * group_most), SPANS)
-    each = arrow_map(contents.filter(F.col("classes") > group_most), _each_window(plan), "w long, id long, tag long, a long, n long")
+    each = arrow_map(contents.filter(F.col("classes") > group_most), _each_window(plan), "w long, id long, p long, a long, n long")
     if plan.earlier:
         many = each.groupBy("w").agg(F.min("id").alias("least"))
         large = each.join(many, "w").filter("id > least")
     else:
         many = each.groupBy("w").agg(F.sum("n").alias("all")).filter("all > 1").select("w")
         large = each.join(many, "w", "left_semi")
-    large = large.select("id", "tag", "a", (F.col("a") + plan.width).alias("z"))
-    found = keep(whole.unionByName(small).unionByName(large).groupBy("id", "tag").agg(F.collect_list(F.struct("a", "z")).alias("spans")), "spans")
-    discard(live, classes, ends, lists, contents)
+    large = large.select("id", "p", "a", (F.col("a") + plan.width).alias("z"))
+    part = small.unionByName(large)
+    if plan.earlier:  # the compared run stands for every other one of its class in its document
+        part = compared = keep(part, "compared")
+        twins = live.join(ends.filter("n > 1").select("k1", "k2", "id", F.col("p").alias("own")), ["k1", "k2", "id"]).filter("p <> own").select("id", "p", "own").distinct()
+        part = part.unionByName(twins.join(part.withColumnRenamed("p", "own"), ["id", "own"]).select("id", "p", "a", "z"))
+    part = part.select("id", tag.alias("tag"), (start + F.col("a")).alias("a"), (start + F.col("z")).alias("z"))
+    found = keep(whole.unionByName(part).groupBy("id", "tag").agg(F.collect_list(F.struct("a", "z")).alias("spans")), "spans")
+    discard(live, classes, ends, lists, contents, *([compared] if plan.earlier else []))
     release(spark)
     return found
 

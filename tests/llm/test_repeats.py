@@ -73,6 +73,24 @@ def test_word_windows_equal_brute_force(spark, tricky, width, options):
     assert sum(w[1] for w in want) > 300
 
 
+@pytest.mark.parametrize("options", [{}, {"group_most": 1, "broadcast_rows": 0}])
+def test_every_copy_in_the_smallest_document_of_a_class_is_cut(spark, options):
+    r = random.Random(12)
+    new = lambda k: [f"v{r.randint(0, 10**9)}" for _ in range(k)]
+    rows = {}
+    for n, size in enumerate((52, 60, 75, 140)):
+        p, a, b = new(size), new(80), new(80)
+        rows[10 * n + 1] = new(70) + p + new(70)
+        rows[10 * n + 2] = (new(30) + a + p + b) * 2 + new(20) + a + p + b
+        rows[10 * n + 3] = a + p + b
+    ids, texts = list(rows), [" ".join(w) for w in rows.values()]
+    d = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    got = {x._row.doc_id: tuple(x)[1:] for x in substring.dedup_words(d, digest=True, **options).collect()}
+    want = dict(zip(ids, brute_words(ids, texts, 50), strict=True))
+    assert got == want
+    assert [want[10 * n + 2][1] for n in range(4)] == [3 * 52, 3 * 60, 3 * 75, 3 * 140]
+
+
 def test_long_rows_are_chunked(spark, monkeypatch):
     import numpy as np
 
