@@ -10,6 +10,11 @@ a text: an n-gram never seen in toxic texts does not speak for them, one never
 seen in ordinary texts not against, and one never seen at all is neutral. So a
 text's log-likelihood ratio needs one table by n-gram.
 
+One rare letter is not a toxic word: what speaks for toxicity in a word counts
+in so far as toxic texts hold most of its n-grams, by the share they hold less
+the share they do not (nothing if that is below zero). A word of a new topic,
+name or language that meets a toxic word in a few letters so stays neutral.
+
 A text's features are length-normalised log-likelihood ratios: per character
 over the whole text, per word in its highest word, its highest four-word window
 and its three highest words, and the share of words with a high ratio; with them
@@ -87,11 +92,6 @@ class Table:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.keys, self.values = keys, values.astype(np.float32)
 
-    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The value of each key, 0 for one not held."""
-        at, found = _find(self.keys, keys)
-        return np.where(found, self.values[at] if len(self.keys) else 0.0, 0.0)
-
 
 def _find(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place in the sorted ``known``, found)."""
@@ -106,14 +106,18 @@ class Ratios:
     """Log-likelihood ratios, toxic over ordinary, of characters and so of words."""
 
     seen: Table
+    toxic: np.ndarray  # of each of the table's keys, whether toxic texts hold it
     order: int
 
     def words(self, words: list[str]) -> np.ndarray:
         points, starts, offsets = _points(words)
-        keys = gram_keys(points, starts, self.order)
-        value = self.seen.get(keys)
-        value[offsets[:-1]] = 0.0
-        return np.add.reduceat(value, offsets[:-1])
+        at, found = _find(self.seen.keys, gram_keys(points, starts, self.order))
+        found[offsets[:-1]] = False
+        value, known = np.zeros(len(at)), np.zeros(len(at))
+        value[found], known[found] = self.seen.values[at[found]], self.toxic[at[found]]
+        share = np.add.reduceat(known, offsets[:-1]) / (np.diff(offsets) - 1)
+        speaks = np.add.reduceat(np.maximum(value, 0), offsets[:-1])
+        return speaks * np.maximum(2 * share - 1, 0) + np.add.reduceat(np.minimum(value, 0), offsets[:-1])
 
     def word(self, w: str) -> float:
         return float(self.words([w])[0])
@@ -203,7 +207,7 @@ def fit(parts: Iterable[tuple[list[str], np.ndarray]], order: int = 5, discount:
         log_p.append(np.log(part + left[back] * shared))
     ratio = log_p[1] - log_p[0]
     ratio = np.where(n[:, 1] == 0, np.minimum(ratio, 0), np.where(n[:, 0] == 0, np.maximum(ratio, 0), ratio))
-    return Ratios(Table(keys, ratio), order)
+    return Ratios(Table(keys, ratio), n[:, 1] > 0, order)
 
 
 def kneser_ney(counts: tuple[Counter, Counter], order: int = 5, discount: float = 0.75) -> Ratios:

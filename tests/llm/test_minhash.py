@@ -79,6 +79,19 @@ def test_pruning_table_keeps_similar_pairs():
     assert alive.sum() == 0
 
 
+def test_pairs_at_the_threshold_are_pruned_as_seldom_as_stated(docs):
+    stated = 0.001
+    run = minhash.NearDuplicates(docs, 5, 0.8, 32, 6, stated, 2, 64, 2_000_000, 1_000_000)
+    alive, lost = np.array([1.0]), 0.0
+    for k, m in enumerate(run.least):
+        for _ in range(16):
+            alive = 0.8 * np.append(0, alive) + 0.2 * np.append(alive, 0)
+        lost += alive[:m].sum()
+        alive[:m] = 0
+        assert k or m > 0
+    assert lost <= stated and abs(lost - minhash.loss(run.least, 0.8)) < 1e-9
+
+
 def test_components_on_paths_stars_and_cliques(spark):
     r = random.Random(2)
     pairs = [(i, i + 1) for i in range(100, 160)] + [(1000, 1000 + i) for i in range(1, 60)] + [(r.randint(0, 90), r.randint(0, 90)) for _ in range(60)]

@@ -4,13 +4,12 @@ from collections import defaultdict
 import pytest
 from test_minhash import brute
 from test_simple_operators import brute_lines
-from test_toxicity import corpus
+from test_toxicity import UNSEEN, corpus
 
 import corpus_pipeline
 
 
-#: Of the corpus' own words: its letters are all that the toxicity models know.
-LINE = " ".join([t for _, t, y in corpus(300) if not y][60].split()[:14])
+LINE = "this very line is repeated in six of the documents here"
 
 
 @pytest.fixture(scope="module")
@@ -23,6 +22,7 @@ def sf_dir(spark, tmp_path_factory, texts):
     passage = " ".join(f"bench{r.randint(0, 10**6)}" for _ in range(30))
     rows += [(400, clean[3] + " tail", "en", "a", 9), (401, clean[5], "en", "a", 9), (402, clean[6][:200] + " " + passage + " " + clean[7], "en", "a", 9)]
     rows += [(410 + i, f"{clean[20 + i]}\n{LINE}\nend", "en", "b", 9) for i in range(6)]
+    rows += [(430 + i, t, "en", "b", 9) for i, t in enumerate(UNSEEN[1:])]
     rows += [(500, None, None, None, None), (501, "", "en", "c", 0), (None, "no id " * 20, "en", "c", 5)]
     d = str(tmp_path_factory.mktemp("tables"))
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{d}/documents.parquet")

@@ -18,6 +18,28 @@ def corpus(n=600):
     return out
 
 
+#: Clean texts of words, letters and scripts that ``corpus`` does not hold; some share letters with its toxic words.
+UNSEEN = (
+    "this very line is repeated in six of the documents here",
+    "great green gardens grow very big vegetables",
+    "Mary Vickers and Gregory Grumman visited Kyiv, Zagreb and Skopje by van, very glad about snacks",
+    "my quick brown fox jumps over the lazy dog by the grey bridge, five vexed wizards making gumbo",
+    "Мы поехали в город и купили хлеб, молоко и яблоки для семьи",
+    "東京の天気は晴れです。明日は雨が降るでしょう。",
+    "über Größe müßte man öfter sprechen",
+)
+
+
+def test_clean_texts_of_unseen_words_stay_clean(spark):
+    rows = corpus(300)
+    clean = [t for _, t, y in rows if not y]
+    more = [x for k, t in enumerate(UNSEEN) for x in (t, f"{t} {clean[k]}", f"{clean[20 + k]}\n{t}", " ".join([t] * 8))]
+    d = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1000 + k, t) for k, t in enumerate(more)], "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in toxicity.score(d, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")).collect()}
+    assert [more[k] for k in range(len(more)) if got[1000 + k]] == []
+    assert sum(got[i] == y for i, _, y in rows) >= 0.98 * len(rows)
+
+
 def test_held_out_accuracy_and_edges(spark):
     rows = corpus()
     d = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(9001, None), (9002, ""), (9003, "!!"), (None, "grumbly snarkface"), (0, rows[0][1])], "doc_id long, text string").repartition(4)
