@@ -27,7 +27,8 @@ other two remainders (cross-fitting); the final models learn from all three.
 
 The training sample is bounded: at most ``sample_rows`` labelled rows in order
 of a hash, and of these as many as fit in ``sample_bytes`` of text. Scoring
-covers every whole text.
+covers every whole text: a run of more than 24 characters without a separator,
+as in scripts without spaces, is read whole as overlapping parts.
 
 Defined results: a null or empty text (or one without a word) scores as a text
 of ratio zero; a document labelled twice counts as toxic if either label says
@@ -39,6 +40,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -52,8 +54,12 @@ from pyspark.sql import types as T
 from .common import arrow_map, docs_of, rowed, unrowed
 from .wordhash import U, mix
 
-WORD = re.compile(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
-LONGEST = 24
+#: Beyond ASCII, punctuation, separators, controls and the zero-width space end a word; marks, symbols and letters of all scripts are in it.
+_ENDS = "".join(chr(x) for x in range(0x80, 0x20000) if unicodedata.category(chr(x)) in ("Cc", "Pc", "Pd", "Pe", "Pf", "Pi", "Po", "Ps", "Zl", "Zp", "Zs") or x == 0x200B)
+WORD = re.compile(r"(?:[a-z0-9]+|[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f" + re.escape(_ENDS) + "]+)+")
+ASCII_WORD = re.compile("[a-z0-9]+")
+#: A longer run of characters, as in scripts without spaces, is read as words of ``PART`` characters, one every ``STEP``.
+LONGEST, PART, STEP = 24, 6, 2
 FEATURES = ("per_char", "word", "window", "top", "words", "strong")
 FOLDS = (0, 1, 3)
 #: A word counts as strong above this log-likelihood ratio.
@@ -61,7 +67,15 @@ STRONG = 3.0
 
 
 def words_of(text: str) -> list[str]:
-    return [w[:LONGEST] for w in WORD.findall(text.lower())]
+    """The words of a text, in order; every character is in one."""
+    out = []
+    text = text.lower()
+    for w in (ASCII_WORD if text.isascii() else WORD).findall(text):
+        if len(w) <= LONGEST:
+            out.append(w)
+        else:
+            out += [w[at : at + PART] for at in range(0, len(w) - PART + STEP, STEP)]
+    return out
 
 
 def fold_of(doc_id: Column) -> Column:

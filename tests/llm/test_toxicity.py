@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import pytest
+
 from ledgerloom.llm import toxicity
 
 
@@ -40,6 +42,27 @@ def test_clean_texts_of_unseen_words_stay_clean(spark):
     assert sum(got[i] == y for i, _, y in rows) >= 0.98 * len(rows)
 
 
+@pytest.mark.parametrize("mark", ["。", "\u00a0", "—", "\u2019", ""])
+def test_texts_without_ascii_separators_are_read_whole(spark, mark):
+    """Ordinary words lead every text, so that nothing toxic is in its first 24 characters."""
+    rows = corpus()
+    own = [w for _, t, y in rows if not y for w in t.split()]
+    letters = {ord(c): chr(0x4E00 + 37 * k) for k, c in enumerate("abcdefghijklmnopqrstuvwxyz")}
+    texts = [mark.join([*random.Random(i).choices(own, k=12), *t.lower().split()]).translate(letters) for i, t, _ in rows]
+    d = spark.createDataFrame([(i, t) for (i, *_), t in zip(rows, texts, strict=True)], "doc_id long, text string")
+    got = [r for r in toxicity.score(d, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")).collect() if r.held_out]
+    assert all(r.predicted for r in got if rows[r.doc_id][2])
+    assert sum(r.predicted == rows[r.doc_id][2] for r in got) / len(got) >= (0.97 if mark else 0.9)
+
+
+def test_every_character_of_a_long_run_is_in_a_word():
+    for n in (24, 25, 26, 27, 28, 29, 61, 1000):
+        text = "".join(chr(0x4E00 + k) for k in range(n))
+        words = toxicity.words_of(text)
+        assert all(any(text[k : k + 5] in w for w in words) for k in range(n - 4))
+    assert toxicity.words_of("naïve—«Straße»\u3000語。हिन्दी") == ["naïve", "straße", "語", "हिन्दी"]
+
+
 def test_held_out_accuracy_and_edges(spark):
     rows = corpus()
     d = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(9001, None), (9002, ""), (9003, "!!"), (None, "grumbly snarkface"), (0, rows[0][1])], "doc_id long, text string").repartition(4)
