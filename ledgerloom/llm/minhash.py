@@ -12,8 +12,10 @@
    whose members belong together costs a pair a member and round.
 3. A candidate pair's signatures are compared in batches of 16. With a uniform
    prior the similarity's posterior after m matches of n is Beta(m+1, n-m+1);
-   as soon as P(similarity >= threshold) is at most ``miss`` the pair is pruned.
-   The least m that survives is tabled for each batch.
+   as soon as P(similarity >= threshold) is small enough the pair is pruned. How
+   small is set so that over all batches together a pair of exactly the
+   threshold is pruned with a probability of at most ``miss``. The least m that
+   survives is tabled for each batch.
 4. Survivors are verified on the full shingle sets:
    100 * intersection >= 100 * threshold * union.
 5. Links give components (``links.components``) on the cluster.
@@ -113,6 +115,24 @@ def least_matches(n: int, threshold: float, miss: float) -> list[int]:
     return out
 
 
+def loss(least: list[int], similarity: float) -> float:
+    """The probability that a pair of this similarity is pruned in any of the batches."""
+    one = np.array([math.comb(BATCH, i) * similarity**i * (1 - similarity) ** (BATCH - i) for i in range(BATCH + 1)])
+    live = np.ones(1)
+    for need in least:
+        live = np.convolve(live, one)
+        live[:need] = 0.0
+    return 1.0 - float(live.sum())
+
+
+def pruning_table(n: int, threshold: float, miss: float) -> list[int]:
+    """``least_matches`` at a posterior low enough that all batches together prune a pair of exactly the threshold with a probability of at most ``miss``."""
+    posterior = miss
+    while loss(least := least_matches(n, threshold, posterior), threshold) > miss:
+        posterior /= 2
+    return least
+
+
 def _prune(least: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -227,7 +247,7 @@ class NearDuplicates:
     def __init__(self, docs: DataFrame, words: int, threshold: float, bands: int, rows: int, miss: float, hub_rounds: int, crowd_at: int, crowd_shingles: int, broadcast_ids: int):
         self.docs, self.spark = docs_of(docs).filter("doc_id is not null"), docs.sparkSession
         self.words, self.percent, self.bands, self.rows = words, round(100 * threshold), bands, rows
-        self.least = least_matches(bands * rows // BATCH * BATCH, threshold, miss)
+        self.least = pruning_table(bands * rows // BATCH * BATCH, threshold, miss)
         self.hub_rounds, self.crowd_at, self.crowd_shingles, self.broadcast_ids = hub_rounds, crowd_at, crowd_shingles, broadcast_ids
 
     def classes(self) -> None:
@@ -343,8 +363,8 @@ class NearDuplicates:
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 6, miss: float = 0.001, hub_rounds: int = 2, crowd_at: int = 64, crowd_shingles: int = 2_000_000, broadcast_ids: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links of at least ``threshold``), kept.
 
-    ``miss`` is the posterior probability at which a pair is pruned; after
-    ``hub_rounds`` star rounds the members still apart are compared: as pairs in
+    ``miss`` bounds the probability that pruning loses a pair of exactly
+    ``threshold``, all batches together; after ``hub_rounds`` star rounds the members still apart are compared: as pairs in
     buckets of fewer than ``crowd_at`` members, inside tasks in others.
     """
     found = NearDuplicates(docs, words, threshold, bands, rows, miss, hub_rounds, crowd_at, crowd_shingles, broadcast_ids).run()
