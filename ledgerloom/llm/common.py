@@ -14,6 +14,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,33 +84,67 @@ def unrowed(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where none is named (tests), an own temporary one."""
+    """The folder named in spark.checkpoint.dir. A local session that names none (tests) gets a temporary one; on a cluster that is an error, as no other machine would see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder once and return the written table."""
+#: Tables made by ``keep`` within ``kept_within``, innermost last.
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def kept_within() -> Iterator[None]:
+    """Deletes at its end what ``keep`` wrote inside: for callers who have written their own result by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        discard(*_scopes.pop())
+
+
+def keep(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder once and return the written table; a ``lasting`` one outlives ``kept_within``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path
+    if _scopes and not lasting:
+        _scopes[-1].append(out)
     return out
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by ``keep`` that nothing will read again."""
-    for df in tables:
+    for df in tables:  # one that is gone already is no error
         sc = df.sparkSession.sparkContext
         path = sc._jvm.org.apache.hadoop.fs.Path(df._kept_at)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def without(docs: DataFrame, ids: DataFrame, name: str, broadcast_ids: int) -> DataFrame:
+    """``docs`` (all their columns) less the rows of the given doc_ids, which are written once; sent to the executors if they are few enough."""
+    own = fresh(docs.columns, "gone")
+    gone = keep(ids.select(F.col("doc_id").alias(own)).distinct(), name)
+    return docs.join(F.broadcast(gone) if gone.count() <= broadcast_ids else gone, docs["doc_id"].cast("long") == gone[own], "left_anti")
+
+
 def release(spark: SparkSession) -> None:
-    """Let the context cleaner remove shuffle files of frames that are gone."""
+    """Let the context cleaner remove shuffle files of frames that are gone, and give the driver's freed memory back."""
     gc.collect()
+    give_back()
     spark.sparkContext._jvm.System.gc()

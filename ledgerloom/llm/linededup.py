@@ -119,11 +119,11 @@ def _out(rows: DataFrame) -> T.StructType:
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, broadcast_keys: int = 1_000_000) -> DataFrame:
-    """Every document, all its columns, with ``text`` as what stays of it; then n_lines (before) and n_dropped."""
+    """Every document, all its columns (but older ones named n_lines or n_dropped), with ``text`` as what stays of it; then n_lines (before) and n_dropped."""
     base = rowed(docs)
     keys = keep(repeated_keys(docs, min_chars, min_docs), "lines")
     found = (_by_broadcast if keys.count() <= broadcast_keys else _by_join)(base, keys, min_chars)
-    return found.select(*[F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns], "n_lines", "n_dropped")
+    return found.select(*[F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
 
 
 def _by_broadcast(base: DataFrame, keys: DataFrame, min_chars: int) -> DataFrame:

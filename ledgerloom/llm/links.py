@@ -2,13 +2,14 @@
 
 Alternating large-star and small-star rounds: each is an aggregation (with
 partial minima, so a node with very many links is one row per map task) and a
-join. Every round is written to the shared folder. Nothing but the number of
-changed links reaches the driver.
+join. Every round is written to the shared folder, and its count and checksum
+are observed while it is written: nothing else reaches the driver, and no
+round is read again only to see whether it changed anything.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import discard, keep
@@ -33,19 +34,24 @@ def _small_star(links: DataFrame) -> DataFrame:
     return other.filter("a <> b").distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of ``links`` (a, b): component is the smallest node reachable."""
-    now = keep(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
-    mark = None
+def components(links: DataFrame, settled: DataFrame | None = None, rounds: int = 60) -> DataFrame:
+    """(node, component) for every node of ``links`` (a, b): component is the smallest node reachable. ``settled`` holds (node, component) of links known before."""
+    if settled is not None:
+        links = links.select("a", "b").unionByName(settled.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    now, made, mark = links, None, None
     for _ in range(rounds):
-        new = keep(_small_star(_large_star(now)), "links")
-        sums = new.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 40) - 1))), F.lit(0))).first()
-        discard(now)
-        now = new
-        if tuple(sums) == mark:
+        seen = Observation()
+        new = _small_star(_large_star(now)).observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 40) - 1))), F.lit(0)).alias("sum"))
+        new = keep(new, "links")
+        if made is not None:
+            discard(made)
+        now = made = new
+        if seen.get == mark:
             break
-        mark = tuple(sums)
+        mark = seen.get
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    found = keep(now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots), "labels")
+    discard(made)
+    return found

@@ -5,11 +5,11 @@
    here on each class has one representative, so copies never meet each other.
 2. Representatives get ``bands * rows`` MinHash values; equal bands make
    candidates. In each bucket candidates are compared with one hub (a star, one
-   pair a member); after components are known, another hub of each bucket is
-   tried, and at the end members that are still in different components are
-   compared, in crowded buckets within a task and without a row a pair. So no
-   link between different texts is lost that a component needs, and a bucket
-   whose members belong together costs a pair a member and round.
+   pair a member); once components are known, members that are still in
+   different components are compared, in crowded buckets within a task and
+   without a row a pair. So no link between different texts is lost that a
+   component needs, and a bucket whose members belong together costs a pair a
+   member.
 3. A candidate pair's signatures are compared in batches of 16. With a uniform
    prior the similarity's posterior after m matches of n is Beta(m+1, n-m+1);
    as soon as P(similarity >= threshold) is small enough the pair is pruned. How
@@ -23,7 +23,7 @@
 Defined results: a null or empty text, or one without words, has an empty set,
 is linked with nothing and is its own component; fewer words than a shingle
 give one shingle, the whole sequence; repeated rows with one doc_id are one
-node; an empty table gives an empty result; rows without a doc_id are left out
+node, linked by whichever of their texts; an empty table gives an empty result; rows without a doc_id are left out
 of the links and come back as components of their own (null).
 """
 
@@ -31,13 +31,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, discard, docs_of, keep, release
+from .common import arrow_map, discard, docs_of, keep, release, without
 from .links import components
 from .wordhash import U, mix, shingles, unique_by_row, word_blocks
 
@@ -155,7 +156,9 @@ def _sets(words: int):
         for b in batches:
             for first, last, hashes, by_row, _, _ in word_blocks(b.column("text"), lower=True):
                 values, offsets = unique_by_row(*shingles(hashes, by_row, words))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(first, last - first), pa.array([values[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=["rep", "shingles"])
+                at = np.minimum(offsets[:-1], max(len(values) - 1, 0))
+                digest = np.add.reduceat(mix(values ^ U(0x1234567)), at) if len(values) else np.zeros(len(at), U)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(first, last - first), pa.array(digest.view(np.int64)), pa.array([values[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], names=["rep", "digest", "shingles"])
 
     return run
 
@@ -242,64 +245,47 @@ def _crowds(least: list[int], percent: int):
 
 
 class NearDuplicates:
-    """One run: classes, representatives, buckets, and the links found so far."""
+    """One run: classes with their representatives, buckets, and the links found so far."""
 
-    def __init__(self, docs: DataFrame, words: int, threshold: float, bands: int, rows: int, miss: float, hub_rounds: int, crowd_at: int, crowd_shingles: int, broadcast_ids: int):
-        self.docs, self.spark = docs_of(docs).filter("doc_id is not null"), docs.sparkSession
+    def __init__(self, docs: DataFrame, words: int, threshold: float, bands: int, rows: int, miss: float, crowd_at: int, crowd_shingles: int, broadcast_ids: int):
+        self.docs, self.spark = docs_of(docs), docs.sparkSession
         self.words, self.percent, self.bands, self.rows = words, round(100 * threshold), bands, rows
         self.least = pruning_table(bands * rows // BATCH * BATCH, threshold, miss)
-        self.hub_rounds, self.crowd_at, self.crowd_shingles, self.broadcast_ids = hub_rounds, crowd_at, crowd_shingles, broadcast_ids
+        self.crowd_at, self.crowd_shingles, self.broadcast_ids = crowd_at, crowd_shingles, broadcast_ids
 
     def classes(self) -> None:
-        staged = keep(arrow_map(self.docs, _stage(self.words, self.bands * self.rows), STAGED), "signatures")
-        first = staged.filter("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-        self.members = keep(staged.drop("signature").join(first, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
-        alone = self.members.filter("doc_id = rep and n_shingles > 0").select(F.col("doc_id").alias("rep"), "n_shingles").distinct()
-        self.reps = keep(staged.join(alone, (F.col("doc_id") == F.col("rep")) & (staged["n_shingles"] == alone["n_shingles"])).select("rep", alone["n_shingles"].alias("n"), "signature").dropDuplicates(["rep", "n"]), "reps")
-        discard(staged)
+        """All rows with their set's digest, and one row (smallest doc_id, signature) a class of equal sets; copies meet in partial minima."""
+        self.staged = keep(arrow_map(self.docs, _stage(self.words, self.bands * self.rows), STAGED), "signatures")
+        best = self.staged.filter("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2", "n_shingles").agg(F.min(F.struct("doc_id", "signature")).alias("m"))
+        self.reps = keep(best.select("k1", "k2", F.col("n_shingles").alias("n"), F.col("m.doc_id").alias("rep"), F.col("m.signature").alias("signature")), "reps")
         release(self.spark)
 
     def buckets(self) -> None:
-        banded = arrow_map(self.reps, _bands(self.bands, self.rows), "bucket long, rep long, n long")
-        full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most")
-        self.crowd = keep(banded.join(full.select("bucket"), "bucket"), "buckets")
-        release(self.spark)
-
-    def labelled(self, labels: DataFrame | None) -> DataFrame:
-        if labels is None:
-            return self.crowd.withColumn("label", F.col("rep"))
-        return self.crowd.join(labels, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("label"))
-
-    def open_buckets(self, labels: DataFrame | None) -> DataFrame:
-        """Bucket rows (with labels) of those buckets whose members are not all in one component."""
-        rows = self.labelled(labels)
-        open_ = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
+        """Every representative in every bucket that another one shares, with the bucket's hub (its smallest doc_id)."""
+        banded = arrow_map(self.reps.select("rep", "n", "signature"), _bands(self.bands, self.rows), "bucket long, rep long, n long")
+        full = banded.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("most")).filter("hub < most")
+        self.crowd = keep(banded.join(full.select("bucket", "hub"), "bucket"), "buckets")
+
+    def open_buckets(self, labels: DataFrame) -> DataFrame:
+        """Bucket rows with labels, of those buckets whose members are not all in one component, and how many members and shingles they have."""
+        rows = self.crowd.join(labels, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("label"))
+        open_ = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("all")).filter("lo < hi").drop("lo", "hi")
         return keep(rows.join(open_, "bucket"), "open")
 
-    def sized(self, pairs: DataFrame) -> DataFrame:
-        """Pairs of sizes that the threshold allows, each once, smaller id first."""
-        fits = 100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")
-        return pairs.filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    def star(self, rows: DataFrame, turn: int) -> DataFrame:
-        """Every member of an open bucket with the bucket's hub of this turn, where their components differ."""
-        order = F.struct(F.xxhash64("rep", F.lit(turn)) if turn else F.lit(0).cast("long"), F.col("rep"), F.col("n"), F.col("label"))
-        hub = rows.groupBy("bucket").agg(F.min(order).alias("h")).select("bucket", F.col("h.rep").alias("b"), F.col("h.n").alias("nb"), F.col("h.label").alias("lb"))
-        return self.sized(rows.join(hub, "bucket").filter("label <> lb").select(F.col("rep").alias("a"), F.col("n").alias("na"), "b", "nb"))
-
     def rest(self, rows: DataFrame) -> DataFrame:
         """All pairs of an open bucket's members in different components; members are dealt by size class, so only sizes that the threshold allows meet."""
         base = math.log(100 / self.percent)
         step = F.floor(F.log("n") / base)
         x = rows.select("bucket", step.alias("step"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
         y = rows.select("bucket", F.explode(F.array(step - 1, step, step + 1)).alias("step"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-        return self.sized(x.join(y, ["bucket", "step"]).filter("a < b and la <> lb"))
+        fits = 100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")
+        return x.join(y, ["bucket", "step"]).filter("a < b and la <> lb").filter(fits).select("a", "b").distinct()
 
     def sets_of(self, ids: DataFrame) -> DataFrame:
-        """(rep, shingles) of the given doc_ids, from their texts."""
+        """(rep, shingles) of the given doc_ids, from their texts; rows that share a doc_id give each of their different sets."""
         ids = keep(ids.distinct(), "ids")
         wanted = F.broadcast(ids) if ids.count() <= self.broadcast_ids else ids  # 8 bytes an id
-        out = keep(arrow_map(self.docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), _sets(self.words), "rep long, shingles binary").dropDuplicates(["rep"]), "sets")
+        out = keep(arrow_map(self.docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), _sets(self.words), "rep long, digest long, shingles binary").dropDuplicates(["rep", "digest"]).drop("digest"), "sets")
         discard(ids)
         return out
 
@@ -309,19 +295,18 @@ class NearDuplicates:
         blocks = F.greatest(F.ceil(F.col("all") / self.crowd_shingles), F.lit(1)).cast("int")
         dealt = rows.withColumn("block", F.pmod(F.xxhash64("rep"), blocks.cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         dealt = dealt.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "rep", "n", "label", "block")
-        full = dealt.join(self.reps.select("rep", "signature"), "rep").join(sets, "rep")
+        full = dealt.join(self.reps.select("rep", "n", "signature"), ["rep", "n"]).join(sets, "rep")
         found = keep(arrow_map(full.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi"), _crowds(self.least, self.percent), "a long, b long").distinct(), "crowds")
         discard(sets)
-        release(self.spark)
         return found
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """Links among candidate pairs: Bayesian pruning on signatures, then the exact test on full sets."""
-        sig = self.reps.select("rep", "signature")
-        a = pairs.join(sig.withColumnRenamed("rep", "a").withColumnRenamed("signature", "sa"), "a")
-        both = a.join(sig.withColumnRenamed("rep", "b").withColumnRenamed("signature", "sb"), "b")
+        a = pairs.join(self.reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa")), "a")
+        both = a.join(self.reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb")), "b")
+        both = both.filter(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
         likely = keep(arrow_map(both.select("a", "b", "sa", "sb"), _prune(self.least), "a long, b long"), "likely")
-        sets = self.sets_of(likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))))
+        sets = self.sets_of(likely.select(F.explode(F.array("a", "b")).alias("doc_id")))
         pa_ = likely.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("xa")), "a")
         full = pa_.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("xb")), "b")
         found = keep(arrow_map(full.select("a", "b", "xa", "xb"), _verify(self.percent), "a long, b long"), "found")
@@ -332,47 +317,38 @@ class NearDuplicates:
     def run(self) -> DataFrame:
         self.classes()
         self.buckets()
-        found: list[DataFrame] = []
-        labels: DataFrame | None = None
-        for turn in range(self.hub_rounds + 1):
-            rows = self.open_buckets(labels)
-            n = rows.count()
-            if n and turn < self.hub_rounds:
-                found.append(self.verify(self.star(rows, turn)))
-            elif n:
-                sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("all"))
-                sized = keep(rows.join(sizes, "bucket"), "sized")
-                found.append(self.verify(self.rest(sized.filter(F.col("members") < self.crowd_at))))
-                crowded = sized.filter(F.col("members") >= self.crowd_at)
-                if not crowded.isEmpty():
-                    found.append(self.crowds(crowded))
-                discard(sized)
-            discard(rows)
-            if not n or not found:
-                break
-            all_links = found[0]
-            for more in found[1:]:
-                all_links = all_links.unionByName(more)
-            labels = keep(components(all_links), "labels")
-        own = self.members
-        if labels is not None:
-            own = own.join(labels, F.col("rep") == F.col("node"), "left").withColumn("rep", F.coalesce("component", "rep"))
-        return own.select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 6, miss: float = 0.001, hub_rounds: int = 2, crowd_at: int = 64, crowd_shingles: int = 2_000_000, broadcast_ids: int = 1_000_000) -> DataFrame:
+        links = self.verify(self.crowd.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
+        labels = components(links)
+        rows = self.open_buckets(labels)
+        crowded = F.col("members") >= self.crowd_at
+        small, large = rows.agg(F.count(F.when(~crowded, 1)), F.count(F.when(crowded, 1))).first()
+        more = [self.verify(self.rest(rows.filter(~crowded)))] if small else []
+        more += [self.crowds(rows.filter(crowded))] if large else []
+        discard(rows, self.crowd)
+        if more:
+            settled = labels
+            labels = components(reduce(DataFrame.unionByName, more), settled)
+            discard(settled, *more)
+        discard(links)
+        firsts = self.reps.select("k1", "k2", F.col("n").alias("n_shingles"), "rep").join(labels, F.col("rep") == F.col("node"), "left")
+        firsts = firsts.select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+        own = self.staged.select("doc_id", "n_shingles", "k1", "k2").join(firsts, ["k1", "k2", "n_shingles"], "left")
+        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+        return own.select("doc_id", "n_shingles", component.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 6, miss: float = 0.001, crowd_at: int = 64, crowd_shingles: int = 2_000_000, broadcast_ids: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links of at least ``threshold``), kept.
 
     ``miss`` bounds the probability that pruning loses a pair of exactly
-    ``threshold``, all batches together; after ``hub_rounds`` star rounds the members still apart are compared: as pairs in
-    buckets of fewer than ``crowd_at`` members, inside tasks in others.
+    ``threshold``, all batches together; after the hubs' round the members still
+    apart are compared: as pairs in buckets of fewer than ``crowd_at`` members,
+    inside tasks in others.
     """
-    found = NearDuplicates(docs, words, threshold, bands, rows, miss, hub_rounds, crowd_at, crowd_shingles, broadcast_ids).run()
-    nameless = arrow_map(docs_of(docs).filter("doc_id is null"), _stage(words, 16), STAGED).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
-    return found.unionByName(nameless).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    found = NearDuplicates(docs, words, threshold, bands, rows, miss, crowd_at, crowd_shingles, broadcast_ids).run()
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, broadcast_ids: int = 1_000_000, **options) -> DataFrame:
     """The documents (all their columns) that stand for their group; rows that share a doc_id are one document and stay or go together."""
-    gone = keep(near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "copies")
-    return docs.join(F.broadcast(gone) if gone.count() <= broadcast_ids else gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return without(docs, near_duplicates(docs, **options).filter("not kept").select("doc_id"), "copies", broadcast_ids)

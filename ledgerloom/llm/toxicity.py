@@ -51,7 +51,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, docs_of, rowed, unrowed
+from .common import arrow_map, docs_of, release, rowed, unrowed
 from .wordhash import U, mix
 
 #: Beyond ASCII, punctuation, separators, controls and the zero-width space end a word; marks, symbols and letters of all scripts are in it.
@@ -299,7 +299,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, sample_
     listed = spark.createDataFrame(sample, "doc_id long, toxic int").withColumn("fold", fold_of(F.col("doc_id")).cast("int"))
     texts = docs_of(docs).join(F.broadcast(listed), "doc_id")
     sizes = texts.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("n")).toPandas().set_index("doc_id")["n"]
-    inside = sample["doc_id"].map(sizes).fillna(0).cumsum() <= sample_bytes
+    room, fits = sample_bytes, []
+    for n in sample["doc_id"].map(sizes).fillna(0):  # a text that does not fit is passed over
+        fits.append(n <= room)
+        room -= n * fits[-1]
+    inside = pd.Series(fits, index=sample.index, dtype=bool)
     if not inside.all():
         texts = texts.join(F.broadcast(spark.createDataFrame(sample[inside][["doc_id"]], "doc_id long")), "doc_id", "left_semi")
     found = arrow_map(texts.select("text", "toxic", "fold"), _word_counts, "toxic int, fold int, word string, n long").groupBy("toxic", "fold", "word").agg(F.sum("n").alias("n")).toArrow()  # bounded by sample_bytes
@@ -335,12 +339,19 @@ def _scored(rows: DataFrame, model) -> DataFrame:
     return _features(rows, held).withColumn("score", 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0)))))
 
 
+def _model(docs: DataFrame, labels: DataFrame, options: dict):
+    """What ``train`` returns; what it needed on the way is given back."""
+    model = train(docs, labels, **options)
+    release(docs.sparkSession)
+    return model
+
+
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
     """doc_id, held_out, score, predicted, and the features of every document."""
-    scored = _scored(docs_of(docs), train(docs, labels, **options)).drop("text")
+    scored = _scored(docs_of(docs), _model(docs, labels, options)).drop("text")
     return scored.select("doc_id", (fold_of(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *FEATURES)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
     """The documents (all their columns) whose score is below ``threshold``."""
-    return unrowed(_scored(rowed(docs), train(docs, labels, **options)).filter(F.col("score") < threshold), docs.columns)
+    return unrowed(_scored(rowed(docs), _model(docs, labels, options)).filter(F.col("score") < threshold), docs.columns)

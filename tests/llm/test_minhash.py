@@ -51,7 +51,7 @@ def test_one_large_group_of_near_copies_with_unlike_members(spark):
     rows += [(i, " ".join(base)) for i in range(150, 260)] + [(300, None), (301, ""), (302, "w")]
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     want = brute([i for i, _ in rows], [t for _, t in rows], 2)
-    for options in ({}, {"crowd_at": 4, "hub_rounds": 1}, {"crowd_at": 4, "hub_rounds": 0, "crowd_shingles": 700}, {"crowd_at": 10**6, "hub_rounds": 0, "broadcast_ids": 0}):
+    for options in ({}, {"crowd_at": 4}, {"crowd_at": 4, "crowd_shingles": 700}, {"crowd_at": 10**6, "broadcast_ids": 0}):
         got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(d, words=2, **options).collect()}
         assert sum(got[i] != want[i] for i in want) <= 1
 
@@ -81,7 +81,7 @@ def test_pruning_table_keeps_similar_pairs():
 
 def test_pairs_at_the_threshold_are_pruned_as_seldom_as_stated(docs):
     stated = 0.001
-    run = minhash.NearDuplicates(docs, 5, 0.8, 32, 6, stated, 2, 64, 2_000_000, 1_000_000)
+    run = minhash.NearDuplicates(docs, 5, 0.8, 32, 6, stated, 64, 2_000_000, 1_000_000)
     alive, lost = np.array([1.0]), 0.0
     for k, m in enumerate(run.least):
         for _ in range(16):
@@ -106,3 +106,27 @@ def test_components_on_paths_stars_and_cliques(spark):
             root[a] = root[b] = m
     got = {x.node: x.component for x in links.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert {k: v for k, v in got.items()} == {k: v for k, v in root.items() if k in got} and all(root[k] == k for k in root.keys() - got.keys())
+
+
+def test_components_of_links_known_in_part(spark):
+    make = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    first = links.components(make([(1, 2), (5, 6), (9, 8)]))
+    got = {x.node: x.component for x in links.components(make([(6, 2), (20, 21)]), first).collect()}
+    assert got == {1: 1, 2: 1, 5: 1, 6: 1, 8: 8, 9: 8, 20: 20, 21: 20}
+    assert links.components(make([])).count() == 0
+
+
+def test_copies_go_whatever_the_other_columns_are_called(spark):
+    text = "some words that make a text of more than five words"
+    d = spark.createDataFrame([(1, text, 1, 2, 3), (2, text, 4, 5, 6), (None, text, 7, 8, 9)], "doc_id long, text string, _gone int, gone int, node int")
+    got = minhash.drop_near_duplicates(d)
+    assert got.columns == d.columns and sorted(got.select("gone").toPandas()["gone"]) == [2, 8]
+
+
+def test_rows_that_share_an_id_link_by_each_of_their_texts(spark):
+    r = random.Random(8)
+    a, b = ([f"w{r.randint(0, 10**6)}" for _ in range(50)] for _ in range(2))
+    near = lambda w: " ".join([*w[:49], "other"])
+    d = spark.createDataFrame([(1, near(a)), (2, " ".join(a)), (2, " ".join(b)), (3, near(b))], "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(d).collect()}
+    assert got == {1: 1, 2: 1, 3: 1}

@@ -143,7 +143,7 @@ def test_decontamination_finds_substituted_passages_and_no_others(spark):
             leaked.add((i, i % 4))
         docs.append((i, " ".join(w)))
     docs += [(60, None), (61, ""), (62, "short")]
-    b = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] + [(9, None), (10, ""), (11, "too short")], "item_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] + [(9, None), (10, ""), (11, "too short"), (12, "zzz")], "item_id long, text string")
     d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     for tokens in (10**6, 10):
         got = {(x.doc_id, x.item_id) for x in decontam.contamination(d, b, block_tokens=tokens).collect()}
@@ -157,17 +157,23 @@ def brute_chat(rows, part):
         talks[c].append((turn or 0, role or "unknown", text or ""))
     out = Counter()
     for c, said in talks.items():
+        said.sort()
+        stretches, cuts = defaultdict(int), []
+        for t, _, _ in said:
+            k = t // part
+            cuts.append((k, stretches[k] // part))
+            stretches[k] += 1
         for p in {r for _, r, _ in said} - {"system"}:
-            for k in {t // part for t, _, _ in said}:
-                s, spans, n = "", [], 0
-                own = sorted(x for x in said if x[0] // part == k)
+            whole = ""
+            for k, cut in enumerate(sorted(set(cuts))):
+                own, start, spans, n = [x for x, y in zip(said, cuts, strict=True) if y == cut], len(whole), [], 0
                 for _, role, text in own:
-                    s += "<|assistant|>\n" if role == p else "<|system|>\n" if role == "system" else f"<|user name={role}|>\n"
+                    whole += "<|assistant|>\n" if role == p else "<|system|>\n" if role == "system" else f"<|user name={role}|>\n"
                     if role == p:
-                        spans.append(f"{len(s)}-{len(s) + len(text)}")
+                        spans.append(f"{len(whole)}-{len(whole) + len(text)}")
                         n += len(text)
-                    s += text + "\n<|end|>\n"
-                out[c, p, k, len(own), s, ",".join(spans), n] += 1
+                    whole += text + "\n<|end|>\n"
+                out[c, p, k, len(own), start, whole[start:], ",".join(spans), n] += 1
     return out
 
 
@@ -177,7 +183,100 @@ def test_chat_perspectives(spark):
     got = Counter(tuple(r) for r in chat.perspectives(d, turns_a_part=4).collect())
     assert got == brute_chat(rows, 4)
     for r in got:
-        assert sum(int(b) - int(a) for a, b in (x.split("-") for x in r[5].split(",") if x)) == r[6]
+        assert sum(int(b) - int(a) for a, b in (x.split("-") for x in r[6].split(",") if x)) == r[7]
+
+
+def test_a_long_conversation_with_equal_and_null_turn_numbers_is_cut_and_whole(spark):
+    rows = [(1, (i % 3) if i % 2 else None, f"r{i % 5}", f"text {i} é" * (i % 4)) for i in range(2_000)] + [(1, 5_000 + i, "late" if i % 2 else "system", "x") for i in range(1_000)]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    got = Counter(tuple(r) for r in chat.perspectives(d, turns_a_part=100).collect())
+    assert got == brute_chat(rows, 100)
+    for p in {r[1] for r in got}:
+        parts = sorted((r for r in got if r[1] == p), key=lambda r: r[2])
+        assert max(r[3] for r in parts) <= 100 and len(parts) >= 30
+        whole = "".join(r[5] for r in parts)
+        said = ["" if y is None else y for _, _, role, y in rows if role == p]
+        assert sorted(whole[int(a) : int(b)] for r in parts for a, b in (x.split("-") for x in r[6].split(",") if x)) == sorted(said)
+
+
+def brute_alignments(docs, items, stretch=20, agree=0.8, least=5):
+    """(document, item) to the best diagonal's (document start, item start, aligned, equal), all diagonals tried."""
+    tokens = lambda x: re.findall(r"(?:[0-9A-Za-z]|[^\x00-\x7f])+", (x or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    out = {}
+    for i, d in docs:
+        d = tokens(d)
+        for j, t in items:
+            t = tokens(t)
+            need = min(stretch, len(t))
+            if len(t) < least:
+                continue
+            for diagonal in range(-len(t) + 1, len(d)):
+                a, b = max(0, -diagonal), min(len(t), len(d) - diagonal)
+                if b - a < need:
+                    continue
+                same = [t[k] == d[k + diagonal] for k in range(a, b)]
+                if any(5 * sum(same[k : k + need]) >= 4 * need for k in range(len(same) - need + 1)):
+                    now = (a + diagonal, a, b - a, sum(same))
+                    if (i, j) not in out or (now[3], -now[0]) > (out[i, j][3], -out[i, j][0]):
+                        out[i, j] = now
+    return out
+
+
+def test_decontamination_equals_exact_alignment_on_all_diagonals(spark):
+    import random
+
+    r = random.Random(13)
+    vocabulary = [f"w{i}" for i in range(60)] + ["ÉCOLE", "naïve", "日本"]
+    prose = lambda k: r.choices(vocabulary, k=k)
+    items = [(k, prose(n)) for k, n in enumerate([5, 6, 7, 9, 10, 12, 14, 15, 16, 18, 19, 20, 25, 40, 80] * 2)]
+    docs = []
+    for i in range(150):
+        w = prose(r.randint(0, 120))
+        for _ in range(r.randint(0, 2)):
+            own = list(r.choice(items)[1])
+            every = r.choice([0, 4, 5, 6, 9])
+            for k in range(r.randint(0, 4), len(own), every) if every else ():
+                own[k] = "zzz"
+            lo = r.choice([0, 0, len(own) // 4])
+            at = r.randint(0, len(w))
+            w = w[:at] + own[lo:] + w[at:]
+        docs.append((i, r.choice([" ", ", ", "\n"]).join(w)))
+    long = prose(30_000)
+    docs += [(500, " ".join(long[:15_000] + items[14][1] + long[15_000:])), (501, None), (502, "")]
+    docs.append((503, docs[3][1]))
+    texts = [(k, " ".join(x)) for k, x in items] + [(100, "w1 w2 w3"), (101, None), (102, "")]
+    want = brute_alignments(docs, texts)
+    ties = [k for k in want if k[0] < 500]
+    assert len(ties) > 40 and (500, 14) in want
+    d = spark.createDataFrame([(*x, 1, "n") for x in docs] + [(3, docs[3][1], 1, "n")], "doc_id long, text string, item_id int, n_equal string").repartition(4)
+    b = spark.createDataFrame(texts, "item_id long, text string")
+    rows = decontam.contamination(d, b).collect()
+    got = {(x.doc_id, x.item_id): (x.doc_start, x.item_start, x.n_aligned, x.n_equal) for x in rows}
+    assert len(rows) == len(got) and got.keys() == want.keys()
+    assert {k: v[3] for k, v in got.items()} == {k: v[3] for k, v in want.items()}  # as many equal tokens as the best of all diagonals
+    assert sum(got[k] == want[k] for k in want) >= 0.98 * len(want)
+
+
+def test_masks_lose_no_way_to_substitute_a_fifth():
+    from itertools import combinations
+
+    for n, wrong in ((15, 3), (16, 3), (17, 3), (18, 3), (19, 3), (20, 4)):
+        for gone in combinations(range(n), wrong):
+            holes = sum(1 << k for k in gone)
+            assert any(not (int(m[::-1], 2) << at) & holes for m in decontam.MASKS for at in range(n - len(m) + 1))
+    for n in range(5, 15):
+        m = decontam.solid_mask(n, 0.8)
+        for gone in combinations(range(n), n // 5):
+            assert any(not set(range(at, at + len(m))) & set(gone) for at in range(n - len(m) + 1))
+
+
+def test_columns_with_clashing_names_pass(spark):
+    line = "a line of more than forty characters that repeats"
+    d = spark.createDataFrame([(i, f"{line}\nx{i}", i, i, i) for i in range(6)] + [(None, None, 9, 9, 9)], "doc_id long, text string, _leaked int, n_lines int, gone int")
+    got = linededup.dedup_lines(d)
+    assert got.columns == ["doc_id", "text", "_leaked", "gone", "n_lines", "n_dropped"] and {r.n_lines for r in got.collect()} == {1, 2}
+    b = spark.createDataFrame([(1, line)], "item_id long, text string")
+    assert decontam.decontaminate(d, b).columns == d.columns and decontam.decontaminate(d, b).count() == 1
 
 
 def test_empty_tables(spark, no_docs):
