@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontam, linededup, minhash, packing, toxicity
-from ledgerloom.llm.common import keep, read_table
+from ledgerloom.llm.common import discard, keep, kept_within, read_table
 from ledgerloom.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -57,7 +57,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. What a stage wrote on its way is deleted once its own output stands, and an output once the next one does; the last stage's input stays for its reader."""
     docs = read_table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        with kept_within():
+            docs = keep(stage(spark, docs, sf_dir), f"stage-{name}", lasting=True)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
