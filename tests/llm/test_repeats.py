@@ -62,7 +62,7 @@ def test_byte_strings_equal_brute_force(spark, tricky, width, options):
     assert sum(w[1] for w in want) > 500
 
 
-@pytest.mark.parametrize(("width", "options"), [(50, {}), (9, {}), (9, {"group_most": 2, "broadcast_rows": 0})])
+@pytest.mark.parametrize(("width", "options"), [(50, {}), (9, {}), (9, {"group_most": 2, "broadcast_rows": 0}), (9, {"group_most": 3, "steps": (2,)}), (9, {"group_most": 0, "steps": (3, 2)})])
 def test_word_windows_equal_brute_force(spark, tricky, width, options):
     ids = list(range(0, 3 * len(tricky), 3))
     random.Random(1).shuffle(ids)
@@ -91,23 +91,52 @@ def test_every_copy_in_the_smallest_document_of_a_class_is_cut(spark, options):
     assert [want[10 * n + 2][1] for n in range(4)] == [3 * 52, 3 * 60, 3 * 75, 3 * 140]
 
 
-def test_long_rows_are_chunked(spark, monkeypatch):
+@pytest.mark.parametrize("operator", [pfp, substring])
+def test_long_rows_are_chunked(monkeypatch, operator):
     import numpy as np
 
-    from ledgerloom.llm import windows
-
     r = random.Random(3)
-    text = "".join(r.choices("abcd ", k=5000))
+    text = "".join(r.choices("abcd ", k=5000)) + "-" * 700
     text += text[1000:2100]
-    plan = windows.Plan(60, 30, 8, False, False)
     values, offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])
-    monkeypatch.setattr(windows, "CHUNK", 300)
-    parts = list(windows.chunked_runs(values, offsets, plan))
-    starts = np.concatenate([s[:, None] + 0 for _, s, *_ in parts])[:, 0]
-    more = np.concatenate([m for _, _, m, *_ in parts])
+    monkeypatch.setattr(operator, "CHUNK", 300)
+    if operator is pfp:
+        parts = list(pfp._phrases_of_rows(values, offsets, pfp.Parsing(60, 30, 8, 16)))
+    else:
+        parts = list(substring._suffixes_of_rows(values, offsets, substring.Tree(60, 30, 8)))
+    assert len(parts) > 10
+    starts, more = (np.concatenate([x[k] for x in parts]) for k in (1, 2))
     assert sorted(x for s, m in zip(starts, more, strict=True) for x in range(s, s + m + 1)) == list(range(len(text) - 59))
 
 
+def test_phrases_are_cut_by_content_and_hold_each_window_once():
+    import numpy as np
+
+    r = random.Random(4)
+    shared = "".join(r.choices("abcdefgh ", k=900))
+    texts = ["".join(r.choices("abcdefgh ", k=r.randint(0, 700))) + shared + "".join(r.choices("xyz", k=50)) for _ in range(5)] + ["", "short", "q" * 1000]
+    raw = "".join(texts).encode()
+    offsets = np.cumsum([0, *map(len, texts)])
+    row, s, more, dist, k1, k2 = pfp.phrases(np.frombuffer(raw, np.uint8), offsets, pfp.Parsing(400, 192, 16, 64))
+    seen = sorted((i, x) for i, a, m in zip(row.tolist(), s.tolist(), more.tolist(), strict=True) for x in range(a, a + m + 1))
+    assert seen == [(i, x) for i, t in enumerate(texts) for x in range(len(t) - 399)]
+    of = {(i, a + j): k for i, a, m, k in zip(row.tolist(), s.tolist(), more.tolist(), k1.tolist(), strict=True) for j in range(m + 1)}
+    for j in range(501):  # equal windows lie in phrases of equal k1
+        assert len({of[i, texts[i].index(shared) + j] for i in range(5)}) == 1
+
+
+def test_rows_without_an_id_or_with_a_repeated_one_keep_their_own_spans(spark):
+    r = random.Random(14)
+    prose = lambda k: " ".join(f"v{r.randint(0, 10**6)}" for _ in range(k))
+    shared = prose(120)
+    texts = [prose(r.randint(1, 40)) + (" " + shared + " " + prose(3) if i % 9 == 0 else "") for i in range(3_000)]
+    d = spark.createDataFrame([(None if i % 2 else 7, i, t) for i, t in enumerate(texts)], "doc_id long, n int, text string").repartition(4)
+    got = {x._row.n: tuple(x)[1:] for x in pfp.dedup_bytes(d, digest=True).collect()}
+    assert got == dict(enumerate(brute_bytes(texts, 400)))
+    got = {x._row.n: tuple(x)[1:] for x in substring.dedup_words(d, digest=True).collect()}
+    assert got == dict(enumerate(brute_words([-1 if i % 2 else 7 for i in range(3_000)], texts, 50)))
+
+
 def test_repeats_nulls_and_empty_tables(spark, no_docs):
     assert pfp.dedup_bytes(no_docs).count() == 0 and substring.dedup_words(no_docs).count() == 0
     long = " ".join(f"w{i}" for i in range(200))
