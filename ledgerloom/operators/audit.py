@@ -1,17 +1,18 @@
 """Hash-chained audit log: extension and verification.
 
 A link is SHA-256 over the previous link and length-prefixed fields. The chain
-of a firm is a fold, so it is extended in one Arrow group per firm (an audit
-log of one firm); verification needs no fold: each row is checked against the
-row before it by a window, and the recomputed link is a column expression.
+of a firm is a fold, so a firm's new events pass one task in order;
+verification needs no fold: each row is checked against the row before it by a
+window, and the recomputed link is a column expression.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,23 +35,33 @@ def link(previous: Column) -> Column:
     return F.sha2(F.concat(F.unhex(previous), *[_feed(F.col(f)) for f in FIELDS]), 256)
 
 
-def extend(events: DataFrame) -> DataFrame:
-    """Add prev_hash and hash to ordered events (FIELDS) of each firm."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        out, prev = [], bytes(32)
-        for r in pdf[list(FIELDS)].astype(object).itertuples(index=False):
-            buffer = prev
-            for v in r:
-                raw = b"" if v is None else str(v).encode()
-                buffer += (b"\x00" if v is None else b"\x01") + len(raw).to_bytes(4, "big") + raw
-            now = hashlib.sha256(buffer).digest()
-            out.append((prev.hex(), now.hex()))
-            prev = now
-        return pdf[list(FIELDS)].assign(prev_hash=[a for a, _ in out], hash=[b for _, b in out])
-
-    return events.select(*FIELDS).groupBy("firm_id").applyInPandas(run, events.select(*FIELDS).schema.add("prev_hash", "string").add("hash", "string"))
+def extend(events: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """Add prev_hash and hash to events (FIELDS) of each firm, in order of seq, after its pinned head if ``heads`` has one.
+
+    A link needs the one before it, so a firm's events pass one task in order,
+    which holds one link however many there are.
+    """
+    own = events.select(*FIELDS)
+    schema = own.schema.add("prev_hash", "string").add("hash", "string")
+    if heads is not None:
+        own = own.join(heads.select("firm_id", F.col("head_hash").alias("_head")), "firm_id", "left")
+    else:
+        own = own.withColumn("_head", F.lit(None).cast("string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firm, link_now = None, b""
+        for b in batches:
+            before, after = [], []
+            for *values, head in zip(*[b.column(c).to_pylist() for c in (*FIELDS, "_head")], strict=True):
+                if firm is None or values[0] != firm[0]:
+                    firm, link_now = (values[0],), bytes.fromhex(head or GENESIS)
+                before.append(link_now.hex())
+                raw = [None if v is None else str(v).encode() for v in values]
+                link_now = hashlib.sha256(link_now + b"".join(b"\x00" + bytes(4) if v is None else b"\x01" + len(v).to_bytes(4, "big") + v for v in raw)).digest()
+                after.append(link_now.hex())
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in FIELDS], pa.array(before, pa.string()), pa.array(after, pa.string())], names=[*FIELDS, "prev_hash", "hash"])
+
+    return own.repartition("firm_id").sortWithinPartitions("firm_id", "seq").mapInArrow(run, schema)
 
 
 def verify(chain: DataFrame, heads: DataFrame) -> DataFrame:

@@ -94,10 +94,15 @@ def determine(lines: DataFrame, aliases: DataFrame, rules: RuleSet) -> tuple[Dat
     return work, decide(decompose(work, rules), rules)
 
 
-def incremental(lines: DataFrame, aliases: DataFrame, rules: RuleSet, dirty: DataFrame, previous: DataFrame) -> DataFrame:
-    """Decisions after recomputing only the dirty (firm, client) of the rule year; the others are carried over. A dirty client without live rows loses its decisions."""
+def incremental(lines: DataFrame, aliases: DataFrame, rules: RuleSet, dirty: DataFrame, previous: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Decisions after recomputing only the dirty (firm, client) of the rule year; the others are carried over from ``previous``, the stored decisions. A dirty client without live rows loses its decisions.
+
+    ``dirty`` should be a stored table: it is read twice. Where it is small it is
+    sent to the executors, so lines stored by client are pruned to its clients.
+    """
     scope = dirty.filter(F.col("tax_year") == rules.tax_year).select("firm_id", "client_id").distinct()
-    part = lines.join(F.broadcast(scope) if scope.count() <= 1_000_000 else scope, ["firm_id", "client_id"], "left_semi")
+    scope = F.broadcast(scope) if scope.count() <= broadcast_rows else scope
+    part = lines.join(scope, ["firm_id", "client_id"], "left_semi")
     return previous.join(scope, ["firm_id", "client_id"], "left_anti").unionByName(determine(part, aliases, rules)[1])
 
 

@@ -5,11 +5,15 @@ Every operator is a set query over snapshots with the clock as a parameter.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import batch_key, fields_hash, uuid5
 
+# States, what each may become, and what a reader is told of a filing that cannot go out.
 MUTABLE = ("DRAFT", "READY_TO_TRANSMIT", "BLOCKED")
 FROZEN = ("BATCHED", "SUBMITTED_UNACKNOWLEDGED")
 FILING_TRANSITIONS = {
@@ -34,13 +38,17 @@ def preflight() -> tuple[Column, Column]:
     return reason, kind
 
 
-def plan(decisions: DataFrame) -> DataFrame:
-    """One filing per required decision: name-based id, content hash, READY_TO_TRANSMIT or BLOCKED with reason."""
+def plan(decisions: DataFrame, number: Column | None = None, generation: Column | None = None) -> DataFrame:
+    """One filing per required decision: name-based id, content hash, READY_TO_TRANSMIT or BLOCKED with reason.
+
+    ``number`` is the number as it goes out on the wire, for the content hash (the
+    blind index where a caller has no plaintext); ``generation`` counts from 1.
+    """
     reason, kind = preflight()
     d = decisions.filter("form_required")
     d = d.withColumn("filing_id", uuid5(F.concat_ws("|", "firm_id", "client_id", "tax_year", "vendor_key")))
-    d = d.withColumns({"block_reason": reason, "attention_type": kind, "generation": F.lit(1)})
-    d = d.withColumn("content_hash", fields_hash(F.lit("v1"), F.col("filing_id"), F.col("generation"), F.col("tax_year"), F.coalesce("tin_bidx", F.lit("")), F.col("display_name"), F.col("reportable_cents"), F.col("withholding_cents")))
+    d = d.withColumns({"block_reason": reason, "attention_type": kind, "generation": F.lit(1) if generation is None else generation})
+    d = d.withColumn("content_hash", fields_hash(F.lit("v1"), F.col("filing_id"), F.col("generation"), F.col("tax_year"), F.coalesce(F.col("tin_bidx") if number is None else number, F.lit("")), F.col("display_name"), F.col("reportable_cents"), F.col("withholding_cents")))
     return d.select("filing_id", "firm_id", "client_id", "tax_year", "vendor_key", "generation", F.when(F.col("block_reason").isNull(), "READY_TO_TRANSMIT").otherwise("BLOCKED").alias("state"), "block_reason", "attention_type", "content_hash", F.col("reportable_cents").alias("amount_cents"), "withholding_cents", F.col("display_name").alias("recipient_name"))
 
 
@@ -73,8 +81,13 @@ def bad_transitions(before: DataFrame, after: DataFrame, id_: str, table: dict[s
 
 def seal(filings: DataFrame, size: int = 100) -> DataFrame:
     """Members (filing_id, firm_id, client_id, tax_year, generation, content_hash, batch_no) of batches of at most ``size`` filings of one client, in id order."""
-    w = Window.partitionBy("firm_id", "client_id", "tax_year").orderBy("filing_id")
-    return filings.select("filing_id", "firm_id", "client_id", "tax_year", "generation", "content_hash", F.floor((F.row_number().over(w) - 1) / size).cast("int").alias("batch_no"))
+    book = ["firm_id", "client_id", "tax_year"]
+    own = filings.withColumn("_range", F.substring("filing_id", 1, 3))  # ids are ranked within ranges, so a large client is spread over many tasks
+    before = Window.partitionBy(*book).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = own.groupBy(*book, "_range").agg(F.count(F.lit(1)).alias("_n")).select(*book, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy(*book, "_range").orderBy("filing_id")) - 1
+    ranked = own.withColumn("_rank", rank).join(counts, [*book, "_range"])
+    return ranked.select("filing_id", *book, "generation", "content_hash", F.floor((F.col("_before") + F.col("_rank")) / size).cast("int").alias("batch_no"))
 
 
 def batches(members: DataFrame) -> DataFrame:
@@ -85,16 +98,17 @@ def batches(members: DataFrame) -> DataFrame:
 
 def correlate(members: DataFrame, acks: DataFrame) -> DataFrame:
     """Acknowledgments to members by reference, never by position: MATCHED, MISSING (no ack) or UNEXPECTED (no member)."""
-    m = members.select("filing_id", F.lit(True).alias("member"))
-    a = acks.select(F.col("reference").alias("filing_id"), "outcome", F.lit(True).alias("acked"))
+    key = ["firm_id", "filing_id"]
+    m = members.select(*key, F.lit(True).alias("member"))
+    a = acks.select("firm_id", F.col("reference").alias("filing_id"), "outcome", F.lit(True).alias("acked"))
     kind = F.when(F.col("acked").isNull(), "MISSING").when(F.col("member").isNull(), "UNEXPECTED").otherwise("MATCHED")
-    return m.join(a, "filing_id", "full_outer").select("filing_id", kind.alias("kind"), "outcome")
+    return m.join(a, key, "full_outer").select(*key, kind.alias("kind"), "outcome")
 
 
 def apply_acks(filings: DataFrame, correlated: DataFrame) -> DataFrame:
     """Filings' states after matched acknowledgments; those already decided are skipped, so applying twice changes nothing."""
-    a = correlated.filter("kind = 'MATCHED'").select("filing_id", "outcome")
-    return filings.join(a, "filing_id", "left").withColumn("state", F.when((F.col("state") == "SUBMITTED_UNACKNOWLEDGED") & F.col("outcome").isNotNull(), F.col("outcome")).otherwise(F.col("state"))).drop("outcome")
+    a = correlated.filter("kind = 'MATCHED'").select("firm_id", "filing_id", "outcome")
+    return filings.join(a, ["firm_id", "filing_id"], "left").withColumn("state", F.when((F.col("state") == "SUBMITTED_UNACKNOWLEDGED") & F.col("outcome").isNotNull(), F.col("outcome")).otherwise(F.col("state"))).drop("outcome")
 
 
 def ack_outcome() -> Column:
@@ -103,9 +117,16 @@ def ack_outcome() -> Column:
 
 
 def calls_in_window(calls: DataFrame, window_us: int) -> DataFrame:
-    """Calls of the same firm within the window that ends with each call."""
-    w = Window.partitionBy("firm_id").orderBy("at_us").rangeBetween(-window_us, 0)
-    return calls.withColumn("calls", F.count(F.lit(1)).over(w))
+    """Calls of the same firm within the window that ends with each call.
+
+    Time is cut into stretches of a window's length; a call counts in its own and,
+    as a guest, in the next one, so a firm with very many calls is spread over
+    many tasks.
+    """
+    stretch = F.floor(F.col("at_us") / window_us)
+    places = F.array(F.struct(stretch.alias("at"), F.lit(False).alias("guest")), F.struct((stretch + 1).alias("at"), F.lit(True).alias("guest")))
+    w = Window.partitionBy("firm_id", "_place.at").orderBy("at_us").rangeBetween(-window_us, 0)
+    return calls.withColumn("_place", F.explode(places)).withColumn("calls", F.count(F.lit(1)).over(w)).filter("not _place.guest").drop("_place")
 
 
 def over_limit(calls: DataFrame, window_us: int, limit: int) -> DataFrame:
@@ -123,25 +144,44 @@ def budget(calls: DataFrame, now_us: int, window_us: int, limit: int) -> DataFra
     return calls.groupBy("firm_id").agg(used.alias("used"), F.count(F.when(inside & (F.col("call_type") == "STATUS"), 1)).alias("polls"), F.greatest(F.lit(limit) - used, F.lit(0)).cast("long").alias("remaining"), F.max("at_us").alias("last_call"))
 
 
+def safe_window_us(window_us: int, ratio: float = 0.02, floor_us: int = 250_000) -> int:
+    """The promised window, widened by a share of it or by the floor, whichever is more: a call left out is then so old that no delay on the way brings it back into the endpoint's window."""
+    return window_us + max(round(window_us * ratio), floor_us)
+
+
 def admit(calls: DataFrame, window_us: int, limit: int) -> DataFrame:
-    """Greedy sequential admission per firm: a call is granted while fewer than ``limit`` grants lie in the window before it. Sequential by nature, so one firm is one Arrow group; grants older than the window are forgotten."""
-    import pandas as pd
+    """Greedy sequential admission per firm: a call is granted while fewer than ``limit`` grants lie in the window before it (see ``safe_window_us``), and else told when the oldest of them leaves it.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    Whether a call is granted depends on all grants before it, so a firm's calls
+    are read in order by one task; what that task holds is the last ``limit``
+    grants, however many calls there are.
+    """
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import deque
 
-        pdf = pdf.sort_values(["at_us", "call_id"])
-        held, ok, retry = deque(), [], []
-        for t in pdf["at_us"]:
-            while held and held[0] <= t - window_us:
-                held.popleft()
-            ok.append(len(held) < limit)
-            retry.append(None if ok[-1] else held[0] + window_us)
-            if ok[-1]:
-                held.append(t)
-        return pd.DataFrame({"firm_id": pdf["firm_id"], "call_id": pdf["call_id"], "granted": ok, "retry_at_us": pd.array(retry, "Int64")})
+        firm, held = None, deque()
+        for b in batches:
+            granted, retry = [], []
+            for f, t in zip(b.column("firm_id").to_pylist(), b.column("at_us").to_pylist(), strict=True):
+                if f != firm:
+                    firm, held = f, deque()
+                while held and held[0] <= t - window_us:
+                    held.popleft()
+                granted.append(len(held) < limit)
+                retry.append(None if granted[-1] else held[0] + window_us)
+                if granted[-1]:
+                    held.append(t)
+            yield pa.RecordBatch.from_arrays([b.column("firm_id"), b.column("call_id"), pa.array(granted, pa.bool_()), pa.array(retry, pa.int64())], names=["firm_id", "call_id", "granted", "retry_at_us"])
+
+    rows = calls.select(*[F.col(c).cast("long").alias(c) for c in ("firm_id", "call_id", "at_us")])
+    return rows.repartition("firm_id").sortWithinPartitions("firm_id", "at_us", "call_id").mapInArrow(run, "firm_id long, call_id long, granted boolean, retry_at_us long")
+
 
-    return calls.select("firm_id", "call_id", "at_us").groupBy("firm_id").applyInPandas(run, "firm_id long, call_id long, granted boolean, retry_at_us long")
+def reserved_polls(limit: int, share: float) -> int:
+    """How many of ``limit`` calls a window keeps for status polls."""
+    return math.ceil(limit * share)
 
 
 def claims(work: DataFrame, now_us: int, polls: Column, reserved: int) -> DataFrame:
@@ -173,8 +213,41 @@ def transition(work: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def latest_attempts(log: DataFrame) -> DataFrame:
     """Append-only attempts: the latest outcome of each (a null outcome was never learned)."""
-    w = Window.partitionBy("attempt_id").orderBy(F.col("event_no").desc())
-    return log.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    return log.groupBy("attempt_id").agg(F.max_by(F.struct(*log.columns), F.struct("event_no")).alias("_last")).select("_last.*")
+
+
+# -- reconciliation of batches whose fate is not known --------------------------
+
+
+def flag_ambiguous(work: DataFrame) -> DataFrame:
+    """Batches that were sent without an answer ask for reconciliation."""
+    return work.withColumn("needs_reconcile", F.col("needs_reconcile") | (F.col("state") == "DISPATCHED"))
+
+
+def planning_waits(work: DataFrame) -> DataFrame:
+    """(firm_id, planning_waits): no firm plans new batches while one of its own is unclear."""
+    return flag_ambiguous(work).groupBy("firm_id").agg(F.bool_or("needs_reconcile").alias("planning_waits"))
+
+
+def endpoint_status(work: DataFrame, members: DataFrame, recorded: DataFrame) -> DataFrame:
+    """(batch_id, status) as the endpoint's books have it: UNKNOWN (never came), PENDING (in part), RESOLVED."""
+    done = members.join(recorded.select("firm_id", "filing_id").distinct(), ["firm_id", "filing_id"], "left_semi").groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
+    status = F.when(F.col("n").isNull(), "UNKNOWN").when(F.col("n") < F.col("filing_count"), "PENDING").otherwise("RESOLVED")
+    return work.join(done, "batch_id", "left").select("batch_id", status.alias("status"))
+
+
+def may_release(attempts: DataFrame) -> DataFrame:
+    """(batch_id, releasable): members may go back only if the one attempt made is known not to have reached the endpoint. ``attempts``: batch_id, attempt_no, sent (null: never learned)."""
+    return attempts.groupBy("batch_id").agg(((F.max("attempt_no") == 1) & F.bool_and(F.coalesce(~F.col("sent"), F.lit(False)))).alias("releasable"))
+
+
+def reconcile(work: DataFrame, status: DataFrame) -> DataFrame:
+    """Flagged batches after the endpoint was asked: what never came is sealed again and sent anew, what it holds is submitted or acknowledged; the flag and the lease go. Other batches, and those already at their end, stay."""
+    j = flag_ambiguous(work).join(status, "batch_id", "left")
+    open_ = F.col("needs_reconcile") & F.col("state").isin("SEALED", "DISPATCHED", "SUBMITTED")
+    state = F.when(open_ & (F.col("status") == "UNKNOWN") & (F.col("state") != "SUBMITTED"), "SEALED").when(open_ & (F.col("status") == "PENDING"), "SUBMITTED").when(open_ & (F.col("status") == "RESOLVED"), "ACKNOWLEDGED").otherwise(F.col("state"))
+    asked = open_ & F.col("status").isNotNull()
+    return j.select("batch_id", state.alias("state"), (F.col("needs_reconcile") & ~asked).alias("needs_reconcile"), F.when(~asked, F.col("lease_until_us")).alias("lease_until_us"))
 
 
 # -- invariants: rows that violate them ---------------------------------------
@@ -219,4 +292,4 @@ def orphans(members: DataFrame, work: DataFrame) -> DataFrame:
 
 
 def resubmitted(members: DataFrame) -> DataFrame:
-    return members.groupBy("filing_id", "generation").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    return members.groupBy("firm_id", "filing_id", "generation").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")

@@ -16,9 +16,9 @@ KEY = ["firm_id", "client_id", "source_system", "source_txn_id"]
 
 
 def keep_last(staged: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """The last physical copy of each key; ``order`` must be total."""
-    w = Window.partitionBy(*key).orderBy(*[c.desc() for c in order])
-    return staged.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """The last physical copy of each key; ``order`` must be total. A maximum, so copies meet before the shuffle."""
+    best = staged.groupBy(*key).agg(F.max_by(F.struct(*staged.columns), F.struct(*order)).alias("_best"))
+    return best.select("_best.*")
 
 
 def duplicate_ordinals(rows: DataFrame, natural: list[str], order: list[Column]) -> DataFrame:
@@ -67,21 +67,33 @@ def change_counts(changes: DataFrame) -> DataFrame:
 def checksum(snapshot: DataFrame) -> DataFrame:
     """Order-free checksum of the live rows of each firm: XOR of the hashes' leading 64 bits, and counts."""
     live = ~F.col("deleted")
+    bits = row_bits(F.col("row_hash"))
     return snapshot.groupBy("firm_id").agg(
-        F.coalesce(F.expr("bit_xor(CASE WHEN NOT deleted THEN bits END)"), F.lit(0)).alias("book_xor"), F.count(F.when(live, 1)).alias("n_live"),
+        F.coalesce(F.bit_xor(F.when(live, bits)), F.lit(0)).alias("book_xor"), F.count(F.when(live, 1)).alias("n_live"),
         F.count(F.when(F.col("deleted"), 1)).alias("n_deleted"), F.count_distinct(F.when(live, F.col("client_id"))).alias("n_clients"),
         F.coalesce(F.sum(F.when(live, F.col("amount_cents"))), F.lit(0)).alias("live_cents"),
-    ) if "bits" in snapshot.columns else checksum(snapshot.withColumn("bits", row_bits(F.col("row_hash"))))
+    )
 
 
-def verify_idempotent(before: DataFrame, after: DataFrame, changes: DataFrame) -> DataFrame:
-    """Seven checks (check, ok) that a repeated import changed nothing."""
-    a, b = checksum(before), checksum(after)
-    same = {c: a.select("firm_id", c).exceptAll(b.select("firm_id", c)).isEmpty() and b.select("firm_id", c).exceptAll(a.select("firm_id", c)).isEmpty() for c in ("book_xor", "n_live", "n_deleted", "n_clients", "live_cents")}
-    counts = {r["change"]: r["n"] for r in change_counts(changes).collect()}  # six kinds at most
-    same["no_inserts_or_updates"] = not any(counts.get(k) for k in ("inserted", "updated", "resurrected"))
-    same["no_tombstones"] = not counts.get("tombstoned")
-    return before.sparkSession.createDataFrame(sorted(same.items()), "check string, ok boolean")
+CHECKS = ("book_xor", "live_cents", "n_clients", "n_deleted", "n_live", "no_inserts_or_updates", "no_tombstones")
+
+
+def verify_idempotent(changes: DataFrame) -> DataFrame:
+    """Seven checks (check, ok) that a repeated import changed nothing, from its changes alone: old and new snapshot stand side by side in them, so the checksums before and after are one aggregation of one join."""
+    before = F.col("o_row_hash").isNotNull() & ~F.coalesce("o_deleted", F.lit(False))
+    there = F.col("n_row_hash").isNotNull()
+    gone = F.when(F.col("change") == "tombstoned", True).when(F.col("change") == "untouched", F.col("o_deleted")).otherwise(False)
+    sums = []
+    for side, live, dead, old in (("b", before, F.col("o_row_hash").isNotNull() & F.col("o_deleted"), F.lit(True)), ("a", ~gone, gone, ~there)):
+        value = lambda c, old=old: F.when(old, F.col(f"o_{c}")).otherwise(F.col(f"n_{c}"))
+        sums += [
+            F.coalesce(F.bit_xor(F.when(live, row_bits(value("row_hash")))), F.lit(0)).alias(f"{side}_book_xor"), F.coalesce(F.sum(F.when(live, value("amount_cents"))), F.lit(0)).alias(f"{side}_live_cents"),
+            F.count_distinct(F.when(live, F.col("client_id"))).alias(f"{side}_n_clients"), F.count(F.when(dead, 1)).alias(f"{side}_n_deleted"), F.count(F.when(live, 1)).alias(f"{side}_n_live"),
+        ]
+    of = lambda *kinds: F.count(F.when(F.col("change").isin(*kinds), 1)) == 0
+    firms = changes.groupBy("firm_id").agg(*sums, of("inserted", "updated", "resurrected").alias("no_inserts_or_updates"), of("tombstoned").alias("no_tombstones"))
+    ok = [F.coalesce(F.bool_and(F.col(c) if c.startswith("no_") else F.col(f"b_{c}") == F.col(f"a_{c}")), F.lit(True)).alias(c) for c in CHECKS]
+    return firms.agg(*ok).select(F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias("ok")) for c in CHECKS])).alias("x")).select("x.*")
 
 
 def upsert_coalesce(old: DataFrame, new: DataFrame, key: list[str], sticky: list[str], latest: list[str]) -> DataFrame:
@@ -95,8 +107,10 @@ def upsert_coalesce(old: DataFrame, new: DataFrame, key: list[str], sticky: list
 def vendors(rows: DataFrame) -> DataFrame:
     """One vendor per (firm, client, identity): the number or else the name; prefers rows with a number, then the latest payment."""
     key = F.coalesce(F.concat(F.lit("TIN:"), "tin_bidx"), F.concat(F.lit("NAME:"), "name_norm"))
-    w = Window.partitionBy("firm_id", "client_id", "natural_key").orderBy(F.col("tin_bidx").isNull(), F.col("payment_date").desc(), F.col("line_id"))
-    return rows.withColumn("natural_key", key).withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("firm_id", "client_id", "natural_key", "name_raw", "tin_last4", "tin_status", "payment_date")
+    kept = ["name_raw", "tin_last4", "tin_status", "payment_date"]
+    latest_first = F.coalesce(-F.unix_date("payment_date"), F.lit((1 << 31) - 1))
+    best = F.min_by(F.struct(*kept), F.struct(F.col("tin_bidx").isNull(), latest_first, F.col("line_id"))).alias("_best")
+    return rows.withColumn("natural_key", key).groupBy("firm_id", "client_id", "natural_key").agg(best).select("firm_id", "client_id", "natural_key", "_best.*")
 
 
 def history(current: DataFrame, decided: DataFrame, scope: DataFrame, key: list[str], values: list[str], run: int, only_changes: bool = True) -> DataFrame:

@@ -2,16 +2,56 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+HEADER = "run_id int, state string, counters string, phases_ms string"
+
+
 def run_header(spark: SparkSession, run_id: int, state: str, counters: dict[str, int], phases_ms: dict[str, int]) -> DataFrame:
     """One row: counters and phase timings as JSON with sorted keys."""
-    import json
+    return spark.createDataFrame([(run_id, state, json.dumps(counters, sort_keys=True), json.dumps(phases_ms, sort_keys=True))], HEADER)
+
+
+class Run:
+    """A run with its phases timed: RUNNING inside the ``with`` block, then COMPLETED, or FAILED if it raised.
+
+    >>> with Run(spark, 7) as run:
+    ...     with run.phase("merge"):
+    ...         run.count(inserted=n)
+    """
+
+    def __init__(self, spark: SparkSession, run_id: int):
+        self.spark, self.run_id, self.state = spark, run_id, "NEW"
+        self.counters: dict[str, int] = {}
+        self.phases_ms: dict[str, int] = {}
+
+    def __enter__(self) -> Run:
+        self.state = "RUNNING"
+        return self
+
+    def __exit__(self, kind, value, trace) -> None:
+        self.state = "COMPLETED" if kind is None else "FAILED"
+
+    @contextmanager
+    def phase(self, name: str) -> Iterator[None]:
+        """Adds what the block took, whether it ends well or not."""
+        began = time.monotonic()
+        try:
+            yield
+        finally:
+            self.phases_ms[name] = self.phases_ms.get(name, 0) + round(1000 * (time.monotonic() - began))
+
+    def count(self, **counters: int) -> None:
+        self.counters.update(counters)
 
-    return spark.createDataFrame([(run_id, state, json.dumps(counters, sort_keys=True), json.dumps(phases_ms, sort_keys=True))], "run_id int, state string, counters string, phases_ms string")
+    def header(self) -> DataFrame:
+        return run_header(self.spark, self.run_id, self.state, self.counters, self.phases_ms)
 
 
 def book_submissions(book: DataFrame, sent: DataFrame) -> DataFrame:

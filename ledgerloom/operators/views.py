@@ -64,8 +64,11 @@ def rejection_summary(rejections: DataFrame, sample: int = 5) -> DataFrame:
     """Rejections of the latest completed run by file and reason, with the first line numbers."""
     latest = rejections.agg(F.max("run_id").alias("run_id"))
     own = rejections.join(F.broadcast(latest), "run_id")
-    first = own.withColumn("_n", F.row_number().over(Window.partitionBy("file_name", "reason_code").orderBy("line_no")))
-    return first.groupBy("file_name", "reason_code").agg(F.count(F.lit(1)).alias("n_rows"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("_n") <= sample, F.col("line_no")))), ",").alias("sample_lines"))
+    kind = ["file_name", "reason_code"]
+    counts = own.groupBy(*kind).agg(F.count(F.lit(1)).alias("n_rows"))
+    first = own.select(*kind, "line_no", F.row_number().over(Window.partitionBy(*kind).orderBy("line_no")).alias("_n")).filter(F.col("_n") <= sample)  # each task passes on its first ones only
+    lines = first.groupBy(*kind).agg(F.array_join(F.array_sort(F.collect_list("line_no")), ",").alias("sample_lines"))
+    return counts.join(lines, kind)
 
 
 def exception_groups(view: DataFrame) -> DataFrame:
@@ -83,3 +86,52 @@ def open_by_type(attention: DataFrame) -> DataFrame:
 
 def outstanding(work: DataFrame) -> DataFrame:
     return work.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.sum("filing_count").alias("filings"), F.count(F.when(F.col("needs_reconcile"), 1)).alias("to_reconcile"), F.min("next_action_us").alias("next_action_us"))
+
+
+# -- pages: relations that a reader opens one of ------------------------------
+
+
+def latest_run(rejections: DataFrame) -> DataFrame:
+    """The rows of the last run."""
+    return rejections.join(F.broadcast(rejections.agg(F.max("run_id").alias("run_id"))), "run_id")
+
+
+def lookup(rows: DataFrame, **values) -> DataFrame:
+    """Rows whose columns hold one of the given values (a list) or the given value."""
+    for column, value in values.items():
+        rows = rows.filter(F.col(column).isin(*value) if isinstance(value, (list, tuple)) else F.col(column) == value)
+    return rows
+
+
+def client_detail(decisions: DataFrame, filings: DataFrame, client_id: int) -> DataFrame:
+    """A client's vendors with what was decided and the state of their filing, the largest amount first."""
+    key = ["client_id", "vendor_key", "tax_year"]
+    own = decisions.filter(F.col("client_id") == client_id).join(filings.select(*key, "filing_id", F.col("state").alias("filing_state")), key, "left")
+    return own.orderBy(F.col("reportable_cents").desc(), "vendor_key").select("vendor_key", "display_name", "reportable_cents", "filing_id", "filing_state")
+
+
+def payment_evidence(classified: DataFrame, client_id: int) -> DataFrame:
+    """A client's payments by vendor, in order, with why each counted or did not."""
+    own = classified.filter(F.col("client_id") == client_id)
+    return own.orderBy("vendor_key", "payment_date", "line_id").select("vendor_key", "payment_date", "line_id", "amount_cents", "disposition", F.col("disposition").startswith("COUNTED").alias("counted"))
+
+
+def open_attention(attention: DataFrame, filings: DataFrame) -> DataFrame:
+    """Open items with the recipient's name, most urgent first."""
+    named = filings.select(F.col("filing_id").alias("entity_id"), "recipient_name")
+    return attention.filter("resolved_at is null").join(named, "entity_id").orderBy("severity", "entity_id").select("severity", "type", "entity_id", "recipient_name")
+
+
+def batch_list(work: DataFrame) -> DataFrame:
+    return work.orderBy("firm_id", "client_id", "batch_id").select("firm_id", "client_id", "batch_id", "state")
+
+
+def resolve_attention(attention: DataFrame, done: DataFrame) -> DataFrame:
+    """Attention after items named in ``done`` (entity_id, resolved_at) are resolved; what was resolved before keeps its time."""
+    now = done.select("entity_id", F.col("resolved_at").alias("_now"))
+    return attention.join(now, "entity_id", "left").withColumn("resolved_at", F.coalesce("resolved_at", "_now")).drop("_now")
+
+
+def acknowledge_exceptions(raised: DataFrame, notes: DataFrame) -> DataFrame:
+    """Exceptions with a reader's note; one that was seen stays in the list."""
+    return raised.join(notes, ["client_id", "vendor_key", "code"], "left")

@@ -12,20 +12,33 @@ from pyspark.sql import functions as F
 
 from ..operators import determine as D
 from ..operators import filings as B
+from ..operators import merge as M
 from ..rules import RuleSet
+from ..session import scratch
 from ..sources.testdata import LEDGER_SQL, aliases, ledger, table
 
 RULES = RuleSet()
 BATCH_SIZE = 20
 NOW_US, LEASE_US = 1_900_000_000, 1_500_000_000
+SCOPE = "o_tax_year BETWEEN 1996 AND 1998"
+SNAP = ["firm_id", "client_id", "source_system", "source_txn_id", "tax_year", "amount_cents", "name_norm", "row_hash"]
 
 
 def digit(c: str, n: int):
     return F.conv(F.substring(F.md5(F.col(c)), n, 1), 16, 10).cast("int")
 
 
+#: Where a session has stored a relation of a directory's tables.
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
 class Book:
-    """Lazily derived relations over one directory of tables."""
+    """Lazily derived relations over one directory of tables.
+
+    What an engine keeps between runs (the ledger by client, decisions, filings,
+    the dirty set, the merged snapshot) is written by the first query of a session
+    that reads it and read from there by the others.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -39,6 +52,43 @@ class Book:
             self._made[name] = make()
         return self._made[name]
 
+    def stored(self, name: str, make, by: tuple[str, ...] = ()) -> DataFrame:
+        """The relation ``name``, written once in the session; ``by`` names the columns its files are parted by."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        sc = self.spark.sparkContext
+        if key in _STORED:
+            path = sc._jvm.org.apache.hadoop.fs.Path(f"{_STORED[key]}/_SUCCESS")
+            if path.getFileSystem(sc._jsc.hadoopConfiguration()).exists(path):
+                return self.spark.read.parquet(_STORED[key])
+        where = scratch(self.spark, name)
+        df = make()
+        (df.repartition(*by) if by else df).write.partitionBy(*by).parquet(where)
+        _STORED[key] = where
+        return self.spark.read.parquet(where)
+
+    @property
+    def stored_ledger(self) -> DataFrame:
+        return self._once("stored_ledger", lambda: self.stored("ledger", lambda: self.ledger, ("client_id",)))
+
+    @property
+    def decisions(self) -> DataFrame:
+        """The stored result of the last full determination."""
+        return self._once("decisions", lambda: self.stored("decisions", lambda: self.decided))
+
+    @property
+    def changes(self) -> DataFrame:
+        return M.diff(self.old_snapshot, self.new_source, F.expr(SCOPE))
+
+    @property
+    def dirty(self) -> DataFrame:
+        """The stored dirty set of the import."""
+        return self._once("dirty", lambda: self.stored("dirty", lambda: M.dirty_units(self.changes)))
+
+    @property
+    def snapshot(self) -> DataFrame:
+        """The stored snapshot after the import."""
+        return self._once("snapshot", lambda: self.stored("snapshot", lambda: M.merged(self.changes, SNAP)))
+
     @property
     def classified(self) -> DataFrame:
         return self._once("classified", lambda: D.determine(self.ledger, self.aliases, RULES)[0])
@@ -49,7 +99,7 @@ class Book:
 
     @property
     def planned(self) -> DataFrame:
-        return self._once("planned", lambda: B.plan(self.decided))
+        return self._once("planned", lambda: B.plan(self.decisions))
 
     @property
     def filings(self) -> DataFrame:
@@ -59,7 +109,7 @@ class Book:
             f = self.planned.withColumn("state", state)
             return f.withColumns({"record_id": F.when((F.col("state") == "ACCEPTED") & (e != 0), F.concat(F.lit("REC-"), F.substring(F.md5("filing_id"), 3, 8))), "reject_code": F.when((F.col("state") == "REJECTED") & (e != 0), "R-AMOUNT")})
 
-        return self._once("filings", lambda: make().persist())  # several relations are derived from it
+        return self._once("filings", lambda: self.stored("filings", make))
 
     @property
     def members(self) -> DataFrame:
@@ -96,7 +146,7 @@ class Book:
         def make():
             s = self.filings.filter("state = 'SUBMITTED_UNACKNOWLEDGED'").withColumn("e", digit("filing_id", 2))
             out = F.when(F.col("e") % 2 == 0, "ACCEPTED").otherwise("REJECTED").alias("outcome")
-            return s.filter("e < 8").select(F.col("filing_id").alias("reference"), out).unionByName(s.filter("e = 8").select(F.concat(F.lit("x"), "filing_id").alias("reference"), out))
+            return s.filter("e < 8").select("firm_id", F.col("filing_id").alias("reference"), out).unionByName(s.filter("e = 8").select("firm_id", F.concat(F.lit("x"), "filing_id").alias("reference"), out))
 
         return self._once("acks", make)
 
@@ -193,7 +243,7 @@ work AS (SELECT batch_id, firm_id, client_id, filing_count, CASE WHEN x[1] < 4 T
 done AS (SELECT m.firm_id, m.filing_id, m.generation, f.state, f.e FROM members m JOIN filings f ON m.filing_id = f.filing_id),
 recorded AS (SELECT firm_id, filing_id, generation FROM done WHERE state IN ('ACCEPTED', 'REJECTED') AND e <> 1 UNION ALL SELECT firm_id, filing_id, generation FROM done WHERE state IN ('ACCEPTED', 'REJECTED') AND e = 2
  UNION ALL SELECT firm_id, filing_id, generation FROM done WHERE state = 'BATCHED' AND e = 3),
-acks AS (SELECT CASE WHEN e = 8 THEN 'x' || filing_id ELSE filing_id END AS reference, CASE WHEN e % 2 = 0 THEN 'ACCEPTED' ELSE 'REJECTED' END AS outcome FROM filings WHERE state = 'SUBMITTED_UNACKNOWLEDGED' AND e <= 8),
+acks AS (SELECT firm_id, CASE WHEN e = 8 THEN 'x' || filing_id ELSE filing_id END AS reference, CASE WHEN e % 2 = 0 THEN 'ACCEPTED' ELSE 'REJECTED' END AS outcome FROM filings WHERE state = 'SUBMITTED_UNACKNOWLEDGED' AND e <= 8),
 attention AS (SELECT attention_type AS type, 5 AS severity, 'FILING' AS entity_type, filing_id AS entity_id, client_id, CASE WHEN e = 4 THEN 1 END AS resolved_at FROM filings WHERE state = 'BLOCKED'
  UNION ALL SELECT 'FILING_REJECTED', 3, 'FILING', filing_id, client_id, CASE WHEN e = 4 THEN 1 END FROM filings WHERE state = 'REJECTED' AND e <> 5),
 calls AS (SELECT user_id AS firm_id, event_id AS call_id, epoch_us(ts) AS at_us, CASE WHEN event_id % 3 = 0 THEN 'STATUS' ELSE 'SUBMIT' END AS call_type FROM events),

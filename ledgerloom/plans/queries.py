@@ -14,16 +14,16 @@ from ..operators import filings as B
 from ..operators import merge as M
 from ..operators import runs as R
 from ..operators import views as V
-from ..session import SHARED, FirmSession
+from ..reasons import REASONS, reason_codes
+from ..session import SHARED, FirmSession, scratch
 from ..sources import export, writer
 from ..sources.testdata import table
-from .book import BATCH_SIZE, BOOK_SQL, NOW_US, RULES, Book, digit
+from .book import BATCH_SIZE, BOOK_SQL, NOW_US, RULES, SCOPE, SNAP, Book, digit
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 HOUR, LIMIT = 3_600_000_000, 2
 AS_TEXT = ("n_tins", "valid_to", "resolved_at", "lease_until_us", "worst_severity", "worst")
-SCOPE = "o_tax_year BETWEEN 1996 AND 1998"
 
 
 def _dates_as_text(df: DataFrame) -> DataFrame:
@@ -62,20 +62,14 @@ add("jn1_jn8_resolved_lines", lambda b: b.classified.select("line_id", "n_tins",
 add("set2_exceptions", lambda b: D.exceptions(b.decided).select("firm_id", "client_id", "vendor_key", "code", "severity"), "SELECT firm_id, client_id, vendor_key, code, severity FROM raised")
 add("jsn1_exception_details", lambda b: D.exceptions(b.decided).select("firm_id", "client_id", "vendor_key", "code", "detail"), """SELECT firm_id, client_id, vendor_key, code, '{"displayName":"' || display_name || '","reportableCents":' || reportable_cents || '}' AS detail FROM raised""")
 
-#: What each disposition says to a reader.
-REASONS = [
-    ("COUNTED", "Counted toward the threshold."), ("COUNTED_REVERSAL", "Reversal or refund; reduces the year's net."), ("EXCLUDED_OUT_OF_TAX_YEAR", "Paid outside the tax year."), ("EXCLUDED_VOID", "Voided before it settled; no money moved."),
-    ("EXCLUDED_NON_SERVICES", "Not for services, so not nonemployee compensation."), ("EXCLUDED_CARD_TPSO", "Paid by card or third-party network."), ("EXCLUDED_ZERO_AMOUNT", "Zero amount."),
-]
-REASON_SQL = ", ".join("('{}', '{}')".format(a, t.replace("'", "''")) for a, t in REASONS)
-add("src10_reason_codes", lambda b: b.spark.createDataFrame(REASONS, "code string, human_text string"), f"SELECT * FROM (VALUES {REASON_SQL}) v(code, human_text)", book=False)
-add("jn3_jn12_explanations", lambda b: D.explanations(b.classified, b.spark.createDataFrame(REASONS, "code string, human_text string")), f"SELECT firm_id, client_id, vendor_key, line_id, identity_source, disposition, counted_cents, human_text FROM classified LEFT JOIN (VALUES {REASON_SQL}) v(code, human_text) ON disposition = code")
+REASON_SQL = ", ".join("('{}', '{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in REASONS)
+add("src10_reason_codes", lambda b: reason_codes(b.spark), f"SELECT * FROM (VALUES {REASON_SQL}) v(code, category, human_text)", book=False)
+add("jn3_jn12_explanations", lambda b: D.explanations(b.classified, reason_codes(b.spark)), f"SELECT firm_id, client_id, vendor_key, line_id, identity_source, disposition, counted_cents, human_text FROM classified LEFT JOIN (VALUES {REASON_SQL}) v(code, category, human_text) ON disposition = code")
 add("golden_explained_equals_total", lambda b: D.unreconciled(b.classified, b.decided), "SELECT firm_id, client_id, vendor_key, reportable_cents, reportable_cents AS explained FROM decided WHERE false")
 
 
 def _incremental(b: Book) -> DataFrame:
-    dirty = M.dirty_units(M.diff(b.old_snapshot, b.new_source, F.expr(SCOPE))).filter("client_id % 3 = 0")
-    return D.incremental(b.ledger, b.aliases, RULES, dirty, b.decided).select(*DECIDED)
+    return D.incremental(b.stored_ledger, b.stored("aliases", lambda: b.aliases), RULES, b.dirty.filter("client_id % 3 = 0"), b.decisions).select(*DECIDED)
 
 
 add("flt4_state2_incremental_determination", _incremental, f"SELECT {', '.join(DECIDED)} FROM decided")
@@ -85,10 +79,9 @@ add("state_ruleset_hash", lambda b: b.spark.createDataFrame([(RULES.version,)],
 
 
 def _changes(b: Book) -> DataFrame:
-    return M.diff(b.old_snapshot, b.new_source, F.expr(SCOPE))
+    return b.changes
 
 
-SNAP = ["firm_id", "client_id", "source_system", "source_txn_id", "tax_year", "amount_cents", "name_norm", "row_hash"]
 add("dml1_idempotent_merge", lambda b: _changes(b).select("firm_id", "client_id", "source_txn_id", "change"), "SELECT firm_id, client_id, source_txn_id, change FROM changes")
 add("dml1_change_counts", lambda b: M.change_counts(_changes(b)), "SELECT change, count(*) AS n FROM changes GROUP BY change")
 add("dml1_new_snapshot", lambda b: M.merged(_changes(b), SNAP), """SELECT firm_id, client_id, source_system, source_txn_id, CASE WHEN n_row_hash IS NOT NULL THEN n_tax_year ELSE o_tax_year END AS tax_year, CASE WHEN n_row_hash IS NOT NULL THEN n_amount_cents ELSE o_amount_cents END AS amount_cents,
@@ -112,18 +105,25 @@ add("dml4_client_upsert", lambda b: M.upsert_coalesce(table(b.spark, b.sf_dir, "
     "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS segment, CASE WHEN c_custkey % 3 <> 1 THEN lower(c_name) ELSE c_name END AS c_name FROM customer", book=False)
 add("dml5_jn17_tombstones", lambda b: _changes(b).filter("change = 'tombstoned'").select("firm_id", "client_id", "source_txn_id"), "SELECT o.firm_id, o.client_id, o.source_txn_id FROM old_snapshot o WHERE NOT deleted AND tax_year BETWEEN 1996 AND 1998 AND NOT EXISTS (SELECT 1 FROM new_source n WHERE n.firm_id = o.firm_id AND n.client_id = o.client_id AND n.source_system = o.source_system AND n.source_txn_id = o.source_txn_id)")
 add("dml13_set1_dirty_units", lambda b: M.dirty_units(_changes(b)), "SELECT DISTINCT firm_id, client_id, tax_year FROM (SELECT firm_id, client_id, o_tax_year AS tax_year FROM changes WHERE change NOT IN ('unchanged', 'untouched') UNION SELECT firm_id, client_id, n_tax_year FROM changes WHERE change NOT IN ('unchanged', 'untouched')) x WHERE tax_year IS NOT NULL")
-add("ag7_ag8_book_checksum", lambda b: M.checksum(b.old_snapshot.withColumn("bits", F.conv(F.substring("row_hash", 1, 15), 16, 10).cast("long"))), "SELECT firm_id, coalesce(bit_xor(CASE WHEN NOT deleted THEN CAST('0x' || substr(row_hash, 1, 15) AS BIGINT) END), 0) AS book_xor, count(*) FILTER (WHERE NOT deleted) AS n_live, count(*) FILTER (WHERE deleted) AS n_deleted, count(DISTINCT CASE WHEN NOT deleted THEN client_id END) AS n_clients, CAST(coalesce(sum(amount_cents) FILTER (WHERE NOT deleted), 0) AS BIGINT) AS live_cents FROM old_snapshot GROUP BY firm_id")
+XOR_SQL = "bit_xor(CASE WHEN NOT deleted THEN CAST('0x' || substr(row_hash, 1, 16) AS UBIGINT) ELSE 0::UBIGINT END)"
+add("ag7_ag8_book_checksum", lambda b: M.checksum(b.old_snapshot), f"SELECT firm_id, CAST(CAST(x AS HUGEINT) - CASE WHEN x > 9223372036854775807 THEN 18446744073709551616::HUGEINT ELSE 0 END AS BIGINT) AS book_xor, n_live, n_deleted, n_clients, live_cents FROM (SELECT firm_id, {XOR_SQL} AS x, count(*) FILTER (WHERE NOT deleted) AS n_live, count(*) FILTER (WHERE deleted) AS n_deleted, count(DISTINCT CASE WHEN NOT deleted THEN client_id END) AS n_clients, CAST(coalesce(sum(amount_cents) FILTER (WHERE NOT deleted), 0) AS BIGINT) AS live_cents FROM old_snapshot GROUP BY firm_id) y")
 
 
 def _reimport(b: Book) -> DataFrame:
-    first = M.merged(M.diff(b.old_snapshot, b.new_source, F.expr(SCOPE)), SNAP)
-    again = M.diff(first, b.new_source, F.expr(SCOPE))
-    return M.verify_idempotent(first, M.merged(again, SNAP), again)
+    return M.verify_idempotent(M.diff(b.snapshot, b.new_source, F.expr(SCOPE)))
 
 
 add("i10_import_idempotency", _reimport, "SELECT * FROM (VALUES ('book_xor', true), ('live_cents', true), ('n_clients', true), ('n_deleted', true), ('n_live', true), ('no_inserts_or_updates', true), ('no_tombstones', true)) v(\"check\", ok)", book=False)
 
 
+add("i10_first_import_is_no_repetition", lambda b: M.verify_idempotent(_changes(b)), """, after AS (SELECT firm_id, client_id, CASE WHEN n_row_hash IS NOT NULL THEN n_amount_cents ELSE o_amount_cents END AS amount_cents, coalesce(n_row_hash, o_row_hash) AS row_hash, CASE change WHEN 'tombstoned' THEN true WHEN 'untouched' THEN o_deleted ELSE false END AS deleted FROM changes),
+sums AS (SELECT 'b' AS side, firm_id, client_id, amount_cents, row_hash, deleted FROM old_snapshot UNION ALL SELECT 'a', * FROM after),
+firms AS (SELECT side, firm_id, """ + XOR_SQL + """ AS book_xor, coalesce(sum(amount_cents) FILTER (WHERE NOT deleted), 0) AS live_cents, count(DISTINCT CASE WHEN NOT deleted THEN client_id END) AS n_clients, count(*) FILTER (WHERE deleted) AS n_deleted, count(*) FILTER (WHERE NOT deleted) AS n_live FROM sums GROUP BY side, firm_id),
+p AS (SELECT bool_and(x.book_xor = y.book_xor) AS k1, bool_and(x.live_cents = y.live_cents) AS k2, bool_and(x.n_clients = y.n_clients) AS k3, bool_and(x.n_deleted = y.n_deleted) AS k4, bool_and(x.n_live = y.n_live) AS k5 FROM firms x JOIN firms y ON x.firm_id = y.firm_id AND x.side = 'a' AND y.side = 'b'),
+q AS (SELECT count(*) FILTER (WHERE change IN ('inserted', 'updated', 'resurrected')) = 0 AS k6, count(*) FILTER (WHERE change = 'tombstoned') = 0 AS k7 FROM changes)
+SELECT unnest(['book_xor', 'live_cents', 'n_clients', 'n_deleted', 'n_live', 'no_inserts_or_updates', 'no_tombstones']) AS \"check\", unnest([k1, k2, k3, k4, k5, k6, k7]) AS ok FROM p, q""".replace('\\"', '"'))
+
+
 def _history(b: Book) -> DataFrame:
     key, values = ["firm_id", "client_id", "vendor_key"], ["reportable_cents", "form_required"]
     v1 = b.decided.select(*key, *values).withColumns({"valid_from": F.lit(1), "valid_to": F.lit(None).cast("int")})
@@ -137,7 +137,7 @@ UNION ALL SELECT firm_id, client_id, vendor_key, reportable_cents + 1, form_requ
 add("dml6_evidence_upsert", lambda b: M.upsert_coalesce(b.classified.filter("client_id % 2 = 0").select("line_id", F.lit("OLD").alias("disposition")), b.classified.filter("client_id % 3 = 0").select("line_id", "disposition"), ["line_id"], [], ["disposition"]), "SELECT line_id, CASE WHEN client_id % 3 = 0 THEN disposition ELSE 'OLD' END AS disposition FROM classified WHERE client_id % 3 = 0 OR client_id % 2 = 0")
 add("dml8_insert_if_absent", lambda b: M.insert_if_absent(D.exceptions(b.decided).filter("client_id % 2 = 0").select("vendor_key", "client_id", "code", F.lit(1).alias("run")), D.exceptions(b.decided).select("vendor_key", "client_id", "code", F.lit(2).alias("run")), ["vendor_key", "client_id", "code"]), "SELECT vendor_key, client_id, code, CASE WHEN client_id % 2 = 0 THEN 1 ELSE 2 END AS run FROM raised")
 add("dml10_freeze_violations", lambda b: B.freeze_violations(b.filings, b.filings.withColumn("content_hash", F.when(F.substring("filing_id", 1, 1) == "0", F.lit("changed")).otherwise(F.col("content_hash")))), "SELECT filing_id, state AS b_state, state FROM filings WHERE state IN ('BATCHED', 'SUBMITTED_UNACKNOWLEDGED') AND substr(filing_id, 1, 1) = '0'")
-add("dml12_exception_acknowledgment", lambda b: D.exceptions(b.decided).select("client_id", "vendor_key", "code").join(D.exceptions(b.decided).filter("client_id % 5 = 0").select("client_id", "vendor_key", "code", F.lit("seen").alias("note")), ["client_id", "vendor_key", "code"], "left"), "SELECT client_id, vendor_key, code, CASE WHEN client_id % 5 = 0 THEN 'seen' END AS note FROM raised")
+add("dml12_exception_acknowledgment", lambda b: V.acknowledge_exceptions(D.exceptions(b.decisions).select("client_id", "vendor_key", "code"), D.exceptions(b.decisions).filter("client_id % 5 = 0").select("client_id", "vendor_key", "code", F.lit("seen").alias("note"))), "SELECT client_id, vendor_key, code, CASE WHEN client_id % 5 = 0 THEN 'seen' END AS note FROM raised")
 add("wn3_duplicate_ordinals", lambda b: M.duplicate_ordinals(b.ledger.select("client_id", "name_norm", "method", "payment_date", "line_id"), ["client_id", "name_norm", "method"], [F.col("payment_date"), F.col("line_id")]).select("line_id", "ordinal"), "SELECT line_id, CAST(row_number() OVER (PARTITION BY client_id, name_norm, method ORDER BY payment_date, line_id) AS INTEGER) AS ordinal FROM ledger")
 
 # -- filings ------------------------------------------------------------------
@@ -148,11 +148,11 @@ y AS (SELECT *, CASE WHEN e_state IN ('READY_TO_TRANSMIT', 'BLOCKED') AND e_hash
 SELECT filing_id, action, CASE WHEN action = 'update' THEN p_state ELSE e_state END AS state, CASE WHEN action = 'update' THEN p_hash ELSE e_hash END AS content_hash FROM y""")
 add("wn6_sl4_batch_members", lambda b: b.members.select("filing_id", "firm_id", "client_id", "batch_no"), "SELECT filing_id, firm_id, client_id, batch_no FROM members")
 add("hsh8_dml14_batch_keys", lambda b: B.batches(b.members), "SELECT firm_id, client_id, tax_year, batch_no, CAST(count(*) AS INTEGER) AS filing_count, 'b1.' || substr(replace(replace(replace(base64(unhex(sha256(firm_id || chr(31) || client_id || chr(31) || tax_year || chr(31) || string_agg(filing_id || chr(31) || generation || chr(31) || content_hash || chr(31), '' ORDER BY filing_id)))), '+', '-'), '/', '_'), '=', ''), 1, 32) AS idempotency_key FROM members GROUP BY firm_id, client_id, tax_year, batch_no")
-add("jn22_set5_ack_correlation", lambda b: B.correlate(b.filings.filter("state = 'SUBMITTED_UNACKNOWLEDGED'"), b.acks), "SELECT coalesce(f.filing_id, a.reference) AS filing_id, CASE WHEN a.reference IS NULL THEN 'MISSING' WHEN f.filing_id IS NULL THEN 'UNEXPECTED' ELSE 'MATCHED' END AS kind, outcome FROM (SELECT * FROM filings WHERE state = 'SUBMITTED_UNACKNOWLEDGED') f FULL OUTER JOIN acks a ON f.filing_id = a.reference")
-add("state8_ack_apply", lambda b: B.apply_acks(b.filings.select("filing_id", "state"), B.correlate(b.filings.filter("state = 'SUBMITTED_UNACKNOWLEDGED'"), b.acks)), "SELECT f.filing_id, coalesce(a.outcome, f.state) AS state FROM filings f LEFT JOIN acks a ON f.filing_id = a.reference AND f.state = 'SUBMITTED_UNACKNOWLEDGED'")
+add("jn22_set5_ack_correlation", lambda b: B.correlate(b.filings.filter("state = 'SUBMITTED_UNACKNOWLEDGED'"), b.acks), "SELECT coalesce(f.firm_id, a.firm_id) AS firm_id, coalesce(f.filing_id, a.reference) AS filing_id, CASE WHEN a.reference IS NULL THEN 'MISSING' WHEN f.filing_id IS NULL THEN 'UNEXPECTED' ELSE 'MATCHED' END AS kind, outcome FROM (SELECT * FROM filings WHERE state = 'SUBMITTED_UNACKNOWLEDGED') f FULL OUTER JOIN acks a ON f.firm_id = a.firm_id AND f.filing_id = a.reference")
+add("state8_ack_apply", lambda b: B.apply_acks(b.filings.select("firm_id", "filing_id", "state"), B.correlate(b.filings.filter("state = 'SUBMITTED_UNACKNOWLEDGED'"), b.acks)).select("filing_id", "state"), "SELECT f.filing_id, coalesce(a.outcome, f.state) AS state FROM filings f LEFT JOIN acks a ON f.filing_id = a.reference AND f.state = 'SUBMITTED_UNACKNOWLEDGED'")
 add("prj10_ack_outcome", lambda b: b.decided.filter("form_required").withColumnRenamed("reportable_cents", "amount_cents").select("vendor_key", "client_id", B.ack_outcome().alias("reject_code")), "SELECT vendor_key, client_id, CASE WHEN tin_bidx IS NULL THEN 'R-TIN-FORMAT' WHEN starts_with(tin_last4, '000') THEN 'R-TIN-PREFIX' WHEN reportable_cents <= 0 AND withholding_cents <= 0 THEN 'R-AMOUNT' END AS reject_code FROM decided WHERE form_required")
-add("src12_endpoint_status", lambda b: b.work.join(b.members.join(b.recorded.select("filing_id").distinct(), "filing_id").groupBy("batch_id").agg(F.count(F.lit(1)).alias("n")), "batch_id", "left").select("batch_id", F.when(F.col("n").isNull(), "UNKNOWN").when(F.col("n") < F.col("filing_count"), "PENDING").otherwise("RESOLVED").alias("status")), "SELECT w.batch_id, CASE WHEN n IS NULL THEN 'UNKNOWN' WHEN n < filing_count THEN 'PENDING' ELSE 'RESOLVED' END AS status FROM work w LEFT JOIN (SELECT batch_id, count(*) AS n FROM members WHERE filing_id IN (SELECT filing_id FROM recorded) GROUP BY batch_id) x ON w.batch_id = x.batch_id")
-add("dml11_attention_resolve", lambda b: b.attention.join(b.filings.filter("client_id % 4 = 0").select(F.col("filing_id").alias("entity_id"), F.lit(2).alias("done")), "entity_id", "left").select("entity_id", "type", F.coalesce("resolved_at", "done").alias("resolved_at")), "SELECT entity_id, type, CAST(coalesce(resolved_at, CASE WHEN client_id % 4 = 0 THEN 2 END) AS VARCHAR) AS resolved_at FROM attention")
+add("src12_endpoint_status", lambda b: B.endpoint_status(b.work, b.members, b.recorded), "SELECT w.batch_id, CASE WHEN n IS NULL THEN 'UNKNOWN' WHEN n < filing_count THEN 'PENDING' ELSE 'RESOLVED' END AS status FROM work w LEFT JOIN (SELECT batch_id, count(*) AS n FROM members WHERE filing_id IN (SELECT filing_id FROM recorded) GROUP BY batch_id) x ON w.batch_id = x.batch_id")
+add("dml11_attention_resolve", lambda b: V.resolve_attention(b.attention, b.filings.filter("client_id % 4 = 0").select(F.col("filing_id").alias("entity_id"), F.lit(2).alias("resolved_at"))).select("entity_id", "type", "resolved_at"), "SELECT entity_id, type, CAST(coalesce(resolved_at, CASE WHEN client_id % 4 = 0 THEN 2 END) AS VARCHAR) AS resolved_at FROM attention")
 
 
 def _evidence(b: Book) -> DataFrame:
@@ -178,12 +178,23 @@ def _budget(b: Book) -> DataFrame:
 
 
 add("ag21_flt7_window_counters", _budget, f", n AS (SELECT max(at_us) AS now FROM calls) SELECT firm_id, count(*) FILTER (WHERE at_us > now - {24 * HOUR}) AS used, count(*) FILTER (WHERE at_us > now - {24 * HOUR} AND call_type = 'STATUS') AS polls, greatest(20 - count(*) FILTER (WHERE at_us > now - {24 * HOUR}), 0) AS remaining, max(at_us) AS last_call FROM calls, n GROUP BY firm_id")
-add("state3_rate_admission", lambda b: B.admit(b.calls, HOUR, 1).select("firm_id", "call_id", "granted", "retry_at_us"))
+GRANTS, CALL_WINDOW = 2, B.safe_window_us(12 * HOUR)
+add("state3_rate_admission", lambda b: B.admit(b.calls, CALL_WINDOW, GRANTS).withColumn("retry_at_us", F.col("retry_at_us").cast("string")), f"""WITH RECURSIVE calls AS (SELECT user_id AS firm_id, event_id AS call_id, epoch_us(ts) AS at_us FROM events),
+o AS (SELECT firm_id, call_id, at_us, row_number() OVER (PARTITION BY firm_id ORDER BY at_us, call_id) AS k FROM calls),
+walk AS (SELECT firm_id, call_id, k, true AS granted, NULL::BIGINT AS retry_at_us, [at_us] AS held FROM o WHERE k = 1
+ UNION ALL SELECT o.firm_id, o.call_id, o.k, len(held) < {GRANTS} OR held[1] <= at_us - {CALL_WINDOW}, CASE WHEN len(held) < {GRANTS} OR held[1] <= at_us - {CALL_WINDOW} THEN NULL ELSE held[1] + {CALL_WINDOW} END,
+  CASE WHEN len(held) < {GRANTS} THEN list_append(held, at_us) WHEN held[1] <= at_us - {CALL_WINDOW} THEN list_append(held[2:], at_us) ELSE held END FROM walk JOIN o ON o.firm_id = walk.firm_id AND o.k = walk.k + 1)
+SELECT firm_id, call_id, granted, CAST(retry_at_us AS VARCHAR) AS retry_at_us FROM walk""", book=False)
 POLLS = 3
 add("set4_state4_priority_classes", lambda b: B.claims(b.work, NOW_US, F.lit(POLLS), 5).select("batch_id", "cls"), f"SELECT batch_id, CAST(cls AS INTEGER) AS cls FROM (SELECT *, 0 AS cls FROM work WHERE needs_reconcile UNION ALL SELECT *, 1 FROM work WHERE state = 'SEALED' UNION ALL SELECT *, 1 FROM work WHERE state IN ('DISPATCHED', 'SUBMITTED') AND NOT needs_reconcile) x WHERE next_action_us <= {NOW_US} AND (lease_until_us IS NULL OR lease_until_us < {NOW_US})")
 add("sl3_queue_claim", lambda b: B.claim_next(b.work, NOW_US, F.lit(9), 5).select("batch_id", "state", "needs_reconcile"), f"SELECT batch_id, state, needs_reconcile FROM (SELECT *, 0 AS cls FROM work WHERE needs_reconcile UNION ALL SELECT *, 1 FROM work WHERE state = 'SEALED' UNION ALL SELECT *, 2 FROM work WHERE state IN ('DISPATCHED', 'SUBMITTED') AND NOT needs_reconcile) x WHERE next_action_us <= {NOW_US} AND (lease_until_us IS NULL OR lease_until_us < {NOW_US}) ORDER BY cls, next_action_us, batch_id LIMIT 1")
 add("state6_stuck_sweep", lambda b: B.stuck(b.work, NOW_US, 200_000_000), f"SELECT batch_id, CASE state WHEN 'DISPATCHED' THEN 'SUBMISSION_INDETERMINATE_TOO_LONG' ELSE 'SUBMISSION_UNACKNOWLEDGED_TOO_LONG' END AS type, CASE state WHEN 'DISPATCHED' THEN 1 ELSE 4 END AS severity FROM work WHERE state IN ('DISPATCHED', 'SUBMITTED') AND next_action_us < {NOW_US - 200_000_000}")
-add("state7_reconcile_gate", lambda b: b.work.groupBy("firm_id").agg(F.bool_or(F.col("needs_reconcile") | (F.col("state") == "DISPATCHED")).alias("planning_waits")), "SELECT firm_id, bool_or(needs_reconcile OR state = 'DISPATCHED') AS planning_waits FROM work GROUP BY firm_id")
+add("state7_reconcile_gate", lambda b: B.planning_waits(b.work), "SELECT firm_id, bool_or(needs_reconcile OR state = 'DISPATCHED') AS planning_waits FROM work GROUP BY firm_id")
+add("state7_reconciled_batches", lambda b: B.reconcile(b.work, B.endpoint_status(b.work, b.members, b.recorded)), """, s AS (SELECT w.*, (w.needs_reconcile OR w.state = 'DISPATCHED') AS flag, CASE WHEN n IS NULL THEN 'UNKNOWN' WHEN n < filing_count THEN 'PENDING' ELSE 'RESOLVED' END AS status FROM work w LEFT JOIN (SELECT batch_id, count(*) AS n FROM members WHERE filing_id IN (SELECT filing_id FROM recorded) GROUP BY batch_id) x ON w.batch_id = x.batch_id)
+SELECT batch_id, CASE WHEN NOT flag OR state IN ('ACKNOWLEDGED', 'VOID') THEN state WHEN status = 'RESOLVED' THEN 'ACKNOWLEDGED' WHEN status = 'PENDING' THEN 'SUBMITTED' WHEN state = 'SUBMITTED' THEN state ELSE 'SEALED' END AS state,
+ flag AND state IN ('ACKNOWLEDGED', 'VOID') AS needs_reconcile, CAST(CASE WHEN NOT flag OR state IN ('ACKNOWLEDGED', 'VOID') THEN lease_until_us END AS VARCHAR) AS lease_until_us FROM s""")
+add("state9_releasable_batches", lambda b: B.may_release(table(b.spark, b.sf_dir, "events").select(F.col("user_id").alias("batch_id"), F.when(F.col("event_id") % 3 == 0, 2).otherwise(1).alias("attempt_no"), F.when(F.col("event_id") % 5 != 0, F.col("event_id") % 2 == 0).alias("sent"))), "SELECT user_id AS batch_id, max(CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END) = 1 AND bool_and(event_id % 5 <> 0 AND event_id % 2 <> 0) AS releasable FROM events GROUP BY user_id", book=False)
+add("state4_reserved_polls", lambda b: b.spark.createDataFrame([(n, B.reserved_polls(n, x)) for n, x in ((20, 0.25), (20, 0.21), (3, 0.1), (0, 0.5))], "calls int, polls int"), "SELECT CAST(calls AS INTEGER) AS calls, CAST(ceil(calls * share) AS INTEGER) AS polls FROM (VALUES (20, 0.25), (20, 0.21), (3, 0.1), (0, 0.5)) v(calls, share)", book=False)
 add("dml16_latest_attempts", lambda b: B.latest_attempts(table(b.spark, b.sf_dir, "events").select(F.col("user_id").alias("attempt_id"), F.col("event_id").alias("event_no"), F.when(F.col("event_id") % 4 != 0, F.col("event_type")).alias("outcome"))), "SELECT user_id AS attempt_id, event_id AS event_no, CASE WHEN event_id % 4 <> 0 THEN event_type END AS outcome FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1", book=False)
 
 # -- invariants ---------------------------------------------------------------
@@ -195,7 +206,7 @@ add("i4_jn20_unscheduled", lambda b: B.unscheduled(b.filings, b.members, b.work,
 add("i6_jn5_state_agreement", lambda b: B.disagreeing(b.filings, b.members, b.work), "SELECT w.batch_id, w.state AS batch_state, f.filing_id, f.state AS filing_state FROM work w JOIN members m ON w.batch_id = m.batch_id JOIN filings f ON m.filing_id = f.filing_id WHERE (w.state = 'SEALED' AND f.state = 'SUBMITTED_UNACKNOWLEDGED') OR (w.state IN ('DISPATCHED', 'SUBMITTED') AND f.state IN ('READY_TO_TRANSMIT', 'BATCHED'))")
 add("i7_outcome_evidence", lambda b: B.unexplained(b.filings), "SELECT filing_id, state FROM filings WHERE (state = 'ACCEPTED' AND record_id IS NULL) OR (state = 'REJECTED' AND reject_code IS NULL)")
 add("i8_ag15_batch_shape", lambda b: B.misshapen(b.members, BATCH_SIZE - 1), f"SELECT batch_id, count(*) AS n, count(DISTINCT client_id) AS clients FROM members GROUP BY batch_id HAVING count(*) > {BATCH_SIZE - 1} OR count(DISTINCT client_id) > 1")
-add("i9_submission_uniqueness", lambda b: B.resubmitted(b.members.unionByName(b.members.filter("client_id % 7 = 0"))), "SELECT filing_id, generation, CAST(2 AS BIGINT) AS times FROM members WHERE client_id % 7 = 0")
+add("i9_submission_uniqueness", lambda b: B.resubmitted(b.members.unionByName(b.members.filter("client_id % 7 = 0"))), "SELECT firm_id, filing_id, generation, CAST(2 AS BIGINT) AS times FROM members WHERE client_id % 7 = 0")
 add("jn21_orphan_members", lambda b: B.orphans(b.members, b.work.filter("state <> 'VOID'")), "SELECT m.batch_id, m.filing_id FROM members m JOIN work w ON m.batch_id = w.batch_id WHERE w.state = 'VOID'")
 
 # -- views --------------------------------------------------------------------
@@ -223,7 +234,7 @@ add("set1_known_years", lambda b: V.known_years(b.live, b.filings), "SELECT tax_
 
 
 def _view(b: Book) -> DataFrame:
-    return V.exception_view(b.attention, D.exceptions(b.decided), b.filings, b.rejections)
+    return V.exception_view(b.attention, D.exceptions(b.decisions), b.filings, b.rejections)
 
 
 VIEW_SQL = """, open_items AS (SELECT * FROM attention WHERE resolved_at IS NULL),
@@ -240,16 +251,16 @@ add("ag12_exception_groups", lambda b: V.exception_groups(_view(b)), VIEW_SQL +
 add("sl2_urgent_top_200", lambda b: V.urgent(_view(b))[0].withColumn("client_id", F.col("client_id").cast("string")), VIEW_SQL + "SELECT * REPLACE (CAST(client_id AS VARCHAR) AS client_id) FROM ex_view ORDER BY severity, dedupe_key LIMIT 200")
 add("sl2_truncated_flag", lambda b: V.urgent(_view(b))[1], VIEW_SQL + "SELECT count(*) AS n, count(*) > 200 AS truncated FROM ex_view")
 add("ag6_ag13_rejection_summary", lambda b: V.rejection_summary(b.rejections), ", own AS (SELECT *, row_number() OVER (PARTITION BY file_name, reason_code ORDER BY line_no) AS k FROM rejections WHERE run_id = (SELECT max(run_id) FROM rejections)) SELECT file_name, reason_code, count(*) AS n_rows, string_agg(CASE WHEN k <= 5 THEN CAST(line_no AS VARCHAR) END, ',' ORDER BY line_no) AS sample_lines FROM own GROUP BY file_name, reason_code")
-add("flt9_latest_run", lambda b: b.rejections.join(F.broadcast(b.rejections.agg(F.max("run_id").alias("run_id"))), "run_id").select("run_id", "line_no"), "SELECT run_id, line_no FROM rejections WHERE run_id = (SELECT max(run_id) FROM rejections)")
+add("flt9_latest_run", lambda b: V.latest_run(b.rejections).select("run_id", "line_no"), "SELECT run_id, line_no FROM rejections WHERE run_id = (SELECT max(run_id) FROM rejections)")
 add("ag20_rejection_histogram", lambda b: b.rejections.groupBy("reason_code").agg(F.count(F.lit(1)).alias("n")), "SELECT reason_code, count(*) AS n FROM rejections GROUP BY reason_code")
-add("sl7_open_attention", lambda b: b.attention.filter("resolved_at is null").join(b.filings.select(F.col("filing_id").alias("entity_id"), "recipient_name"), "entity_id").orderBy("severity", "entity_id").select("severity", "type", "entity_id", "recipient_name"), "SELECT a.severity, a.type, a.entity_id, f.recipient_name FROM attention a JOIN filings f ON f.filing_id = a.entity_id WHERE a.resolved_at IS NULL")
+add("sl7_open_attention", lambda b: V.open_attention(b.attention, b.filings), "SELECT a.severity, a.type, a.entity_id, f.recipient_name FROM attention a JOIN filings f ON f.filing_id = a.entity_id WHERE a.resolved_at IS NULL")
 add("ag12_open_by_type", lambda b: V.open_by_type(b.attention), "SELECT severity, type, count(*) AS n FROM attention WHERE resolved_at IS NULL GROUP BY severity, type")
 add("ag17_outstanding_work", lambda b: V.outstanding(b.work), "SELECT state, count(*) AS n, CAST(sum(filing_count) AS BIGINT) AS filings, count(*) FILTER (WHERE needs_reconcile) AS to_reconcile, min(next_action_us) AS next_action_us FROM work GROUP BY state")
 add("ag16_ag18_distinct_and_scalars", lambda b: b.live.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("client_id").alias("clients"), F.count_distinct("tin_bidx").alias("tins")), "SELECT count(*) AS n, count(DISTINCT client_id) AS clients, count(DISTINCT tin_bidx) AS tins FROM live")
-add("jn11_sl6_client_detail", lambda b: b.decided.filter("client_id = 3").join(b.filings.select("client_id", "vendor_key", "tax_year", "filing_id", F.col("state").alias("filing_state")), ["client_id", "vendor_key", "tax_year"], "left").orderBy(F.col("reportable_cents").desc(), "vendor_key").select("vendor_key", "display_name", "reportable_cents", "filing_id", "filing_state"), "SELECT d.vendor_key, d.display_name, d.reportable_cents, f.filing_id, f.state AS filing_state FROM decided d LEFT JOIN filings f ON f.client_id = d.client_id AND f.vendor_key = d.vendor_key AND f.tax_year = d.tax_year WHERE d.client_id = 3")
-add("sl6_payment_evidence", lambda b: b.classified.filter("client_id = 3").orderBy("vendor_key", "payment_date", "line_id").select("vendor_key", "payment_date", "line_id", "amount_cents", "disposition", F.col("disposition").startswith("COUNTED").alias("counted")), "SELECT vendor_key, CAST(payment_date AS VARCHAR) AS payment_date, line_id, amount_cents, disposition, disposition LIKE 'COUNTED%' AS counted FROM classified WHERE client_id = 3")
-add("sl5_batches_planner_list", lambda b: b.work.orderBy("firm_id", "client_id", "batch_id").select("firm_id", "client_id", "batch_id", "state"), "SELECT firm_id, client_id, batch_id, state FROM work")
-add("flt5_flt10_point_and_list_lookups", lambda b: b.filings.filter(F.col("client_id").isin(1, 5, 9) & F.col("state").isin("ACCEPTED", "REJECTED")).select("filing_id", "state"), "SELECT filing_id, state FROM filings WHERE client_id IN (1, 5, 9) AND state IN ('ACCEPTED', 'REJECTED')")
+add("jn11_sl6_client_detail", lambda b: V.client_detail(b.decisions, b.filings, 3), "SELECT d.vendor_key, d.display_name, d.reportable_cents, f.filing_id, f.state AS filing_state FROM decided d LEFT JOIN filings f ON f.client_id = d.client_id AND f.vendor_key = d.vendor_key AND f.tax_year = d.tax_year WHERE d.client_id = 3")
+add("sl6_payment_evidence", lambda b: V.payment_evidence(b.classified, 3), "SELECT vendor_key, CAST(payment_date AS VARCHAR) AS payment_date, line_id, amount_cents, disposition, disposition LIKE 'COUNTED%' AS counted FROM classified WHERE client_id = 3")
+add("sl5_batches_planner_list", lambda b: V.batch_list(b.work), "SELECT firm_id, client_id, batch_id, state FROM work")
+add("flt5_flt10_point_and_list_lookups", lambda b: V.lookup(b.filings, client_id=(1, 5, 9), state=("ACCEPTED", "REJECTED")).select("filing_id", "state"), "SELECT filing_id, state FROM filings WHERE client_id IN (1, 5, 9) AND state IN ('ACCEPTED', 'REJECTED')")
 add("flt6_is_distinct_from", lambda b: _changes(b).filter(~F.col("o_row_hash").eqNullSafe(F.col("n_row_hash"))).select("source_txn_id"), "SELECT source_txn_id FROM changes WHERE o_row_hash IS DISTINCT FROM n_row_hash")
 add("jn16_semi_joins", lambda b: b.filings.join(b.members.join(b.work.filter("state = 'SEALED'"), "batch_id", "left_semi"), "filing_id", "left_semi").select("filing_id"), "SELECT filing_id FROM filings WHERE filing_id IN (SELECT filing_id FROM members WHERE batch_id IN (SELECT batch_id FROM work WHERE state = 'SEALED'))")
 add("sec1_firm_session", lambda b: FirmSession(b.spark, {"ledger": lambda: b.ledger}, 2).table("ledger").groupBy("firm_id", "client_id").agg(F.count(F.lit(1)).alias("n")), "SELECT firm_id, client_id, count(*) AS n FROM ledger WHERE firm_id = 2 GROUP BY firm_id, client_id")
@@ -270,7 +281,11 @@ def _tampered(b: Book) -> DataFrame:
 
 
 add("wn4_hsh10_sec6_audit_verify", _tampered, ", e AS (SELECT user_id AS firm_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT firm_id, seq, 'EDITED' AS problem FROM e WHERE firm_id % 5 = 0 AND seq = 1 UNION ALL SELECT firm_id, seq, 'GAP' FROM e WHERE firm_id % 7 = 1 AND seq = 3 UNION ALL SELECT firm_id, seq, 'TRUNCATED' FROM e WHERE firm_id % 7 = 1 AND seq = 2 AND n = 2")
-add("dml18_audit_chain", _chain)
+LINK_SQL = "sha256(unhex(prev) || " + " || ".join(f"CASE WHEN {c} IS NULL THEN unhex('0000000000') ELSE unhex('01' || printf('%08x', octet_length(encode({c})))) || encode({c}) END" for c in ("CAST(o.firm_id AS VARCHAR)", "CAST(o.seq AS VARCHAR)", "o.actor", "o.action", "o.entity_id", "o.detail")) + ")"
+add("dml18_audit_chain", _chain, f"""WITH RECURSIVE o AS (SELECT user_id AS firm_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, 'system' AS actor, event_type AS action, CAST(event_id AS VARCHAR) AS entity_id, CASE WHEN event_id % 5 <> 0 THEN props END AS detail FROM events),
+walk AS (SELECT firm_id, seq, actor, action, entity_id, detail, prev AS prev_hash, {LINK_SQL} AS hash FROM (SELECT *, repeat('0', 64) AS prev FROM o WHERE seq = 1) o
+ UNION ALL SELECT o.firm_id, o.seq, o.actor, o.action, o.entity_id, o.detail, o.prev, {LINK_SQL} FROM (SELECT o.*, w.hash AS prev FROM walk w JOIN o ON o.firm_id = w.firm_id AND o.seq = w.seq + 1) o)
+SELECT firm_id, seq, actor, action, entity_id, detail, prev_hash, hash FROM walk""", book=False)
 
 # -- row functions on stated values -------------------------------------------
 
@@ -289,10 +304,16 @@ fixture("str4_expense_class", "raw string", [(None,), ("contract labor",), ("GOO
 fixture("str5_tin", "raw string, declared string", [("12-3456789", None), ("123-45-6789", ""), ("123456789", "ein"), ("12-34567", None), ("N/A", None), (None, None), ("000-00-0000", "SSN"), ("123456789", None)],
     lambda d: d.select("raw", S.tin_status(F.col("raw")).alias("status"), F.when(F.length(S.tin_digits(F.col("raw"))) == 9, S.tin_kind(F.col("raw"), F.col("declared"))).alias("kind")),
     "SELECT * FROM (VALUES ('12-3456789', 'PRESENT', 'EIN'), ('123-45-6789', 'PRESENT', 'SSN'), ('123456789', 'PRESENT', 'EIN'), ('12-34567', 'MALFORMED', NULL), ('N/A', 'MALFORMED', NULL), (NULL, 'MISSING', NULL), ('000-00-0000', 'PRESENT', 'SSN'), ('123456789', 'PRESENT', 'UNKNOWN')) v(raw, status, kind)")
-fixture("str6_str7_masks", "raw string", [("ssn 123-45-6789 ein 12-3456789 bare 987654321 phone 5551234567",), ("no numbers",), ("12-34567",), ("ab",)],
-    lambda d: d.select("raw", S.log_mask(F.col("raw")).alias("masked"), S.tin_mask(F.col("raw")).alias("tin")),
-    "SELECT * FROM (VALUES ('ssn 123-45-6789 ein 12-3456789 bare 987654321 phone 5551234567', 'ssn ***-**-6789 ein **-***6789 bare *****4321 phone 5551234567', '***-**-4567'), ('no numbers', 'no numbers', '***'), ('12-34567', '12-34567', '***-**-4567'), ('ab', 'ab', '***')) v(raw, masked, tin)")
-add("str6_masked_documents", lambda b: table(b.spark, b.sf_dir, "documents").select("doc_id", (S.log_mask(F.col("text")) != F.col("text")).alias("has_number")).filter("has_number").groupBy().agg(F.count(F.lit(1)).alias("n")))
+fixture("str6_str7_masks", "raw string", [("ssn 123-45-6789 ein 12-3456789 bare 987654321 phone 5551234567",), ("no numbers",), ("12-34567",), ("ab",), ("1-123-45-6789 or 12-3456789-0",), ("a1234567890 (123456789)",)],
+    lambda d: d.select("raw", S.log_mask(F.col("raw")).alias("masked"), S.tin_mask(F.col("raw")).alias("tin"), S.redacted_line(F.col("raw"), F.lit(None), F.repeat(F.lit("z"), F.length("raw") * 20)).alias("line")),
+    """SELECT *, CASE WHEN length(l) > 1024 THEN substr(l, 1, 1024) || '...' ELSE l END AS line FROM (SELECT *, masked || ',,' || repeat('z', length(raw) * 20) AS l FROM (VALUES ('ssn 123-45-6789 ein 12-3456789 bare 987654321 phone 5551234567', 'ssn ***-**-6789 ein ***-**-6789 bare ***-**-4321 phone 5551234567', '***-**-4567'), ('no numbers', 'no numbers', '***'), ('12-34567', '12-34567', '***-**-4567'), ('ab', 'ab', '***'),
+ ('1-123-45-6789 or 12-3456789-0', '1-123-45-6789 or 12-3456789-0', '***-**-7890'), ('a1234567890 (123456789)', 'a1234567890 (***-**-6789)', '***-**-6789')) v(raw, masked, tin)) x""".replace("SELECT *, CASE", "SELECT raw, masked, tin, CASE"))
+#: A mask's neighbours are taken along and put back, twice, as one of them may belong to two numbers.
+MASKED_SQL = "text"
+for form, last in (("[0-9]{3}-[0-9]{2}-([0-9]{4})", "-"), ("[0-9]{2}-[0-9]{3}([0-9]{4})", "-"), ("[0-9]{5}([0-9]{4})", "")):
+    for _ in range(2):
+        MASKED_SQL = f"regexp_replace({MASKED_SQL}, '(^|[^0-9{last}]){form}($|[^0-9{last}])', '\\1***-**-\\2\\3', 'g')"
+add("str6_masked_documents", lambda b: table(b.spark, b.sf_dir, "documents").select("doc_id", F.col("text"), S.log_mask(F.col("text")).alias("masked")).filter("masked <> text").select("doc_id", F.sha2("masked", 256).alias("masked_sha256")), f"SELECT doc_id, sha256(masked) AS masked_sha256 FROM (SELECT doc_id, text, {MASKED_SQL} AS masked FROM documents) x WHERE masked <> text", book=False)
 fixture("dt1_dt2_dates", "raw string, dialect string", [("03/04/2025", "QUICKBOOKS"), ("3/4/2025", "QUICKBOOKS"), ("31/02/2025", "QUICKBOOKS"), ("2025/03/04", "XERO"), ("2025-13-45", "XERO"), ("4-Mar-25", "SPREADSHEET"), ("3/4/25", "SPREADSHEET"), ("45720", "SPREADSHEET"), ("99999", "SPREADSHEET"), ("2025-03-04", "CANONICAL"), ("TBD", "CANONICAL"), (None, "CANONICAL")],
     lambda d: d.select("raw", "dialect", F.coalesce(*[F.when(F.col("dialect") == x, S.parse_date(F.col("raw"), x)) for x in S.DATE_FORMATS]).cast("string").alias("day")),
     "SELECT * FROM (VALUES ('03/04/2025', 'QUICKBOOKS', '2025-03-04'), ('3/4/2025', 'QUICKBOOKS', '2025-03-04'), ('31/02/2025', 'QUICKBOOKS', NULL), ('2025/03/04', 'XERO', '2025-03-04'), ('2025-13-45', 'XERO', NULL), ('4-Mar-25', 'SPREADSHEET', '2025-03-04'), ('3/4/25', 'SPREADSHEET', '2025-03-04'), ('45720', 'SPREADSHEET', '2025-03-04'), ('99999', 'SPREADSHEET', NULL), ('2025-03-04', 'CANONICAL', '2025-03-04'), ('TBD', 'CANONICAL', NULL), (NULL, 'CANONICAL', NULL)) v(raw, dialect, day)")
@@ -302,15 +323,22 @@ fixture("num1_num2_amounts", "raw string", [("$1,234.56",), ("($1,234.56)",), ("
     "SELECT raw, CAST(cents AS VARCHAR) AS cents, unparseable FROM (VALUES ('$1,234.56', 123456, false), ('($1,234.56)', -123456, false), ('USD 10', 1000, false), ('−5.00', -500, false), ('12.345', NULL, false), ('--500.00', NULL, true), ('1,2,3.4', 12340, false), ('$$100', 10000, false), ('twelve dollars', NULL, true), ('', NULL, true), (NULL, NULL, true)) v(raw, cents, unparseable)")
 fixture("num3_withholding", "raw string", [("-96.00",), ("1.234",), ("x",), (None,)], lambda d: d.select("raw", S.withholding_cents(F.col("raw")).alias("cents")), "SELECT raw, CAST(cents AS BIGINT) AS cents FROM (VALUES ('-96.00', 9600), ('1.234', 0), ('x', 0), (NULL, 0)) v(raw, cents)")
 fixture("num4_format_cents", "cents long", [(123456789,), (-5,), (0,)], lambda d: d.select("cents", S.format_cents(F.col("cents")).alias("shown")), "SELECT CAST(cents AS BIGINT) AS cents, shown FROM (VALUES (123456789, '1,234,567.89'), (-5, '-0.05'), (0, '0.00')) v(cents, shown)")
-fixture("num5_backoff", "n int", [(1,), (2,), (5,), (9,)], lambda d: d.select("n", S.backoff_ms(F.col("n")).alias("ms")), "SELECT CAST(n AS INTEGER) AS n, CAST(ms AS BIGINT) AS ms FROM (VALUES (1, 1000), (2, 2000), (5, 16000), (9, 60000)) v(n, ms)")
+fixture("num5_backoff", "n int", [(1,), (2,), (5,), (9,)], lambda d: d.select("n", S.backoff_ms(F.col("n")).alias("ms"), S.jittered_ms(S.backoff_ms(F.col("n")), S.hash_fraction(F.lit("seed"), F.lit("key"), F.col("n"))).alias("jittered")),
+    "SELECT CAST(n AS INTEGER) AS n, CAST(ms AS BIGINT) AS ms, CAST(1 + floor(CAST('0x' || substr(sha256('seed|key|' || n), 1, 14) AS BIGINT)::DOUBLE / 72057594037927936.0 * (ms - 1)) AS BIGINT) AS jittered FROM (VALUES (1, 1000), (2, 2000), (5, 16000), (9, 60000)) v(n, ms)")
 add("hsh1_row_hash", lambda b: b.ledger.select("line_id", S.fields_hash(F.col("client_id"), F.col("name_norm"), F.col("tin_bidx"), F.col("amount_cents")).alias("row_hash")), "SELECT line_id, sha256(client_id || chr(31) || name_norm || chr(31) || coalesce(tin_bidx, '') || chr(31) || amount_cents || chr(31)) AS row_hash FROM ledger")
 add("hsh2_natural_id", lambda b: b.ledger.select("line_id", S.natural_id([F.col("client_id"), F.col("name_norm"), F.col("tin_bidx")], F.lit(1)).alias("txn_id")), "SELECT line_id, 'H:' || substr(sha256(client_id || chr(31) || name_norm || chr(31) || coalesce(tin_bidx, '') || ':1'), 1, 16) AS txn_id FROM ledger")
 fixture("hsh3_hsh4_blind_index", "firm long, value string", [(1, "123456789"), (2, "123456789")], lambda d: d.select("firm", S.tin_index(b"k" * 32, F.col("firm"), F.col("value")).alias("tin_bidx"), S.name_index(b"k" * 32, F.col("firm"), F.lit("ACME")).alias("name_bidx")),
     "SELECT firm, tin_bidx, name_bidx FROM (SELECT CAST(f AS BIGINT) AS firm, sha256(unhex(repeat('37', 32) || repeat('5c', 32)) || unhex(sha256(unhex(repeat('5d', 32) || repeat('36', 32)) || encode(f || ':123456789')))) AS tin_bidx, sha256(unhex(repeat('37', 32) || repeat('5c', 32)) || unhex(sha256(unhex(repeat('5d', 32) || repeat('36', 32)) || encode(f || ':name:ACME')))) AS name_bidx FROM (VALUES (1), (2)) v(f)) x")
+KEYS = {1: b"0" * 32, 2: b"1" * 32}
 fixture("hsh5_encryption_round_trip", "digits string, aad string", [("123456789", "1:2:x"), ("000112222", "1:3:y")],
-    lambda d: d.withColumn("sealed", S.encrypt_tin(F.col("digits"), F.lit(b"0" * 32), F.col("aad"))).select("digits", S.decrypt_tin(F.col("sealed"), F.lit(b"0" * 32), F.col("aad")).alias("opened"), S.decrypt_tin(F.col("sealed"), F.lit(b"0" * 32), F.lit("other")).alias("wrong_aad")),
-    "SELECT * FROM (VALUES ('123456789', '123456789', NULL::VARCHAR), ('000112222', '000112222', NULL)) v(digits, opened, wrong_aad)")
-add("hsh11_failure_roll", lambda b: b.filings.select("filing_id", (F.floor(S.hash_fraction(F.lit("seed"), F.col("filing_id"), F.lit(1)) * 1000)).cast("long").alias("roll")), "SELECT filing_id, CAST(floor(CAST('0x' || substr(sha256('seed|' || filing_id || '|1'), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0 * 1000) AS BIGINT) AS roll FROM filings")
+    lambda d: d.withColumns({"old": S.encrypt_tin(F.col("digits"), {1: KEYS[1]}, F.col("aad")), "new": S.encrypt_tin(F.col("digits"), KEYS, F.col("aad"))}).select("digits", F.col("new.key_version").alias("key_version"), S.decrypt_tin(F.col("old"), KEYS, F.col("aad")).alias("opened_old"), S.decrypt_tin(F.col("new"), KEYS, F.col("aad")).alias("opened"), S.decrypt_tin(F.col("new"), KEYS, F.lit("other")).alias("wrong_aad"), S.decrypt_tin(F.col("new"), {1: KEYS[1]}, F.col("aad")).alias("lost_key")),
+    "SELECT *, 2 AS key_version, digits AS opened_old, digits AS opened, NULL::VARCHAR AS wrong_aad, NULL::VARCHAR AS lost_key FROM (VALUES ('123456789'), ('000112222')) v(digits)")
+fixture("hsh7_content_hash_of_the_wire_number", "firm_id int, client_id int, tax_year int, vendor_key string, form_required boolean, tin_status string, tin_bidx string, tin_last4 string, reportable_cents long, withholding_cents long, display_name string, number string, sent int", [(1, 2, 2025, "TIN:a", True, "PRESENT", "a", "6789", 70000, 0, "ACME", "123456789", 1), (1, 2, 2025, "TIN:a", True, "PRESENT", "a", "6789", 70000, 0, "ACME", "123456789", 2), (1, 2, 2025, "NAME:b", False, "MISSING", None, None, 5, 0, "B", None, 1)],
+    lambda d: B.plan(d, F.col("number"), F.col("sent")).select("generation", "content_hash", "state"),
+    "SELECT CAST(g AS INTEGER) AS generation, sha256('v1' || chr(31) || h || chr(31) || g || chr(31) || '2025' || chr(31) || '123456789' || chr(31) || 'ACME' || chr(31) || '70000' || chr(31) || '0' || chr(31)) AS content_hash, 'READY_TO_TRANSMIT' AS state FROM (SELECT g, substr(x, 1, 8) || '-' || substr(x, 9, 4) || '-5' || substr(x, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(x, 17, 1)) - 1) % 4 + 1, 1) || substr(x, 18, 3) || '-' || substr(x, 21, 12) AS h FROM (SELECT unnest([1, 2]) AS g, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('1|2|2025|TIN:a')) AS x) y) z")
+fixture("jsn2_canonical_json", "a string, b string", [("x", 'say "hi"'), ("é", None)], lambda d: d.select(S.canonical_json(F.create_map(F.lit("zeta"), F.col("a"), F.lit("alpha"), F.coalesce("b", F.lit("")))).alias("json")), """SELECT * FROM (VALUES ('{"alpha":"say \\"hi\\"","zeta":"x"}'), ('{"alpha":"","zeta":"é"}')) v(json)""".replace("\\\\", "\\"))
+add("prj11_date_display", lambda b: table(b.spark, b.sf_dir, "events").select("event_id", S.display_date(F.col("ts")).alias("day"), S.display_time(F.col("ts")).alias("minute")), "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m-%d %H:%M') AS minute FROM events", book=False)
+add("hsh11_failure_roll", lambda b: b.filings.select("filing_id", (F.floor(S.hash_fraction(F.lit("seed"), F.col("filing_id"), F.lit(1)) * 1000)).cast("long").alias("roll")), "SELECT filing_id, CAST(floor(CAST('0x' || substr(sha256('seed|' || filing_id || '|1'), 1, 14) AS BIGINT)::DOUBLE / 72057594037927936.0 * 1000) AS BIGINT) AS roll FROM filings")
 
 # -- exports ------------------------------------------------------------------
 
@@ -319,7 +347,7 @@ def _import(b: Book) -> tuple[DataFrame, DataFrame]:
     """(judged records, payments) of the whole ledger, written as an export of three systems with planted defects and read back."""
     d, e = digit("line_id", 1), digit("line_id", 2)
     kind = F.when(d == 0, F.when(e == 0, "amount").when(e == 1, "date").when(e == 2, "client").when(e == 3, "subcent").when(e == 4, "noclient"))
-    where = writer.scratch(b.spark, "export")
+    where = scratch(b.spark, "export")
     writer.write_export(b.ledger.withColumn("defect", kind), where, RULES.tax_year, list(range(1992, 2003)))
     m = export.read_manifest(b.spark, where)
     clients = export.read_clients(b.spark, where)
@@ -347,15 +375,33 @@ def _guard(b: Book) -> DataFrame:
 
 
 add("flt3_rejection_guard", _guard, DEFECT_SQL + "SELECT count(*) AS rows_read, count(*) FILTER (WHERE d = 0 AND e <= 4) AS rows_rejected FROM spoiled")
-add("sec3_flt11_unguarded_tables", lambda b: b.spark.createDataFrame(R.catalog({"ledger": lambda: b.ledger, "filings": lambda: b.filings, "reason_code": lambda: b.spark.createDataFrame(REASONS, "code string, human_text string")}, SHARED), "table_name string, has_firm boolean, is_shared boolean"),
+add("sec3_flt11_unguarded_tables", lambda b: b.spark.createDataFrame(R.catalog({"ledger": lambda: b.ledger, "filings": lambda: b.filings, "reason_code": lambda: reason_codes(b.spark)}, SHARED), "table_name string, has_firm boolean, is_shared boolean"),
     "SELECT * FROM (VALUES ('filings', true, false), ('ledger', true, false), ('reason_code', false, true)) v(table_name, has_firm, is_shared)", book=False)
-add("snk7_run_header", lambda b: R.run_header(b.spark, 1, "COMPLETED", {"read": b.ledger.count(), "live": b.live.count()}, {}), """SELECT 1 AS run_id, 'COMPLETED' AS state, '{"live": ' || (SELECT count(*) FROM live) || ', "read": ' || (SELECT count(*) FROM ledger) || '}' AS counters, '{}' AS phases_ms""")
+
+
+def _run(b: Book) -> DataFrame:
+    """Headers of a run that ends well and of one that does not; the phases' names stand for their timings, which differ from run to run."""
+    with R.Run(b.spark, 1) as run:
+        with run.phase("read"):
+            run.count(read=b.ledger.count())
+        with run.phase("live"):
+            run.count(live=b.live.count())
+    try:
+        with R.Run(b.spark, 2) as bad, bad.phase("read"):
+            raise ValueError
+    except ValueError:
+        pass
+    phases = F.array_join(F.array_sort(F.map_keys(F.from_json("phases_ms", "map<string, long>"))), ",")
+    return run.header().unionByName(bad.header()).select("run_id", "state", "counters", phases.alias("phases"))
+
+
+add("snk7_run_header", _run, """SELECT 1 AS run_id, 'COMPLETED' AS state, '{"live": ' || (SELECT count(*) FROM live) || ', "read": ' || (SELECT count(*) FROM ledger) || '}' AS counters, 'live,read' AS phases UNION ALL SELECT 2, 'FAILED', '{}', 'read'""")
 add("dml17_endpoint_books", lambda b: R.book_filings(R.book_submissions(b.work.filter("state <> 'SEALED'").select(F.col("batch_id").alias("idempotency_key"), F.lit("old").alias("source")), b.work.select(F.col("batch_id").alias("idempotency_key"), F.lit("new").alias("source"))), b.recorded.select(F.col("filing_id").alias("idempotency_key"), F.lit("filing").alias("source"))),
     "SELECT batch_id AS idempotency_key, CASE WHEN state <> 'SEALED' THEN 'old' ELSE 'new' END AS source FROM work UNION ALL SELECT filing_id, 'filing' FROM recorded")
 
 
 def _cleared(b: Book) -> DataFrame:
-    marks = M.dirty_units(_changes(b)).withColumn("marked_at", F.col("client_id") % 4)
+    marks = b.dirty.withColumn("marked_at", F.col("client_id") % 4)
     return R.clear_dirty(marks, marks.filter(F.col("tax_year") == RULES.tax_year).select("firm_id", "client_id", "tax_year", F.lit(1).alias("watermark")))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -12,6 +14,17 @@ from pyspark.sql import functions as F
 SHARED = frozenset({"firm", "reason_code"})
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder under spark.checkpoint.dir. A local session that names none (tests) gets a temporary one; on a cluster that is an error, as no other machine would see it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 class MissingFirm(RuntimeError):
     pass
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..session import scratch
 
 COLUMNS = ("source_system", "source_txn_id", "client_ref", "vendor_name", "vendor_tin", "vendor_tin_type", "payment_date", "amount", "currency", "payment_method", "entry_type", "reverses_source_txn_id", "backup_withholding", "expense_category", "memo")
 
@@ -85,19 +86,40 @@ def number_lines(lines: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(counts), "_split").select((F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("line_no"), "raw_line")
 
 
+def whole_records(numbered: DataFrame, most_lines: int = 1_000) -> DataFrame:
+    """(line_no, raw_line) with the lines of a record that breaks within quotes joined; a record has the number of its first line.
+
+    A record opens and closes on a line with an odd number of quotes. Only such
+    lines are paired (numbered like lines, by split), and only the lines between a
+    pair are gathered. A pair further apart than ``most_lines`` is a stray quote:
+    its lines stay as they are.
+    """
+    odd = number_lines(numbered.filter((F.char_length("raw_line") - F.char_length(F.replace("raw_line", F.lit('"'), F.lit("")))) % 2 == 1).select(F.col("line_no").cast("string").alias("value")))
+    pairs = odd.groupBy(F.floor((F.col("line_no") - 1) / 2).alias("pair")).agg(F.min(F.col("raw_line").cast("long")).alias("first"), F.max(F.col("raw_line").cast("long")).alias("last"))
+    inside = pairs.filter((F.col("last") > F.col("first")) & (F.col("last") - F.col("first") < most_lines)).select("first", F.explode(F.sequence("first", "last")).alias("line_no"))
+    placed = numbered.join(inside, "line_no", "left")
+    joined = placed.filter("first is not null").groupBy("first").agg(F.array_sort(F.collect_list(F.struct("line_no", "raw_line"))).alias("parts"))
+    return placed.filter("first is null").select("line_no", "raw_line").unionByName(joined.select(F.col("first").alias("line_no"), F.array_join("parts.raw_line", "\n").alias("raw_line")))
+
+
+MOST_COLUMNS = 64
+
+
 def read_payments(spark: SparkSession, path: str, declared: str | None) -> DataFrame:
     """file_name, line_no (the header is line 1), n_fields, n_headers, dialect, raw_line and the canonical columns as text.
 
-    A record is one line; a gzipped file (by suffix) is one split.
+    A quoted field may hold line breaks; a gzipped file (by suffix) is one split.
     """
     lines = spark.read.text(path)
     name = path.rsplit("/", 1)[-1]
     first = lines.limit(1).first()
     headers = _split_header(spark, first.value if first else "")
+    if len(headers) > MOST_COLUMNS:
+        raise ValueError(f"{path}: {len(headers)} columns, more than {MOST_COLUMNS}")
     dialect = detect(headers, declared)
     names = canonical_headers(headers, dialect)
     numbered = number_lines(lines)
-    body = numbered.filter("line_no > 1 and trim(raw_line) <> ''")
+    body = whole_records(numbered).filter("line_no > 1 and trim(raw_line) <> ''")
     width = len(names) + 2
     schema = ", ".join(f"c{i} string" for i in range(width))
     parsed = body.withColumn("_p", F.from_csv("raw_line", schema, {"mode": "PERMISSIVE", "maxCharsPerColumn": "65536"}))
@@ -204,7 +226,9 @@ def import_export(spark: SparkSession, directory: str, firm_id: int, key: bytes,
     m = read_manifest(spark, directory)
     clients = read_clients(spark, directory)
     raw = reduce(DataFrame.unionByName, [read_payments(spark, f"{directory}/{name}", system) for name, system in m.files])
-    judged = judge(raw, clients).persist()
+    path = scratch(spark, "judged")
+    judge(raw, clients).write.parquet(path)  # read several times below
+    judged = spark.read.parquet(path)
     n, bad = guard(judged, most_rejected)
     rows = merge.keep_last(normalize(judged, firm_id, key), merge.KEY, [F.col("file_name"), F.col("line_no")])
     new = rows.select(*SNAPSHOT)
@@ -214,6 +238,7 @@ def import_export(spark: SparkSession, directory: str, firm_id: int, key: bytes,
     return ImportResult(rows, rejections(judged, run_id), changes, merge.merged(changes, SNAPSHOT), merge.dirty_units(changes), n, bad)
 
 
-def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
-    """One deterministic CSV: fixed order, LF, header (for exports of modest size; one task writes)."""
+def write_csv(df: DataFrame, path: str, order: list[str]) -> str:
+    """One deterministic CSV: fixed order, LF, header (for exports of modest size; one task writes). Returns the SHA-256 of its bytes."""
     df.coalesce(1).sortWithinPartitions(*order).write.mode("overwrite").option("header", True).option("lineSep", "\n").csv(path)
+    return df.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select(F.sha2("content", 256)).first()[0]

@@ -7,10 +7,8 @@ for exports of a client book's size; the sinks of the engine itself are Parquet.
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HEADERS = {
@@ -20,12 +18,6 @@ HEADERS = {
 }
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, or a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def money_text(system: str, cents: Column) -> Column:
     plain = F.format_number(F.abs(cents).cast("decimal(20,2)") / 100, 2)
     if system == "XERO":
@@ -42,22 +34,33 @@ def _single(df: DataFrame, path: str, **options) -> None:
     df.coalesce(1).write.options(**options).csv(path)
 
 
-def write_export(lines: DataFrame, directory: str, tax_year: int, years: list[int]) -> None:
-    """``lines``: a ledger with line_id, names, dates and cents; ``defect`` (null or a kind) spoils a row on purpose."""
+def _json(spark, value: dict, path: str) -> None:
+    spark.createDataFrame([(json.dumps(value, sort_keys=True),)], "value string").coalesce(1).write.text(path)
+
+
+def write_export(lines: DataFrame, directory: str, tax_year: int, years: list[int], revision: int = 0, gzip: bool = False, fixtures: DataFrame | None = None) -> None:
+    """``lines``: a ledger with line_id, names, dates and cents; ``defect`` (null or a kind) spoils a row on purpose.
+
+    ``fixtures``, the manifest of planted cases, is written beside the export's own manifest.
+    """
     spark, files = lines.sparkSession, []
+    digits = F.col("tin_digits") if "tin_digits" in lines.columns else F.concat(F.lit("1"), F.lpad(F.col("suppkey").cast("string"), 8, "0"))
+    bare = F.col("bare_number") if "bare_number" in lines.columns else F.lit(False)
+    number = F.when(bare, digits).otherwise(F.concat(F.substring(digits, 1, 2), F.lit("-"), F.substring(digits, 3, 7)))
     spoiled = lambda kind, bad, good: F.when(F.col("defect") == kind, F.lit(bad)).otherwise(good)
     for system, headers in HEADERS.items():
         own = lines.filter(F.col("source_system") == system).withColumns({
             "date_text": spoiled("date", "TBD", F.date_format("payment_date", DATES[system])), "amount_text": spoiled("amount", "N/A", spoiled("subcent", "12.345", money_text(system, F.col("amount_cents")))),
             "client_text": spoiled("client", "C-999999", spoiled("noclient", "", F.concat(F.lit("C-"), F.col("client_id").cast("string")))),
-            "tin_text": F.when(F.col("tin_status") == "PRESENT", F.concat(F.lit("1"), F.substring(F.lpad(F.col("suppkey").cast("string"), 8, "0"), 1, 1), F.lit("-"), F.substring(F.lpad(F.col("suppkey").cast("string"), 8, "0"), 2, 7))).when(F.col("tin_status") == "MALFORMED", "12-34567").otherwise(""),
-            "method_text": F.when(F.col("method") == "CREDIT_CARD", "Credit_Card").when(F.col("method") == "TPSO", "PayPal").when(F.col("method") == "CHECK", F.concat(F.lit("Check #"), F.col("linenumber").cast("string"))).otherwise("e-transfer"),
+            "tin_text": F.when(F.col("tin_status") == "PRESENT", number).when(F.col("tin_status") == "MALFORMED", "12-34567").otherwise(""),
+            "method_text": F.when(F.col("method") == "CREDIT_CARD", "Credit_Card").when(F.col("method") == "TPSO", "PayPal").when(F.col("method") == "CHECK", F.concat(F.lit("Check #"), F.col("linenumber").cast("string"))).when(F.col("method").isin("WIRE", "CASH"), F.initcap("method")).when(F.col("method") == "UNKNOWN", "barter").otherwise("e-transfer"),
             "memo_text": F.lit("memo, with comma"), "class_text": F.when(F.col("expense_class") == "SERVICES", "").otherwise("goods"), "entry_text": F.when(F.col("entry_type") == "VOID", "voided").otherwise(""),
         })
         name = f"payments-{system.lower()}.csv"
-        _single(own.sortWithinPartitions("line_id").select(*[F.col(c).alias(h) for h, c in headers]), f"{directory}/{name}", header=True, lineSep="\n")
+        _single(own.sortWithinPartitions("line_id").select(*[F.col(c).alias(h) for h, c in headers]), f"{directory}/{name}", header=True, lineSep="\n", **({"compression": "gzip"} if gzip else {}))
         files.append({"name": name, "sourceSystem": system})
     refs = sorted(f"C-{r.client_id}" for r in lines.select("client_id").distinct().collect())  # the declared clients of one book
     _single(spark.createDataFrame([(r, r, "", "a", "b", "CA", "1") for r in refs], "client_ref string, legal_name string, ein string, address string, city string, state string, postal_code string"), f"{directory}/clients.csv", header=True)
-    manifest = json.dumps({"taxYear": tax_year, "revision": 0, "clientRefs": refs, "coveredTaxYears": years, "files": files}, sort_keys=True)
-    spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.text(f"{directory}/manifest.json")
+    _json(spark, {"taxYear": tax_year, "revision": revision, "clientRefs": refs, "coveredTaxYears": years, "files": files}, f"{directory}/manifest.json")
+    if fixtures is not None:
+        _json(spark, {"cases": [r.asDict() for r in fixtures.orderBy("fixture").collect()]}, f"{directory}/fixtures.json")  # a row a case

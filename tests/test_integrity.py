@@ -1,9 +1,11 @@
+import random
 import shutil
 import subprocess
 import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.operators import audit, filings, merge
 from ledgerloom.session import FirmSession, MissingFirm, unguarded
@@ -49,10 +51,10 @@ def test_admission_never_passes_the_limit(spark):
 
 
 def test_repeated_acknowledgments_change_nothing(spark):
-    f = spark.createDataFrame([("a", "SUBMITTED_UNACKNOWLEDGED"), ("b", "ACCEPTED"), ("c", "SUBMITTED_UNACKNOWLEDGED")], "filing_id string, state string")
-    acks = spark.createDataFrame([("a", "REJECTED"), ("b", "REJECTED"), ("zz", "ACCEPTED")], "reference string, outcome string")
+    f = spark.createDataFrame([(1, "a", "SUBMITTED_UNACKNOWLEDGED"), (1, "b", "ACCEPTED"), (1, "c", "SUBMITTED_UNACKNOWLEDGED")], "firm_id int, filing_id string, state string")
+    acks = spark.createDataFrame([(1, "a", "REJECTED"), (1, "b", "REJECTED"), (1, "zz", "ACCEPTED"), (2, "c", "ACCEPTED")], "firm_id int, reference string, outcome string")
     kinds = filings.correlate(f, acks)
-    assert {(r.filing_id, r.kind) for r in kinds.collect()} == {("a", "MATCHED"), ("b", "MATCHED"), ("c", "MISSING"), ("zz", "UNEXPECTED")}
+    assert {(r.firm_id, r.filing_id, r.kind) for r in kinds.collect()} == {(1, "a", "MATCHED"), (1, "b", "MATCHED"), (1, "c", "MISSING"), (1, "zz", "UNEXPECTED"), (2, "c", "UNEXPECTED")}
     once = filings.apply_acks(f, kinds)
     assert {(r.filing_id, r.state) for r in once.collect()} == {("a", "REJECTED"), ("b", "ACCEPTED"), ("c", "SUBMITTED_UNACKNOWLEDGED")}
     assert filings.apply_acks(once, kinds).exceptAll(once).isEmpty()
@@ -88,9 +90,10 @@ def test_windowed_calls_stream(spark, tmp_path):
     assert sorted(r.calls for r in spark.sql("select calls from windowed").collect()) == [1, 2]
 
 
-def test_the_rest_works_without_the_training_data_operators(tmp_path):
+@pytest.mark.parametrize("pipeline", ["corpus_pipeline.py", "-"])
+def test_the_rest_works_without_the_training_data_operators(tmp_path, pipeline):
     bare = tmp_path / "bare"
-    shutil.copytree(REPO, bare, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py"))
+    shutil.copytree(REPO, bare, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", pipeline))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'flagship_vendor_decisions' in q and not any(k.startswith('op') or k == 'pipeline' for k in q), q.keys(); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=bare, check=True, timeout=120)
 
@@ -99,3 +102,47 @@ def test_nothing_else_imports_them():
     for p in (REPO / "ledgerloom").rglob("*.py"):
         if "llm" not in p.relative_to(REPO).parts:
             assert ".llm" not in p.read_text() and "import llm" not in p.read_text(), p
+
+
+def test_a_chain_goes_on_from_its_pinned_head(spark):
+    every = events(spark)
+    whole = {(r.firm_id, r.seq): r.hash for r in audit.extend(every).collect()}
+    first = audit.extend(every.filter("seq <= 3"))
+    then = audit.extend(every.filter("seq > 3"), audit.pin_heads(first))
+    assert {(r.firm_id, r.seq): r.hash for r in first.unionByName(then).collect()} == whole
+    assert audit.verify(first.unionByName(then), audit.pin_heads(then)).isEmpty()
+
+
+def test_admission_keeps_the_limit_in_the_promised_window_whatever_the_delay(spark):
+    assert filings.safe_window_us(60_000_000) == 61_200_000 and filings.safe_window_us(500_000) == 750_000
+    r = random.Random(5)
+    calls = spark.createDataFrame([(1, i, i * 40_000 + r.randint(0, 9)) for i in range(400)], "firm_id long, call_id long, at_us long")
+    got = filings.admit(calls, filings.safe_window_us(500_000), 3).filter("granted").join(calls, ["firm_id", "call_id"])
+    late = got.withColumn("at_us", F.col("at_us") + F.pmod(F.xxhash64("call_id"), F.lit(100_000)))  # on the endpoint's clock
+    assert got.count() > 20 and filings.over_limit(late, 500_000, 3).isEmpty()
+
+
+def test_rolling_counts_over_the_edges_of_stretches(spark):
+    r = random.Random(6)
+    rows = [(r.randint(1, 3), i, r.randint(0, 5_000)) for i in range(600)] + [(1, 1_000 + i, 777) for i in range(5)]
+    got = {x.call_id: x.calls for x in filings.calls_in_window(spark.createDataFrame(rows, "firm_id long, call_id long, at_us long"), 100).collect()}
+    assert got == {i: sum(f == g and t - 100 <= u <= t for g, _, u in rows) for f, i, t in rows}
+
+
+def test_batch_numbers_follow_ids_over_ranges(spark):
+    ids = sorted(f"{random.Random(i).getrandbits(64):016x}" for i in range(500))
+    rows = [(i, 1, 7, 2025, 1, "h") for i in ids]
+    random.Random(1).shuffle(rows)
+    got = {x.filing_id: x.batch_no for x in filings.seal(spark.createDataFrame(rows, "filing_id string, firm_id int, client_id int, tax_year int, generation int, content_hash string"), 30).collect()}
+    assert got == {f: k // 30 for k, f in enumerate(ids)}
+
+
+def test_reconciliation_by_the_endpoints_books(spark):
+    work = spark.createDataFrame([("b1", 1, 2, "DISPATCHED", False, 9), ("b2", 1, 2, "DISPATCHED", False, None), ("b3", 1, 1, "SUBMITTED", True, 9), ("b4", 1, 1, "SUBMITTED", False, 9), ("b5", 1, 1, "VOID", True, 9), ("b6", 1, 1, "SEALED", True, 9)], "batch_id string, firm_id int, filing_count long, state string, needs_reconcile boolean, lease_until_us long")
+    members = spark.createDataFrame([("b1", 1, "x"), ("b1", 1, "y"), ("b3", 1, "z"), ("b6", 1, "v")], "batch_id string, firm_id int, filing_id string")
+    recorded = spark.createDataFrame([(1, "x"), (1, "x"), (1, "z"), (2, "v")], "firm_id int, filing_id string")
+    status = filings.endpoint_status(work, members, recorded)
+    got = {r.batch_id: (r.state, r.needs_reconcile, r.lease_until_us) for r in filings.reconcile(work, status).collect()}
+    assert got == {"b1": ("SUBMITTED", False, None), "b2": ("SEALED", False, None), "b3": ("ACKNOWLEDGED", False, None), "b4": ("SUBMITTED", False, 9), "b5": ("VOID", True, 9), "b6": ("SEALED", False, None)}
+    tries = spark.createDataFrame([("b1", 1, False), ("b2", 1, None), ("b3", 1, True), ("b4", 1, False), ("b4", 2, False)], "batch_id string, attempt_no int, sent boolean")
+    assert {r.batch_id for r in filings.may_release(tries).filter("releasable").collect()} == {"b1"}
