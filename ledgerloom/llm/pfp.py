@@ -1,10 +1,11 @@
 """Suffix-array dedup of byte strings by prefix-free parsing.
 
 1. **Parse.** A position is a trigger if the rolling hash of the ``gram`` bytes
-   there is 0 modulo ``modulus``. Triggers cut every text into phrases; each ends
-   with the trigger string behind it, so no phrase suffix that holds a trigger
-   string is a prefix of another (the set is prefix-free), and equal strings are
-   cut alike wherever they stand. A window of ``width`` bytes is a phrase suffix
+   there is 0 modulo ``modulus`` (in a window that holds none of these, the place
+   of its smallest hash). Triggers cut every text into phrases; each ends with the trigger
+   string behind it, so no phrase suffix that holds a trigger string is a prefix
+   of another (the set is prefix-free), and equal strings are cut alike wherever
+   they stand. A window of ``width`` bytes is a phrase suffix
    of ``d`` bytes before its trigger followed by a suffix of the parse.
 2. **Dictionary.** A phrase occurrence whose surroundings occur once holds no
    repeated window. It is known by two hashes: ``k1`` of the ``width - reach``
@@ -25,8 +26,6 @@
 The order is made group by group, as equality to ``width`` bytes is all that the
 result needs. A group of more than ``group_most`` entries is decided by hashes of
 its windows, counted in an aggregation, so no task holds an unbounded group.
-Windows without a trigger in reach (a stretch of one letter, say) are entries of
-their own.
 
 Removed is each byte covered by a ``width``-byte string that starts anywhere
 else too, in the same document or another; matches never cross documents.
@@ -53,6 +52,9 @@ from .spans import CHUNK, by_group, gathered, join_all, modest, more_of, neighbo
 from .wordhash import BASE_INV, U, mix, powers, prefix_sums, row_blocks, text_bytes
 
 
+_POS = U((1 << 24) - 1)
+
+
 @dataclass(frozen=True)
 class Parsing:
     width: int
@@ -72,34 +74,53 @@ def phrases(values: np.ndarray, offsets: np.ndarray, q: Parsing) -> tuple[np.nda
     def hash_of(a: np.ndarray, z: np.ndarray) -> np.ndarray:
         return mix((sums[z] - sums[a]) * back[a])
 
-    at = np.flatnonzero(mix((sums[q.gram :] - sums[: -q.gram]) * back[: n - q.gram + 1]) % U(q.modulus) == 0)
+    rolling = mix((sums[q.gram :] - sums[: -q.gram]) * back[: n - q.gram + 1])
+    whole = width - q.gram + 1  # distances below this leave the trigger string inside the window
+    out = []
+
+    def ranges(row: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of the windows from ``first`` to ``last`` before each trigger, by range of distances; returns (row, first, last) of windows that it is too far from."""
+        for low in range(0, whole, reach):
+            pivot, s, e = at - low, np.maximum(first, at - min(low + reach, whole) + 1), np.minimum(last, at - low)
+            some = np.flatnonzero(e >= s)
+            pivot, s, e = pivot[some], s[some], e[some]
+            k1 = mix(hash_of(pivot, pivot + width - reach) + U(low + salt))
+            k2 = mix(hash_of(s, e + width) + U(0xD1342543DE82EF95) * (pivot - s).astype(U) + U(0xC2B2AE3D27D4EB4F) * (e - s).astype(U) + k1)
+            out.append((row[some], s - offsets[row[some]], e - s, pivot - s, k1, k2))
+        z = np.minimum(last, at - whole)
+        some = np.flatnonzero(z >= first)
+        return row[some], first[some], z[some]
+
+    at = np.flatnonzero(rolling % U(q.modulus) == 0)
     row = np.searchsorted(offsets, at, side="right") - 1
     inside = at + q.gram <= offsets[row + 1]
-    at, row = at[inside], row[inside]
-    # one more phrase a row, after its last trigger: no trigger is in its windows' reach
-    far = n + 2 * width
-    row = np.concatenate([row, fits])
-    at = np.concatenate([at, offsets[fits + 1] + far])
+    far = n + 2 * width  # one more phrase a row, after its last trigger: no trigger is in its windows' reach
+    row, at = np.concatenate([row[inside], fits]), np.concatenate([at[inside], offsets[fits + 1] + far])
     order = np.lexsort((at, row))
     at, row = at[order], row[order]
     first = offsets[row]
     first[1:] = np.where(row[1:] == row[:-1], at[:-1] + 1, first[1:])
-    last = np.minimum(at, offsets[row + 1] - width)  # first and last window start of each phrase
-    out = []
-    whole = width - q.gram + 1  # distances below this leave the trigger string inside the window
-    for low in range(0, whole, reach):
-        pivot, s, e = at - low, np.maximum(first, at - min(low + reach, whole) + 1), np.minimum(last, at - low)
-        some = np.flatnonzero(e >= s)
-        pivot, s, e = pivot[some], s[some], e[some]
-        k1 = mix(hash_of(pivot, pivot + width - reach) + U(low))
-        k2 = mix(hash_of(s, e + width) + U(0xD1342543DE82EF95) * (pivot - s).astype(U) + U(0xC2B2AE3D27D4EB4F) * (e - s).astype(U) + k1)
-        out.append((row[some], s - offsets[row[some]], e - s, pivot - s, k1, k2))
-    z = np.minimum(last, at - whole)
-    some = np.flatnonzero(z >= first)
-    many = z[some] - first[some] + 1
-    s = np.repeat(first[some], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    row, alone = np.repeat(row[some], many), mix(hash_of(s, s + width) + U(width))
-    out.append((row, s - offsets[row], np.zeros_like(s), np.zeros_like(s), alone, alone))
+    row, first, last = ranges(row, first, np.minimum(at, offsets[row + 1] - width), at, 0)
+
+    if len(row):  # windows without a trigger: the last of their smallest hashes is theirs
+        size = last - first + whole
+        ends = np.cumsum(size)
+        place = np.arange(ends[-1]) + np.repeat(first - (ends - size), size)
+        least = (rolling[place] & ~_POS) | (_POS - np.arange(ends[-1], dtype=U))
+        span = 1
+        while 2 * span <= whole:
+            least = np.minimum(least[:-span], least[span:])
+            span *= 2
+        least = np.minimum(least[: len(least) - (whole - span)], least[whole - span :]) if span < whole else least
+        many = last - first + 1
+        of = np.repeat(np.arange(len(row)), many)
+        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        at = place[(_POS - (least[(ends - size)[of] + nth] & _POS)).astype(np.int64)]
+        window = first[of] + nth
+        new = np.ones(len(window), bool)
+        new[1:] = (at[1:] != at[:-1]) | (of[1:] != of[:-1])
+        begin = np.flatnonzero(new)
+        ranges(row[of[begin]], window[begin], window[np.append(begin[1:], len(window)) - 1], at[begin], width)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -245,7 +266,7 @@ def _cut(digest: bool):
     return cut
 
 
-def dedup_bytes(docs: DataFrame, width: int = 400, reach: int = 192, gram: int = 16, modulus: int = 64, digest: bool = False, group_most: int = 2_000, broadcast_rows: int = 1_000_000) -> DataFrame:
+def dedup_bytes(docs: DataFrame, width: int = 400, reach: int = 192, gram: int = 16, modulus: int = 128, digest: bool = False, group_most: int = 2_000, broadcast_rows: int = 200_000) -> DataFrame:
     """``_row`` (the document's other columns), n_bytes, n_removed, n_spans and ``kept`` (the remaining bytes), or ``kept_sha256`` instead with ``digest``."""
     q = Parsing(width, min(reach, width - gram + 1), gram, modulus)
     fields = "n_bytes bigint, n_removed bigint, n_spans bigint, " + ("kept_sha256 string" if digest else "kept binary")

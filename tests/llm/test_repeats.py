@@ -96,12 +96,12 @@ def test_long_rows_are_chunked(monkeypatch, operator):
     import numpy as np
 
     r = random.Random(3)
-    text = "".join(r.choices("abcd ", k=5000)) + "-" * 700
+    text = "".join(r.choices("abcd ", k=5000)) + "-" * 700 + "abc" * 300
     text += text[1000:2100]
     values, offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])
     monkeypatch.setattr(operator, "CHUNK", 300)
     if operator is pfp:
-        parts = list(pfp._phrases_of_rows(values, offsets, pfp.Parsing(60, 30, 8, 16)))
+        parts = list(pfp._phrases_of_rows(values, offsets, pfp.Parsing(60, 30, 8, 32)))
     else:
         parts = list(substring._suffixes_of_rows(values, offsets, substring.Tree(60, 30, 8)))
     assert len(parts) > 10
@@ -117,7 +117,7 @@ def test_phrases_are_cut_by_content_and_hold_each_window_once():
     texts = ["".join(r.choices("abcdefgh ", k=r.randint(0, 700))) + shared + "".join(r.choices("xyz", k=50)) for _ in range(5)] + ["", "short", "q" * 1000]
     raw = "".join(texts).encode()
     offsets = np.cumsum([0, *map(len, texts)])
-    row, s, more, dist, k1, k2 = pfp.phrases(np.frombuffer(raw, np.uint8), offsets, pfp.Parsing(400, 192, 16, 64))
+    row, s, more, dist, k1, k2 = pfp.phrases(np.frombuffer(raw, np.uint8), offsets, pfp.Parsing(400, 192, 16, 128))
     seen = sorted((i, x) for i, a, m in zip(row.tolist(), s.tolist(), more.tolist(), strict=True) for x in range(a, a + m + 1))
     assert seen == [(i, x) for i, t in enumerate(texts) for x in range(len(t) - 399)]
     of = {(i, a + j): k for i, a, m, k in zip(row.tolist(), s.tolist(), more.tolist(), k1.tolist(), strict=True) for j in range(m + 1)}
