@@ -68,11 +68,12 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), 12, "0")), "")
 
 
-def with_next(docs: DataFrame, rows_a_group: int = 2_000, broadcast_groups: int = 200_000) -> DataFrame:
+def with_next(docs: DataFrame, rows_a_group: int = 500, broadcast_groups: int = 1_000_000) -> DataFrame:
     """``docs`` (doc_id, text, further columns) with ``next``, a struct of text and further columns of the row that follows by ascending doc_id; the first row follows the last.
 
     Rows are grouped by ranges of ids: approximate quantiles, each cut into equal parts, so no task holds more than a few thousand rows of spread ids. The first row of each group is also sent, as a guest, to the group before it.
     """
+    spark = docs.sparkSession
     ids = docs.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", [i / 64 for i in range(65)], 10_000)).first()
     n, low, high, marks = ids[0], ids[1], ids[2], sorted(set(ids[3] or [0]))
     marks = [low or 0, *[m for m in marks if (low or 0) < m <= (high or 0)]]
@@ -86,9 +87,12 @@ def with_next(docs: DataFrame, rows_a_group: int = 2_000, broadcast_groups: int
     rest = [c for c in docs.columns if c != "doc_id"]
 
     heads = keep(placed.groupBy("_group").agg(F.min("doc_id").alias("_head")), "heads")
-    w = Window.orderBy("_group")  # one row a group
-    guests = heads.select("_group", "_head", F.coalesce(F.lag("_group").over(w), F.max("_group").over(Window.partitionBy())).alias("_guest_of"))
-    guests = guests.select(F.col("_group").alias("_g"), "_head", "_guest_of")
+    # The group before each one: within a level by a window, and across levels by their last groups (one row a level).
+    level_of = F.floor(F.col("_group") / parts).alias("_l")
+    lasts = [(r["_l"], r["last"]) for r in heads.groupBy(level_of).agg(F.max("_group").alias("last")).orderBy("_l").collect()]
+    before = spark.createDataFrame([(x, lasts[k - 1][1]) for k, (x, _) in enumerate(lasts)], "_m long, _before long")
+    own = heads.select("_group", "_head", level_of).join(F.broadcast(before), F.col("_l") == F.col("_m"))
+    guests = own.select(F.col("_group").alias("_g"), "_head", F.coalesce(F.lag("_group").over(Window.partitionBy("_l").orderBy("_group")), "_before").alias("_guest_of"))
     if n <= rows_a_group * broadcast_groups:  # n / rows_a_group rows of 24 bytes, give or take the empty groups
         guests = F.broadcast(guests)
     both = placed.join(guests, (F.col("_group") == F.col("_g")) & F.col("doc_id").eqNullSafe(F.col("_head")), "left")

@@ -77,7 +77,8 @@ def _keys(min_chars: int):
                 row, h1, h2 = row[order], h1[order], h2[order]
                 new = np.ones(len(row), bool)
                 new[1:] = (row[1:] != row[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row[new])), pa.array(h1[new]), pa.array(h2[new])], names=["doc_id", "h1", "h2"])
+                own = [c for c in b.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(row[new])) for c in own], pa.array(h1[new]), pa.array(h2[new])], names=[*own, "h1", "h2"])
 
     return run
 
@@ -158,10 +159,12 @@ def _by_broadcast(base: DataFrame, keys: DataFrame, min_chars: int) -> DataFrame
 
 
 def _by_join(base: DataFrame, keys: DataFrame, min_chars: int) -> DataFrame:
-    rows = arrow_map(docs_of(base), _keys(min_chars), "doc_id long, h1 long, h2 long")
+    told = base.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(17), "text")})  # rows that share an id, or have none, are gathered by text
+    rows = arrow_map(docs_of(told).select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(17), "text").alias("t2"), "text"), _keys(min_chars), "doc_id long, t1 long, t2 long, h1 long, h2 long")
     gone = rows.join(keys, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
-    gone = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))  # bounded by one document's lines
-    joined = base.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("_row", "text", "gone")
+    gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2")).agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))  # bounded by one text's lines
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2"))
+    joined = told.join(gone, same, "left").select("_row", "text", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -161,7 +161,7 @@ def _key_of(window: np.ndarray, first: int, end: int) -> np.ndarray:
     """Keys of the characters in columns ``first`` to ``end`` (excluded), as ``gram_keys`` makes them."""
     out = np.zeros(len(window), U)
     for c in range(first, end):
-        out = out * U(0x9E3779B97F4A7C15) + window[:, c] + U(1)
+        out = out * U(0x9E3779B97F4A7C15) + window[:, c].astype(U) + U(1)
     return mix(out)
 
 
@@ -173,13 +173,13 @@ def _grams(words: list[str], counts: np.ndarray, order: int) -> tuple[np.ndarray
     own = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)) + 2)[inside]
     keys, first, inverse = np.unique(gram_keys(points, starts, order)[inside], return_index=True, return_inverse=True)
     pos = inside[first]
-    window = points[np.maximum(pos[:, None] - np.arange(order - 1, -1, -1), 0)]
+    window = points.astype(np.uint32)[np.maximum(pos[:, None] - np.arange(order - 1, -1, -1), 0)]
     n = np.stack([np.bincount(inverse, counts[own, c], len(keys)) for c in (0, 1)], 1)
     return keys, window, np.minimum(order, pos - starts[pos] + 1), n
 
 
-def fit(parts: Iterable[tuple[list[str], np.ndarray]], order: int = 5, discount: float = 0.75) -> Ratios:
-    """The model from parts of (words, counts in the ordinary and the toxic class); memory follows the distinct n-grams."""
+def likelihoods(parts: Iterable[tuple[list[str], np.ndarray]], order: int = 5, discount: float = 0.75) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, log-probability of the last character after those before it, count), the last two by class, of every n-gram of ``parts``: (words, counts in the ordinary and the toxic class). Memory follows the distinct n-grams."""
     found = [_grams(w, c, order) for w, c in parts if w]
     keys, first, inverse = np.unique(np.concatenate([f[0] for f in found]), return_index=True, return_inverse=True)
     window, length = (np.concatenate([f[k] for f in found])[first] for k in (1, 2))
@@ -219,7 +219,13 @@ def fit(parts: Iterable[tuple[list[str], np.ndarray]], order: int = 5, discount:
         left = np.where(some, discount * kinds / np.where(some, totals, 1), 1.0)
         part = np.maximum(n[:, c] - discount, 0) / np.where(some, totals, 1)[back]
         log_p.append(np.log(part + left[back] * shared))
-    ratio = log_p[1] - log_p[0]
+    return keys, np.stack(log_p, 1), n
+
+
+def fit(parts: Iterable[tuple[list[str], np.ndarray]], order: int = 5, discount: float = 0.75) -> Ratios:
+    """The model from parts of (words, counts in the ordinary and the toxic class)."""
+    keys, log_p, n = likelihoods(parts, order, discount)
+    ratio = log_p[:, 1] - log_p[:, 0]
     ratio = np.where(n[:, 1] == 0, np.minimum(ratio, 0), np.where(n[:, 0] == 0, np.maximum(ratio, 0), ratio))
     return Ratios(Table(keys, ratio), n[:, 1] > 0, order)
 

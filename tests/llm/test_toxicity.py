@@ -1,6 +1,9 @@
+import math
 import random
 import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from ledgerloom.llm import toxicity
@@ -90,12 +93,96 @@ def test_no_labels_or_documents(spark, no_docs, docs):
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
 
 
-def test_probabilities_sum_to_one():
-    import math
-    from collections import Counter
-
+class PlainKneserNey:
+    """Class-conditional Kneser-Ney with shared continuation counts, by the book: dictionaries, one n-gram at a time."""
+
+    def __init__(self, counts, order, discount):
+        self.order, self.d = order, discount
+        self.top = [defaultdict(int), defaultdict(int)]
+        for c, words in enumerate(counts):
+            for w, n in words.items():
+                w = f"^{w}$"
+                for k in range(1, len(w)):
+                    self.top[c][w[max(0, k - order + 1) : k + 1]] += n
+        types = set(self.top[0]) | set(self.top[1])
+        self.seen, level = types, {g for g in types if len(g) == order}
+        self.types = {}
+        for k in range(order, 1, -1):  # how many longer types each shorter n-gram ends
+            self.types[k - 1] = Counter(g[1:] for g in level)
+            level = set(self.types[k - 1]) | {g for g in types if len(g) == k - 1}
+        self.letters = sorted(self.types[1])
+
+    def shared(self, gram):
+        if not gram:
+            return 1 / len(self.letters)
+        below = self.shared(gram[1:])
+        own = {g: n for g, n in self.types[len(gram)].items() if g[:-1] == gram[:-1]}
+        total = sum(own.values())
+        return (max(own.get(gram, 0) - self.d, 0) + self.d * len(own) * below) / total if total else below
+
+    def p(self, c, gram):
+        own = {g: n for g, n in self.top[c].items() if len(g) == len(gram) and g[:-1] == gram[:-1]}
+        total = sum(own.values())
+        below = self.shared(gram[1:])
+        return (max(own.get(gram, 0) - self.d, 0) + self.d * len(own) * below) / total if total else below
+
+
+@pytest.mark.parametrize("order", [3, 5])
+def test_likelihoods_equal_plain_kneser_ney_whose_probabilities_sum_to_one(order):
+    r = random.Random(order)
+    words = ["".join(r.choices("abcé", k=r.randint(1, 7))) for _ in range(60)]
+    counts = tuple(Counter({w: r.randint(1, 9) for w in r.sample(words, 40)}) for _ in range(2))
+    plain = PlainKneserNey(counts, order, 0.75)
+    for c in (0, 1):
+        for history in {g[:-1] for g in plain.seen} | {"^zzzz"[:order - 1], "q"}:
+            assert abs(sum(plain.p(c, history + x) for x in plain.letters) - 1) < 1e-9
+    every = sorted(counts[0].keys() | counts[1].keys())
+    parts = [(part, np.array([[c[w] for c in counts] for w in part], float)) for part in (every[:20], every[20:])]
+    keys, log_p, n = toxicity.likelihoods(parts, order)
+    assert len(keys) == len(plain.seen)
+    points = {}
+    for g in plain.seen:
+        own = np.array([ord(x) for x in g], np.uint64)
+        points[int(toxicity.gram_keys(own, np.zeros(len(own), np.int64), order)[-1])] = g
+    for key, lp, m in zip(keys.tolist(), log_p, n, strict=True):
+        g = points[key]
+        assert [plain.top[c].get(g, 0) for c in (0, 1)] == m.tolist()
+        assert all(abs(math.exp(lp[c]) - plain.p(c, g)) < 1e-9 for c in (0, 1))
+    ratio = toxicity.kneser_ney(counts, order).seen
+    for key, value in zip(ratio.keys.tolist(), ratio.values.tolist(), strict=True):
+        g = points[key]
+        want = math.log(plain.p(1, g) / plain.p(0, g))
+        want = min(want, 0) if not plain.top[1].get(g) else max(want, 0) if not plain.top[0].get(g) else want
+        assert abs(value - want) < 1e-5
+
+
+def test_signs_of_words():
     counts = (Counter({"abab": 5, "abc": 3, "cab": 2}), Counter({"abab": 1, "bad": 4}))
     m = toxicity.kneser_ney(counts, order=3)
     assert m.word("bad") > 1 and m.word("abc") < 0 and math.isfinite(m.word("zzz"))
     m2 = toxicity.kneser_ney((counts[0], counts[0]), order=3)
     assert all(abs(m2.word(w)) < 1e-9 for w in ("abab", "zz", "cab"))
+
+
+def test_long_texts_clashing_names_and_repeated_rows(spark):
+    rows = corpus(300)
+    clean = " ".join(t for _, t, y in rows if not y)
+    long = " ".join([clean] * 20)
+    more = [(1001, long), (1002, long + " grumbly snarkface vexnit grumbly snarkface"), (1003, "x" * 200_000), (1004, rows[0][1]), (1004, rows[0][1])]
+    d = spark.createDataFrame([(i, t, 1, "s", 2, 3) for i, t in [(i, t) for i, t, _ in rows] + more], "doc_id long, text string, score int, word string, toxic int, top int")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = [r for r in toxicity.score(d, labels).collect()]
+    by = {r.doc_id: r for r in got}
+    assert len(long) > 1_000_000 and by[1001].predicted == 0 and by[1003].predicted == 0
+    assert by[1002].score > by[1001].score
+    assert len({r.score for r in got if r.doc_id == 1004}) == 1 and sum(r.doc_id == 1004 for r in got) == 2
+    kept = toxicity.drop_toxic(d, labels)
+    assert kept.columns == d.columns and {r.score for r in kept.select("score").collect()} == {1}
+
+
+def test_a_text_too_long_for_the_sample_is_passed_over(spark):
+    rows = corpus(300)
+    d = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(9000 + i, rows[0][1] * 3_000) for i in range(12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(9000 + i, 0) for i in range(12)], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.score(d, labels, sample_bytes=400_000).collect()}
+    assert sum(got[i] == y for i, _, y in rows) >= 0.97 * len(rows)
