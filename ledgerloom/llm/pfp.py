@@ -266,7 +266,7 @@ def _cut(digest: bool):
     return cut
 
 
-def dedup_bytes(docs: DataFrame, width: int = 400, reach: int = 192, gram: int = 16, modulus: int = 128, digest: bool = False, group_most: int = 2_000, broadcast_rows: int = 1_000_000) -> DataFrame:
+def dedup_bytes(docs: DataFrame, width: int = 400, reach: int = 192, gram: int = 16, modulus: int = 128, digest: bool = False, group_most: int = 5_000, broadcast_rows: int = 1_000_000) -> DataFrame:
     """``_row`` (the document's other columns), n_bytes, n_removed, n_spans and ``kept`` (the remaining bytes), or ``kept_sha256`` instead with ``digest``."""
     q = Parsing(width, min(reach, width - gram + 1), gram, modulus)
     fields = "n_bytes bigint, n_removed bigint, n_spans bigint, " + ("kept_sha256 string" if digest else "kept binary")
