@@ -175,16 +175,28 @@ def _grams(words: list[str], counts: np.ndarray, order: int) -> tuple[np.ndarray
     pos = inside[first]
     window = points.astype(np.uint32)[np.maximum(pos[:, None] - np.arange(order - 1, -1, -1), 0)]
     n = np.stack([np.bincount(inverse, counts[own, c], len(keys)) for c in (0, 1)], 1)
-    return keys, window, np.minimum(order, pos - starts[pos] + 1), n
+    return keys, window, np.minimum(order, pos - starts[pos] + 1).astype(np.int8), n
+
+
+def _one(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Parts of ``_grams`` as one, each n-gram once."""
+    keys, first, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+    n = np.concatenate([p[3] for p in parts])
+    return keys, np.concatenate([p[1] for p in parts])[first], np.concatenate([p[2] for p in parts])[first], np.stack([np.bincount(inverse, n[:, c], len(keys)) for c in (0, 1)], 1)
 
 
 def likelihoods(parts: Iterable[tuple[list[str], np.ndarray]], order: int = 5, discount: float = 0.75) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys, log-probability of the last character after those before it, count), the last two by class, of every n-gram of ``parts``: (words, counts in the ordinary and the toxic class). Memory follows the distinct n-grams."""
-    found = [_grams(w, c, order) for w, c in parts if w]
-    keys, first, inverse = np.unique(np.concatenate([f[0] for f in found]), return_index=True, return_inverse=True)
-    window, length = (np.concatenate([f[k] for f in found])[first] for k in (1, 2))
-    n = np.concatenate([f[3] for f in found])
-    n = np.stack([np.bincount(inverse, n[:, c], len(keys)) for c in (0, 1)], 1)
+    found: list[tuple[np.ndarray, ...]] = []
+    loose = most = 0
+    for w, c in parts:
+        if w:
+            found.append(_grams(w, c, order))
+            loose += len(found[-1][0])
+        if loose > most:  # what is held stays within a few times the distinct n-grams
+            found, loose = [_one(found)], 0
+            most = max(200_000, len(found[0][0]))
+    keys, window, length, n = _one(found)
     del found
 
     # Continuation counts, from the longest n-grams down: in how many longer types each one ends, and the sums by history.
@@ -318,7 +330,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, sample_
 
     def model(folds: tuple[int, ...]) -> Ratios:
         own = np.flatnonzero(np.isin(fold, folds))
-        return fit(((found.column("word").take(pa.array(own[at : at + 50_000])).to_pylist(), by_class[own[at : at + 50_000]]) for at in range(0, len(own), 50_000)), order)
+        return fit(((found.column("word").take(pa.array(own[at : at + 20_000])).to_pylist(), by_class[own[at : at + 20_000]]) for at in range(0, len(own), 20_000)), order)
 
     parts = []
     for f in FOLDS:
