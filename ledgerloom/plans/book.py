@@ -66,6 +66,15 @@ class Book:
         _STORED[key] = where
         return self.spark.read.parquet(where)
 
+    def store_all(self) -> None:
+        """Writes what an engine keeps between runs, as a first import and determination would."""
+        for name in ("stored_ledger", "stored_aliases", "decisions", "dirty", "snapshot", "filings"):
+            getattr(self, name)
+
+    @property
+    def stored_aliases(self) -> DataFrame:
+        return self._once("stored_aliases", lambda: self.stored("aliases", lambda: self.aliases))
+
     @property
     def stored_ledger(self) -> DataFrame:
         return self._once("stored_ledger", lambda: self.stored("ledger", lambda: self.ledger, ("client_id",)))

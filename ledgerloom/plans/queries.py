@@ -15,8 +15,9 @@ from ..operators import merge as M
 from ..operators import runs as R
 from ..operators import views as V
 from ..reasons import REASONS, reason_codes
+from ..rules import RuleSet
 from ..session import SHARED, FirmSession, scratch
-from ..sources import export, writer
+from ..sources import export, generator, writer
 from ..sources.testdata import table
 from .book import BATCH_SIZE, BOOK_SQL, NOW_US, RULES, SCOPE, SNAP, Book, digit
 
@@ -69,7 +70,7 @@ add("golden_explained_equals_total", lambda b: D.unreconciled(b.classified, b.de
 
 
 def _incremental(b: Book) -> DataFrame:
-    return D.incremental(b.stored_ledger, b.stored("aliases", lambda: b.aliases), RULES, b.dirty.filter("client_id % 3 = 0"), b.decisions).select(*DECIDED)
+    return D.incremental(b.stored_ledger, b.stored_aliases, RULES, b.dirty.filter("client_id % 3 = 0"), b.decisions).select(*DECIDED)
 
 
 add("flt4_state2_incremental_determination", _incremental, f"SELECT {', '.join(DECIDED)} FROM decided")
@@ -346,7 +347,7 @@ add("hsh11_failure_roll", lambda b: b.filings.select("filing_id", (F.floor(S.has
 def _import(b: Book) -> tuple[DataFrame, DataFrame]:
     """(judged records, payments) of the whole ledger, written as an export of three systems with planted defects and read back."""
     d, e = digit("line_id", 1), digit("line_id", 2)
-    kind = F.when(d == 0, F.when(e == 0, "amount").when(e == 1, "date").when(e == 2, "client").when(e == 3, "subcent").when(e == 4, "noclient"))
+    kind = F.when(d == 0, F.when(e == 0, "amount").when(e == 1, "date").when(e == 2, "client").when(e == 3, "subcent").when(e == 4, "noclient").when(e == 5, "currency").when(e == 6, "vendor"))
     where = scratch(b.spark, "export")
     writer.write_export(b.ledger.withColumn("defect", kind), where, RULES.tax_year, list(range(1992, 2003)))
     m = export.read_manifest(b.spark, where)
@@ -363,10 +364,10 @@ DEFECT_SQL = """, spoiled AS (SELECT *, strpos('0123456789abcdef', substr(md5(li
 """
 IMPORTED = ["source_system", "client_id", "tax_year", "method", "entry_type", "expense_class", "tin_status"]
 add("src1_src9_import_round_trip", lambda b: _import(b)[1].groupBy(*IMPORTED).agg(F.count(F.lit(1)).alias("n"), F.sum("amount_cents").alias("cents"), F.count_distinct("name_norm").alias("names"), F.min("payment_date").alias("first_day"), F.max("payment_date").alias("last_day")),
-    DEFECT_SQL + """, i AS (SELECT source_system, 'C-' || client_id AS client_id, tax_year, method, CASE WHEN entry_type = 'VOID' AND source_system <> 'SPREADSHEET' THEN 'VOID' WHEN amount_cents < 0 THEN 'REVERSAL' ELSE 'PAYMENT' END AS entry_type, expense_class, tin_status, amount_cents, name_norm, payment_date FROM spoiled WHERE NOT (d = 0 AND e <= 4))
+    DEFECT_SQL + """, i AS (SELECT source_system, 'C-' || client_id AS client_id, tax_year, method, CASE WHEN entry_type = 'VOID' AND source_system <> 'SPREADSHEET' THEN 'VOID' WHEN amount_cents < 0 THEN 'REVERSAL' ELSE 'PAYMENT' END AS entry_type, expense_class, tin_status, amount_cents, name_norm, payment_date FROM spoiled WHERE NOT (d = 0 AND e <= 6))
 SELECT source_system, client_id, tax_year, method, entry_type, expense_class, tin_status, count(*) AS n, CAST(sum(amount_cents) AS BIGINT) AS cents, count(DISTINCT name_norm) AS names, CAST(min(payment_date) AS VARCHAR) AS first_day, CAST(max(payment_date) AS VARCHAR) AS last_day FROM i GROUP BY ALL""")
 add("flt2_snk3_rejections", lambda b: export.rejections(_import(b)[0], 1).groupBy(F.regexp_replace("file_name", r"\.csv$", "").alias("file_name"), "reason_code").agg(F.count(F.lit(1)).alias("n")),
-    DEFECT_SQL + "SELECT 'payments-' || lower(source_system) AS file_name, CASE e WHEN 0 THEN 'UNPARSEABLE_AMOUNT' WHEN 1 THEN 'UNPARSEABLE_DATE' WHEN 2 THEN 'UNKNOWN_CLIENT_REF' WHEN 3 THEN 'SUB_CENT_AMOUNT' ELSE 'MISSING_CLIENT_REF' END AS reason_code, count(*) AS n FROM spoiled WHERE d = 0 AND e <= 4 GROUP BY ALL")
+    DEFECT_SQL + "SELECT 'payments-' || lower(source_system) AS file_name, CASE e WHEN 0 THEN 'UNPARSEABLE_AMOUNT' WHEN 1 THEN 'UNPARSEABLE_DATE' WHEN 2 THEN 'UNKNOWN_CLIENT_REF' WHEN 3 THEN 'SUB_CENT_AMOUNT' WHEN 4 THEN 'MISSING_CLIENT_REF' WHEN 5 THEN 'UNSUPPORTED_CURRENCY' ELSE 'UNIDENTIFIABLE_VENDOR' END AS reason_code, count(*) AS n FROM spoiled WHERE d = 0 AND e <= 6 GROUP BY ALL")
 
 
 def _guard(b: Book) -> DataFrame:
@@ -374,7 +375,17 @@ def _guard(b: Book) -> DataFrame:
     return b.spark.createDataFrame([(n, bad)], "rows_read long, rows_rejected long")
 
 
-add("flt3_rejection_guard", _guard, DEFECT_SQL + "SELECT count(*) AS rows_read, count(*) FILTER (WHERE d = 0 AND e <= 4) AS rows_rejected FROM spoiled")
+def _generated(b: Book) -> DataFrame:
+    """What the planted cases of a generated ledger are decided as, among its other payments."""
+    lines = generator.ledger(b.spark, generator.Shape(clients_a_firm=5, most_rows=2_000), copies=25)
+    decided = D.determine(lines, b.spark.createDataFrame([], "firm_id int, client_id int, alias_key string, canonical_key string"), RuleSet(2025, 60_000))[1]
+    own = decided.withColumn("fixture", F.regexp_extract("display_name", "^Fixture ([a-z_0-9]+) [0-9]", 1)).filter("fixture <> ''")
+    return own.groupBy("fixture").agg(F.count(F.lit(1)).alias("vendors"), *[F.sum(c).alias(c) for c in ("gross_cents", "card_excluded_cents", "reversal_cents", "reportable_cents", "withholding_cents")])
+
+
+CASE_SQL = ", ".join(str((case, 25 * vendors, *(25 * x for x in sums))) for case, _, sums, vendors, _ in generator.CASES)
+add("src11_generated_cases", _generated, f"SELECT fixture, CAST(vendors AS BIGINT) AS vendors, CAST(gross_cents AS BIGINT) AS gross_cents, CAST(card_excluded_cents AS BIGINT) AS card_excluded_cents, CAST(reversal_cents AS BIGINT) AS reversal_cents, CAST(reportable_cents AS BIGINT) AS reportable_cents, CAST(withholding_cents AS BIGINT) AS withholding_cents FROM (VALUES {CASE_SQL}) v(fixture, vendors, gross_cents, card_excluded_cents, reversal_cents, reportable_cents, withholding_cents)", book=False)
+add("flt3_rejection_guard", _guard, DEFECT_SQL + "SELECT count(*) AS rows_read, count(*) FILTER (WHERE d = 0 AND e <= 6) AS rows_rejected FROM spoiled")
 add("sec3_flt11_unguarded_tables", lambda b: b.spark.createDataFrame(R.catalog({"ledger": lambda: b.ledger, "filings": lambda: b.filings, "reason_code": lambda: reason_codes(b.spark)}, SHARED), "table_name string, has_firm boolean, is_shared boolean"),
     "SELECT * FROM (VALUES ('filings', true, false), ('ledger', true, false), ('reason_code', false, true)) v(table_name, has_firm, is_shared)", book=False)
 

@@ -122,7 +122,7 @@ def read_payments(spark: SparkSession, path: str, declared: str | None) -> DataF
     body = whole_records(numbered).filter("line_no > 1 and trim(raw_line) <> ''")
     width = len(names) + 2
     schema = ", ".join(f"c{i} string" for i in range(width))
-    parsed = body.withColumn("_p", F.from_csv("raw_line", schema, {"mode": "PERMISSIVE", "maxCharsPerColumn": "65536"}))
+    parsed = body.withColumn("_p", F.from_csv("raw_line", schema, {"mode": "PERMISSIVE", "maxCharsPerColumn": "65536", "escape": '"'}))
     quoted = F.regexp_replace("raw_line", r'"([^"]|"")*"', "q")
     out = parsed.withColumn("n_fields", F.size(F.split(quoted, ",", -1)))
     picked = [F.col(f"_p.c{names.index(c)}").alias(c) if c in names else F.lit(None).cast("string").alias(c) for c in COLUMNS]
@@ -240,5 +240,5 @@ def import_export(spark: SparkSession, directory: str, firm_id: int, key: bytes,
 
 def write_csv(df: DataFrame, path: str, order: list[str]) -> str:
     """One deterministic CSV: fixed order, LF, header (for exports of modest size; one task writes). Returns the SHA-256 of its bytes."""
-    df.coalesce(1).sortWithinPartitions(*order).write.mode("overwrite").option("header", True).option("lineSep", "\n").csv(path)
+    df.coalesce(1).sortWithinPartitions(*order).write.mode("overwrite").option("header", True).option("lineSep", "\n").option("escape", '"').csv(path)
     return df.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select(F.sha2("content", 256)).first()[0]

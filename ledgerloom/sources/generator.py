@@ -52,7 +52,7 @@ class Shape:
 # Methods with their shares in hundredths, systems, and kinds of planted defects.
 METHOD_SHARES = (("CHECK", 35), ("ACH", 30), ("CREDIT_CARD", 18), ("TPSO", 7), ("WIRE", 5), ("CASH", 3), ("UNKNOWN", 2))
 SYSTEMS = ("QUICKBOOKS", "XERO", "SPREADSHEET")
-DEFECTS = ("amount", "date", "client", "subcent", "noclient")
+DEFECTS = ("amount", "date", "client", "subcent", "noclient", "currency", "vendor")
 
 # Fixed values, the planted cases: (case, payments (name suffix, number, month, cents, card, withheld), (gross, card, reversal, reportable, withheld) cents, vendors, reason).
 CASES = (

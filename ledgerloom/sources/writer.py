@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HEADERS = {
-    "QUICKBOOKS": [("Txn Date", "date_text"), ("Vendor", "name_raw"), ("Tax ID", "tin_text"), ("Amount", "amount_text"), ("Payment Method", "method_text"), ("Customer", "client_text"), ("Txn ID", "line_id"), ("Memo", "memo_text"), ("Account", "class_text"), ("Transaction Type", "entry_text")],
-    "XERO": [("Payment Date", "date_text"), ("Contact Name", "name_raw"), ("Tax Number", "tin_text"), ("Total", "amount_text"), ("Payment Type", "method_text"), ("Tracking Category", "client_text"), ("PaymentID", "line_id"), ("Reference", "memo_text"), ("Account Code", "class_text"), ("Type", "entry_text")],
-    "SPREADSHEET": [("Date Paid", "date_text"), ("Who", "name_raw"), ("EIN/SSN", "tin_text"), ("$", "amount_text"), ("How Paid", "method_text"), ("Client", "client_text"), ("Notes", "memo_text"), ("Category", "class_text")],
+    "QUICKBOOKS": [("Txn Date", "date_text"), ("Vendor", "name_raw"), ("Tax ID", "tin_text"), ("Amount", "amount_text"), ("Payment Method", "method_text"), ("Customer", "client_text"), ("Txn ID", "line_id"), ("Memo", "memo_text"), ("Account", "class_text"), ("Transaction Type", "entry_text"), ("Currency", "currency_text"), ("Backup Withholding", "held_text")],
+    "XERO": [("Payment Date", "date_text"), ("Contact Name", "name_raw"), ("Tax Number", "tin_text"), ("Total", "amount_text"), ("Payment Type", "method_text"), ("Tracking Category", "client_text"), ("PaymentID", "line_id"), ("Reference", "memo_text"), ("Account Code", "class_text"), ("Type", "entry_text"), ("Currency", "currency_text"), ("Backup Withholding", "held_text")],
+    "SPREADSHEET": [("Date Paid", "date_text"), ("Who", "name_raw"), ("EIN/SSN", "tin_text"), ("$", "amount_text"), ("How Paid", "method_text"), ("Client", "client_text"), ("Notes", "memo_text"), ("Category", "class_text"), ("Currency", "currency_text"), ("Backup Withholding", "held_text")],
 }
 
 
@@ -31,7 +31,7 @@ DATES = {"QUICKBOOKS": "MM/dd/yyyy", "XERO": "yyyy/MM/dd", "SPREADSHEET": "M/d/y
 
 
 def _single(df: DataFrame, path: str, **options) -> None:
-    df.coalesce(1).write.options(**options).csv(path)
+    df.coalesce(1).write.options(escape='"', **options).csv(path)
 
 
 def _json(spark, value: dict, path: str) -> None:
@@ -52,7 +52,9 @@ def write_export(lines: DataFrame, directory: str, tax_year: int, years: list[in
         own = lines.filter(F.col("source_system") == system).withColumns({
             "date_text": spoiled("date", "TBD", F.date_format("payment_date", DATES[system])), "amount_text": spoiled("amount", "N/A", spoiled("subcent", "12.345", money_text(system, F.col("amount_cents")))),
             "client_text": spoiled("client", "C-999999", spoiled("noclient", "", F.concat(F.lit("C-"), F.col("client_id").cast("string")))),
-            "tin_text": F.when(F.col("tin_status") == "PRESENT", number).when(F.col("tin_status") == "MALFORMED", "12-34567").otherwise(""),
+            "held_text": F.when(F.col("withholding_cents") > 0, money_text(system, F.col("withholding_cents"))).otherwise(""),
+            "currency_text": spoiled("currency", "EUR", F.lit("USD")), "name_raw": spoiled("vendor", "", F.col("name_raw")),
+            "tin_text": F.when(F.col("defect") == "vendor", "").when(F.col("tin_status") == "PRESENT", number).when(F.col("tin_status") == "MALFORMED", "12-34567").otherwise(""),
             "method_text": F.when(F.col("method") == "CREDIT_CARD", "Credit_Card").when(F.col("method") == "TPSO", "PayPal").when(F.col("method") == "CHECK", F.concat(F.lit("Check #"), F.col("linenumber").cast("string"))).when(F.col("method").isin("WIRE", "CASH"), F.initcap("method")).when(F.col("method") == "UNKNOWN", "barter").otherwise("e-transfer"),
             "memo_text": F.lit("memo, with comma"), "class_text": F.when(F.col("expense_class") == "SERVICES", "").otherwise("goods"), "entry_text": F.when(F.col("entry_type") == "VOID", "voided").otherwise(""),
         })
