@@ -19,6 +19,7 @@ from ..rules import RuleSet
 from ..session import SHARED, FirmSession, scratch
 from ..sources import export, generator, writer
 from ..sources.testdata import table
+from ..streaming.changes import windowed_calls
 from .book import BATCH_SIZE, BOOK_SQL, NOW_US, RULES, SCOPE, SNAP, Book, digit
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,6 +197,16 @@ SELECT batch_id, CASE WHEN NOT flag OR state IN ('ACKNOWLEDGED', 'VOID') THEN st
  flag AND state IN ('ACKNOWLEDGED', 'VOID') AS needs_reconcile, CAST(CASE WHEN NOT flag OR state IN ('ACKNOWLEDGED', 'VOID') THEN lease_until_us END AS VARCHAR) AS lease_until_us FROM s""")
 add("state9_releasable_batches", lambda b: B.may_release(table(b.spark, b.sf_dir, "events").select(F.col("user_id").alias("batch_id"), F.when(F.col("event_id") % 3 == 0, 2).otherwise(1).alias("attempt_no"), F.when(F.col("event_id") % 5 != 0, F.col("event_id") % 2 == 0).alias("sent"))), "SELECT user_id AS batch_id, max(CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END) = 1 AND bool_and(event_id % 5 <> 0 AND event_id % 2 <> 0) AS releasable FROM events GROUP BY user_id", book=False)
 add("state4_reserved_polls", lambda b: b.spark.createDataFrame([(n, B.reserved_polls(n, x)) for n, x in ((20, 0.25), (20, 0.21), (3, 0.1), (0, 0.5))], "calls int, polls int"), "SELECT CAST(calls AS INTEGER) AS calls, CAST(ceil(calls * share) AS INTEGER) AS polls FROM (VALUES (20, 0.25), (20, 0.21), (3, 0.1), (0, 0.5)) v(calls, share)", book=False)
+
+
+def _windows(b: Book, slide: str | None) -> DataFrame:
+    calls = table(b.spark, b.sf_dir, "events").select(F.col("user_id").alias("firm_id"), F.col("ts").cast("timestamp").alias("at"))
+    found = windowed_calls(calls, "2 hours", slide=slide)
+    return found.select("firm_id", F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "calls")
+
+
+add("window_tumbling_calls", lambda b: _windows(b, None), "SELECT user_id AS firm_id, strftime(time_bucket(INTERVAL '2 hours', ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M') AS start, count(*) AS calls FROM events GROUP BY ALL", book=False)
+add("window_sliding_calls", lambda b: _windows(b, "1 hour"), "SELECT user_id AS firm_id, strftime(date_trunc('hour', ts) - k * INTERVAL '1 hour', '%Y-%m-%d %H:%M') AS start, count(*) AS calls FROM events, (VALUES (0), (1)) v(k) GROUP BY ALL", book=False)
 add("dml16_latest_attempts", lambda b: B.latest_attempts(table(b.spark, b.sf_dir, "events").select(F.col("user_id").alias("attempt_id"), F.col("event_id").alias("event_no"), F.when(F.col("event_id") % 4 != 0, F.col("event_type")).alias("outcome"))), "SELECT user_id AS attempt_id, event_id AS event_no, CASE WHEN event_id % 4 <> 0 THEN event_type END AS outcome FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1", book=False)
 
 # -- invariants ---------------------------------------------------------------

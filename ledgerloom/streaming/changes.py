@@ -21,6 +21,6 @@ def dirty_stream(changes: DataFrame, out: str, checkpoint: str) -> StreamingQuer
     return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def windowed_calls(calls: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Calls of each firm in tumbling event-time windows; rows later than ``late`` are dropped by the watermark."""
-    return calls.withWatermark("at", late).groupBy(F.window("at", window), "firm_id").agg(F.count(F.lit(1)).alias("calls"))
+def windowed_calls(calls: DataFrame, window: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
+    """Calls of each firm in event-time windows, tumbling or, with ``slide``, overlapping; on a stream, rows later than ``late`` are dropped by the watermark. A stored table gives the same windows."""
+    return calls.withWatermark("at", late).groupBy(F.window("at", window, slide), "firm_id").agg(F.count(F.lit(1)).alias("calls"))
