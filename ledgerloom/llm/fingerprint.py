@@ -97,6 +97,8 @@ def with_next(docs: DataFrame, rows_a_group: int = 500, broadcast_groups: int =
         guests = F.broadcast(guests)
     both = placed.join(guests, (F.col("_group") == F.col("_g")) & F.col("doc_id").eqNullSafe(F.col("_head")), "left")
     dealt = both.withColumn("_to", F.explode(F.when(F.col("_guest_of").isNull(), F.array(F.struct(F.col("_group").alias("g"), F.lit(False).alias("guest")))).otherwise(F.array(F.struct(F.col("_group").alias("g"), F.lit(False).alias("guest")), F.struct(F.col("_guest_of").alias("g"), F.lit(True).alias("guest"))))))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-n // (8 * rows_a_group)), 100_000))
+    dealt = dealt.repartition(tasks, "_to.g")  # a few groups a task, however many rows there are
     order = Window.partitionBy("_to.g").orderBy(F.col("_to.guest"), F.col("doc_id").asc_nulls_first(), F.col("text"))
     return dealt.withColumn("next", F.lead(F.struct(*rest)).over(order)).filter(~F.col("_to.guest")).select("doc_id", *rest, "next")
 
