@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, filteraudit, fingerprint, linededup, minhash, packing, pfp, substring, tokencount, toxicity
+from . import chat, collocations, decontam, filteraudit, fingerprint, linededup, minhash, packing, pfp, substring, tokencount, toxicity
 from .common import read_table
 
 
@@ -61,11 +61,15 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_words(read_table(spark, sf_dir, "documents"), digest=True).select("_row.doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op3_best_fit_packing, op4_suffix_array_dedup, op5_token_counts, op6_document_fingerprints, op7_benchmark_decontamination, op8_line_dedup, op9_chat_formatting, op10_substring_dedup, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op3_best_fit_packing, op4_suffix_array_dedup, op5_token_counts, op6_document_fingerprints, op7_benchmark_decontamination, op8_line_dedup, op9_chat_formatting, op10_substring_dedup, op12_collocations, op13_filter_audit)}
 
 ORACLES = {
     "op8_line_dedup": """
@@ -79,5 +83,6 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM j GROUP BY doc_id
 """,
     "op9_chat_formatting": chat.ORACLE_SQL,
+    "op12_collocations": collocations.ORACLE_SQL,
     "op13_filter_audit": filteraudit.ORACLE_SQL,
 }
