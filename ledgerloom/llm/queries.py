@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, collocations, decontam, filteraudit, fingerprint, linededup, minhash, packing, pfp, substring, tokencount, toxicity
+from . import chat, collocations, decontam, filteraudit, fingerprint, linededup, minhash, packing, pfp, substring, tokencount, tokenfile, toxicity
 from .common import read_table
 
 
@@ -61,6 +61,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_words(read_table(spark, sf_dir, "documents"), digest=True).select("_row.doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_files(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read_table(spark, sf_dir, "documents"))
 
@@ -69,7 +73,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op3_best_fit_packing, op4_suffix_array_dedup, op5_token_counts, op6_document_fingerprints, op7_benchmark_decontamination, op8_line_dedup, op9_chat_formatting, op10_substring_dedup, op12_collocations, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_toxicity, op3_best_fit_packing, op4_suffix_array_dedup, op5_token_counts, op6_document_fingerprints, op7_benchmark_decontamination, op8_line_dedup, op9_chat_formatting, op10_substring_dedup, op11_token_files, op12_collocations, op13_filter_audit)}
 
 ORACLES = {
     "op8_line_dedup": """
