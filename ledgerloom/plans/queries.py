@@ -17,7 +17,7 @@ from ..operators import views as V
 from ..reasons import REASONS, reason_codes
 from ..rules import RuleSet
 from ..session import SHARED, FirmSession, scratch
-from ..sources import export, generator, writer
+from ..sources import export, generator, records, writer
 from ..sources.testdata import table
 from ..streaming.changes import windowed_calls
 from .book import BATCH_SIZE, BOOK_SQL, NOW_US, RULES, SCOPE, SNAP, Book, digit
@@ -358,7 +358,7 @@ add("hsh11_failure_roll", lambda b: b.filings.select("filing_id", (F.floor(S.has
 def _import(b: Book) -> tuple[DataFrame, DataFrame]:
     """(judged records, payments) of the whole ledger, written as an export of three systems with planted defects and read back."""
     d, e = digit("line_id", 1), digit("line_id", 2)
-    kind = F.when(d == 0, F.when(e == 0, "amount").when(e == 1, "date").when(e == 2, "client").when(e == 3, "subcent").when(e == 4, "noclient").when(e == 5, "currency").when(e == 6, "vendor"))
+    kind = F.when(d == 0, F.when(e == 0, "amount").when(e == 1, "date").when(e == 2, "client").when(e == 3, "subcent").when(e == 4, "noclient").when(e == 5, "currency").when(e == 6, "vendor").when(e == 7, "ragged"))
     where = scratch(b.spark, "export")
     writer.write_export(b.ledger.withColumn("defect", kind), where, RULES.tax_year, list(range(1992, 2003)))
     m = export.read_manifest(b.spark, where)
@@ -375,10 +375,30 @@ DEFECT_SQL = """, spoiled AS (SELECT *, strpos('0123456789abcdef', substr(md5(li
 """
 IMPORTED = ["source_system", "client_id", "tax_year", "method", "entry_type", "expense_class", "tin_status"]
 add("src1_src9_import_round_trip", lambda b: _import(b)[1].groupBy(*IMPORTED).agg(F.count(F.lit(1)).alias("n"), F.sum("amount_cents").alias("cents"), F.count_distinct("name_norm").alias("names"), F.min("payment_date").alias("first_day"), F.max("payment_date").alias("last_day")),
-    DEFECT_SQL + """, i AS (SELECT source_system, 'C-' || client_id AS client_id, tax_year, method, CASE WHEN entry_type = 'VOID' AND source_system <> 'SPREADSHEET' THEN 'VOID' WHEN amount_cents < 0 THEN 'REVERSAL' ELSE 'PAYMENT' END AS entry_type, expense_class, tin_status, amount_cents, name_norm, payment_date FROM spoiled WHERE NOT (d = 0 AND e <= 6))
+    DEFECT_SQL + """, i AS (SELECT source_system, 'C-' || client_id AS client_id, tax_year, method, CASE WHEN entry_type = 'VOID' AND source_system <> 'SPREADSHEET' THEN 'VOID' WHEN amount_cents < 0 THEN 'REVERSAL' ELSE 'PAYMENT' END AS entry_type, expense_class, tin_status, amount_cents, name_norm, payment_date FROM spoiled WHERE NOT (d = 0 AND e <= 7))
 SELECT source_system, client_id, tax_year, method, entry_type, expense_class, tin_status, count(*) AS n, CAST(sum(amount_cents) AS BIGINT) AS cents, count(DISTINCT name_norm) AS names, CAST(min(payment_date) AS VARCHAR) AS first_day, CAST(max(payment_date) AS VARCHAR) AS last_day FROM i GROUP BY ALL""")
 add("flt2_snk3_rejections", lambda b: export.rejections(_import(b)[0], 1).groupBy(F.regexp_replace("file_name", r"\.csv$", "").alias("file_name"), "reason_code").agg(F.count(F.lit(1)).alias("n")),
-    DEFECT_SQL + "SELECT 'payments-' || lower(source_system) AS file_name, CASE e WHEN 0 THEN 'UNPARSEABLE_AMOUNT' WHEN 1 THEN 'UNPARSEABLE_DATE' WHEN 2 THEN 'UNKNOWN_CLIENT_REF' WHEN 3 THEN 'SUB_CENT_AMOUNT' WHEN 4 THEN 'MISSING_CLIENT_REF' WHEN 5 THEN 'UNSUPPORTED_CURRENCY' ELSE 'UNIDENTIFIABLE_VENDOR' END AS reason_code, count(*) AS n FROM spoiled WHERE d = 0 AND e <= 6 GROUP BY ALL")
+    DEFECT_SQL + "SELECT 'payments-' || lower(source_system) AS file_name, CASE e WHEN 0 THEN 'UNPARSEABLE_AMOUNT' WHEN 1 THEN 'UNPARSEABLE_DATE' WHEN 2 THEN 'UNKNOWN_CLIENT_REF' WHEN 3 THEN 'SUB_CENT_AMOUNT' WHEN 4 THEN 'MISSING_CLIENT_REF' WHEN 5 THEN 'UNSUPPORTED_CURRENCY' WHEN 6 THEN 'UNIDENTIFIABLE_VENDOR' ELSE 'RAGGED_ROW' END AS reason_code, count(*) AS n FROM spoiled WHERE d = 0 AND e <= 7 GROUP BY ALL")
+
+
+#: Memos as they stand in a file, by the first hex digits of the line id's hash: literal marks, doubled quotes, line breaks, long cells, text after a closing quote, an extra delimiter.
+LONG_CELL = 'a line of text, with ""quotes""\\n'
+RAW_MEMO = [
+    ("d = 0", "'5\" pipe'"), ("d = 1", "'\"say \"\"hi\"\", twice\"'"), ("d = 2", "'\"first\\nsecond, \"\"third\"\"\\n\"'"), ("d = 3", "'\"Big \"Bob\" Henderson'"), ("d = 4", "'one, two'"), ("d = 5", "'say \"\"hi\"\"'"),
+    ("d = 6", "'\"\"'"), ("d = 7", "'\"12 inch\"\"\"'"), ("d = 8 and e = 0 and f = 0", f"concat('\"', repeat('{LONG_CELL}', 1900), '\"')"), ("d = 9", "'\"plain\"  '"),
+]
+
+
+def _quoted(b: Book) -> DataFrame:
+    """The ledger as a file whose memos hold quotes of all kinds, read back by splits."""
+    raw = F.lit("plain")
+    for when, text in reversed(RAW_MEMO):
+        raw = F.when(F.expr(when), F.expr(text)).otherwise(raw)
+    rows = b.ledger.withColumns({"d": digit("line_id", 1), "e": digit("line_id", 2), "f": digit("line_id", 3)})
+    where = f"{scratch(b.spark, 'quoted')}/payments.csv"
+    records.write_lines(rows.select(F.col("line_id").alias("key"), F.concat_ws(",", "line_id", F.lit("03/04/2025"), raw, records.cell(F.col("name_raw"))).alias("value")), "Txn ID,Date,Memo,Vendor", where)
+    got = export.read_payments(b.spark, where, "QUICKBOOKS")
+    return got.select("line_no", "source_txn_id", "vendor_name", F.md5(F.coalesce("memo", F.lit(""))).alias("memo_md5"), F.char_length(F.coalesce("memo", F.lit(""))).cast("long").alias("memo_chars"), (F.col("n_fields") == F.col("n_headers")).alias("regular"))
 
 
 def _guard(b: Book) -> DataFrame:
@@ -396,7 +416,12 @@ def _generated(b: Book) -> DataFrame:
 
 CASE_SQL = ", ".join(str((case, 25 * vendors, *(25 * x for x in sums))) for case, _, sums, vendors, _ in generator.CASES)
 add("src11_generated_cases", _generated, f"SELECT fixture, CAST(vendors AS BIGINT) AS vendors, CAST(gross_cents AS BIGINT) AS gross_cents, CAST(card_excluded_cents AS BIGINT) AS card_excluded_cents, CAST(reversal_cents AS BIGINT) AS reversal_cents, CAST(reportable_cents AS BIGINT) AS reportable_cents, CAST(withholding_cents AS BIGINT) AS withholding_cents FROM (VALUES {CASE_SQL}) v(fixture, vendors, gross_cents, card_excluded_cents, reversal_cents, reportable_cents, withholding_cents)", book=False)
-add("flt3_rejection_guard", _guard, DEFECT_SQL + "SELECT count(*) AS rows_read, count(*) FILTER (WHERE d = 0 AND e <= 6) AS rows_rejected FROM spoiled")
+add("src3_records_with_quotes", _quoted, r""", q AS (SELECT line_id, name_raw, strpos('0123456789abcdef', substr(md5(line_id), 1, 1)) - 1 AS d, substr(md5(line_id), 2, 2) = '00' AS long_one FROM ledger),
+m AS (SELECT line_id, CASE WHEN d = 4 THEN 'two' ELSE name_raw END AS vendor_name, d <> 4 AS regular, CASE WHEN d = 2 THEN 2 WHEN d = 8 AND long_one THEN 1900 ELSE 0 END AS breaks,
+ CASE WHEN d = 0 THEN '5" pipe' WHEN d = 1 THEN 'say "hi", twice' WHEN d = 2 THEN 'first' || chr(10) || 'second, "third"' || chr(10) WHEN d = 3 THEN '"Big "Bob" Henderson' WHEN d = 4 THEN 'one' WHEN d = 5 THEN 'say ""hi""' WHEN d = 6 THEN '' WHEN d = 7 THEN '12 inch"'
+      WHEN d = 8 AND long_one THEN repeat('a line of text, with "quotes"' || chr(10), 1900) ELSE 'plain' END AS memo FROM q)
+SELECT CAST(2 + coalesce(sum(1 + breaks) OVER (ORDER BY line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line_no, line_id AS source_txn_id, trim(vendor_name) AS vendor_name, md5(memo) AS memo_md5, CAST(length(memo) AS BIGINT) AS memo_chars, regular FROM m""")
+add("flt3_rejection_guard", _guard, DEFECT_SQL + "SELECT count(*) AS rows_read, count(*) FILTER (WHERE d = 0 AND e <= 7) AS rows_rejected FROM spoiled")
 add("sec3_flt11_unguarded_tables", lambda b: b.spark.createDataFrame(R.catalog({"ledger": lambda: b.ledger, "filings": lambda: b.filings, "reason_code": lambda: reason_codes(b.spark)}, SHARED), "table_name string, has_firm boolean, is_shared boolean"),
     "SELECT * FROM (VALUES ('filings', true, false), ('ledger', true, false), ('reason_code', false, true)) v(table_name, has_firm, is_shared)", book=False)
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..session import scratch
+from . import records
 
 COLUMNS = ("source_system", "source_txn_id", "client_ref", "vendor_name", "vendor_tin", "vendor_tin_type", "payment_date", "amount", "currency", "payment_method", "entry_type", "reverses_source_txn_id", "backup_withholding", "expense_category", "memo")
 
@@ -78,55 +79,23 @@ def read_clients(spark: SparkSession, directory: str) -> DataFrame:
     return raw.select(*[F.col(f"`{c[i]}`").alias(n) for i, n in ((0, "client_ref"), (1, "legal_name"), (3, "address"), (4, "city"), (5, "state"), (6, "postal_code")) if i < len(c)])
 
 
-def number_lines(lines: DataFrame) -> DataFrame:
-    """(line_no, raw_line), from 1: a line's place in its split plus the lines of the splits before it, which are counted once (a row a split)."""
-    placed = lines.select(F.monotonically_increasing_id().alias("_at"), F.col("value").alias("raw_line")).withColumn("_split", F.shiftright("_at", 33))
-    before = Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    counts = placed.groupBy("_split").agg(F.count(F.lit(1)).alias("_n")).select("_split", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return placed.join(F.broadcast(counts), "_split").select((F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("line_no"), "raw_line")
-
-
-def whole_records(numbered: DataFrame, most_lines: int = 1_000) -> DataFrame:
-    """(line_no, raw_line) with the lines of a record that breaks within quotes joined; a record has the number of its first line.
-
-    A record opens and closes on a line with an odd number of quotes. Only such
-    lines are paired (numbered like lines, by split), and only the lines between a
-    pair are gathered. A pair further apart than ``most_lines`` is a stray quote:
-    its lines stay as they are.
-    """
-    odd = number_lines(numbered.filter((F.char_length("raw_line") - F.char_length(F.replace("raw_line", F.lit('"'), F.lit("")))) % 2 == 1).select(F.col("line_no").cast("string").alias("value")))
-    pairs = odd.groupBy(F.floor((F.col("line_no") - 1) / 2).alias("pair")).agg(F.min(F.col("raw_line").cast("long")).alias("first"), F.max(F.col("raw_line").cast("long")).alias("last"))
-    inside = pairs.filter((F.col("last") > F.col("first")) & (F.col("last") - F.col("first") < most_lines)).select("first", F.explode(F.sequence("first", "last")).alias("line_no"))
-    placed = numbered.join(inside, "line_no", "left")
-    joined = placed.filter("first is not null").groupBy("first").agg(F.array_sort(F.collect_list(F.struct("line_no", "raw_line"))).alias("parts"))
-    return placed.filter("first is null").select("line_no", "raw_line").unionByName(joined.select(F.col("first").alias("line_no"), F.array_join("parts.raw_line", "\n").alias("raw_line")))
-
-
-MOST_COLUMNS = 64
-
-
 def read_payments(spark: SparkSession, path: str, declared: str | None) -> DataFrame:
     """file_name, line_no (the header is line 1), n_fields, n_headers, dialect, raw_line and the canonical columns as text.
 
-    A quoted field may hold line breaks; a gzipped file (by suffix) is one split.
+    A quoted field may hold line breaks and any quote may be stray (see
+    ``records``); a gzipped file (by suffix) is one split; a folder is one file in
+    parts. A record with a cell of more than ``records.MOST_CHARS`` characters has
+    ``n_fields`` -1, as no header has.
     """
-    lines = spark.read.text(path)
-    name = path.rsplit("/", 1)[-1]
-    first = lines.limit(1).first()
-    headers = _split_header(spark, first.value if first else "")
-    if len(headers) > MOST_COLUMNS:
-        raise ValueError(f"{path}: {len(headers)} columns, more than {MOST_COLUMNS}")
+    headers = _split_header(spark, records.first_line(spark, path))
+    if len(headers) > records.MOST_COLUMNS:
+        raise ValueError(f"{path}: {len(headers)} columns, more than {records.MOST_COLUMNS}")
     dialect = detect(headers, declared)
     names = canonical_headers(headers, dialect)
-    numbered = number_lines(lines)
-    body = whole_records(numbered).filter("line_no > 1 and trim(raw_line) <> ''")
-    width = len(names) + 2
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    parsed = body.withColumn("_p", F.from_csv("raw_line", schema, {"mode": "PERMISSIVE", "maxCharsPerColumn": "65536", "escape": '"'}))
-    quoted = F.regexp_replace("raw_line", r'"([^"]|"")*"', "q")
-    out = parsed.withColumn("n_fields", F.size(F.split(quoted, ",", -1)))
-    picked = [F.col(f"_p.c{names.index(c)}").alias(c) if c in names else F.lit(None).cast("string").alias(c) for c in COLUMNS]
-    return out.select(F.lit(name).alias("file_name"), "line_no", "n_fields", F.lit(len(names)).alias("n_headers"), F.lit(dialect).alias("dialect"), F.lit(declared).alias("declared"), "raw_line", *picked)
+    body = records.read_records(spark, path).filter("line_no > 1 and trim(raw_line) <> ''").withColumn("_f", records.split_fields(F.col("raw_line")))
+    too_long = (F.char_length("raw_line") > records.MOST_CHARS) & F.exists("_f", lambda c: F.char_length(c) > records.MOST_CHARS)
+    picked = [F.get("_f", F.lit(names.index(c))).alias(c) if c in names else F.lit(None).cast("string").alias(c) for c in COLUMNS]
+    return body.select(F.lit(path.rsplit("/", 1)[-1]).alias("file_name"), "line_no", F.when(too_long, -1).otherwise(F.size("_f")).alias("n_fields"), F.lit(len(names)).alias("n_headers"), F.lit(dialect).alias("dialect"), F.lit(declared).alias("declared"), "raw_line", *picked)
 
 
 def _split_header(spark: SparkSession, line: str) -> list[str]:

@@ -1,7 +1,7 @@
 """Renders a ledger as an export directory: manifest, clients, one payment file per system in its own headers and spellings.
 
-Each file is one task's output (its lines are numbered on import), so this is
-for exports of a client book's size; the sinks of the engine itself are Parquet.
+A payment file is a folder of parts in the order of their names, one a task;
+manifest and clients are single small files.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .records import cell, write_lines
+
 HEADERS = {
     "QUICKBOOKS": [("Txn Date", "date_text"), ("Vendor", "name_raw"), ("Tax ID", "tin_text"), ("Amount", "amount_text"), ("Payment Method", "method_text"), ("Customer", "client_text"), ("Txn ID", "line_id"), ("Memo", "memo_text"), ("Account", "class_text"), ("Transaction Type", "entry_text"), ("Currency", "currency_text"), ("Backup Withholding", "held_text")],
     "XERO": [("Payment Date", "date_text"), ("Contact Name", "name_raw"), ("Tax Number", "tin_text"), ("Total", "amount_text"), ("Payment Type", "method_text"), ("Tracking Category", "client_text"), ("PaymentID", "line_id"), ("Reference", "memo_text"), ("Account Code", "class_text"), ("Type", "entry_text"), ("Currency", "currency_text"), ("Backup Withholding", "held_text")],
@@ -39,7 +41,7 @@ def _json(spark, value: dict, path: str) -> None:
 
 
 def write_export(lines: DataFrame, directory: str, tax_year: int, years: list[int], revision: int = 0, gzip: bool = False, fixtures: DataFrame | None = None) -> None:
-    """``lines``: a ledger with line_id, names, dates and cents; ``defect`` (null or a kind) spoils a row on purpose.
+    """``lines``: a ledger with line_id, names, dates and cents; ``defect`` (null or a kind) spoils a row on purpose; ``memo_text`` is its memo where the column is there.
 
     ``fixtures``, the manifest of planted cases, is written beside the export's own manifest.
     """
@@ -56,10 +58,11 @@ def write_export(lines: DataFrame, directory: str, tax_year: int, years: list[in
             "currency_text": spoiled("currency", "EUR", F.lit("USD")), "name_raw": spoiled("vendor", "", F.col("name_raw")),
             "tin_text": F.when(F.col("defect") == "vendor", "").when(F.col("tin_status") == "PRESENT", number).when(F.col("tin_status") == "MALFORMED", "12-34567").otherwise(""),
             "method_text": F.when(F.col("method") == "CREDIT_CARD", "Credit_Card").when(F.col("method") == "TPSO", "PayPal").when(F.col("method") == "CHECK", F.concat(F.lit("Check #"), F.col("linenumber").cast("string"))).when(F.col("method").isin("WIRE", "CASH"), F.initcap("method")).when(F.col("method") == "UNKNOWN", "barter").otherwise("e-transfer"),
-            "memo_text": F.lit("memo, with comma"), "class_text": F.when(F.col("expense_class") == "SERVICES", "").otherwise("goods"), "entry_text": F.when(F.col("entry_type") == "VOID", "voided").otherwise(""),
+            "memo_text": F.col("memo_text") if "memo_text" in lines.columns else F.lit("memo, with comma"), "class_text": F.when(F.col("expense_class") == "SERVICES", "").otherwise("goods"), "entry_text": F.when(F.col("entry_type") == "VOID", "voided").otherwise(""),
         })
         name = f"payments-{system.lower()}.csv"
-        _single(own.sortWithinPartitions("line_id").select(*[F.col(c).alias(h) for h, c in headers]), f"{directory}/{name}", header=True, lineSep="\n", **({"compression": "gzip"} if gzip else {}))
+        line = F.concat(F.concat_ws(",", *[cell(F.col(c)) for _, c in headers]), spoiled("ragged", ",one more", F.lit("")))
+        write_lines(own.select(F.col("line_id").alias("key"), line.alias("value")), ",".join(h for h, _ in headers), f"{directory}/{name}", **({"compression": "gzip"} if gzip else {}))
         files.append({"name": name, "sourceSystem": system})
     refs = sorted(f"C-{r.client_id}" for r in lines.select("client_id").distinct().collect())  # the declared clients of one book
     _single(spark.createDataFrame([(r, r, "", "a", "b", "CA", "1") for r in refs], "client_ref string, legal_name string, ein string, address string, city string, state string, postal_code string"), f"{directory}/clients.csv", header=True)

@@ -93,21 +93,6 @@ def test_dialects():
     assert export.canonical_headers(["Date Paid", "Date", " WHO ", "odd-name x"], "SPREADSHEET") == ["payment_date", "_again_1", "vendor_name", "odd_name_x"]
 
 
-def test_line_numbers_survive_many_splits(spark, tmp_path):
-    p = tmp_path / "long.csv"
-    p.write_text("".join(f"row {i}\n" for i in range(1, 20001)))
-    lines = spark.read.text([str(p)])
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
-    spark.conf.set("spark.sql.files.openCostInBytes", "1000")
-    try:
-        n = export.number_lines(lines)
-        assert lines.rdd.getNumPartitions() > 3
-        assert n.filter("raw_line <> concat('row ', line_no)").count() == 0 and n.count() == 20000
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-
-
 def test_blind_index_is_scoped(spark):
     from pyspark.sql import functions as F
 
