@@ -12,11 +12,11 @@
    words to the left that are more frequent, at most three to the right that are
    as frequent or more, within the piece. Equal fragments of a block are one row
    with a count. Rare words end fragments and have none.
-3. Fragments are routed by language and pivot. Each task mines what it got:
-   every n-gram of a fragment that holds the pivot occurrence, so each
-   occurrence of an n-gram is counted in one place. A pivot of more than ``hot``
-   occurrences is dealt to several tasks by fragment; its counts are added up
-   once more.
+3. Fragments are routed by language and pivot. Each task mines what it got,
+   pivot by pivot: every n-gram of a fragment that holds the pivot occurrence, so
+   each occurrence of an n-gram is counted in one place. A pivot of more than
+   ``hot`` occurrences is dealt to several tasks by fragment, so that no task
+   holds more of one; its counts are added up once more.
 4. n-grams of ``least`` occurrences and more are few. Every candidate is cut in
    every place, the parts' counts are looked up by joins, and the lowest score
    counts; candidates inside a longer one that holds most of their occurrences
@@ -43,7 +43,7 @@ from .common import arrow_map, keep, small_batches
 from .wordhash import BASE_INV, U, mix, powers, prefix_sums, row_blocks, text_bytes
 
 LONGEST = 4
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 _STOP = np.zeros(256, bool)  # ends a piece
 _STOP[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _GAP = _STOP.copy()  # ends a word
@@ -212,14 +212,68 @@ def fragments(docs: DataFrame, table, slots: int, least: int, hot: int) -> DataF
     return arrow_map(_texts(docs), run, FRAGMENTS, "collocations")
 
 
-def mined(rows: DataFrame, tasks: int, least: int) -> DataFrame:
-    """lang, phrase, n_words, n of the phrases of 2 to 4 words: each task counts the n-grams of its pivots; the counts of pivots that were dealt to several tasks are added up."""
-    words = F.split("fragment", " ", -1)
-    routed = rows.repartition(tasks, "route").select("lang", "route", "parts", words.alias("w"), "left", "n")
-    right = F.size("w") - F.col("left") - 1
-    owned = [F.when((F.col("left") >= a) & (right >= b), F.struct(F.array_join(F.slice("w", F.col("left") - a + 1, a + b + 1), " ").alias("phrase"), F.lit(a + b + 1).alias("n_words"))) for a in range(LONGEST) for b in range(LONGEST - a) if a + b]
-    local = routed.select("lang", "route", "parts", "n", F.explode(F.array_compact(F.array(*owned))).alias("g")).groupBy("lang", "route", "parts", "g.phrase", "g.n_words").agg(F.sum("n").alias("n"))
-    return local.filter((F.col("parts") > 1) | (F.col("n") >= least)).groupBy("lang", "phrase", "n_words").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+def _mine(langs: pa.Array, parts: np.ndarray, texts: pa.Array, left: np.ndarray, n: np.ndarray, least: int) -> pa.RecordBatch:
+    """The n-grams of fragments that hold the pivot occurrence, with their counts; of pivots that are whole here only those of ``least`` occurrences."""
+    data, offsets = text_bytes(texts)
+    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    gaps = np.flatnonzero(data == 32)
+    starts, ends = np.sort(np.concatenate([offsets[:-1], gaps + 1])), np.sort(np.concatenate([offsets[1:], gaps]))
+    firsts = np.searchsorted(starts, offsets[:-1])
+    right = np.diff(np.append(firsts, len(starts))) - left - 1
+    names = langs.dictionary_encode()
+    codes = names.indices.to_numpy()
+    sums, inverse = prefix_sums(data), powers(len(data) + 1, BASE_INV)
+    owned = []
+    for a in range(LONGEST):
+        for b in range(LONGEST - a):
+            if a + b:
+                row = np.flatnonzero((left >= a) & (right >= b))
+                pivot = firsts[row] + left[row]
+                owned.append((row, starts[pivot - a], ends[pivot + b], np.full(len(row), a + b + 1, np.int32)))
+    row, s, e, size = (np.concatenate(x) for x in zip(*owned, strict=True))
+    hashes = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(U) + codes[row].astype(U) * U(0x9E3779B97F4A7C15))
+    _, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+    total = np.zeros(len(first), np.int64)
+    np.add.at(total, place, n[row])
+    kept = np.flatnonzero((total >= least) | (parts[row[first]] > 1))
+    at, total = first[kept], total[kept]
+    length = e[at] - s[at]
+    bounds = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+    text = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(bounds), pa.py_buffer(data[np.repeat(s[at] - bounds[:-1], length) + np.arange(bounds[-1])]))
+    return pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(codes[row[at]])), text.cast(pa.string()), pa.array(size[at]), pa.array(total)], names=["lang", "phrase", "n_words", "n"])
+
+
+def mined(rows: DataFrame, tasks: int, least: int, chunk: int = 200_000) -> DataFrame:
+    """lang, phrase, n_words, n of the phrases of 2 to 4 words: each task takes its fragments pivot by pivot, about ``chunk`` rows at a time; the counts of pivots that were dealt to several tasks are added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(parts).combine_chunks()
+            one = lambda c: t.column(c).chunk(0)
+            return _mine(one("lang"), one("parts").to_numpy(), one("fragment"), one("left").to_numpy().astype(np.int64), one("n").to_numpy(), least)
+
+        for b in batches:
+            route = b.column("route").to_numpy()
+            if size >= chunk and b.num_rows:  # up to the end of the pivot that the held rows end with
+                rest = np.flatnonzero(route != held[-1].column("route")[-1].as_py())
+                cut = int(rest[0]) if len(rest) else b.num_rows
+                held.append(b.slice(0, cut))
+                if cut == b.num_rows:
+                    continue
+                yield done(held)
+                held, size, b = [], 0, b.slice(cut)
+            if b.num_rows:
+                held.append(b)
+                size += b.num_rows
+        if held:
+            yield done(held)
+
+    routed = rows.repartition(tasks, "route").sortWithinPartitions("route")
+    local = arrow_map(routed, run, "lang string, phrase string, n_words int, n long", "collocations")
+    return local.groupBy("lang", "phrase", "n_words").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
 def big(c: Column) -> Column:
@@ -253,7 +307,7 @@ def first_of(rows: DataFrame, top: int, salts: int) -> DataFrame:
     return some.drop("_salt").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
 
 
-def collocations(docs: DataFrame, least: int = 30, top: int = 2_000, scale: int = 2_000_000, share: tuple[int, int] = (80, 100), slots: int = 1 << 22, hot: int = 1_000_000, task_words: int = 500_000) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 30, top: int = 2_000, scale: int = 2_000_000, share: tuple[int, int] = (80, 100), slots: int = 1 << 22, hot: int = 250_000, task_words: int = 500_000) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's first ``top`` phrases of 2 to 4 words with at least ``least`` occurrences.
 
     A candidate inside a longer one that has ``share`` of its occurrences is left
