@@ -1,25 +1,49 @@
-"""Derived status views: nothing is stored, every view is a function of snapshots."""
+"""Derived status views: every view is a function of snapshots, or of counts kept from them (``upkeep``)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Tax years that a status view lists at most.
+MOST_YEARS = 100
+
 
 def _n(*states: str):
     return F.count(F.when(F.col("state").isin(*states), 1))
 
 
+CLIENT = ["firm_id", "client_id"]
+COUNTS = {"n_accepted": ("ACCEPTED",), "n_rejected": ("REJECTED",), "n_blocked": ("BLOCKED",), "n_awaiting": ("SUBMITTED_UNACKNOWLEDGED",), "n_ready": ("DRAFT", "READY_TO_TRANSMIT"), "n_batched": ("BATCHED",)}
+
+
+def status_counts(filings: DataFrame, sign: Column | None = None) -> DataFrame:
+    """Counts of each client's filings of a year by state: sums, so that those of parts, or of changes with a ``sign``, add up."""
+    one = F.lit(1) if sign is None else sign
+    total = lambda when, value: F.coalesce(F.sum(F.when(when, value * one)), F.lit(0)).cast("long")
+    return filings.groupBy(*CLIENT, "tax_year").agg(
+        F.sum(one).cast("long").alias("n_total"), *[total(F.col("state").isin(*states), F.lit(1)).alias(c) for c, states in COUNTS.items()], total(F.col("state") == "ACCEPTED", F.col("amount_cents")).alias("accepted_cents")
+    )
+
+
+def attention_counts(attention: DataFrame) -> DataFrame:
+    """Open items by client and severity."""
+    return attention.filter("resolved_at is null").groupBy(*CLIENT, "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
 def client_status(clients: DataFrame, years: DataFrame, filings: DataFrame, attention: DataFrame) -> DataFrame:
     """One row per client and known year (a spine: no client can vanish), with counts and a status, first match wins."""
-    counts = filings.groupBy("client_id", "tax_year").agg(
-        F.count(F.lit(1)).alias("n_total"), _n("ACCEPTED").alias("n_accepted"), _n("REJECTED").alias("n_rejected"), _n("BLOCKED").alias("n_blocked"),
-        _n("SUBMITTED_UNACKNOWLEDGED").alias("n_awaiting"), _n("DRAFT", "READY_TO_TRANSMIT").alias("n_ready"), _n("BATCHED").alias("n_batched"),
-        F.sum(F.when(F.col("state") == "ACCEPTED", F.col("amount_cents"))).alias("accepted_cents"),
-    )
-    open_ = attention.filter("resolved_at is null").groupBy("client_id").agg(F.count(F.lit(1)).alias("n_attention"), F.min("severity").alias("worst_severity"))
-    spine = clients.crossJoin(F.broadcast(years))  # a handful of years
-    j = spine.join(counts, ["client_id", "tax_year"], "left").join(open_, "client_id", "left").fillna(0, ["n_total", "n_accepted", "n_rejected", "n_blocked", "n_awaiting", "n_ready", "n_batched", "accepted_cents", "n_attention"])
+    return status_of(clients, years, status_counts(filings), attention_counts(attention))
+
+
+def status_of(clients: DataFrame, years: DataFrame, counts: DataFrame, open_: DataFrame) -> DataFrame:
+    """The status view from kept counts (``status_counts``, ``attention_counts``): what it reads follows the number of clients, not of filings."""
+    listed = sorted(r.tax_year for r in years.distinct().limit(MOST_YEARS + 1).collect())
+    if len(listed) > MOST_YEARS:
+        raise ValueError(f"more than {MOST_YEARS} tax years")
+    worst = open_.groupBy(*CLIENT).agg(F.sum("n").cast("long").alias("n_attention"), F.min("severity").alias("worst_severity"))
+    spine = clients.withColumn("tax_year", F.explode(F.array(*[F.lit(y) for y in listed]))) if listed else clients.withColumn("tax_year", F.lit(None).cast("int")).limit(0)
+    j = spine.join(counts, [*CLIENT, "tax_year"], "left").join(worst, CLIENT, "left").fillna(0, ["n_total", *COUNTS, "accepted_cents", "n_attention"])
     status = (
         F.when((F.col("n_rejected") > 0) | (F.col("n_blocked") > 0) | (F.col("n_attention") > 0), "NEEDS_ATTENTION")
         .when(F.col("n_total") == 0, "NOTHING_TO_FILE")
@@ -45,19 +69,30 @@ def known_years(runs: DataFrame, filings: DataFrame) -> DataFrame:
     return runs.select("tax_year").union(filings.select("tax_year")).distinct()
 
 
-def exception_view(attention: DataFrame, raised: DataFrame, filings: DataFrame, rejections: DataFrame) -> DataFrame:
-    """Attention, determination exceptions not yet covered by a paired open item, and rejected import rows, in one list.
+def open_exceptions(attention: DataFrame, raised: DataFrame, filings: DataFrame) -> DataFrame:
+    """Attention, and determination exceptions not yet covered by a paired open item, in one list.
 
     A code without a pair maps to null, which equals nothing, so such rows always show.
     """
     open_ = attention.filter("resolved_at is null")
-    a = open_.select("severity", F.col("type").alias("code"), "entity_type", "entity_id", "client_id", F.concat_ws(":", F.lit("ATTENTION"), "entity_type", "entity_id", "type").alias("dedupe_key"))
-    covered = open_.filter("entity_type = 'FILING'").join(filings.select(F.col("filing_id").alias("entity_id"), "vendor_key", "tax_year"), "entity_id").select("client_id", "vendor_key", "tax_year", F.col("type").alias("pair"))
+    a = open_.select("severity", F.col("type").alias("code"), "entity_type", "entity_id", *CLIENT, F.concat_ws(":", F.lit("ATTENTION"), "entity_type", "entity_id", "type").alias("dedupe_key"))
+    covered = open_.filter("entity_type = 'FILING'").join(filings.select("firm_id", F.col("filing_id").alias("entity_id"), "vendor_key", "tax_year"), ["firm_id", "entity_id"]).select(*CLIENT, "vendor_key", "tax_year", F.col("type").alias("pair"))
     pair = F.when(F.col("code").isin("MISSING_TIN", "MALFORMED_TIN"), "VENDOR_MISSING_TIN")
-    d = raised.withColumn("pair", pair).join(covered, ["client_id", "vendor_key", "tax_year", "pair"], "left_anti")
-    d = d.select(F.when(F.col("severity") == "BLOCKING", 5).otherwise(6).alias("severity"), "code", F.lit("VENDOR").alias("entity_type"), F.col("vendor_key").alias("entity_id"), "client_id", F.concat_ws(":", F.lit("DETERMINATION"), "client_id", "vendor_key", "code").alias("dedupe_key"))
-    r = rejection_summary(rejections).select(F.lit(7).alias("severity"), F.lit("IMPORT_ROWS_REJECTED").alias("code"), F.lit("IMPORT").alias("entity_type"), F.concat_ws(":", "file_name", "reason_code").alias("entity_id"), F.lit(None).cast("int").alias("client_id"), F.concat_ws(":", F.lit("IMPORT"), "file_name", "reason_code").alias("dedupe_key"))
-    return a.unionByName(d).unionByName(r)
+    d = raised.withColumn("pair", pair).join(covered, [*CLIENT, "vendor_key", "tax_year", "pair"], "left_anti")
+    d = d.select(F.when(F.col("severity") == "BLOCKING", 5).otherwise(6).alias("severity"), "code", F.lit("VENDOR").alias("entity_type"), F.col("vendor_key").alias("entity_id"), *CLIENT, F.concat_ws(":", F.lit("DETERMINATION"), "client_id", "vendor_key", "code").alias("dedupe_key"))
+    return a.unionByName(d)
+
+
+def rejected_imports(rejections: DataFrame) -> DataFrame:
+    """The latest run's rejected rows as exceptions, one for each file and reason."""
+    kind = F.concat_ws(":", "file_name", "reason_code")
+    rows = latest_run(rejections).select("file_name", "reason_code").distinct()
+    return rows.select(F.lit(7).alias("severity"), F.lit("IMPORT_ROWS_REJECTED").alias("code"), F.lit("IMPORT").alias("entity_type"), kind.alias("entity_id"), *[F.lit(None).cast("int").alias(c) for c in CLIENT], F.concat_ws(":", F.lit("IMPORT"), "file_name", "reason_code").alias("dedupe_key"))
+
+
+def exception_view(attention: DataFrame, raised: DataFrame, filings: DataFrame, rejections: DataFrame) -> DataFrame:
+    """Open exceptions and rejected import rows in one list."""
+    return open_exceptions(attention, raised, filings).unionByName(rejected_imports(rejections))
 
 
 def rejection_summary(rejections: DataFrame, sample: int = 5) -> DataFrame:
@@ -105,7 +140,7 @@ def lookup(rows: DataFrame, **values) -> DataFrame:
 
 def client_detail(decisions: DataFrame, filings: DataFrame, client_id: int) -> DataFrame:
     """A client's vendors with what was decided and the state of their filing, the largest amount first."""
-    key = ["client_id", "vendor_key", "tax_year"]
+    key = [*CLIENT, "vendor_key", "tax_year"]
     own = decisions.filter(F.col("client_id") == client_id).join(filings.select(*key, "filing_id", F.col("state").alias("filing_state")), key, "left")
     return own.orderBy(F.col("reportable_cents").desc(), "vendor_key").select("vendor_key", "display_name", "reportable_cents", "filing_id", "filing_state")
 
@@ -118,8 +153,8 @@ def payment_evidence(classified: DataFrame, client_id: int) -> DataFrame:
 
 def open_attention(attention: DataFrame, filings: DataFrame) -> DataFrame:
     """Open items with the recipient's name, most urgent first."""
-    named = filings.select(F.col("filing_id").alias("entity_id"), "recipient_name")
-    return attention.filter("resolved_at is null").join(named, "entity_id").orderBy("severity", "entity_id").select("severity", "type", "entity_id", "recipient_name")
+    named = filings.select("firm_id", F.col("filing_id").alias("entity_id"), "recipient_name")
+    return attention.filter("resolved_at is null").join(named, ["firm_id", "entity_id"]).orderBy("severity", "entity_id").select("severity", "type", "entity_id", "recipient_name")
 
 
 def batch_list(work: DataFrame) -> DataFrame:
@@ -127,11 +162,11 @@ def batch_list(work: DataFrame) -> DataFrame:
 
 
 def resolve_attention(attention: DataFrame, done: DataFrame) -> DataFrame:
-    """Attention after items named in ``done`` (entity_id, resolved_at) are resolved; what was resolved before keeps its time."""
-    now = done.select("entity_id", F.col("resolved_at").alias("_now"))
-    return attention.join(now, "entity_id", "left").withColumn("resolved_at", F.coalesce("resolved_at", "_now")).drop("_now")
+    """Attention after items named in ``done`` (firm_id, entity_id, resolved_at) are resolved; what was resolved before keeps its time."""
+    now = done.select("firm_id", "entity_id", F.col("resolved_at").alias("_now"))
+    return attention.join(now, ["firm_id", "entity_id"], "left").withColumn("resolved_at", F.coalesce("resolved_at", "_now")).drop("_now")
 
 
 def acknowledge_exceptions(raised: DataFrame, notes: DataFrame) -> DataFrame:
     """Exceptions with a reader's note; one that was seen stays in the list."""
-    return raised.join(notes, ["client_id", "vendor_key", "code"], "left")
+    return raised.join(notes, [*CLIENT, "vendor_key", "code"], "left")

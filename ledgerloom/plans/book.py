@@ -7,14 +7,19 @@ some planted violations that the invariant queries must find.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import determine as D
 from ..operators import filings as B
 from ..operators import merge as M
+from ..operators import upkeep as U
+from ..operators import views as V
 from ..rules import RuleSet
-from ..session import scratch
+from ..session import drop_scratch, scratch
+from ..store import Store
 from ..sources.testdata import LEDGER_SQL, aliases, ledger, table
 
 RULES = RuleSet()
@@ -28,20 +33,33 @@ def digit(c: str, n: int):
     return F.conv(F.substring(F.md5(F.col(c)), n, 1), 16, 10).cast("int")
 
 
-#: Where a session has stored a relation of a directory's tables.
-_STORED: dict[tuple[str, str, str], str] = {}
+#: Where a session has stored a relation of a directory's tables, and the tables' state it was made from.
+_STORED: dict[tuple[str, str, str], tuple[str, str]] = {}
+
+
+def listing(spark: SparkSession, directory: str) -> str:
+    """A digest of the names, sizes and times of all files of a directory's tables: another one means that what was derived from them is out of date."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(directory)
+    files = path.getFileSystem(sc._jsc.hadoopConfiguration()).listFiles(path, True)
+    seen = []
+    while files.hasNext():
+        f = files.next()
+        seen.append(f"{f.getPath().toString()}|{f.getLen()}|{f.getModificationTime()}")
+    return hashlib.md5("\n".join(sorted(seen)).encode()).hexdigest()
 
 
 class Book:
     """Lazily derived relations over one directory of tables.
 
-    What an engine keeps between runs (the ledger by client, decisions, filings,
-    the dirty set, the merged snapshot) is written by the first query of a session
-    that reads it and read from there by the others.
+    What an engine keeps between runs (decisions, filings, the dirty set, the merged
+    snapshot, the store of snapshot and decisions by parts, the dashboard's counts)
+    is written by the first query of a session that reads it and read from there by
+    the others, as long as the tables' files are the same.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.listing = spark, sf_dir, listing(spark, sf_dir)
         self.ledger = ledger(spark, sf_dir)
         self.live = D.live(self.ledger)
         self.aliases = aliases(self.live)
@@ -52,23 +70,40 @@ class Book:
             self._made[name] = make()
         return self._made[name]
 
-    def stored(self, name: str, make, by: tuple[str, ...] = ()) -> DataFrame:
-        """The relation ``name``, written once in the session; ``by`` names the columns its files are parted by."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
-        sc = self.spark.sparkContext
-        if key in _STORED:
-            path = sc._jvm.org.apache.hadoop.fs.Path(f"{_STORED[key]}/_SUCCESS")
-            if path.getFileSystem(sc._jsc.hadoopConfiguration()).exists(path):
-                return self.spark.read.parquet(_STORED[key])
+    def place(self, name: str) -> tuple[str, bool]:
+        """(folder, whether it is there already) of something kept for the session; what was made from other files of the tables is deleted."""
+        key, sc = (self.spark.sparkContext.applicationId, self.sf_dir, name), self.spark.sparkContext
+        where, made_from = _STORED.get(key, (None, None))
+        if where is not None:
+            path = sc._jvm.org.apache.hadoop.fs.Path(f"{where}/_SUCCESS")
+            if made_from == self.listing and path.getFileSystem(sc._jsc.hadoopConfiguration()).exists(path):
+                return where, True
+            drop_scratch(self.spark, where)
         where = scratch(self.spark, name)
-        df = make()
-        (df.repartition(*by) if by else df).write.partitionBy(*by).parquet(where)
-        _STORED[key] = where
+        _STORED[key] = (where, self.listing)
+        return where, False
+
+    def stored(self, name: str, make) -> DataFrame:
+        """The relation ``name``, written once in the session."""
+        where, there = self.place(name)
+        if not there:
+            make().write.parquet(where)
         return self.spark.read.parquet(where)
 
+    def kept(self, name: str, fill) -> Store:
+        """A store, filled once in the session."""
+        where, there = self.place(name)
+        store = Store(self.spark, where)
+        if not there:
+            fill(store)
+            sc = self.spark.sparkContext
+            path = sc._jvm.org.apache.hadoop.fs.Path(f"{where}/_SUCCESS")
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path).close()
+        return store
+
     def store_all(self) -> None:
         """Writes what an engine keeps between runs, as a first import and determination would."""
-        for name in ("stored_ledger", "stored_aliases", "decisions", "dirty", "snapshot", "filings"):
+        for name in ("stored_aliases", "decisions", "dirty", "snapshot", "filings", "state", "views"):
             getattr(self, name)
 
     @property
@@ -76,8 +111,55 @@ class Book:
         return self._once("stored_aliases", lambda: self.stored("aliases", lambda: self.aliases))
 
     @property
-    def stored_ledger(self) -> DataFrame:
-        return self._once("stored_ledger", lambda: self.stored("ledger", lambda: self.ledger, ("client_id",)))
+    def state(self) -> Store:
+        """Snapshot and decisions of all clients, cut by firm and bucket, as an import and a full determination leave them; nothing is dirty."""
+
+        def fill(store: Store) -> None:
+            with store.transaction() as t:
+                t.replace("snapshot", U.cut(self.ledger), U.BY)
+                t.replace("decisions", U.cut(self.decisions), U.BY)
+                t.replace("dirty", self.dirty.limit(0).withColumn("marked_at", F.lit(1)))
+
+        return self._once("state", lambda: self.kept("state", fill))
+
+    def source(self) -> DataFrame:
+        """The live ledger as an import's rows."""
+        rows = self.live.drop("deleted").withColumn("source_txn_id", F.col("line_id"))
+        return rows.withColumn("row_hash", F.sha2(F.concat_ws("|", "line_id", "tax_year", "amount_cents", "name_norm"), 256))
+
+    @property
+    def imported(self) -> Store:
+        """A store after two imports with a determination each: the first without some rows and with other amounts for some clients, the second with the ledger as it is."""
+
+        def fill(store: Store) -> None:
+            now, d = self.source(), digit("line_id", 1)
+            before = now.filter((d != 1) | (F.col("client_id") % 3 != 0)).withColumn("amount_cents", F.when((d == 2) & (F.col("client_id") % 3 == 0), F.col("amount_cents") + 1).otherwise(F.col("amount_cents")))
+            before = before.withColumn("row_hash", F.sha2(F.concat_ws("|", "line_id", "tax_year", "amount_cents", "name_norm"), 256))
+            every = lambda prefix: F.lit(True)
+            for run, source in enumerate((before, now), 1):
+                U.apply_source(store, source, every, run)
+                U.refresh_decisions(store, self.stored_aliases, RULES)
+
+        return self._once("imported", lambda: self.kept("imported", fill))
+
+    @property
+    def views(self) -> Store:
+        """What the dashboard reads: counts and exceptions of the filings as planned, moved to their present state by deltas."""
+
+        def fill(store: Store) -> None:
+            key = ["firm_id", "client_id", "tax_year"]
+            opened = self.attention.withColumn("resolved_at", F.lit(None).cast("int"))
+            U.move_counts(store, "status", V.status_counts(self.planned), key)
+            U.move_counts(store, "attention", V.attention_counts(opened), ["firm_id", "client_id", "severity"])
+            U.refresh_exceptions(store, opened, D.exceptions(self.decisions), self.filings)
+            moves = U.status_moves(self.planned, self.filings)
+            for half in (0, 1):
+                U.move_counts(store, "status", U.status_deltas(moves.filter(F.col("client_id") % 2 == half)), key)
+            resolved = self.attention.filter("resolved_at is not null")
+            U.move_counts(store, "attention", U.attention_deltas(resolved.withColumn("sign", F.lit(-1))), ["firm_id", "client_id", "severity"])
+            U.refresh_exceptions(store, self.attention, D.exceptions(self.decisions), self.filings, resolved.select("firm_id", "client_id"))
+
+        return self._once("views", lambda: self.kept("views", fill))
 
     @property
     def decisions(self) -> DataFrame:
@@ -164,7 +246,7 @@ class Book:
         def make():
             e = digit("filing_id", 2)
             f = self.filings.withColumn("e", e)
-            cols = [F.lit("FILING").alias("entity_type"), F.col("filing_id").alias("entity_id"), "client_id", F.when(F.col("e") == 4, 1).alias("resolved_at")]
+            cols = [F.lit("FILING").alias("entity_type"), F.col("filing_id").alias("entity_id"), "firm_id", "client_id", F.when(F.col("e") == 4, 1).alias("resolved_at")]
             a = f.filter("state = 'BLOCKED'").select(F.col("attention_type").alias("type"), F.lit(5).alias("severity"), *cols)
             return a.unionByName(f.filter("state = 'REJECTED' and e <> 5").select(F.lit("FILING_REJECTED").alias("type"), F.lit(3).alias("severity"), *cols))
 
@@ -253,8 +335,8 @@ done AS (SELECT m.firm_id, m.filing_id, m.generation, f.state, f.e FROM members
 recorded AS (SELECT firm_id, filing_id, generation FROM done WHERE state IN ('ACCEPTED', 'REJECTED') AND e <> 1 UNION ALL SELECT firm_id, filing_id, generation FROM done WHERE state IN ('ACCEPTED', 'REJECTED') AND e = 2
  UNION ALL SELECT firm_id, filing_id, generation FROM done WHERE state = 'BATCHED' AND e = 3),
 acks AS (SELECT firm_id, CASE WHEN e = 8 THEN 'x' || filing_id ELSE filing_id END AS reference, CASE WHEN e % 2 = 0 THEN 'ACCEPTED' ELSE 'REJECTED' END AS outcome FROM filings WHERE state = 'SUBMITTED_UNACKNOWLEDGED' AND e <= 8),
-attention AS (SELECT attention_type AS type, 5 AS severity, 'FILING' AS entity_type, filing_id AS entity_id, client_id, CASE WHEN e = 4 THEN 1 END AS resolved_at FROM filings WHERE state = 'BLOCKED'
- UNION ALL SELECT 'FILING_REJECTED', 3, 'FILING', filing_id, client_id, CASE WHEN e = 4 THEN 1 END FROM filings WHERE state = 'REJECTED' AND e <> 5),
+attention AS (SELECT attention_type AS type, 5 AS severity, 'FILING' AS entity_type, filing_id AS entity_id, firm_id, client_id, CASE WHEN e = 4 THEN 1 END AS resolved_at FROM filings WHERE state = 'BLOCKED'
+ UNION ALL SELECT 'FILING_REJECTED', 3, 'FILING', filing_id, firm_id, client_id, CASE WHEN e = 4 THEN 1 END FROM filings WHERE state = 'REJECTED' AND e <> 5),
 calls AS (SELECT user_id AS firm_id, event_id AS call_id, epoch_us(ts) AS at_us, CASE WHEN event_id % 3 = 0 THEN 'STATUS' ELSE 'SUBMIT' END AS call_type FROM events),
 slice AS (SELECT firm_id, client_id, source_system, line_id AS source_txn_id, tax_year, amount_cents, name_norm, strpos('0123456789abcdef', substr(md5(line_id), 1, 1)) - 1 AS d FROM ledger),
 old_snapshot AS (SELECT *, sha256(source_txn_id || '|' || tax_year || '|' || amount_cents || '|' || name_norm) AS row_hash, d = 3 AS deleted FROM slice WHERE d <> 0),

@@ -13,12 +13,14 @@ from ..operators import determine as D
 from ..operators import filings as B
 from ..operators import merge as M
 from ..operators import runs as R
+from ..operators import upkeep as U
 from ..operators import views as V
 from ..reasons import REASONS, reason_codes
 from ..rules import RuleSet
 from ..session import SHARED, FirmSession, scratch
 from ..sources import export, generator, records, writer
 from ..sources.testdata import table
+from ..store import Store
 from ..streaming.changes import windowed_calls
 from .book import BATCH_SIZE, BOOK_SQL, NOW_US, RULES, SCOPE, SNAP, Book, digit
 
@@ -71,10 +73,23 @@ add("golden_explained_equals_total", lambda b: D.unreconciled(b.classified, b.de
 
 
 def _incremental(b: Book) -> DataFrame:
-    return D.incremental(b.stored_ledger, b.stored_aliases, RULES, b.dirty.filter("client_id % 3 = 0"), b.decisions).select(*DECIDED)
+    dirty = b.dirty.filter("client_id % 3 = 0")
+    parts = U.parts_of(U.cut(dirty.filter(F.col("tax_year") == RULES.tax_year)))
+    others = [p for p in b.state.parts("decisions") if p not in parts]
+    again = D.incremental(b.state.read("snapshot", parts), b.stored_aliases, RULES, dirty, b.state.read("decisions", parts).drop("bucket"))
+    return b.state.read("decisions", others).drop("bucket").unionByName(again).select(*DECIDED)
 
 
 add("flt4_state2_incremental_determination", _incremental, f"SELECT {', '.join(DECIDED)} FROM decided")
+add("state2_write_back", lambda b: b.imported.read("decisions").select(*DECIDED), f"SELECT {', '.join(DECIDED)} FROM decided")
+
+
+def _nothing_dirty(b: Book) -> DataFrame:
+    rewritten = U.refresh_decisions(b.state, b.stored_aliases, RULES)
+    return b.state.read("decisions").groupBy("firm_id").agg(F.count(F.lit(1)).alias("vendors"), F.sum("reportable_cents").alias("reportable_cents")).withColumn("parts_rewritten", F.lit(len(rewritten)))
+
+
+add("flt4_nothing_dirty", _nothing_dirty, "SELECT firm_id, count(*) AS vendors, CAST(sum(reportable_cents) AS BIGINT) AS reportable_cents, 0 AS parts_rewritten FROM decided GROUP BY firm_id")
 add("state_ruleset_hash", lambda b: b.spark.createDataFrame([(RULES.version,)], "ruleset string"), "SELECT substr(sha256('taxYear=1998;thresholdCents=6000000;nameNorm=1'), 1, 16) AS ruleset", book=False)
 
 # -- merge family -------------------------------------------------------------
@@ -118,6 +133,15 @@ def _reimport(b: Book) -> DataFrame:
 add("i10_import_idempotency", _reimport, "SELECT * FROM (VALUES ('book_xor', true), ('live_cents', true), ('n_clients', true), ('n_deleted', true), ('n_live', true), ('no_inserts_or_updates', true), ('no_tombstones', true)) v(\"check\", ok)", book=False)
 
 
+def _digest_reimport(b: Book) -> DataFrame:
+    """The same source once more: nothing but its digests is computed, and no part of the snapshot is read or written."""
+    again = U.apply_source(b.imported, b.source(), lambda prefix: F.lit(True), 3)
+    return M.checksum(b.imported.read("snapshot")).withColumn("parts_touched", F.lit(len(again.parts)))
+
+
+add("ag7_i10_digest_reimport", _digest_reimport, f""", hashed AS (SELECT *, sha256(line_id || '|' || tax_year || '|' || amount_cents || '|' || name_norm) AS row_hash FROM live)
+SELECT firm_id, CAST(CAST(x AS HUGEINT) - CASE WHEN x > 9223372036854775807 THEN 18446744073709551616::HUGEINT ELSE 0 END AS BIGINT) AS book_xor, n_live, CAST(0 AS BIGINT) AS n_deleted, n_clients, live_cents, 0 AS parts_touched
+FROM (SELECT firm_id, {XOR_SQL} AS x, count(*) AS n_live, count(DISTINCT client_id) AS n_clients, CAST(sum(amount_cents) AS BIGINT) AS live_cents FROM hashed GROUP BY firm_id) y""")
 add("i10_first_import_is_no_repetition", lambda b: M.verify_idempotent(_changes(b)), """, after AS (SELECT firm_id, client_id, CASE WHEN n_row_hash IS NOT NULL THEN n_amount_cents ELSE o_amount_cents END AS amount_cents, coalesce(n_row_hash, o_row_hash) AS row_hash, CASE change WHEN 'tombstoned' THEN true WHEN 'untouched' THEN o_deleted ELSE false END AS deleted FROM changes),
 sums AS (SELECT 'b' AS side, firm_id, client_id, amount_cents, row_hash, deleted FROM old_snapshot UNION ALL SELECT 'a', * FROM after),
 firms AS (SELECT side, firm_id, """ + XOR_SQL + """ AS book_xor, coalesce(sum(amount_cents) FILTER (WHERE NOT deleted), 0) AS live_cents, count(DISTINCT CASE WHEN NOT deleted THEN client_id END) AS n_clients, count(*) FILTER (WHERE deleted) AS n_deleted, count(*) FILTER (WHERE NOT deleted) AS n_live FROM sums GROUP BY side, firm_id),
@@ -139,7 +163,7 @@ UNION ALL SELECT firm_id, client_id, vendor_key, reportable_cents + 1, form_requ
 add("dml6_evidence_upsert", lambda b: M.upsert_coalesce(b.classified.filter("client_id % 2 = 0").select("line_id", F.lit("OLD").alias("disposition")), b.classified.filter("client_id % 3 = 0").select("line_id", "disposition"), ["line_id"], [], ["disposition"]), "SELECT line_id, CASE WHEN client_id % 3 = 0 THEN disposition ELSE 'OLD' END AS disposition FROM classified WHERE client_id % 3 = 0 OR client_id % 2 = 0")
 add("dml8_insert_if_absent", lambda b: M.insert_if_absent(D.exceptions(b.decided).filter("client_id % 2 = 0").select("vendor_key", "client_id", "code", F.lit(1).alias("run")), D.exceptions(b.decided).select("vendor_key", "client_id", "code", F.lit(2).alias("run")), ["vendor_key", "client_id", "code"]), "SELECT vendor_key, client_id, code, CASE WHEN client_id % 2 = 0 THEN 1 ELSE 2 END AS run FROM raised")
 add("dml10_freeze_violations", lambda b: B.freeze_violations(b.filings, b.filings.withColumn("content_hash", F.when(F.substring("filing_id", 1, 1) == "0", F.lit("changed")).otherwise(F.col("content_hash")))), "SELECT filing_id, state AS b_state, state FROM filings WHERE state IN ('BATCHED', 'SUBMITTED_UNACKNOWLEDGED') AND substr(filing_id, 1, 1) = '0'")
-add("dml12_exception_acknowledgment", lambda b: V.acknowledge_exceptions(D.exceptions(b.decisions).select("client_id", "vendor_key", "code"), D.exceptions(b.decisions).filter("client_id % 5 = 0").select("client_id", "vendor_key", "code", F.lit("seen").alias("note"))), "SELECT client_id, vendor_key, code, CASE WHEN client_id % 5 = 0 THEN 'seen' END AS note FROM raised")
+add("dml12_exception_acknowledgment", lambda b: V.acknowledge_exceptions(D.exceptions(b.decisions).select("firm_id", "client_id", "vendor_key", "code"), D.exceptions(b.decisions).filter("client_id % 5 = 0").select("firm_id", "client_id", "vendor_key", "code", F.lit("seen").alias("note"))), "SELECT firm_id, client_id, vendor_key, code, CASE WHEN client_id % 5 = 0 THEN 'seen' END AS note FROM raised")
 add("wn3_duplicate_ordinals", lambda b: M.duplicate_ordinals(b.ledger.select("client_id", "name_norm", "method", "payment_date", "line_id"), ["client_id", "name_norm", "method"], [F.col("payment_date"), F.col("line_id")]).select("line_id", "ordinal"), "SELECT line_id, CAST(row_number() OVER (PARTITION BY client_id, name_norm, method ORDER BY payment_date, line_id) AS INTEGER) AS ordinal FROM ledger")
 
 # -- filings ------------------------------------------------------------------
@@ -154,7 +178,7 @@ add("jn22_set5_ack_correlation", lambda b: B.correlate(b.filings.filter("state =
 add("state8_ack_apply", lambda b: B.apply_acks(b.filings.select("firm_id", "filing_id", "state"), B.correlate(b.filings.filter("state = 'SUBMITTED_UNACKNOWLEDGED'"), b.acks)).select("filing_id", "state"), "SELECT f.filing_id, coalesce(a.outcome, f.state) AS state FROM filings f LEFT JOIN acks a ON f.filing_id = a.reference AND f.state = 'SUBMITTED_UNACKNOWLEDGED'")
 add("prj10_ack_outcome", lambda b: b.decided.filter("form_required").withColumnRenamed("reportable_cents", "amount_cents").select("vendor_key", "client_id", B.ack_outcome().alias("reject_code")), "SELECT vendor_key, client_id, CASE WHEN tin_bidx IS NULL THEN 'R-TIN-FORMAT' WHEN starts_with(tin_last4, '000') THEN 'R-TIN-PREFIX' WHEN reportable_cents <= 0 AND withholding_cents <= 0 THEN 'R-AMOUNT' END AS reject_code FROM decided WHERE form_required")
 add("src12_endpoint_status", lambda b: B.endpoint_status(b.work, b.members, b.recorded), "SELECT w.batch_id, CASE WHEN n IS NULL THEN 'UNKNOWN' WHEN n < filing_count THEN 'PENDING' ELSE 'RESOLVED' END AS status FROM work w LEFT JOIN (SELECT batch_id, count(*) AS n FROM members WHERE filing_id IN (SELECT filing_id FROM recorded) GROUP BY batch_id) x ON w.batch_id = x.batch_id")
-add("dml11_attention_resolve", lambda b: V.resolve_attention(b.attention, b.filings.filter("client_id % 4 = 0").select(F.col("filing_id").alias("entity_id"), F.lit(2).alias("resolved_at"))).select("entity_id", "type", "resolved_at"), "SELECT entity_id, type, CAST(coalesce(resolved_at, CASE WHEN client_id % 4 = 0 THEN 2 END) AS VARCHAR) AS resolved_at FROM attention")
+add("dml11_attention_resolve", lambda b: V.resolve_attention(b.attention, b.filings.filter("client_id % 4 = 0").select("firm_id", F.col("filing_id").alias("entity_id"), F.lit(2).alias("resolved_at"))).select("entity_id", "type", "resolved_at"), "SELECT entity_id, type, CAST(coalesce(resolved_at, CASE WHEN client_id % 4 = 0 THEN 2 END) AS VARCHAR) AS resolved_at FROM attention")
 
 
 def _evidence(b: Book) -> DataFrame:
@@ -225,17 +249,18 @@ add("jn21_orphan_members", lambda b: B.orphans(b.members, b.work.filter("state <
 
 
 def _status(b: Book) -> DataFrame:
-    clients = table(b.spark, b.sf_dir, "nation").select(F.col("n_nationkey").alias("client_id"), F.col("n_name").alias("legal_name"))
-    years = V.known_years(b.spark.createDataFrame([(1997,), (1998,)], "tax_year int"), b.filings)
-    return V.client_status(clients, years, b.filings, b.attention)
+    clients = table(b.spark, b.sf_dir, "nation").select(F.col("n_regionkey").alias("firm_id"), F.col("n_nationkey").alias("client_id"), F.col("n_name").alias("legal_name"))
+    counts, open_ = b.views.read("status").drop("bucket"), b.views.read("attention").drop("bucket")
+    years = V.known_years(b.spark.createDataFrame([(1997,), (1998,)], "tax_year int"), counts)
+    return V.status_of(clients, years, counts, open_)
 
 
 STATUS_SQL = """, years AS (SELECT 1997 AS tax_year UNION SELECT 1998 UNION SELECT tax_year FROM filings),
-counts AS (SELECT client_id, tax_year, count(*) AS n_total, count(*) FILTER (WHERE state = 'ACCEPTED') AS n_accepted, count(*) FILTER (WHERE state = 'REJECTED') AS n_rejected, count(*) FILTER (WHERE state = 'BLOCKED') AS n_blocked, count(*) FILTER (WHERE state = 'SUBMITTED_UNACKNOWLEDGED') AS n_awaiting,
-  count(*) FILTER (WHERE state IN ('DRAFT', 'READY_TO_TRANSMIT')) AS n_ready, count(*) FILTER (WHERE state = 'BATCHED') AS n_batched, CAST(sum(amount_cents) FILTER (WHERE state = 'ACCEPTED') AS BIGINT) AS accepted_cents FROM filings GROUP BY client_id, tax_year),
-att AS (SELECT client_id, count(*) AS n_attention, min(severity) AS worst_severity FROM attention WHERE resolved_at IS NULL GROUP BY client_id),
-joined AS (SELECT n_nationkey AS client_id, n_name AS legal_name, y.tax_year, coalesce(n_total, 0) AS n_total, coalesce(n_accepted, 0) AS n_accepted, coalesce(n_rejected, 0) AS n_rejected, coalesce(n_blocked, 0) AS n_blocked, coalesce(n_awaiting, 0) AS n_awaiting, coalesce(n_ready, 0) AS n_ready, coalesce(n_batched, 0) AS n_batched, coalesce(accepted_cents, 0) AS accepted_cents, coalesce(n_attention, 0) AS n_attention, worst_severity
- FROM nation CROSS JOIN years y LEFT JOIN counts k ON k.client_id = n_nationkey AND k.tax_year = y.tax_year LEFT JOIN att a ON a.client_id = n_nationkey),
+counts AS (SELECT firm_id, client_id, tax_year, count(*) AS n_total, count(*) FILTER (WHERE state = 'ACCEPTED') AS n_accepted, count(*) FILTER (WHERE state = 'REJECTED') AS n_rejected, count(*) FILTER (WHERE state = 'BLOCKED') AS n_blocked, count(*) FILTER (WHERE state = 'SUBMITTED_UNACKNOWLEDGED') AS n_awaiting,
+  count(*) FILTER (WHERE state IN ('DRAFT', 'READY_TO_TRANSMIT')) AS n_ready, count(*) FILTER (WHERE state = 'BATCHED') AS n_batched, CAST(sum(amount_cents) FILTER (WHERE state = 'ACCEPTED') AS BIGINT) AS accepted_cents FROM filings GROUP BY firm_id, client_id, tax_year),
+att AS (SELECT firm_id, client_id, count(*) AS n_attention, min(severity) AS worst_severity FROM attention WHERE resolved_at IS NULL GROUP BY firm_id, client_id),
+joined AS (SELECT n_regionkey AS firm_id, n_nationkey AS client_id, n_name AS legal_name, y.tax_year, coalesce(n_total, 0) AS n_total, coalesce(n_accepted, 0) AS n_accepted, coalesce(n_rejected, 0) AS n_rejected, coalesce(n_blocked, 0) AS n_blocked, coalesce(n_awaiting, 0) AS n_awaiting, coalesce(n_ready, 0) AS n_ready, coalesce(n_batched, 0) AS n_batched, coalesce(accepted_cents, 0) AS accepted_cents, coalesce(n_attention, 0) AS n_attention, worst_severity
+ FROM nation CROSS JOIN years y LEFT JOIN counts k ON k.firm_id = n_regionkey AND k.client_id = n_nationkey AND k.tax_year = y.tax_year LEFT JOIN att a ON a.firm_id = n_regionkey AND a.client_id = n_nationkey),
 status AS (SELECT *, CASE WHEN n_rejected > 0 OR n_blocked > 0 OR n_attention > 0 THEN 'NEEDS_ATTENTION' WHEN n_total = 0 THEN 'NOTHING_TO_FILE' WHEN n_accepted = n_total THEN 'FULLY_FILED' WHEN n_accepted > 0 THEN 'PARTIALLY_FILED' WHEN n_awaiting + n_batched > 0 THEN 'AWAITING_IRS' ELSE 'READY_TO_FILE' END AS status FROM joined)
 """
 add("prj6_jn13_jn14_client_status", _status, STATUS_SQL + "SELECT * REPLACE (CAST(worst_severity AS VARCHAR) AS worst_severity) FROM status")
@@ -246,19 +271,19 @@ add("set1_known_years", lambda b: V.known_years(b.live, b.filings), "SELECT tax_
 
 
 def _view(b: Book) -> DataFrame:
-    return V.exception_view(b.attention, D.exceptions(b.decisions), b.filings, b.rejections)
+    return b.views.read("exceptions").drop("bucket").unionByName(V.rejected_imports(b.rejections))
 
 
 VIEW_SQL = """, open_items AS (SELECT * FROM attention WHERE resolved_at IS NULL),
-covered AS (SELECT a.client_id, f.vendor_key, f.tax_year, a.type FROM open_items a JOIN filings f ON f.filing_id = a.entity_id),
+covered AS (SELECT a.firm_id, a.client_id, f.vendor_key, f.tax_year, a.type FROM open_items a JOIN filings f ON f.firm_id = a.firm_id AND f.filing_id = a.entity_id),
 own AS (SELECT * FROM rejections WHERE run_id = (SELECT max(run_id) FROM rejections)),
 ex_view AS (
- SELECT severity, type AS code, entity_type, entity_id, client_id, 'ATTENTION:' || entity_type || ':' || entity_id || ':' || type AS dedupe_key FROM open_items
- UNION ALL SELECT CASE severity WHEN 'BLOCKING' THEN 5 ELSE 6 END, code, 'VENDOR', vendor_key, client_id, 'DETERMINATION:' || client_id || ':' || vendor_key || ':' || code FROM raised r
-  WHERE NOT EXISTS (SELECT 1 FROM covered c WHERE c.client_id = r.client_id AND c.vendor_key = r.vendor_key AND c.tax_year = r.tax_year AND c.type = CASE WHEN r.code IN ('MISSING_TIN', 'MALFORMED_TIN') THEN 'VENDOR_MISSING_TIN' END)
- UNION ALL SELECT DISTINCT 7, 'IMPORT_ROWS_REJECTED', 'IMPORT', file_name || ':' || reason_code, NULL::INTEGER, 'IMPORT:' || file_name || ':' || reason_code FROM own)
+ SELECT severity, type AS code, entity_type, entity_id, firm_id, client_id, 'ATTENTION:' || entity_type || ':' || entity_id || ':' || type AS dedupe_key FROM open_items
+ UNION ALL SELECT CASE severity WHEN 'BLOCKING' THEN 5 ELSE 6 END, code, 'VENDOR', vendor_key, firm_id, client_id, 'DETERMINATION:' || client_id || ':' || vendor_key || ':' || code FROM raised r
+  WHERE NOT EXISTS (SELECT 1 FROM covered c WHERE c.firm_id = r.firm_id AND c.client_id = r.client_id AND c.vendor_key = r.vendor_key AND c.tax_year = r.tax_year AND c.type = CASE WHEN r.code IN ('MISSING_TIN', 'MALFORMED_TIN') THEN 'VENDOR_MISSING_TIN' END)
+ UNION ALL SELECT DISTINCT 7, 'IMPORT_ROWS_REJECTED', 'IMPORT', file_name || ':' || reason_code, NULL::INTEGER, NULL::INTEGER, 'IMPORT:' || file_name || ':' || reason_code FROM own)
 """
-add("set3_jn18_exception_view", lambda b: _view(b).withColumn("client_id", F.col("client_id").cast("string")), VIEW_SQL + "SELECT * REPLACE (CAST(client_id AS VARCHAR) AS client_id) FROM ex_view")
+add("set3_jn18_exception_view", lambda b: _view(b).withColumns({c: F.col(c).cast("string") for c in V.CLIENT}), VIEW_SQL + "SELECT * REPLACE (CAST(firm_id AS VARCHAR) AS firm_id, CAST(client_id AS VARCHAR) AS client_id) FROM ex_view")
 add("ag12_exception_groups", lambda b: V.exception_groups(_view(b)), VIEW_SQL + "SELECT severity, code, count(*) AS n FROM ex_view GROUP BY severity, code")
 add("sl2_urgent_top_200", lambda b: V.urgent(_view(b))[0].withColumn("client_id", F.col("client_id").cast("string")), VIEW_SQL + "SELECT * REPLACE (CAST(client_id AS VARCHAR) AS client_id) FROM ex_view ORDER BY severity, dedupe_key LIMIT 200")
 add("sl2_truncated_flag", lambda b: V.urgent(_view(b))[1], VIEW_SQL + "SELECT count(*) AS n, count(*) > 200 AS truncated FROM ex_view")
@@ -355,8 +380,8 @@ add("hsh11_failure_roll", lambda b: b.filings.select("filing_id", (F.floor(S.has
 # -- exports ------------------------------------------------------------------
 
 
-def _import(b: Book) -> tuple[DataFrame, DataFrame]:
-    """(judged records, payments) of the whole ledger, written as an export of three systems with planted defects and read back."""
+def _read_back(b: Book) -> DataFrame:
+    """Judged records of the whole ledger, written as an export of three systems with planted defects and read back."""
     d, e = digit("line_id", 1), digit("line_id", 2)
     kind = F.when(d == 0, F.when(e == 0, "amount").when(e == 1, "date").when(e == 2, "client").when(e == 3, "subcent").when(e == 4, "noclient").when(e == 5, "currency").when(e == 6, "vendor").when(e == 7, "ragged"))
     where = scratch(b.spark, "export")
@@ -367,10 +392,30 @@ def _import(b: Book) -> tuple[DataFrame, DataFrame]:
     for name, system in m.files:
         part = export.read_payments(b.spark, f"{where}/{name}", system)
         raw = part if raw is None else raw.unionByName(part)
-    judged = export.judge(raw, clients)
+    return export.judge(raw, clients)
+
+
+def _import(b: Book) -> tuple[DataFrame, DataFrame]:
+    """(judged records, payments) of that export, judged once in the session."""
+    judged = b.stored("judged", lambda: _read_back(b))
     return judged, export.normalize(judged, 1, b"key")
 
 
+def _aborted(b: Book) -> DataFrame:
+    """An import that the guard stops after one that it let through: the second's rejections, and the book as the first left it."""
+    judged, scope = _import(b)[0], lambda prefix: F.lit(True)
+    store = Store(b.spark, scratch(b.spark, "aborted"))
+    U.import_judged(store, judged, 1, b"key", scope, 1)
+    try:
+        U.import_judged(store, judged.withColumn("amount_value", F.col("amount_value") * 2), 1, b"key", scope, 2, most_rejected=0.0)
+    except export.TooManyRejections:
+        pass
+    told = store.read("rejections").filter("run_id = 2").groupBy(F.col("reason_code").alias("what")).agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("long").alias("cents"))
+    book = store.read("snapshot").filter("not deleted").agg(F.lit("live").alias("what"), F.count(F.lit(1)).alias("n"), F.sum("amount_cents").alias("cents"))
+    runs = store.read("runs").groupBy(F.concat_ws(" ", F.lit("run"), "run_id", "state").alias("what")).agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("long").alias("cents"))
+    return told.unionByName(book).unionByName(runs).withColumn("cents", F.col("cents").cast("string"))
+
+
 DEFECT_SQL = """, spoiled AS (SELECT *, strpos('0123456789abcdef', substr(md5(line_id), 1, 1)) - 1 AS d, strpos('0123456789abcdef', substr(md5(line_id), 2, 1)) - 1 AS e FROM ledger)
 """
 IMPORTED = ["source_system", "client_id", "tax_year", "method", "entry_type", "expense_class", "tin_status"]
@@ -421,6 +466,11 @@ m AS (SELECT line_id, CASE WHEN d = 4 THEN 'two' ELSE name_raw END AS vendor_nam
  CASE WHEN d = 0 THEN '5" pipe' WHEN d = 1 THEN 'say "hi", twice' WHEN d = 2 THEN 'first' || chr(10) || 'second, "third"' || chr(10) WHEN d = 3 THEN '"Big "Bob" Henderson' WHEN d = 4 THEN 'one' WHEN d = 5 THEN 'say ""hi""' WHEN d = 6 THEN '' WHEN d = 7 THEN '12 inch"'
       WHEN d = 8 AND long_one THEN repeat('a line of text, with "quotes"' || chr(10), 1900) ELSE 'plain' END AS memo FROM q)
 SELECT CAST(2 + coalesce(sum(1 + breaks) OVER (ORDER BY line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line_no, line_id AS source_txn_id, trim(vendor_name) AS vendor_name, md5(memo) AS memo_md5, CAST(length(memo) AS BIGINT) AS memo_chars, regular FROM m""")
+REASON_OF = "CASE e WHEN 0 THEN 'UNPARSEABLE_AMOUNT' WHEN 1 THEN 'UNPARSEABLE_DATE' WHEN 2 THEN 'UNKNOWN_CLIENT_REF' WHEN 3 THEN 'SUB_CENT_AMOUNT' WHEN 4 THEN 'MISSING_CLIENT_REF' WHEN 5 THEN 'UNSUPPORTED_CURRENCY' WHEN 6 THEN 'UNIDENTIFIABLE_VENDOR' ELSE 'RAGGED_ROW' END"
+add("snk3_snk4_aborted_import", _aborted, DEFECT_SQL + f""", good AS (SELECT * FROM spoiled WHERE NOT (d = 0 AND e <= 7))
+SELECT {REASON_OF} AS what, count(*) AS n, NULL::VARCHAR AS cents FROM spoiled WHERE d = 0 AND e <= 7 GROUP BY 1
+UNION ALL SELECT 'live', count(*), CAST(CAST(sum(amount_cents) AS BIGINT) AS VARCHAR) FROM good
+UNION ALL SELECT * FROM (VALUES ('run 1 RUNNING', 1, NULL), ('run 1 COMPLETED', 1, NULL), ('run 2 RUNNING', 1, NULL), ('run 2 FAILED', 1, NULL)) v""")
 add("flt3_rejection_guard", _guard, DEFECT_SQL + "SELECT count(*) AS rows_read, count(*) FILTER (WHERE d = 0 AND e <= 7) AS rows_rejected FROM spoiled")
 add("sec3_flt11_unguarded_tables", lambda b: b.spark.createDataFrame(R.catalog({"ledger": lambda: b.ledger, "filings": lambda: b.filings, "reason_code": lambda: reason_codes(b.spark)}, SHARED), "table_name string, has_firm boolean, is_shared boolean"),
     "SELECT * FROM (VALUES ('filings', true, false), ('ledger', true, false), ('reason_code', false, true)) v(table_name, has_firm, is_shared)", book=False)
