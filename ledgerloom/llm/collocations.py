@@ -106,13 +106,14 @@ def _cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     bounds, rows = [0], []
     for row, (at, end) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
         while end - at > BLOCK:
-            to = at + BLOCK
-            while to < end and not (stops := np.flatnonzero(_STOP[data[max(at, to - BLOCK) : to]])).size:
+            to, stops = at + BLOCK, _STOP[:0]
+            while to < end and not len(stops := np.flatnonzero(_STOP[data[max(at, to - BLOCK) : to]])):
                 to += BLOCK
-            to = max(at, to - BLOCK) + int(stops[-1]) + 1 if to < end else end
-            bounds.append(to)
+            if to >= end:
+                break
+            at = max(at, to - BLOCK) + int(stops[-1]) + 1
+            bounds.append(at)
             rows.append(row)
-            at = to
         bounds.append(end)
         rows.append(row)
     bounds[0] = int(offsets[0])
