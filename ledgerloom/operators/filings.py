@@ -53,22 +53,24 @@ def plan(decisions: DataFrame, number: Column | None = None, generation: Column
 
 
 def upsert(existing: DataFrame, planned: DataFrame) -> DataFrame:
-    """(filing_id, action, state, content_hash): insert, update, keep, or frozen / amended for filings past the point of change."""
-    e = existing.select("filing_id", F.col("state").alias("e_state"), F.col("content_hash").alias("e_hash"))
-    p = planned.select("filing_id", F.col("state").alias("p_state"), F.col("content_hash").alias("p_hash"))
+    """(firm_id, filing_id, action, state, content_hash): insert, update, keep, or frozen / amended for filings past the point of change."""
+    key = ["firm_id", "filing_id"]
+    e = existing.select(*key, F.col("state").alias("e_state"), F.col("content_hash").alias("e_hash"))
+    p = planned.select(*key, F.col("state").alias("p_state"), F.col("content_hash").alias("p_hash"))
     same = F.col("e_hash").eqNullSafe(F.col("p_hash"))
     open_ = F.col("e_state").isin(*MUTABLE)
     action = F.when(F.col("p_state").isNull(), "keep").when(F.col("e_state").isNull(), "insert").when(open_ & same & (F.col("e_state") == F.col("p_state")), "keep").when(open_, "update").when(same, "frozen").otherwise("amended")
-    out = e.join(p, "filing_id", "full_outer").withColumn("action", action)
+    out = e.join(p, key, "full_outer").withColumn("action", action)
     take = F.col("action").isin("insert", "update")
-    return out.select("filing_id", "action", F.when(take, F.col("p_state")).otherwise(F.col("e_state")).alias("state"), F.when(take, F.col("p_hash")).otherwise(F.col("e_hash")).alias("content_hash"))
+    return out.select(*key, "action", F.when(take, F.col("p_state")).otherwise(F.col("e_state")).alias("state"), F.when(take, F.col("p_hash")).otherwise(F.col("e_hash")).alias("content_hash"))
 
 
 def freeze_violations(before: DataFrame, after: DataFrame) -> DataFrame:
     """Filings whose content changed while frozen, or whose accepted state moved; empty when all is well."""
-    b = before.select("filing_id", F.col("state").alias("b_state"), F.col("content_hash").alias("b_hash"))
-    j = b.join(after.select("filing_id", "state", "content_hash"), "filing_id")
-    return j.filter((F.col("b_state").isin(*FROZEN) & ~F.col("b_hash").eqNullSafe(F.col("content_hash"))) | ((F.col("b_state") == "ACCEPTED") & (F.col("state") != "ACCEPTED"))).select("filing_id", "b_state", "state")
+    key = ["firm_id", "filing_id"]
+    b = before.select(*key, F.col("state").alias("b_state"), F.col("content_hash").alias("b_hash"))
+    j = b.join(after.select(*key, "state", "content_hash"), key)
+    return j.filter((F.col("b_state").isin(*FROZEN) & ~F.col("b_hash").eqNullSafe(F.col("content_hash"))) | ((F.col("b_state") == "ACCEPTED") & (F.col("state") != "ACCEPTED"))).select(*key, "b_state", "state")
 
 
 def bad_transitions(before: DataFrame, after: DataFrame, id_: str, table: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -216,6 +218,47 @@ def latest_attempts(log: DataFrame) -> DataFrame:
     return log.groupBy("attempt_id").agg(F.max_by(F.struct(*log.columns), F.struct("event_no")).alias("_last")).select("_last.*")
 
 
+# -- the intent log: what is durably true wherever the process dies ------------
+
+# What each event of a batch's log leaves behind (batch state, filing state, how a restart goes on).
+AFTER_EVENT = {
+    None: ("NONE", "READY_TO_TRANSMIT", "PLAN"), "SEAL": ("SEALED", "BATCHED", "DISPATCH"), "INTENT": ("DISPATCHED", "SUBMITTED_UNACKNOWLEDGED", "RECONCILE"), "UNKNOWN": ("DISPATCHED", "SUBMITTED_UNACKNOWLEDGED", "RECONCILE"),
+    "RECEIPT": ("SUBMITTED", "SUBMITTED_UNACKNOWLEDGED", "POLL"), "FOUND": ("SUBMITTED", "SUBMITTED_UNACKNOWLEDGED", "POLL"), "ABSENT": ("VOID", "READY_TO_TRANSMIT", "PLAN"), "ACKS": ("SUBMITTED", "DECIDED", "POLL"), "SETTLE": ("ACKNOWLEDGED", "DECIDED", "NONE"),
+}
+#: The events that may follow one (None: the log's begin). A call is no event of the log: it may be made only between its intent and the outcome.
+FOLLOWS = {None: ("SEAL",), "SEAL": ("INTENT",), "INTENT": ("UNKNOWN", "RECEIPT", "FOUND", "ABSENT"), "UNKNOWN": ("FOUND", "ABSENT"), "RECEIPT": ("ACKS",), "FOUND": ("ACKS",), "ABSENT": (), "ACKS": ("SETTLE",), "SETTLE": ()}
+
+
+def replay(log: DataFrame) -> DataFrame:
+    """What is true after every prefix of every batch's log, that is wherever a process can die, the empty prefix included.
+
+    ``log``: firm_id, batch_id, seq (ascending within the batch), event (of
+    ``AFTER_EVENT``, or CALL), arrived (of a CALL: whether it reached the endpoint,
+    which no process can see). Returns firm_id, batch_id, position, event,
+    batch_state, filing_state, recovery, endpoint_holds, legal (the event may follow
+    the one before it, and a call has its intent before it) and safe (what recovery
+    would send again the endpoint does not hold). An ordered fold by window, one
+    pass for all prefixes; the state as of a position is the row of that position.
+    """
+    own = ["firm_id", "batch_id"]
+    begin = log.select(*own).distinct().select(*own, F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("event"), F.lit(None).cast("boolean").alias("arrived"))
+    rows = log.select(*own, F.col("seq").cast("long").alias("seq"), "event", "arrived").unionByName(begin)
+    w = Window.partitionBy(*own).orderBy(F.col("seq").asc_nulls_first())
+    so_far, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    durable = F.when(F.col("event") != "CALL", F.col("event"))
+    at = rows.withColumns({
+        "position": (F.row_number().over(w) - 1).cast("long"), "_now": F.last(durable, ignorenulls=True).over(so_far), "_was": F.last(durable, ignorenulls=True).over(before),
+        "endpoint_holds": F.coalesce(F.bool_or((F.col("event") == "CALL") & F.col("arrived")).over(so_far), F.lit(False)),
+    })
+    value = lambda k: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for e, v in AFTER_EVENT.items() if e for x in (e, v[k])]), F.col("_now")), F.lit(AFTER_EVENT[None][k]))
+    legal = F.col("event").isNull() | ((F.col("event") == "CALL") & F.col("_was").eqNullSafe(F.lit("INTENT")))
+    for previous, events in FOLLOWS.items():
+        if events:
+            legal = legal | (F.col("_was").eqNullSafe(F.lit(previous)) & F.col("event").isin(*events))
+    out = at.select(*own, "position", F.coalesce("event", F.lit("BEGIN")).alias("event"), value(0).alias("batch_state"), value(1).alias("filing_state"), value(2).alias("recovery"), "endpoint_holds", legal.alias("legal"))
+    return out.withColumn("safe", ~(F.col("endpoint_holds") & F.col("recovery").isin("PLAN", "DISPATCH")))
+
+
 # -- reconciliation of batches whose fate is not known --------------------------
 
 
@@ -268,14 +311,17 @@ def outcome_never_recorded(filings: DataFrame, recorded: DataFrame) -> DataFrame
 
 def unscheduled(filings: DataFrame, members: DataFrame, work: DataFrame, attention: DataFrame) -> DataFrame:
     """Filings neither terminal nor scheduled nor flagged."""
+    key = ["firm_id", "filing_id"]
     waiting = filings.filter(~F.col("state").isin("ACCEPTED", "DRAFT", "READY_TO_TRANSMIT"))
-    live = members.join(work.filter(F.col("state").isin("SEALED", "DISPATCHED", "SUBMITTED") & F.col("next_action_us").isNotNull()).select("batch_id"), "batch_id").select("filing_id")
-    flagged = attention.filter("resolved_at is null and entity_type = 'FILING'").select(F.col("entity_id").alias("filing_id"))
-    return waiting.join(live, "filing_id", "left_anti").join(flagged, "filing_id", "left_anti").select("filing_id", "state")
+    open_ = work.filter(F.col("state").isin("SEALED", "DISPATCHED", "SUBMITTED") & F.col("next_action_us").isNotNull())
+    live = members.join(open_.select("firm_id", "batch_id"), ["firm_id", "batch_id"]).select(*key)
+    flagged = attention.filter("resolved_at is null and entity_type = 'FILING'").select("firm_id", F.col("entity_id").alias("filing_id"))
+    return waiting.join(live, key, "left_anti").join(flagged, key, "left_anti").select(*key, "state")
 
 
 def disagreeing(filings: DataFrame, members: DataFrame, work: DataFrame) -> DataFrame:
-    j = work.select("batch_id", F.col("state").alias("batch_state")).join(members.select("batch_id", "filing_id"), "batch_id").join(filings.select("filing_id", F.col("state").alias("filing_state")), "filing_id")
+    batches = work.select("firm_id", "batch_id", F.col("state").alias("batch_state"))
+    j = batches.join(members.select("firm_id", "batch_id", "filing_id"), ["firm_id", "batch_id"]).join(filings.select("firm_id", "filing_id", F.col("state").alias("filing_state")), ["firm_id", "filing_id"])
     return j.filter("(batch_state = 'SEALED' and filing_state = 'SUBMITTED_UNACKNOWLEDGED') or (batch_state in ('DISPATCHED', 'SUBMITTED') and filing_state in ('READY_TO_TRANSMIT', 'BATCHED'))")
 
 
@@ -284,11 +330,12 @@ def unexplained(filings: DataFrame) -> DataFrame:
 
 
 def misshapen(members: DataFrame, size: int) -> DataFrame:
-    return members.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("client_id").alias("clients")).filter((F.col("n") > size) | (F.col("clients") > 1))
+    return members.groupBy("firm_id", "batch_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("client_id").alias("clients")).filter((F.col("n") > size) | (F.col("clients") > 1))
 
 
 def orphans(members: DataFrame, work: DataFrame) -> DataFrame:
-    return members.join(work.select("batch_id"), "batch_id", "left_anti").select("batch_id", "filing_id")
+    own = ["firm_id", "batch_id"]
+    return members.join(work.select(*own), own, "left_anti").select(*own, "filing_id")
 
 
 def resubmitted(members: DataFrame) -> DataFrame:

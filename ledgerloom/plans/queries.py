@@ -17,7 +17,7 @@ from ..operators import upkeep as U
 from ..operators import views as V
 from ..reasons import REASONS, reason_codes
 from ..rules import RuleSet
-from ..session import SHARED, FirmSession, scratch
+from ..session import SHARED, FirmSession, catalog_facts, scratch
 from ..sources import export, generator, records, writer
 from ..sources.testdata import table
 from ..store import Store
@@ -162,16 +162,16 @@ SELECT firm_id, client_id, vendor_key, reportable_cents, form_required, 1 AS val
 UNION ALL SELECT firm_id, client_id, vendor_key, reportable_cents + 1, form_required, 2, NULL FROM x WHERE changed""")
 add("dml6_evidence_upsert", lambda b: M.upsert_coalesce(b.classified.filter("client_id % 2 = 0").select("line_id", F.lit("OLD").alias("disposition")), b.classified.filter("client_id % 3 = 0").select("line_id", "disposition"), ["line_id"], [], ["disposition"]), "SELECT line_id, CASE WHEN client_id % 3 = 0 THEN disposition ELSE 'OLD' END AS disposition FROM classified WHERE client_id % 3 = 0 OR client_id % 2 = 0")
 add("dml8_insert_if_absent", lambda b: M.insert_if_absent(D.exceptions(b.decided).filter("client_id % 2 = 0").select("vendor_key", "client_id", "code", F.lit(1).alias("run")), D.exceptions(b.decided).select("vendor_key", "client_id", "code", F.lit(2).alias("run")), ["vendor_key", "client_id", "code"]), "SELECT vendor_key, client_id, code, CASE WHEN client_id % 2 = 0 THEN 1 ELSE 2 END AS run FROM raised")
-add("dml10_freeze_violations", lambda b: B.freeze_violations(b.filings, b.filings.withColumn("content_hash", F.when(F.substring("filing_id", 1, 1) == "0", F.lit("changed")).otherwise(F.col("content_hash")))), "SELECT filing_id, state AS b_state, state FROM filings WHERE state IN ('BATCHED', 'SUBMITTED_UNACKNOWLEDGED') AND substr(filing_id, 1, 1) = '0'")
+add("dml10_freeze_violations", lambda b: B.freeze_violations(b.filings, b.filings.withColumn("content_hash", F.when(F.substring("filing_id", 1, 1) == "0", F.lit("changed")).otherwise(F.col("content_hash")))), "SELECT firm_id, filing_id, state AS b_state, state FROM filings WHERE state IN ('BATCHED', 'SUBMITTED_UNACKNOWLEDGED') AND substr(filing_id, 1, 1) = '0'")
 add("dml12_exception_acknowledgment", lambda b: V.acknowledge_exceptions(D.exceptions(b.decisions).select("firm_id", "client_id", "vendor_key", "code"), D.exceptions(b.decisions).filter("client_id % 5 = 0").select("firm_id", "client_id", "vendor_key", "code", F.lit("seen").alias("note"))), "SELECT firm_id, client_id, vendor_key, code, CASE WHEN client_id % 5 = 0 THEN 'seen' END AS note FROM raised")
 add("wn3_duplicate_ordinals", lambda b: M.duplicate_ordinals(b.ledger.select("client_id", "name_norm", "method", "payment_date", "line_id"), ["client_id", "name_norm", "method"], [F.col("payment_date"), F.col("line_id")]).select("line_id", "ordinal"), "SELECT line_id, CAST(row_number() OVER (PARTITION BY client_id, name_norm, method ORDER BY payment_date, line_id) AS INTEGER) AS ordinal FROM ledger")
 
 # -- filings ------------------------------------------------------------------
 
 add("prj9_hsh6_hsh7_planned_filings", lambda b: b.planned.drop("withholding_cents", "recipient_name"), "SELECT filing_id, firm_id, client_id, tax_year, vendor_key, generation, state, block_reason, attention_type, content_hash, amount_cents FROM planned")
-add("dml9_filing_upsert", lambda b: B.upsert(b.filings, b.planned.withColumn("content_hash", F.when(F.col("client_id") % 2 == 0, F.concat("content_hash", F.lit("x"))).otherwise(F.col("content_hash")))), """, x AS (SELECT f.filing_id, f.state AS e_state, p.state AS p_state, f.content_hash AS e_hash, CASE WHEN p.client_id % 2 = 0 THEN p.content_hash || 'x' ELSE p.content_hash END AS p_hash FROM filings f JOIN planned p ON f.filing_id = p.filing_id),
+add("dml9_filing_upsert", lambda b: B.upsert(b.filings, b.planned.withColumn("content_hash", F.when(F.col("client_id") % 2 == 0, F.concat("content_hash", F.lit("x"))).otherwise(F.col("content_hash")))), """, x AS (SELECT f.firm_id, f.filing_id, f.state AS e_state, p.state AS p_state, f.content_hash AS e_hash, CASE WHEN p.client_id % 2 = 0 THEN p.content_hash || 'x' ELSE p.content_hash END AS p_hash FROM filings f JOIN planned p ON f.filing_id = p.filing_id),
 y AS (SELECT *, CASE WHEN e_state IN ('READY_TO_TRANSMIT', 'BLOCKED') AND e_hash = p_hash AND e_state = p_state THEN 'keep' WHEN e_state IN ('READY_TO_TRANSMIT', 'BLOCKED') THEN 'update' WHEN e_hash = p_hash THEN 'frozen' ELSE 'amended' END AS action FROM x)
-SELECT filing_id, action, CASE WHEN action = 'update' THEN p_state ELSE e_state END AS state, CASE WHEN action = 'update' THEN p_hash ELSE e_hash END AS content_hash FROM y""")
+SELECT firm_id, filing_id, action, CASE WHEN action = 'update' THEN p_state ELSE e_state END AS state, CASE WHEN action = 'update' THEN p_hash ELSE e_hash END AS content_hash FROM y""")
 add("wn6_sl4_batch_members", lambda b: b.members.select("filing_id", "firm_id", "client_id", "batch_no"), "SELECT filing_id, firm_id, client_id, batch_no FROM members")
 add("hsh8_dml14_batch_keys", lambda b: B.batches(b.members), "SELECT firm_id, client_id, tax_year, batch_no, CAST(count(*) AS INTEGER) AS filing_count, 'b1.' || substr(replace(replace(replace(base64(unhex(sha256(firm_id || chr(31) || client_id || chr(31) || tax_year || chr(31) || string_agg(filing_id || chr(31) || generation || chr(31) || content_hash || chr(31), '' ORDER BY filing_id)))), '+', '-'), '/', '_'), '=', ''), 1, 32) AS idempotency_key FROM members GROUP BY firm_id, client_id, tax_year, batch_no")
 add("jn22_set5_ack_correlation", lambda b: B.correlate(b.filings.filter("state = 'SUBMITTED_UNACKNOWLEDGED'"), b.acks), "SELECT coalesce(f.firm_id, a.firm_id) AS firm_id, coalesce(f.filing_id, a.reference) AS filing_id, CASE WHEN a.reference IS NULL THEN 'MISSING' WHEN f.filing_id IS NULL THEN 'UNEXPECTED' ELSE 'MATCHED' END AS kind, outcome FROM (SELECT * FROM filings WHERE state = 'SUBMITTED_UNACKNOWLEDGED') f FULL OUTER JOIN acks a ON f.firm_id = a.firm_id AND f.filing_id = a.reference")
@@ -219,6 +219,25 @@ add("state7_reconcile_gate", lambda b: B.planning_waits(b.work), "SELECT firm_id
 add("state7_reconciled_batches", lambda b: B.reconcile(b.work, B.endpoint_status(b.work, b.members, b.recorded)), """, s AS (SELECT w.*, (w.needs_reconcile OR w.state = 'DISPATCHED') AS flag, CASE WHEN n IS NULL THEN 'UNKNOWN' WHEN n < filing_count THEN 'PENDING' ELSE 'RESOLVED' END AS status FROM work w LEFT JOIN (SELECT batch_id, count(*) AS n FROM members WHERE filing_id IN (SELECT filing_id FROM recorded) GROUP BY batch_id) x ON w.batch_id = x.batch_id)
 SELECT batch_id, CASE WHEN NOT flag OR state IN ('ACKNOWLEDGED', 'VOID') THEN state WHEN status = 'RESOLVED' THEN 'ACKNOWLEDGED' WHEN status = 'PENDING' THEN 'SUBMITTED' WHEN state = 'SUBMITTED' THEN state ELSE 'SEALED' END AS state,
  flag AND state IN ('ACKNOWLEDGED', 'VOID') AS needs_reconcile, CAST(CASE WHEN NOT flag OR state IN ('ACKNOWLEDGED', 'VOID') THEN lease_until_us END AS VARCHAR) AS lease_until_us FROM s""")
+#: Logs of batches by the fifth hex digit of the id's hash: a plain run, a lost answer found again, one never come, and four that no run may leave.
+SCRIPTS = [("x < 6", "SEAL INTENT CALL RECEIPT ACKS SETTLE"), ("x < 9", "SEAL INTENT CALL UNKNOWN FOUND ACKS SETTLE"), ("x < 12", "SEAL INTENT CALL UNKNOWN ABSENT"), ("x < 13", "SEAL CALL INTENT RECEIPT"), ("x < 14", "SEAL INTENT FOUND ACKS SETTLE"), ("x < 15", "SEAL INTENT ABSENT"), ("x = 15", "SEAL SETTLE")]
+SCRIPT_SQL = "CASE " + " ".join(f"WHEN {when} THEN '{text}'" for when, text in SCRIPTS) + " END"
+
+
+def _log(b: Book) -> DataFrame:
+    batches = b.work.select("firm_id", "batch_id", digit("batch_id", 5).alias("x"))
+    return batches.select("firm_id", "batch_id", "x", F.posexplode(F.split(F.expr(SCRIPT_SQL), " ")).alias("seq", "event")).select("firm_id", "batch_id", "seq", "event", F.when(F.col("event") == "CALL", ~F.col("x").isin(9, 10)).alias("arrived"))
+
+
+PAIRS = ", ".join(f"('{was or ''}', '{event}')" for was, events in B.FOLLOWS.items() for event in events) + ", ('INTENT', 'CALL')"
+AFTER_SQL = ", ".join("('{}', '{}', '{}', '{}')".format(e or "", *v) for e, v in B.AFTER_EVENT.items())
+add("state9_replay_of_the_intent_log", lambda b: B.replay(_log(b)), f""", s AS (SELECT firm_id, batch_id, x, {SCRIPT_SQL} AS script FROM (SELECT firm_id, batch_id, strpos('0123456789abcdef', substr(md5(batch_id), 5, 1)) - 1 AS x FROM work) y),
+e AS (SELECT firm_id, batch_id, x, unnest(string_split(script, ' ')) AS event, generate_subscripts(string_split(script, ' '), 1) AS position FROM s UNION ALL SELECT firm_id, batch_id, x, NULL, 0 FROM s),
+f AS (SELECT *, CASE WHEN event <> 'CALL' THEN event END AS durable FROM e),
+g AS (SELECT *, coalesce(last_value(durable IGNORE NULLS) OVER (PARTITION BY batch_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS now, coalesce(last_value(durable IGNORE NULLS) OVER (PARTITION BY batch_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS was,
+ coalesce(bool_or(event = 'CALL' AND x NOT IN (9, 10)) OVER (PARTITION BY batch_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS endpoint_holds FROM f)
+SELECT firm_id, batch_id, CAST(position AS BIGINT) AS position, coalesce(event, 'BEGIN') AS event, batch_state, filing_state, recovery, endpoint_holds, event IS NULL OR EXISTS (SELECT 1 FROM (VALUES {PAIRS}) p(a, z) WHERE a = was AND z = event) AS legal, NOT (endpoint_holds AND recovery IN ('PLAN', 'DISPATCH')) AS safe
+FROM g JOIN (VALUES {AFTER_SQL}) a(event_, batch_state, filing_state, recovery) ON now = event_""")
 add("state9_releasable_batches", lambda b: B.may_release(table(b.spark, b.sf_dir, "events").select(F.col("user_id").alias("batch_id"), F.when(F.col("event_id") % 3 == 0, 2).otherwise(1).alias("attempt_no"), F.when(F.col("event_id") % 5 != 0, F.col("event_id") % 2 == 0).alias("sent"))), "SELECT user_id AS batch_id, max(CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END) = 1 AND bool_and(event_id % 5 <> 0 AND event_id % 2 <> 0) AS releasable FROM events GROUP BY user_id", book=False)
 add("state4_reserved_polls", lambda b: b.spark.createDataFrame([(n, B.reserved_polls(n, x)) for n, x in ((20, 0.25), (20, 0.21), (3, 0.1), (0, 0.5))], "calls int, polls int"), "SELECT CAST(calls AS INTEGER) AS calls, CAST(ceil(calls * share) AS INTEGER) AS polls FROM (VALUES (20, 0.25), (20, 0.21), (3, 0.1), (0, 0.5)) v(calls, share)", book=False)
 
@@ -238,12 +257,12 @@ add("dml16_latest_attempts", lambda b: B.latest_attempts(table(b.spark, b.sf_dir
 add("i1_ag14_recorded_twice", lambda b: B.recorded_twice(b.recorded), "SELECT firm_id, filing_id, generation, count(*) AS times FROM recorded GROUP BY ALL HAVING count(*) > 1")
 add("i2_jn19_recorded_never_sent", lambda b: B.recorded_never_sent(b.recorded, b.filings), "SELECT DISTINCT firm_id, filing_id FROM recorded WHERE filing_id NOT IN (SELECT filing_id FROM filings WHERE state IN ('SUBMITTED_UNACKNOWLEDGED', 'ACCEPTED', 'REJECTED'))")
 add("i3_jn19_outcome_never_recorded", lambda b: B.outcome_never_recorded(b.filings, b.recorded), "SELECT firm_id, filing_id, state FROM filings WHERE state IN ('ACCEPTED', 'REJECTED') AND filing_id NOT IN (SELECT filing_id FROM recorded)")
-add("i4_jn20_unscheduled", lambda b: B.unscheduled(b.filings, b.members, b.work, b.attention), "SELECT f.filing_id, f.state FROM filings f WHERE state NOT IN ('ACCEPTED', 'DRAFT', 'READY_TO_TRANSMIT') AND NOT EXISTS (SELECT 1 FROM members m JOIN work w ON m.batch_id = w.batch_id WHERE m.filing_id = f.filing_id AND w.state IN ('SEALED', 'DISPATCHED', 'SUBMITTED')) AND NOT EXISTS (SELECT 1 FROM attention a WHERE a.entity_id = f.filing_id AND a.resolved_at IS NULL)")
-add("i6_jn5_state_agreement", lambda b: B.disagreeing(b.filings, b.members, b.work), "SELECT w.batch_id, w.state AS batch_state, f.filing_id, f.state AS filing_state FROM work w JOIN members m ON w.batch_id = m.batch_id JOIN filings f ON m.filing_id = f.filing_id WHERE (w.state = 'SEALED' AND f.state = 'SUBMITTED_UNACKNOWLEDGED') OR (w.state IN ('DISPATCHED', 'SUBMITTED') AND f.state IN ('READY_TO_TRANSMIT', 'BATCHED'))")
+add("i4_jn20_unscheduled", lambda b: B.unscheduled(b.filings, b.members, b.work, b.attention), "SELECT f.firm_id, f.filing_id, f.state FROM filings f WHERE state NOT IN ('ACCEPTED', 'DRAFT', 'READY_TO_TRANSMIT') AND NOT EXISTS (SELECT 1 FROM members m JOIN work w ON m.batch_id = w.batch_id WHERE m.filing_id = f.filing_id AND w.state IN ('SEALED', 'DISPATCHED', 'SUBMITTED')) AND NOT EXISTS (SELECT 1 FROM attention a WHERE a.entity_id = f.filing_id AND a.resolved_at IS NULL)")
+add("i6_jn5_state_agreement", lambda b: B.disagreeing(b.filings, b.members, b.work), "SELECT w.firm_id, w.batch_id, w.state AS batch_state, f.filing_id, f.state AS filing_state FROM work w JOIN members m ON w.batch_id = m.batch_id JOIN filings f ON m.filing_id = f.filing_id WHERE (w.state = 'SEALED' AND f.state = 'SUBMITTED_UNACKNOWLEDGED') OR (w.state IN ('DISPATCHED', 'SUBMITTED') AND f.state IN ('READY_TO_TRANSMIT', 'BATCHED'))")
 add("i7_outcome_evidence", lambda b: B.unexplained(b.filings), "SELECT filing_id, state FROM filings WHERE (state = 'ACCEPTED' AND record_id IS NULL) OR (state = 'REJECTED' AND reject_code IS NULL)")
-add("i8_ag15_batch_shape", lambda b: B.misshapen(b.members, BATCH_SIZE - 1), f"SELECT batch_id, count(*) AS n, count(DISTINCT client_id) AS clients FROM members GROUP BY batch_id HAVING count(*) > {BATCH_SIZE - 1} OR count(DISTINCT client_id) > 1")
+add("i8_ag15_batch_shape", lambda b: B.misshapen(b.members, BATCH_SIZE - 1), f"SELECT firm_id, batch_id, count(*) AS n, count(DISTINCT client_id) AS clients FROM members GROUP BY firm_id, batch_id HAVING count(*) > {BATCH_SIZE - 1} OR count(DISTINCT client_id) > 1")
 add("i9_submission_uniqueness", lambda b: B.resubmitted(b.members.unionByName(b.members.filter("client_id % 7 = 0"))), "SELECT firm_id, filing_id, generation, CAST(2 AS BIGINT) AS times FROM members WHERE client_id % 7 = 0")
-add("jn21_orphan_members", lambda b: B.orphans(b.members, b.work.filter("state <> 'VOID'")), "SELECT m.batch_id, m.filing_id FROM members m JOIN work w ON m.batch_id = w.batch_id WHERE w.state = 'VOID'")
+add("jn21_orphan_members", lambda b: B.orphans(b.members, b.work.filter("state <> 'VOID'")), "SELECT m.firm_id, m.batch_id, m.filing_id FROM members m JOIN work w ON m.batch_id = w.batch_id WHERE w.state = 'VOID'")
 
 # -- views --------------------------------------------------------------------
 
@@ -300,6 +319,36 @@ add("sl5_batches_planner_list", lambda b: V.batch_list(b.work), "SELECT firm_id,
 add("flt5_flt10_point_and_list_lookups", lambda b: V.lookup(b.filings, client_id=(1, 5, 9), state=("ACCEPTED", "REJECTED")).select("filing_id", "state"), "SELECT filing_id, state FROM filings WHERE client_id IN (1, 5, 9) AND state IN ('ACCEPTED', 'REJECTED')")
 add("flt6_is_distinct_from", lambda b: _changes(b).filter(~F.col("o_row_hash").eqNullSafe(F.col("n_row_hash"))).select("source_txn_id"), "SELECT source_txn_id FROM changes WHERE o_row_hash IS DISTINCT FROM n_row_hash")
 add("jn16_semi_joins", lambda b: b.filings.join(b.members.join(b.work.filter("state = 'SEALED'"), "batch_id", "left_semi"), "filing_id", "left_semi").select("filing_id"), "SELECT filing_id FROM filings WHERE filing_id IN (SELECT filing_id FROM members WHERE batch_id IN (SELECT batch_id FROM work WHERE state = 'SEALED'))")
+
+
+def _proved_status(b: Book) -> DataFrame:
+    """One firm's status view over stored tables, after its plan proved that no other firm's rows are read."""
+    own = FirmSession(b.spark, {"status": lambda: b.views.read("status"), "attention": lambda: b.views.read("attention")}, 2)
+    nation = table(b.spark, b.sf_dir, "nation").filter("n_regionkey = 2")
+    clients = nation.select(F.lit(2).alias("firm_id"), F.col("n_nationkey").alias("client_id"), F.col("n_name").alias("legal_name"))
+    years = b.spark.createDataFrame([(1997,), (1998,)], "tax_year int")
+    counts, open_ = own.proved(own.table("status").drop("bucket")), own.proved(own.table("attention").drop("bucket"))
+    return V.status_of(clients, years, counts, open_)
+
+
+add("sec1_sec2_proved_by_plan", _proved_status, STATUS_SQL + "SELECT * REPLACE (CAST(worst_severity AS VARCHAR) AS worst_severity) FROM status WHERE firm_id = 2")
+CATALOG = ("customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier")
+
+
+def _catalog(b: Book) -> DataFrame:
+    """The tables as registered views, and what the start-up check sees of them."""
+    for t in CATALOG:
+        table(b.spark, b.sf_dir, t).createOrReplaceTempView(f"checked_{t}")
+    b.views.read("status").createOrReplaceTempView("checked_status")
+    try:
+        facts = [(n.removeprefix("checked_"), columns, firm) for n, columns, firm, _ in catalog_facts(b.spark) if n.startswith("checked_")]
+    finally:
+        for t in (*CATALOG, "status"):
+            b.spark.catalog.dropTempView(f"checked_{t}")
+    return b.spark.createDataFrame(facts, "table_name string, n_columns long, has_firm boolean")
+
+
+add("sec3_flt11_catalog", _catalog, f"SELECT table_name, count(*) AS n_columns, bool_or(column_name = 'firm_id') AS has_firm FROM information_schema.columns WHERE table_name IN {CATALOG} GROUP BY table_name UNION ALL SELECT 'status', {len(V.CLIENT) + len(V.COUNTS) + 4}, true", book=False)
 add("sec1_firm_session", lambda b: FirmSession(b.spark, {"ledger": lambda: b.ledger}, 2).table("ledger").groupBy("firm_id", "client_id").agg(F.count(F.lit(1)).alias("n")), "SELECT firm_id, client_id, count(*) AS n FROM ledger WHERE firm_id = 2 GROUP BY firm_id, client_id")
 add("prj11_money_display", lambda b: b.decided.select("firm_id", "client_id", "vendor_key", S.format_cents(F.abs("reportable_cents")).alias("shown")), "SELECT firm_id, client_id, vendor_key, format('{:,}', abs(reportable_cents) // 100) || '.' || lpad(CAST(abs(reportable_cents) % 100 AS VARCHAR), 2, '0') AS shown FROM decided")
 

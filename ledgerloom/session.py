@@ -59,6 +59,102 @@ class FirmSession:
         return df
 
 
+    def proved(self, df: DataFrame) -> DataFrame:
+        """``df`` if its plan proves that it reads no row of another firm."""
+        if self.firm_id is None:
+            raise MissingFirm("no firm is set")
+        loose = unproved(df, self.firm_id, SHARED)
+        if loose:
+            raise MissingFirm(f"read without a filter on the firm: {', '.join(loose)}")
+        return df
+
+
+def unproved(df: DataFrame, firm_id: int, shared: frozenset[str] = SHARED) -> list[str]:
+    """The sources that a frame reads without a filter to the firm, by its optimized plan; empty is a proof.
+
+    Catalyst pushes a filter on the firm down to every source it holds for, through
+    projections, groupings by the firm and joins on it. So it is enough to ask of
+    each source that a condition ``firm_id = <the firm>`` stands right above it,
+    with only projections and filters between. A source is known by the last part
+    of its path without suffix, or by its table name; one in ``shared``, and one
+    without a row of its own (a range, literals), needs no filter.
+    """
+    loose: list[str] = []
+
+    def equated(e) -> set[int]:
+        """Ids of attributes that a condition holds equal to the firm."""
+        kind = e.getClass().getSimpleName()
+        if kind == "And":
+            return equated(e.left()) | equated(e.right())
+        if kind in ("EqualTo", "EqualNullSafe"):
+            for a, b in ((e.left(), e.right()), (e.right(), e.left())):
+                while a.getClass().getSimpleName() == "Cast":  # of the column to the literal's type
+                    a = a.child()
+                if a.getClass().getSimpleName() == "AttributeReference" and b.getClass().getSimpleName() == "Literal" and str(b.value()) == str(firm_id):
+                    return {a.exprId().id()}
+        return set()
+
+    def sequence(s) -> list:
+        return [s.apply(i) for i in range(s.size())]
+
+    def walk(node, guards: set[int]) -> None:
+        kind, below = node.nodeName(), sequence(node.children())
+        for sub in sequence(node.subqueries()):
+            walk(sub, set())
+        if not below:
+            firm = [a.exprId().id() for a in sequence(node.output()) if a.name() == "firm_id"]
+            if not any(i in guards for i in firm):
+                name = _source(node)
+                if name is not None and name not in shared:
+                    loose.append(name)
+            return
+        if kind == "Filter":
+            guards = guards | equated(node.condition())
+        elif kind == "Project":
+            for a in sequence(node.projectList()):
+                if a.getClass().getSimpleName() == "Alias" and a.exprId().id() in guards and a.child().getClass().getSimpleName() == "AttributeReference":
+                    guards = guards | {a.child().exprId().id()}
+        elif kind not in ("SubqueryAlias", "View", "RebalancePartitions", "Repartition", "RepartitionByExpression"):
+            guards = set()
+        for child in below:
+            walk(child, guards)
+
+    walk(df._jdf.queryExecution().optimizedPlan(), set())
+    return sorted(loose)
+
+
+def _source(leaf) -> str | None:
+    """What a leaf of a plan reads, None if it is no stored source."""
+    kind = leaf.getClass().getSimpleName()
+    if kind in ("Range", "OneRowRelation", "LocalRelation"):
+        return None
+    if kind == "LogicalRelation":
+        table = leaf.catalogTable()
+        if table.isDefined():
+            return table.get().identifier().table()
+        paths = getattr(leaf.relation(), "location", None)
+        roots = paths().rootPaths() if paths is not None else None
+        if roots is not None and roots.size():
+            return roots.apply(0).getName().split(".")[0]
+    return kind
+
+
+def catalog_facts(spark: SparkSession, database: str | None = None, shared: frozenset[str] = SHARED) -> list[tuple[str, int, bool, bool]]:
+    """(table, columns, has a firm column, is shared) of every table and view that is registered in a database and in the session: the facts of the start-up check, from the catalog itself."""
+    out = []
+    for t in spark.catalog.listTables(database):
+        columns = [c.name for c in spark.catalog.listColumns(t.name if t.isTemporary else f"{t.namespace[0]}.{t.name}")]
+        out.append((t.name, len(columns), "firm_id" in columns, t.name in shared))
+    return sorted(out)
+
+
+def start_up_check(spark: SparkSession, database: str | None = None, shared: frozenset[str] = SHARED) -> None:
+    """Raises if a registered table neither has a firm column nor is shared."""
+    loose = [name for name, _, guarded, allowed in catalog_facts(spark, database, shared) if not (guarded or allowed)]
+    if loose:
+        raise MissingFirm(f"tables without a firm: {', '.join(loose)}")
+
+
 def unguarded(tables: dict[str, Callable[[], DataFrame]]) -> list[str]:
     """Registered tables that neither have a firm column nor are shared: must be empty at start."""
     return sorted(n for n, f in tables.items() if n not in SHARED and "firm_id" not in f().columns)
