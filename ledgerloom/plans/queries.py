@@ -552,3 +552,41 @@ def _cleared(b: Book) -> DataFrame:
 
 
 add("dml19_watermark_clear", _cleared, ", marks AS (SELECT DISTINCT firm_id, client_id, tax_year FROM (SELECT firm_id, client_id, o_tax_year AS tax_year FROM changes WHERE change NOT IN ('unchanged', 'untouched') UNION SELECT firm_id, client_id, n_tax_year FROM changes WHERE change NOT IN ('unchanged', 'untouched')) x WHERE tax_year IS NOT NULL) SELECT firm_id, client_id, tax_year, client_id % 4 AS marked_at FROM marks WHERE NOT (tax_year = 1998 AND client_id % 4 <= 1)")
+
+# -- scalars over the tables ---------------------------------------------------
+
+INDEX_KEY, SEAL_KEYS = b"k" * 32, {1: b"0" * 16, 2: b"1" * 16}
+DIGITS, DIGITS_SQL = F.concat(F.lit("1"), F.lpad(F.col("suppkey").cast("string"), 8, "0")), "'1' || lpad(CAST(suppkey AS VARCHAR), 8, '0')"
+
+
+def _hmac_sql(message: str) -> str:
+    pad = lambda x: bytes(b ^ x for b in INDEX_KEY.ljust(64, b"\0")).hex()
+    return f"sha256(unhex('{pad(0x5C)}') || unhex(sha256(unhex('{pad(0x36)}') || encode({message}))))"
+
+
+def _vendors_of(b: Book) -> DataFrame:
+    return b.ledger.select("firm_id", "client_id", "suppkey", "name_norm").distinct()
+
+
+add("hsh3_hsh4_blind_indexes_of_the_book", lambda b: _vendors_of(b).select("firm_id", "suppkey", "name_norm").distinct().select("firm_id", "suppkey", S.tin_index(INDEX_KEY, F.col("firm_id"), DIGITS).alias("tin_bidx"), S.name_index(INDEX_KEY, F.col("firm_id"), F.col("name_norm")).alias("name_bidx")),
+    f"SELECT DISTINCT firm_id, suppkey, {_hmac_sql(f"firm_id || ':' || {DIGITS_SQL}")} AS tin_bidx, {_hmac_sql("firm_id || ':name:' || name_norm")} AS name_bidx FROM ledger")
+
+
+def _sealed(b: Book) -> DataFrame:
+    """Numbers sealed and opened again: under their own binding, under another's, and by who lacks the newest key."""
+    aad = F.concat_ws(":", "firm_id", "client_id")
+    sealed = _vendors_of(b).withColumn("digits", DIGITS).withColumn("box", S.encrypt_tin(F.col("digits"), SEAL_KEYS, aad))
+    own, other, old = S.decrypt_tin(F.col("box"), SEAL_KEYS, aad), S.decrypt_tin(F.col("box"), SEAL_KEYS, F.concat(aad, F.lit("x"))), S.decrypt_tin(F.col("box"), {1: SEAL_KEYS[1]}, aad)
+    return sealed.groupBy("firm_id", F.col("box.key_version").alias("key_version")).agg(F.count(F.lit(1)).alias("sealed"), F.count(F.when(own == F.col("digits"), 1)).alias("opened"), F.count(other).alias("opened_elsewhere"), F.count(old).alias("opened_without_key"))
+
+
+add("hsh5_sealed_numbers_of_the_book", _sealed, "SELECT firm_id, 2 AS key_version, count(*) AS sealed, count(*) AS opened, CAST(0 AS BIGINT) AS opened_elsewhere, CAST(0 AS BIGINT) AS opened_without_key FROM (SELECT DISTINCT firm_id, client_id, suppkey, name_norm FROM ledger) x GROUP BY firm_id")
+add("hsh7_wire_content_hashes_of_the_book", lambda b: B.plan(b.decisions, F.concat(F.lit("10000"), F.col("tin_last4"))).select("firm_id", "filing_id", "content_hash"),
+    "SELECT firm_id, filing_id, sha256('v1' || chr(31) || filing_id || chr(31) || '1' || chr(31) || '1998' || chr(31) || coalesce('10000' || tin_last4, '') || chr(31) || display_name || chr(31) || amount_cents || chr(31) || withholding_cents || chr(31)) AS content_hash FROM planned")
+add("jsn2_canonical_json_of_the_book", lambda b: b.decisions.select("firm_id", "client_id", "vendor_key", S.canonical_json(F.create_map(F.lit("vendor"), F.concat("display_name", F.lit(' "x"')), F.lit("cents"), F.col("reportable_cents").cast("string"), F.lit("key"), F.col("vendor_key"))).alias("json")),
+    """SELECT firm_id, client_id, vendor_key, '{"cents":"' || reportable_cents || '","key":"' || vendor_key || '","vendor":"' || display_name || ' \\"x\\""}' AS json FROM decided""")
+add("str7_masked_numbers_of_the_book", lambda b: _vendors_of(b).select("suppkey").distinct().select("suppkey", S.tin_mask(F.when(F.col("suppkey") % 11 != 0, F.concat(F.lit("no "), F.substring(DIGITS, F.lit(1), F.col("suppkey") % 10)))).alias("masked")),
+    f"SELECT suppkey, CASE WHEN suppkey % 11 = 0 THEN NULL WHEN suppkey % 10 >= 4 THEN '***-**-' || right(substr({DIGITS_SQL}, 1, suppkey % 10), 4) ELSE '***' END AS masked FROM (SELECT DISTINCT suppkey FROM ledger) x")
+add("num5_backoff_of_the_calls", lambda b: b.calls.withColumn("n", (F.col("call_id") % 9 + 1).cast("int")).select("call_id", S.backoff_ms(F.col("n")).alias("ms"), S.jittered_ms(S.backoff_ms(F.col("n")), S.hash_fraction(F.lit("seed"), F.col("call_id").cast("string"), F.col("n"))).alias("jittered")),
+    """, b AS (SELECT call_id, CAST(least(60000, 1000 * pow(2, call_id % 9)) AS BIGINT) AS ms, sha256('seed|' || call_id || '|' || (call_id % 9 + 1)) AS h FROM calls)
+SELECT call_id, ms, CAST(1 + floor(CAST(('0x' || substr(h, 1, 14)) AS UBIGINT) / 72057594037927936::DOUBLE * (greatest(ms, 2) - 1)) AS BIGINT) AS jittered FROM b""")
