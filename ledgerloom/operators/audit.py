@@ -3,7 +3,7 @@
 A link is SHA-256 over the previous link and length-prefixed fields. The chain
 of a firm is a fold, so a firm's new events pass one task in order;
 verification needs no fold: each row is checked against the row before it by a
-window, and the recomputed link is a column expression.
+join, and the recomputed link is a column expression.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIELDS = ("firm_id", "seq", "actor", "action", "entity_id", "detail")
@@ -65,14 +65,22 @@ def extend(events: DataFrame, heads: DataFrame | None = None) -> DataFrame:
 
 
 def verify(chain: DataFrame, heads: DataFrame) -> DataFrame:
-    """(firm_id, seq, problem): EDITED, BROKEN_LINK, GAP, and TRUNCATED against the pinned heads (firm_id, head_seq, head_hash)."""
-    w = Window.partitionBy("firm_id").orderBy("seq")
-    c = chain.withColumns({"_prev": F.coalesce(F.lag("hash").over(w), F.lit(GENESIS)), "_seq": F.coalesce(F.lag("seq").over(w), F.lit(0).cast("long"))})
-    problem = F.when(F.col("hash") != link(F.col("prev_hash")), "EDITED").when(F.col("seq") != F.col("_seq") + 1, "GAP").when(F.col("prev_hash") != F.col("_prev"), "BROKEN_LINK")
+    """(firm_id, seq, problem): EDITED, GAP (the row before is not there, or a seq is there twice), BROKEN_LINK, and TRUNCATED against the pinned heads (firm_id, head_seq, head_hash).
+
+    A row meets the one before it by a join on firm and seq, so a firm's chain is
+    checked by as many tasks as there are.
+    """
+    there = chain.groupBy("firm_id", "seq").agg(F.count(F.lit(1)).alias("_times"), F.min("hash").alias("_low"), F.max("hash").alias("_high"))
+    before = there.select("firm_id", (F.col("seq") + 1).alias("seq"), "_low", "_high")
+    c = chain.join(before, ["firm_id", "seq"], "left")
+    first = F.col("seq") == 1
+    linked = F.when(first, F.col("prev_hash") == GENESIS).otherwise(F.col("prev_hash").isin(F.col("_low"), F.col("_high")))
+    problem = F.when(F.col("hash") != link(F.col("prev_hash")), "EDITED").when(~first & F.col("_low").isNull(), "GAP").when(~linked, "BROKEN_LINK")
     rows = c.withColumn("problem", problem).filter("problem is not null").select("firm_id", "seq", "problem")
-    tails = chain.groupBy("firm_id").agg(F.max(F.struct("seq", "hash")).alias("t"))
-    cut = heads.join(tails, "firm_id", "left").filter(F.col("t").isNull() | (F.col("t.seq") < F.col("head_seq")) | ((F.col("t.seq") == F.col("head_seq")) & (F.col("t.hash") != F.col("head_hash"))))
-    return rows.unionByName(cut.select("firm_id", F.col("head_seq").alias("seq"), F.lit("TRUNCATED").alias("problem")))
+    twice = there.filter("_times > 1").select("firm_id", "seq", F.lit("GAP").alias("problem"))
+    tails = pin_heads(chain).select("firm_id", F.col("head_seq").alias("_seq"), F.col("head_hash").alias("_hash"))
+    cut = heads.join(tails, "firm_id", "left").filter(F.col("_seq").isNull() | (F.col("_seq") < F.col("head_seq")) | ((F.col("_seq") == F.col("head_seq")) & (F.col("_hash") != F.col("head_hash"))))
+    return rows.unionByName(twice).unionByName(cut.select("firm_id", F.col("head_seq").alias("seq"), F.lit("TRUNCATED").alias("problem")))
 
 
 def pin_heads(chain: DataFrame) -> DataFrame:

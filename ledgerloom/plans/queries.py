@@ -21,7 +21,9 @@ from ..session import SHARED, FirmSession, catalog_facts, scratch
 from ..sources import export, generator, records, writer
 from ..sources.testdata import table
 from ..store import Store
+from ..streaming import admission
 from ..streaming.changes import windowed_calls
+from ..streaming.sessions import label_late, sessions
 from .book import BATCH_SIZE, BOOK_SQL, NOW_US, RULES, SCOPE, SNAP, Book, digit
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -252,6 +254,37 @@ add("window_tumbling_calls", lambda b: _windows(b, None), "SELECT user_id AS fir
 add("window_sliding_calls", lambda b: _windows(b, "1 hour"), "SELECT user_id AS firm_id, strftime(date_trunc('hour', ts) - k * INTERVAL '1 hour', '%Y-%m-%d %H:%M') AS start, count(*) AS calls FROM events, (VALUES (0), (1)) v(k) GROUP BY ALL", book=False)
 add("dml16_latest_attempts", lambda b: B.latest_attempts(table(b.spark, b.sf_dir, "events").select(F.col("user_id").alias("attempt_id"), F.col("event_id").alias("event_no"), F.when(F.col("event_id") % 4 != 0, F.col("event_type")).alias("outcome"))), "SELECT user_id AS attempt_id, event_id AS event_no, CASE WHEN event_id % 4 <> 0 THEN event_type END AS outcome FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1", book=False)
 
+GAP, DELAY = 6 * HOUR, 24 * HOUR
+add("window_sessions_with_late_calls", lambda b: sessions(label_late(b.calls.withColumn("batch_no", F.col("call_id") % 5), DELAY), GAP), f"""WITH c AS (SELECT user_id AS firm_id, event_id AS call_id, epoch_us(ts) AS at_us, event_id % 5 AS batch_no FROM events),
+p AS (SELECT firm_id, batch_no, max(max(at_us)) OVER (PARTITION BY firm_id ORDER BY batch_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM c GROUP BY firm_id, batch_no),
+l AS (SELECT c.*, coalesce(at_us < seen - {DELAY}, false) AS late FROM c JOIN p ON p.firm_id = c.firm_id AND p.batch_no = c.batch_no),
+g AS (SELECT *, CASE WHEN at_us - lag(at_us) OVER (PARTITION BY firm_id, late ORDER BY at_us, call_id) <= {GAP} THEN 0 ELSE 1 END AS fresh FROM l),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY firm_id, late ORDER BY at_us, call_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM g)
+SELECT firm_id, late, min(at_us) AS start_us, max(at_us) + {GAP} AS end_us, count(*) AS calls FROM s GROUP BY firm_id, late, n""", book=False)
+
+
+def _admission_stream(b: Book) -> DataFrame:
+    """The calls in three portions of time, each taken by a query that goes on from the checkpoint of the one before it; a last call far ahead lets the watermark pass all others."""
+    name, calls = "spark.sql.streaming.stateStore.providerClass", b.calls.select(*[F.col(c).cast("long").alias(c) for c in ("firm_id", "call_id", "at_us")])
+    low, high = calls.agg(F.min("at_us"), F.max("at_us")).first()
+    where, old = scratch(b.spark, "stream"), b.spark.conf.get(name)
+    b.spark.conf.set(name, admission.PROVIDER)
+    try:
+        for k in range(3):
+            third = F.least(F.floor((F.col("at_us") - low) * 3 / F.lit(max(high - low, 1))), F.lit(2))
+            portion = calls.filter(third == k)
+            if k == 2:
+                portion = portion.unionByName(b.spark.createDataFrame([(-1, -1, (high or 0) + 10 * DELAY)], calls.schema))
+            portion.write.mode("append").parquet(f"{where}/in")
+            stream = admission.admit_stream(b.spark.readStream.schema(calls.schema).parquet(f"{where}/in"), CALL_WINDOW, GRANTS)
+            stream.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        b.spark.conf.set(name, old)
+    return b.spark.read.schema(admission.ADMITTED).parquet(f"{where}/out").filter("firm_id >= 0").withColumn("retry_at_us", F.col("retry_at_us").cast("string"))
+
+
+add("state3_admission_stream", _admission_stream, ORACLES["state3_rate_admission"], book=False)
+
 # -- invariants ---------------------------------------------------------------
 
 add("i1_ag14_recorded_twice", lambda b: B.recorded_twice(b.recorded), "SELECT firm_id, filing_id, generation, count(*) AS times FROM recorded GROUP BY ALL HAVING count(*) > 1")
@@ -556,7 +589,11 @@ add("dml19_watermark_clear", _cleared, ", marks AS (SELECT DISTINCT firm_id, cli
 # -- scalars over the tables ---------------------------------------------------
 
 INDEX_KEY, SEAL_KEYS = b"k" * 32, {1: b"0" * 16, 2: b"1" * 16}
-DIGITS, DIGITS_SQL = F.concat(F.lit("1"), F.lpad(F.col("suppkey").cast("string"), 8, "0")), "'1' || lpad(CAST(suppkey AS VARCHAR), 8, '0')"
+DIGITS_SQL = "'1' || lpad(CAST(suppkey AS VARCHAR), 8, '0')"
+
+
+def _digits():
+    return F.concat(F.lit("1"), F.lpad(F.col("suppkey").cast("string"), 8, "0"))
 
 
 def _hmac_sql(message: str) -> str:
@@ -568,14 +605,14 @@ def _vendors_of(b: Book) -> DataFrame:
     return b.ledger.select("firm_id", "client_id", "suppkey", "name_norm").distinct()
 
 
-add("hsh3_hsh4_blind_indexes_of_the_book", lambda b: _vendors_of(b).select("firm_id", "suppkey", "name_norm").distinct().select("firm_id", "suppkey", S.tin_index(INDEX_KEY, F.col("firm_id"), DIGITS).alias("tin_bidx"), S.name_index(INDEX_KEY, F.col("firm_id"), F.col("name_norm")).alias("name_bidx")),
+add("hsh3_hsh4_blind_indexes_of_the_book", lambda b: _vendors_of(b).select("firm_id", "suppkey", "name_norm").distinct().select("firm_id", "suppkey", S.tin_index(INDEX_KEY, F.col("firm_id"), _digits()).alias("tin_bidx"), S.name_index(INDEX_KEY, F.col("firm_id"), F.col("name_norm")).alias("name_bidx")),
     f"SELECT DISTINCT firm_id, suppkey, {_hmac_sql(f"firm_id || ':' || {DIGITS_SQL}")} AS tin_bidx, {_hmac_sql("firm_id || ':name:' || name_norm")} AS name_bidx FROM ledger")
 
 
 def _sealed(b: Book) -> DataFrame:
     """Numbers sealed and opened again: under their own binding, under another's, and by who lacks the newest key."""
     aad = F.concat_ws(":", "firm_id", "client_id")
-    sealed = _vendors_of(b).withColumn("digits", DIGITS).withColumn("box", S.encrypt_tin(F.col("digits"), SEAL_KEYS, aad))
+    sealed = _vendors_of(b).withColumn("digits", _digits()).withColumn("box", S.encrypt_tin(F.col("digits"), SEAL_KEYS, aad))
     own, other, old = S.decrypt_tin(F.col("box"), SEAL_KEYS, aad), S.decrypt_tin(F.col("box"), SEAL_KEYS, F.concat(aad, F.lit("x"))), S.decrypt_tin(F.col("box"), {1: SEAL_KEYS[1]}, aad)
     return sealed.groupBy("firm_id", F.col("box.key_version").alias("key_version")).agg(F.count(F.lit(1)).alias("sealed"), F.count(F.when(own == F.col("digits"), 1)).alias("opened"), F.count(other).alias("opened_elsewhere"), F.count(old).alias("opened_without_key"))
 
@@ -585,7 +622,7 @@ add("hsh7_wire_content_hashes_of_the_book", lambda b: B.plan(b.decisions, F.conc
     "SELECT firm_id, filing_id, sha256('v1' || chr(31) || filing_id || chr(31) || '1' || chr(31) || '1998' || chr(31) || coalesce('10000' || tin_last4, '') || chr(31) || display_name || chr(31) || amount_cents || chr(31) || withholding_cents || chr(31)) AS content_hash FROM planned")
 add("jsn2_canonical_json_of_the_book", lambda b: b.decisions.select("firm_id", "client_id", "vendor_key", S.canonical_json(F.create_map(F.lit("vendor"), F.concat("display_name", F.lit(' "x"')), F.lit("cents"), F.col("reportable_cents").cast("string"), F.lit("key"), F.col("vendor_key"))).alias("json")),
     """SELECT firm_id, client_id, vendor_key, '{"cents":"' || reportable_cents || '","key":"' || vendor_key || '","vendor":"' || display_name || ' \\"x\\""}' AS json FROM decided""")
-add("str7_masked_numbers_of_the_book", lambda b: _vendors_of(b).select("suppkey").distinct().select("suppkey", S.tin_mask(F.when(F.col("suppkey") % 11 != 0, F.concat(F.lit("no "), F.substring(DIGITS, F.lit(1), F.col("suppkey") % 10)))).alias("masked")),
+add("str7_masked_numbers_of_the_book", lambda b: _vendors_of(b).select("suppkey").distinct().select("suppkey", S.tin_mask(F.when(F.col("suppkey") % 11 != 0, F.concat(F.lit("no "), F.substring(_digits(), F.lit(1), F.col("suppkey") % 10)))).alias("masked")),
     f"SELECT suppkey, CASE WHEN suppkey % 11 = 0 THEN NULL WHEN suppkey % 10 >= 4 THEN '***-**-' || right(substr({DIGITS_SQL}, 1, suppkey % 10), 4) ELSE '***' END AS masked FROM (SELECT DISTINCT suppkey FROM ledger) x")
 add("num5_backoff_of_the_calls", lambda b: b.calls.withColumn("n", (F.col("call_id") % 9 + 1).cast("int")).select("call_id", S.backoff_ms(F.col("n")).alias("ms"), S.jittered_ms(S.backoff_ms(F.col("n")), S.hash_fraction(F.lit("seed"), F.col("call_id").cast("string"), F.col("n"))).alias("jittered")),
     """, b AS (SELECT call_id, CAST(least(60000, 1000 * pow(2, call_id % 9)) AS BIGINT) AS ms, sha256('seed|' || call_id || '|' || (call_id % 9 + 1)) AS h FROM calls)
