@@ -38,11 +38,10 @@ def client_status(clients: DataFrame, years: DataFrame, filings: DataFrame, atte
 
 def status_of(clients: DataFrame, years: DataFrame, counts: DataFrame, open_: DataFrame) -> DataFrame:
     """The status view from kept counts (``status_counts``, ``attention_counts``): what it reads follows the number of clients, not of filings."""
-    listed = sorted(r.tax_year for r in years.distinct().limit(MOST_YEARS + 1).collect())
-    if len(listed) > MOST_YEARS:
-        raise ValueError(f"more than {MOST_YEARS} tax years")
+    listed = years.agg(F.collect_set("tax_year").alias("_years"))  # one row, whose size is checked
+    checked = F.when(F.size("_years") <= MOST_YEARS, F.col("_years")).otherwise(F.raise_error(F.lit(f"more than {MOST_YEARS} tax years")).cast("array<int>"))
     worst = open_.groupBy(*CLIENT).agg(F.sum("n").cast("long").alias("n_attention"), F.min("severity").alias("worst_severity"))
-    spine = clients.withColumn("tax_year", F.explode(F.array(*[F.lit(y) for y in listed]))) if listed else clients.withColumn("tax_year", F.lit(None).cast("int")).limit(0)
+    spine = clients.join(F.broadcast(listed)).select(*clients.columns, F.explode(checked).alias("tax_year"))
     j = spine.join(counts, [*CLIENT, "tax_year"], "left").join(worst, CLIENT, "left").fillna(0, ["n_total", *COUNTS, "accepted_cents", "n_attention"])
     status = (
         F.when((F.col("n_rejected") > 0) | (F.col("n_blocked") > 0) | (F.col("n_attention") > 0), "NEEDS_ATTENTION")

@@ -41,11 +41,10 @@ def listing(spark: SparkSession, directory: str) -> str:
     """A digest of the names, sizes and times of all files of a directory's tables: another one means that what was derived from them is out of date."""
     sc = spark.sparkContext
     path = sc._jvm.org.apache.hadoop.fs.Path(directory)
-    files = path.getFileSystem(sc._jsc.hadoopConfiguration()).listFiles(path, True)
-    seen = []
-    while files.hasNext():
-        f = files.next()
-        seen.append(f"{f.getPath().toString()}|{f.getLen()}|{f.getModificationTime()}")
+    fs, seen = path.getFileSystem(sc._jsc.hadoopConfiguration()), []
+    for status in fs.listStatus(path):
+        inner = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+        seen += [s.toString() for s in inner]  # path, length, time
     return hashlib.md5("\n".join(sorted(seen)).encode()).hexdigest()
 
 
@@ -59,12 +58,25 @@ class Book:
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir, self.listing = spark, sf_dir, listing(spark, sf_dir)
-        self.ledger = ledger(spark, sf_dir)
-        self.live = D.live(self.ledger)
-        self.aliases = aliases(self.live)
+        self.spark, self.sf_dir = spark, sf_dir
         self._made: dict[str, DataFrame] = {}
 
+    @property
+    def listing(self) -> str:
+        return self._once("listing", lambda: listing(self.spark, self.sf_dir))
+
+    @property
+    def ledger(self) -> DataFrame:
+        return self._once("ledger", lambda: ledger(self.spark, self.sf_dir))
+
+    @property
+    def live(self) -> DataFrame:
+        return self._once("live", lambda: D.live(self.ledger))
+
+    @property
+    def aliases(self) -> DataFrame:
+        return self._once("aliases", lambda: aliases(self.live))
+
     def _once(self, name: str, make) -> DataFrame:
         if name not in self._made:
             self._made[name] = make()

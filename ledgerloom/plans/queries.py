@@ -71,6 +71,7 @@ add("jsn1_exception_details", lambda b: D.exceptions(b.decided).select("firm_id"
 REASON_SQL = ", ".join("('{}', '{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in REASONS)
 add("src10_reason_codes", lambda b: reason_codes(b.spark), f"SELECT * FROM (VALUES {REASON_SQL}) v(code, category, human_text)", book=False)
 add("jn3_jn12_explanations", lambda b: D.explanations(b.classified, reason_codes(b.spark)), f"SELECT firm_id, client_id, vendor_key, line_id, identity_source, disposition, counted_cents, human_text FROM classified LEFT JOIN (VALUES {REASON_SQL}) v(code, category, human_text) ON disposition = code")
+add("golden_planted_difference", lambda b: D.unreconciled(b.classified, b.decisions.withColumn("reportable_cents", F.col("reportable_cents") + F.when(F.col("client_id") % 7 == 0, 1).otherwise(0))), "SELECT firm_id, client_id, vendor_key, reportable_cents + 1 AS reportable_cents, reportable_cents AS explained FROM decided WHERE client_id % 7 = 0")
 add("golden_explained_equals_total", lambda b: D.unreconciled(b.classified, b.decided), "SELECT firm_id, client_id, vendor_key, reportable_cents, reportable_cents AS explained FROM decided WHERE false")
 
 
@@ -154,8 +155,8 @@ SELECT unnest(['book_xor', 'live_cents', 'n_clients', 'n_deleted', 'n_live', 'no
 
 def _history(b: Book) -> DataFrame:
     key, values = ["firm_id", "client_id", "vendor_key"], ["reportable_cents", "form_required"]
-    v1 = b.decided.select(*key, *values).withColumns({"valid_from": F.lit(1), "valid_to": F.lit(None).cast("int")})
-    now = b.decided.select(*key, (F.col("reportable_cents") + F.when(F.length("vendor_key") % 2 == 0, 1).otherwise(0)).alias("reportable_cents"), "form_required")
+    v1 = b.decisions.select(*key, *values).withColumns({"valid_from": F.lit(1), "valid_to": F.lit(None).cast("int")})
+    now = b.decisions.select(*key, (F.col("reportable_cents") + F.when(F.length("vendor_key") % 2 == 0, 1).otherwise(0)).alias("reportable_cents"), "form_required")
     return M.history(v1, now, now.filter("client_id % 2 = 0").select("firm_id", "client_id").distinct(), key, values, 2)
 
 
