@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_oracle(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "labels"):
         db.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     rows = QUERIES[name](spark, SF)
     columns = sorted(rows.columns)
