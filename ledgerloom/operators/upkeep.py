@@ -133,6 +133,23 @@ def import_judged(store: Store, judged: DataFrame, firm_id: int, key: bytes, sco
     return applied
 
 
+def import_directory(store: Store, directory: str, firm_id: int, key: bytes, run_id: int, most_rejected: float = 0.05, buckets: int = BUCKETS) -> Applied:
+    """Read an export directory, judge its records once and import them; the declared clients, systems and years are the scope."""
+    from functools import reduce
+
+    from ..sources import export
+
+    m = export.read_manifest(store.spark, directory)
+    raw = reduce(DataFrame.unionByName, [export.read_payments(store.spark, f"{directory}/{name}", system) for name, system in m.files])
+    where = scratch(store.spark, "judged")
+    export.judge(raw, export.read_clients(store.spark, directory)).write.parquet(where)
+    try:
+        scope = declared(list(m.client_refs), sorted({s for _, s in m.files}), list(m.covered_years))
+        return import_judged(store, store.spark.read.parquet(where), firm_id, key, scope, run_id, most_rejected, buckets)
+    finally:
+        drop_scratch(store.spark, where)
+
+
 # -- decisions ------------------------------------------------------------------
 
 

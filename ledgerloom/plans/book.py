@@ -60,6 +60,7 @@ class Book:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self._made: dict[str, DataFrame] = {}
+        self.spent: list[str] = []  # scratch folders that the next stored relation is made from
 
     @property
     def listing(self) -> str:
@@ -100,6 +101,8 @@ class Book:
         where, there = self.place(name)
         if not there:
             make().write.parquet(where)
+            while self.spent:
+                drop_scratch(self.spark, self.spent.pop())
         return self.spark.read.parquet(where)
 
     def kept(self, name: str, fill) -> Store:

@@ -17,7 +17,7 @@ from ..operators import upkeep as U
 from ..operators import views as V
 from ..reasons import REASONS, reason_codes
 from ..rules import RuleSet
-from ..session import SHARED, FirmSession, catalog_facts, scratch
+from ..session import SHARED, FirmSession, catalog_facts, drop_scratch, scratch
 from ..sources import export, generator, records, writer
 from ..sources.testdata import table
 from ..store import Store
@@ -468,6 +468,7 @@ def _read_back(b: Book) -> DataFrame:
     d, e = digit("line_id", 1), digit("line_id", 2)
     kind = F.when(d == 0, F.when(e == 0, "amount").when(e == 1, "date").when(e == 2, "client").when(e == 3, "subcent").when(e == 4, "noclient").when(e == 5, "currency").when(e == 6, "vendor").when(e == 7, "ragged"))
     where = scratch(b.spark, "export")
+    b.spent.append(where)
     writer.write_export(b.ledger.withColumn("defect", kind), where, RULES.tax_year, list(range(1992, 2003)))
     m = export.read_manifest(b.spark, where)
     clients = export.read_clients(b.spark, where)
@@ -517,14 +518,14 @@ RAW_MEMO = [
 ]
 
 
-def _quoted(b: Book) -> DataFrame:
+def _quoted(b: Book, **options) -> DataFrame:
     """The ledger as a file whose memos hold quotes of all kinds, read back by splits."""
     raw = F.lit("plain")
     for when, text in reversed(RAW_MEMO):
         raw = F.when(F.expr(when), F.expr(text)).otherwise(raw)
     rows = b.ledger.withColumns({"d": digit("line_id", 1), "e": digit("line_id", 2), "f": digit("line_id", 3)})
     where = f"{scratch(b.spark, 'quoted')}/payments.csv"
-    records.write_lines(rows.select(F.col("line_id").alias("key"), F.concat_ws(",", "line_id", F.lit("03/04/2025"), raw, records.cell(F.col("name_raw"))).alias("value")), "Txn ID,Date,Memo,Vendor", where)
+    records.write_lines(rows.select(F.col("line_id").alias("key"), F.concat_ws(",", "line_id", F.lit("03/04/2025"), raw, records.cell(F.col("name_raw"))).alias("value")), "Txn ID,Date,Memo,Vendor", where, **options)
     got = export.read_payments(b.spark, where, "QUICKBOOKS")
     return got.select("line_no", "source_txn_id", "vendor_name", F.md5(F.coalesce("memo", F.lit(""))).alias("memo_md5"), F.char_length(F.coalesce("memo", F.lit(""))).cast("long").alias("memo_chars"), (F.col("n_fields") == F.col("n_headers")).alias("regular"))
 
@@ -544,11 +545,14 @@ def _generated(b: Book) -> DataFrame:
 
 CASE_SQL = ", ".join(str((case, 25 * vendors, *(25 * x for x in sums))) for case, _, sums, vendors, _ in generator.CASES)
 add("src11_generated_cases", _generated, f"SELECT fixture, CAST(vendors AS BIGINT) AS vendors, CAST(gross_cents AS BIGINT) AS gross_cents, CAST(card_excluded_cents AS BIGINT) AS card_excluded_cents, CAST(reversal_cents AS BIGINT) AS reversal_cents, CAST(reportable_cents AS BIGINT) AS reportable_cents, CAST(withholding_cents AS BIGINT) AS withholding_cents FROM (VALUES {CASE_SQL}) v(fixture, vendors, gross_cents, card_excluded_cents, reversal_cents, reportable_cents, withholding_cents)", book=False)
-add("src3_records_with_quotes", _quoted, r""", q AS (SELECT line_id, name_raw, strpos('0123456789abcdef', substr(md5(line_id), 1, 1)) - 1 AS d, substr(md5(line_id), 2, 2) = '00' AS long_one FROM ledger),
+QUOTED_SQL = r""", q AS (SELECT line_id, name_raw, strpos('0123456789abcdef', substr(md5(line_id), 1, 1)) - 1 AS d, substr(md5(line_id), 2, 2) = '00' AS long_one FROM ledger),
 m AS (SELECT line_id, CASE WHEN d = 4 THEN 'two' ELSE name_raw END AS vendor_name, d <> 4 AS regular, CASE WHEN d = 2 THEN 2 WHEN d = 8 AND long_one THEN 1900 ELSE 0 END AS breaks,
  CASE WHEN d = 0 THEN '5" pipe' WHEN d = 1 THEN 'say "hi", twice' WHEN d = 2 THEN 'first' || chr(10) || 'second, "third"' || chr(10) WHEN d = 3 THEN '"Big "Bob" Henderson' WHEN d = 4 THEN 'one' WHEN d = 5 THEN 'say ""hi""' WHEN d = 6 THEN '' WHEN d = 7 THEN '12 inch"'
-      WHEN d = 8 AND long_one THEN repeat('a line of text, with "quotes"' || chr(10), 1900) ELSE 'plain' END AS memo FROM q)
-SELECT CAST(2 + coalesce(sum(1 + breaks) OVER (ORDER BY line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line_no, line_id AS source_txn_id, trim(vendor_name) AS vendor_name, md5(memo) AS memo_md5, CAST(length(memo) AS BIGINT) AS memo_chars, regular FROM m""")
+      WHEN d = 8 AND long_one THEN repeat('a line of text, with "quotes"' || chr(10), 1900) ELSE 'plain' END AS memo FROM q),
+read AS (SELECT CAST(2 + coalesce(sum(1 + breaks) OVER (ORDER BY line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line_no, line_id AS source_txn_id, trim(vendor_name) AS vendor_name, md5(memo) AS memo_md5, CAST(length(memo) AS BIGINT) AS memo_chars, regular FROM m)
+"""
+add("src3_records_with_quotes", _quoted, QUOTED_SQL + "SELECT * FROM read")
+add("src4_gzipped_records", lambda b: _quoted(b, compression="gzip").groupBy("regular").agg(F.count(F.lit(1)).alias("n"), F.sum("line_no").alias("line_nos"), F.sum("memo_chars").alias("memo_chars"), F.min("memo_md5").alias("least_md5")), QUOTED_SQL + "SELECT regular, count(*) AS n, CAST(sum(line_no) AS BIGINT) AS line_nos, CAST(sum(memo_chars) AS BIGINT) AS memo_chars, min(memo_md5) AS least_md5 FROM read GROUP BY regular")
 REASON_OF = "CASE e WHEN 0 THEN 'UNPARSEABLE_AMOUNT' WHEN 1 THEN 'UNPARSEABLE_DATE' WHEN 2 THEN 'UNKNOWN_CLIENT_REF' WHEN 3 THEN 'SUB_CENT_AMOUNT' WHEN 4 THEN 'MISSING_CLIENT_REF' WHEN 5 THEN 'UNSUPPORTED_CURRENCY' WHEN 6 THEN 'UNIDENTIFIABLE_VENDOR' ELSE 'RAGGED_ROW' END"
 add("snk3_snk4_aborted_import", _aborted, DEFECT_SQL + f""", good AS (SELECT * FROM spoiled WHERE NOT (d = 0 AND e <= 7))
 SELECT {REASON_OF} AS what, count(*) AS n, NULL::VARCHAR AS cents FROM spoiled WHERE d = 0 AND e <= 7 GROUP BY 1
@@ -628,3 +632,16 @@ add("str7_masked_numbers_of_the_book", lambda b: _vendors_of(b).select("suppkey"
 add("num5_backoff_of_the_calls", lambda b: b.calls.withColumn("n", (F.col("call_id") % 9 + 1).cast("int")).select("call_id", S.backoff_ms(F.col("n")).alias("ms"), S.jittered_ms(S.backoff_ms(F.col("n")), S.hash_fraction(F.lit("seed"), F.col("call_id").cast("string"), F.col("n"))).alias("jittered")),
     """, b AS (SELECT call_id, CAST(least(60000, 1000 * pow(2, call_id % 9)) AS BIGINT) AS ms, sha256('seed|' || call_id || '|' || (call_id % 9 + 1)) AS h FROM calls)
 SELECT call_id, ms, CAST(1 + floor(CAST(('0x' || substr(h, 1, 14)) AS UBIGINT) / 72057594037927936::DOUBLE * (greatest(ms, 2) - 1)) AS BIGINT) AS jittered FROM b""")
+
+
+def _csv(b: Book) -> DataFrame:
+    """The digest of a deterministic CSV of each client's totals."""
+    totals = b.decisions.groupBy("firm_id", "client_id").agg(F.count(F.lit(1)).alias("vendors"), F.sum("reportable_cents").alias("cents"))
+    where = scratch(b.spark, "csv")
+    try:
+        return b.spark.createDataFrame([(export.write_csv(totals, where, ["firm_id", "client_id"]),)], "sha256 string")
+    finally:
+        drop_scratch(b.spark, where)
+
+
+add("snk5_deterministic_csv", _csv, "SELECT sha256('firm_id,client_id,vendors,cents' || chr(10) || string_agg(line || chr(10), '' ORDER BY firm_id, client_id)) AS sha256 FROM (SELECT firm_id, client_id, firm_id || ',' || client_id || ',' || count(*) || ',' || CAST(sum(reportable_cents) AS BIGINT) AS line FROM decided GROUP BY firm_id, client_id) x")

@@ -161,7 +161,9 @@ def rejections(judged: DataFrame, run_id: int) -> DataFrame:
 
 
 class TooManyRejections(RuntimeError):
-    pass
+    """Of ``import_export`` it carries the run's ``rejections``."""
+
+    rejections: DataFrame | None = None
 
 
 def guard(judged: DataFrame, most: float = 0.05) -> tuple[int, int]:
@@ -198,7 +200,11 @@ def import_export(spark: SparkSession, directory: str, firm_id: int, key: bytes,
     path = scratch(spark, "judged")
     judge(raw, clients).write.parquet(path)  # read several times below
     judged = spark.read.parquet(path)
-    n, bad = guard(judged, most_rejected)
+    try:
+        n, bad = guard(judged, most_rejected)
+    except TooManyRejections as e:
+        e.rejections = rejections(judged, run_id)
+        raise
     rows = merge.keep_last(normalize(judged, firm_id, key), merge.KEY, [F.col("file_name"), F.col("line_no")])
     new = rows.select(*SNAPSHOT)
     before = old if old is not None else new.limit(0).withColumn("deleted", F.lit(False))
