@@ -73,12 +73,13 @@ class Applied:
     counts: dict[str, int]  # changes by kind in these parts
 
 
-def apply_source(store: Store, source: DataFrame, scope: Scope, run_id: int, buckets: int = BUCKETS, salts: int = 1) -> Applied:
+def apply_source(store: Store, source: DataFrame, scope: Scope, run_id: int, buckets: int = BUCKETS, salts: int = 4) -> Applied:
     """Merge a source into the stored snapshot and publish snapshot, digests and dirty units in one commit.
 
-    The source is read once for its digests, and once more only in the parts that
-    differ; only these parts of the snapshot are read and written. An unchanged
-    source thus touches no file of the snapshot and commits nothing.
+    ``buckets`` is how many parts a firm has, ``salts`` how many tasks write a part
+    that is large. The source is read once for its digests, and once more only in
+    the parts that differ; only these parts of the snapshot are read and written.
+    An unchanged source thus touches no file of the snapshot and commits nothing.
     """
     new = cut(source, buckets)
     first = not store.has("snapshot")

@@ -131,7 +131,7 @@ class Book:
 
         def fill(store: Store) -> None:
             with store.transaction() as t:
-                t.replace("snapshot", U.cut(self.ledger), U.BY)
+                t.replace("snapshot", U.cut(self.ledger), U.BY, salts=4)
                 t.replace("decisions", U.cut(self.decisions), U.BY)
                 t.replace("dirty", self.dirty.limit(0).withColumn("marked_at", F.lit(1)))
 
