@@ -179,6 +179,14 @@ def place(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def qualified(spark: SparkSession, directory: str) -> str:
+    """``directory`` with the scheme that Spark reads it by, so that tasks and Spark mean one place."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(directory)
+    uri = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return f"file://{uri.removeprefix('file:')}" if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 class ShardWriter:
     def __init__(self, directory: str, name: str, digest: bytes, width: int):
         files, root = place(directory)
@@ -208,8 +216,9 @@ MANIFEST = "task int, shard int, path string, n_docs long, n_ids long, least_doc
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, directory: str, end_id: int, sample_docs: int = 1_000, sample_chars: int = 8_192, dictionary_bytes: int = 1 << 16, level: int = 3, shard_bytes: int = 256 << 20) -> DataFrame:
-    """Write all documents to ``directory`` (a URI) in ascending doc_id order; returns the manifest: shard, path, start (ids in the shards before), n_docs, n_ids, least_doc, most_doc."""
+    """Write all documents to ``directory`` (a path of the shared folder) in ascending doc_id order; returns the manifest: shard, path, start (ids in the shards before), n_docs, n_ids, least_doc, most_doc."""
     spark, rows = docs.sparkSession, docs_of(docs)
+    directory = qualified(spark, directory)
     width = id_width(tokenizer_path, end_id)
     raw = train(sample_arrays(rows, tokenizer_path, end_id, width, sample_docs, sample_chars), dictionary_bytes)
     digest = hashlib.sha256(raw).digest()
