@@ -113,6 +113,26 @@ def apply_acks(filings: DataFrame, correlated: DataFrame) -> DataFrame:
     return filings.join(a, ["firm_id", "filing_id"], "left").withColumn("state", F.when((F.col("state") == "SUBMITTED_UNACKNOWLEDGED") & F.col("outcome").isNotNull(), F.col("outcome")).otherwise(F.col("state"))).drop("outcome")
 
 
+def ack_attention(members: DataFrame, acks: DataFrame) -> DataFrame:
+    """What applying acknowledgments asks a reader to look at: a batch whose answers are not those of its members (ACK_RECONCILIATION_MISMATCH), and each rejected filing (FILING_REJECTED).
+
+    ``members``: firm_id, batch_id, filing_id, client_id; ``acks``: firm_id,
+    batch_id (that was asked about), reference, outcome. Returns type, severity,
+    entity_type, entity_id, firm_id, client_id, n_unexpected, n_missing; a batch
+    that was not answered at all is still waited for and raises nothing.
+    """
+    key = ["firm_id", "batch_id", "filing_id"]
+    m = members.select(*key, "client_id", F.lit(True).alias("member"))
+    a = acks.select("firm_id", "batch_id", F.col("reference").alias("filing_id"), "outcome", F.lit(True).alias("acked")).dropDuplicates(key)
+    both = m.join(a, key, "full_outer")
+    n = lambda when: F.count(F.when(when, 1))
+    batches = both.groupBy("firm_id", "batch_id").agg(F.max("client_id").alias("client_id"), n(F.col("member").isNull()).alias("n_unexpected"), n(F.col("acked").isNull()).alias("n_missing"), F.count("acked").alias("_answers"))
+    odd = batches.filter("_answers > 0 and (n_unexpected > 0 or n_missing > 0)").select(F.lit("ACK_RECONCILIATION_MISMATCH").alias("type"), F.lit(3).alias("severity"), F.lit("BATCH").alias("entity_type"), F.col("batch_id").alias("entity_id"), "firm_id", "client_id", "n_unexpected", "n_missing")
+    zero = F.lit(0).cast("long")
+    rejected = both.filter("member and outcome = 'REJECTED'").select(F.lit("FILING_REJECTED").alias("type"), F.lit(3).alias("severity"), F.lit("FILING").alias("entity_type"), F.col("filing_id").alias("entity_id"), "firm_id", "client_id", zero.alias("n_unexpected"), zero.alias("n_missing"))
+    return odd.unionByName(rejected)
+
+
 def ack_outcome() -> Column:
     """What the endpoint answers: rejection code or null for accepted."""
     return F.when(F.col("tin_bidx").isNull(), "R-TIN-FORMAT").when(F.col("tin_last4").startswith("000"), "R-TIN-PREFIX").when((F.col("amount_cents") <= 0) & (F.col("withholding_cents") <= 0), "R-AMOUNT")

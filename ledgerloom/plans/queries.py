@@ -645,3 +645,19 @@ def _csv(b: Book) -> DataFrame:
 
 
 add("snk5_deterministic_csv", _csv, "SELECT sha256('firm_id,client_id,vendors,cents' || chr(10) || string_agg(line || chr(10), '' ORDER BY firm_id, client_id)) AS sha256 FROM (SELECT firm_id, client_id, firm_id || ',' || client_id || ',' || count(*) || ',' || CAST(sum(reportable_cents) AS BIGINT) AS line FROM decided GROUP BY firm_id, client_id) x")
+
+
+def _ack_attention(b: Book) -> DataFrame:
+    """Of the batches with members that wait for an answer: what their acknowledgments raise."""
+    waiting = b.members.join(b.filings.filter("state = 'SUBMITTED_UNACKNOWLEDGED'").select("firm_id", "filing_id"), ["firm_id", "filing_id"], "left_semi")
+    asked = waiting.select("firm_id", "batch_id", F.col("filing_id").alias("_of"))
+    acks = b.acks.withColumn("_of", F.regexp_replace("reference", "^x", "")).join(asked, ["firm_id", "_of"])
+    return B.ack_attention(waiting, acks)
+
+
+add("prj10_jn22_ack_attention", _ack_attention, """, wait AS (SELECT m.firm_id, m.batch_id, m.filing_id, m.client_id FROM members m JOIN filings f ON f.firm_id = m.firm_id AND f.filing_id = m.filing_id WHERE f.state = 'SUBMITTED_UNACKNOWLEDGED'),
+asked AS (SELECT w.firm_id, w.batch_id, a.reference, a.outcome FROM acks a JOIN wait w ON w.firm_id = a.firm_id AND w.filing_id = regexp_replace(a.reference, '^x', '')),
+j AS (SELECT coalesce(w.firm_id, k.firm_id) AS firm_id, coalesce(w.batch_id, k.batch_id) AS batch_id, w.client_id, w.filing_id, k.reference, k.outcome FROM wait w FULL OUTER JOIN asked k ON k.firm_id = w.firm_id AND k.batch_id = w.batch_id AND k.reference = w.filing_id),
+g AS (SELECT firm_id, batch_id, max(client_id) AS client_id, count(*) FILTER (WHERE filing_id IS NULL) AS n_unexpected, count(*) FILTER (WHERE reference IS NULL) AS n_missing, count(reference) AS answers FROM j GROUP BY firm_id, batch_id)
+SELECT 'ACK_RECONCILIATION_MISMATCH' AS type, 3 AS severity, 'BATCH' AS entity_type, batch_id AS entity_id, firm_id, client_id, n_unexpected, n_missing FROM g WHERE answers > 0 AND (n_unexpected > 0 OR n_missing > 0)
+UNION ALL SELECT 'FILING_REJECTED', 3, 'FILING', filing_id, firm_id, client_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM j WHERE filing_id IS NOT NULL AND outcome = 'REJECTED'""")

@@ -60,6 +60,13 @@ def test_repeated_acknowledgments_change_nothing(spark):
     assert filings.apply_acks(once, kinds).exceptAll(once).isEmpty()
 
 
+def test_acknowledgments_that_do_not_fit_ask_for_attention(spark):
+    members = spark.createDataFrame([(1, "b1", "x", 7), (1, "b1", "y", 7), (1, "b2", "z", 8), (1, "b3", "w", 8), (2, "b1", "x", 9)], "firm_id int, batch_id string, filing_id string, client_id int")
+    acks = spark.createDataFrame([(1, "b1", "x", "REJECTED"), (1, "b1", "x", "REJECTED"), (1, "b1", "q", "ACCEPTED"), (1, "b2", "z", "ACCEPTED")], "firm_id int, batch_id string, reference string, outcome string")
+    got = {(r.type, r.firm_id, r.entity_id, r.n_unexpected, r.n_missing) for r in filings.ack_attention(members, acks).collect()}
+    assert got == {("ACK_RECONCILIATION_MISMATCH", 1, "b1", 1, 1), ("FILING_REJECTED", 1, "x", 0, 0)}
+
+
 def test_history_repeated_run_adds_no_rows(spark):
     key, values = ["firm_id", "client_id", "k"], ["v"]
     cur = spark.createDataFrame([(1, 1, "a", 5, 1, None), (1, 2, "b", 6, 1, None)], "firm_id int, client_id int, k string, v int, valid_from int, valid_to int")
