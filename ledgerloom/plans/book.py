@@ -162,17 +162,17 @@ class Book:
         """What the dashboard reads: counts and exceptions of the filings as planned, moved to their present state by deltas."""
 
         def fill(store: Store) -> None:
-            key = ["firm_id", "client_id", "tax_year"]
-            opened = self.attention.withColumn("resolved_at", F.lit(None).cast("int"))
-            U.move_counts(store, "status", V.status_counts(self.planned), key)
-            U.move_counts(store, "attention", V.attention_counts(opened), ["firm_id", "client_id", "severity"])
-            U.refresh_exceptions(store, opened, D.exceptions(self.decisions), self.filings)
-            moves = U.status_moves(self.planned, self.filings)
+            year, severity = ["firm_id", "client_id", "tax_year"], ["firm_id", "client_id", "severity"]
+            opened, raised = self.attention.withColumn("resolved_at", F.lit(None).cast("int")), D.exceptions(self.decisions)
+            resolved, moves = self.attention.filter("resolved_at is not null"), U.status_moves(self.planned, self.filings)
+            one = {"buckets": 1}  # a few rows a client: a firm is one part
+            U.move_counts(store, "status", V.status_counts(self.planned), year, **one)
+            U.move_counts(store, "attention", V.attention_counts(opened), severity, **one)
+            U.refresh_exceptions(store, opened, raised, self.filings, **one)
             for half in (0, 1):
-                U.move_counts(store, "status", U.status_deltas(moves.filter(F.col("client_id") % 2 == half)), key)
-            resolved = self.attention.filter("resolved_at is not null")
-            U.move_counts(store, "attention", U.attention_deltas(resolved.withColumn("sign", F.lit(-1))), ["firm_id", "client_id", "severity"])
-            U.refresh_exceptions(store, self.attention, D.exceptions(self.decisions), self.filings, resolved.select("firm_id", "client_id"))
+                U.move_counts(store, "status", U.status_deltas(moves.filter(F.col("client_id") % 2 == half)), year, **one)
+            U.move_counts(store, "attention", U.attention_deltas(resolved.withColumn("sign", F.lit(-1))), severity, **one)
+            U.refresh_exceptions(store, self.attention, raised, self.filings, resolved.select("firm_id", "client_id"), **one)
 
         return self._once("views", lambda: self.kept("views", fill))
 
