@@ -187,3 +187,14 @@ def test_stored_relations_follow_their_tables(spark, tmp_path):
     shutil.copy(next((tmp_path / "half").glob("part-*.parquet")), d / "lineitem.parquet")
     after = query(spark, str(d)).agg(F.sum("vendors")).first()[0]
     assert before == Book(spark, "/root/testdata/sf0.001").decided.count() != after == Book(spark, str(d)).decided.count()
+
+
+def test_a_directory_imported_twice_changes_nothing(spark, store, tmp_path):
+    d = write(tmp_path / "in", GOOD_QB, GOOD_SHEET)
+    first = upkeep.import_directory(store, d, 1, b"k", 1)
+    assert first.counts == {"inserted": 6} and store.read("snapshot").filter("not deleted").count() == 6
+    was = files(store, "snapshot")
+    assert upkeep.import_directory(store, d, 1, b"k", 2).parts == [] and files(store, "snapshot") == was
+    less = write(tmp_path / "less", GOOD_QB.split("\n", 1)[1], GOOD_SHEET)
+    again = upkeep.import_directory(store, less, 1, b"k", 3)
+    assert again.counts["tombstoned"] == 1 and {r.state for r in store.read("runs").filter("run_id = 3").collect()} == {"RUNNING", "COMPLETED"}
