@@ -148,3 +148,24 @@ def test_repeats_nulls_and_empty_tables(spark, no_docs):
     got = sorted((str(r._row.doc_id), r.n_words, r.n_removed) for r in substring.dedup_words(d).collect())
     k = len(long[:300].split())
     assert got == sorted([("1", 200, 200), ("1", 200, 200), ("1", 201, 0), ("None", 200, 0), ("2", 0, 0), ("3", 0, 0), ("4", k, k - 1 if not long[:300].endswith(f"w{k - 1}") else k)])
+
+
+def test_entries_of_a_crowded_context_are_dealt_over_tasks(spark):
+    from pyspark.sql import functions as F
+
+    keys = [1] * 3_000 + [k for k in range(2, 102) for _ in range(2)] + list(range(200, 300))
+    rows = [(k, i, 1, (i, i, i)) for i, k in enumerate(keys)]
+    d = spark.createDataFrame(rows, "k1 long, k2 long, n long, at struct<h1:long,h2:long,p:long>").repartition(6)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for options in ({}, {"hot": 3_000}):
+            ends, _ = pfp.differing(d, 100, **options)
+            got = ends.withColumn("task", F.spark_partition_id()).collect()
+            assert sorted((r.k1, r.n, r.entries, r.h1, r.h2, r.p) for r in got) == sorted((k, 1, 3_000 if k == 1 else 2, i, i, i) for i, k in enumerate(keys) if k < 200)
+            in_task = defaultdict(int)
+            for r in got:
+                in_task[r.task] += 1
+            assert max(in_task.values()) < 1_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
